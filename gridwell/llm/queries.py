@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, urlfilter
+from . import bpe, chat, media, mixing, quality, tokenbin, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_media": media.op2_media,
+        "op3_chat": chat.op3_chat,
+        "op4_token_files": tokenbin.op4_token_files,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
