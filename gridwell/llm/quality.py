@@ -98,7 +98,7 @@ def trusted(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) -> Data
     """The texts of documents labelled good. Labels are slim: their ids are joined to the texts."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
