@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, htmltext, media, mixing, quality, tokenbin, toxicity, urlfilter
+from . import bpe, chat, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_files": tokenbin.op4_token_files,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_html_text": htmltext.op6_html_text,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
