@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import Scratch
 from .shards import Folder
 
 MAGIC = b"GWT1"
 BITS = 20
-LANES = 512
+LANES = 1024
 #: Ids in a block.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: A file ends with the document in which it reaches so many ids.
 FILE = 1 << 23
 LOW = np.uint64(1 << 31)
@@ -213,33 +215,64 @@ class Memory(dict):
         return value
 
 
+class Odd(Exception):
+    """A part that can't be encoded by itself."""
+
+
 class Tokens:
-    """Texts' ids by the tokenizers library, which sees each part of a text once.
+    """Texts' ids by the tokenizers library, which sees each word of a text once.
 
     The byte-level pre-tokenizer never lets a token reach over the border before
     a space that something other than white space follows, so texts are cut
-    there and the parts' ids are remembered.
+    there. A part goes through the pre-tokenizer's pattern in terms that ``re``
+    knows, and the library's model splits the words; parts and words are
+    remembered. Parts of other than everyday characters go to the library whole:
+    Python and the library go by other editions of Unicode.
     """
 
-    CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
-    ODD = re.compile(r" [\s\x1c-\x1f\x85]| $|[\x1c-\x1f\x85]|<\|")
+    #: In a part between spaces: what only the library can judge, in the light of the whole text.
+    ODD = re.compile(r"\s|\Z|.*?(?:[\x1c-\x1f\x85]|<\|)", re.DOTALL)
+    COMMON = re.compile("[\0-\x84\x86-\u024f\u0386-\u03ce\u0410-\u044f\u2010-\u2027\u20ac\u2122\u3001\u3002\u3041-\u3093\u4e00-\u9fa5]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[\d\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.first = Memory(self._ids, 20_000)
-        self.later = Memory(lambda part: self._ids(" " + part))
+        self.model, self.symbol = self.library.model, byte_symbols()
+        self.words = Memory(self._word, 250_000)
+        self.first = Memory(self._first, 20_000)
+        self.later = Memory(self._later, 400_000)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        symbol = self.symbol
+        return array("I", [t.id for t in self.model.tokenize("".join([symbol[b] for b in word.encode()]))]).tobytes()
+
+    def _first(self, part: str) -> bytes:
+        if part and self.ODD.match(part):
+            raise Odd
+        return self._part(part)
+
+    def _later(self, part: str) -> bytes:
+        if self.ODD.match(part):
+            raise Odd
+        return self._part(" " + part)
+
+    def _part(self, part: str) -> bytes:
+        if self.COMMON.fullmatch(part):
+            return b"".join(map(self.words.__getitem__, self.PIECES.findall(part)))
+        return self._ids(part)
 
     def encode(self, text: str) -> bytes:
         """Packed little-endian 32-bit ids."""
-        if self.ODD.search(text):
-            return self._ids(text)
         first, *later = text.split(" ")
-        return b"".join([self.first[first], *map(self.later.__getitem__, later)])
+        try:
+            return b"".join([self.first[first], *map(self.later.__getitem__, later)])
+        except Odd:
+            return self._ids(text)
 
 
 @lru_cache(2)
