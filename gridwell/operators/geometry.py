@@ -98,7 +98,7 @@ def clipped_volume(mesh: meshes.Mesh, implicit: Column) -> DataFrame:
         """Share of a simplex where a linear function with corner values v is negative:
         a sum of v_i^d over products of differences, as in divided differences."""
         spread = np.abs(v).max(1, keepdims=True) + 1e-300
-        v = np.sort(v / spread, 1) + np.arange(n) * 1e-7  # apart, so that no difference is zero
+        v = np.sort(v / spread, 1) + np.arange(n) * 1e-4  # apart, so that no difference is zero
         share = np.zeros(len(v))
         for i in range(n):
             others = np.prod([v[:, j] - v[:, i] for j in range(n) if j != i], 0)
