@@ -357,7 +357,7 @@ def test_bitmaps_never_rule_out_a_link(a, extra):
     x, y = jaccard.folded(x, w), jaccard.folded(y, w)
     both = len(np.intersect1d(one, two))
     if 100 * both >= 75 * (len(one) + len(two) - both):
-        assert jaccard.may_link(len(one), x[0], np.array([len(two)]), y)[0]
+        assert jaccard.may_link(np.array([len(one)]), x, np.array([len(two)]), y)[0]
     assert (jaccard.unpacked(jaccard.packed(one)) == one >> np.uint64(24)).all()
 
 
