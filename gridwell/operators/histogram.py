@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import number, real, truncated
@@ -51,7 +51,7 @@ def histogram(df: DataFrame, field: str, num_bins: int = 256, min_val: float | N
     return Histogram(every.join(counts, "bin", "left").select("bin", F.coalesce("value", F.lit(0.0)).alias("value")), num_bins, float(min_val), float(max_val))
 
 
-def _share() -> F.Column:
+def _share() -> Column:
     # the bins of one histogram: a small table whatever the field's size
     return F.col("value") / F.sum("value").over(Window.partitionBy())
 

@@ -74,7 +74,7 @@ def cells_in_range(cells: DataFrame, vertices: DataFrame, field: str, min_value:
     return cells.join(keep.select("domain_id", "cell_id"), ["domain_id", "cell_id"], "left_semi")
 
 
-def strip_ghosts(df: DataFrame, field: str = "ascent_ghosts", min_value: int = 0, max_value: int = 0) -> DataFrame:
+def strip_ghosts(df: DataFrame, field: str = "ghosts", min_value: int = 0, max_value: int = 0) -> DataFrame:
     """Rows with a ghost flag in range; a table without the field stays as it is."""
     return df.filter(F.col(field).between(min_value, max_value)) if field in df.columns else df
 

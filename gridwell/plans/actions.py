@@ -42,7 +42,7 @@ class Options:
     goes before anything runs. default_dir: where relative paths lie. timings:
     seconds of each step in info. shell: whether commands may run shell lines."""
 
-    ghost_fields: tuple[str, ...] = ("ascent_ghosts",)
+    ghost_fields: tuple[str, ...] = ("ghosts",)
     ghost_max: int = 1
     default_dir: str = ""
     session_name: str = "session"
@@ -342,7 +342,7 @@ def _(engine, data, p):
     return engine.path(p["path"])
 
 
-@operator("conduit", "name", EXTRACTS)
+@operator("view", "name", EXTRACTS)
 def _(engine, data, p):
     data.cells.createOrReplaceTempView(p.get("name", "published"))
     return p.get("name", "published")

@@ -6,12 +6,13 @@ planned. Sums of doubles are rounded on both sides, as their order differs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numeric, vectors
 from .operators import binning as bn
 from .operators import fields as fl
+from .operators import geometry as gm
 from .operators import histogram as hg
 from .operators import history as hs
 from .operators import mesh as ms
@@ -589,7 +590,8 @@ def clean_grid(spark, sf):
     return sl.clean_grid(m.vertices, sl.threshold(m.cells, "f", 8, 9)).select("vertex_id")
 
 
-@query(_MESH + " SELECT count(*) AS faces, count(DISTINCT cell_id) AS cells FROM (SELECT unnest([1, 2]) AS s, id AS cell_id FROM c WHERE i IN (0, 7) AND s = 1 UNION ALL SELECT 1, id FROM c WHERE j IN (0, 5) UNION ALL SELECT 1, id FROM c WHERE k IN (0, 3))".replace("SELECT unnest([1, 2]) AS s, id AS cell_id FROM c WHERE i IN (0, 7) AND s = 1", "SELECT 1 AS s, id AS cell_id FROM c WHERE i IN (0, 7)"))
+@query(_MESH + """ SELECT count(*) AS faces, count(DISTINCT cell_id) AS cells FROM (
+SELECT id AS cell_id FROM c WHERE i IN (0, 7) UNION ALL SELECT id FROM c WHERE j IN (0, 5) UNION ALL SELECT id FROM c WHERE k IN (0, 3))""")
 def mesh_boundary(spark, sf):
     return ms.boundary(_mesh(spark).cells).agg(F.count("*").alias("faces"), F.countDistinct("cell_id").alias("cells"))
 
@@ -632,8 +634,6 @@ def nestset_ghosts(spark, sf):
 SELECT cell_id, first(material ORDER BY vol_frac DESC, material) AS material, round(max(vol_frac), 9) AS vol_frac FROM f GROUP BY 1""")
 def mir_dominant(spark, sf):
     q = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_returnflag").alias("material")).agg(F.sum("l_quantity").alias("q"))
-    from pyspark.sql import Window
-
     rows = q.select(F.lit(0).alias("domain_id"), "cell_id", "material", (F.col("q") / F.sum("q").over(Window.partitionBy("cell_id"))).alias("vol_frac"))
     return ms.dominant_material(rows).select("cell_id", "material", F.round("vol_frac", 9).alias("vol_frac"))
 
@@ -671,22 +671,16 @@ def query_actions(spark, sf):
 
 @query(None)
 def contour_triangles(spark, sf):
-    from .operators import geometry as gm
-
     return gm.measure(gm.contour(_mesh(spark), F.col("f"), [6.25, 12.5]))
 
 
 @query(None)
 def clip_fractions(spark, sf):
-    from .operators import geometry as gm
-
     return gm.clipped_volume(_mesh(spark), sl.plane((2, 3, 4), (1, 0.5, 0.25)))
 
 
 @query(None)
 def streamlines(spark, sf):
-    from .operators import geometry as gm
-
     seeds = spark.range(16).select(F.col("id").alias("seed_id"), (F.col("id") / 16 + 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return gm.advect(seeds, _swirl, 20, 0.1)
 
