@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridwell-")
+        own = tempfile.mkdtemp(prefix="gridwell-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
