@@ -105,12 +105,32 @@ def acceptance(counts: list[float], rate: float) -> list[float]:
     return out
 
 
+SALTS = 4096
+
+
+def numbered(df: DataFrame, keys: list[str], domain: str | None = None, output: str = "index") -> DataFrame:
+    """Rows with a number from 0 on in their domain, in order of a hash of keys, then keys.
+
+    No window spans a domain: rows are numbered within a salt, and salts start
+    where the ones before end. The table of salts has at most SALTS rows a domain.
+    """
+    by = [domain] if domain else []
+    salt = F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys))), 1, 3), 16, 10).cast("int")
+    rows = df.withColumn("__salt", salt)
+    sizes = rows.groupBy(*by, "__salt").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*by, "__salt", before.alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*keys)) - 1
+    out = rows.join(starts, [*by, "__salt"]).withColumn(output, F.col("__start") + place)
+    return out.drop("__salt", "__start")
+
+
 def sample_by_histogram(df: DataFrame, field: str, bins: int = 128, rate: float = 0.1, domain: str | None = None, keys: list[str] = (), index: str | None = None) -> DataFrame:
     """Rows so that all parts of the field's range are kept alike.
 
     A row stays if the radical inverse of its index in its domain is below its
-    bin's share. index names a column with that; else rows are numbered by keys
-    within each domain. One number a bin comes to the driver.
+    bin's share. index names a column with that; else rows are numbered by
+    ``numbered``. One number a bin comes to the driver.
     """
     if not 0 < rate <= 1:
         raise ValueError("histsampling: sample_rate must be above 0 and at most 1")
@@ -120,8 +140,7 @@ def sample_by_histogram(df: DataFrame, field: str, bins: int = 128, rate: float
     h = histogram(rows, field, bins)
     share = acceptance([r["value"] for r in h.bins.orderBy("bin").collect()], rate)
     if index is None:
-        number_ = F.row_number().over(Window.partitionBy(*([domain] if domain else [])).orderBy(*keys)) - 1
-        rows = rows.withColumn("__index", number_)
+        rows = numbered(rows, list(keys), domain, "__index")
     at = F.least(F.greatest(((number(F.col(field)) - h.min_val) / F.lit(h.width)), F.lit(0.0)), F.lit(float(bins - 1))).cast("int")
     kept = rows.filter(radical_inverse(F.col(index or "__index").cast("long")) < F.get(F.array(*map(F.lit, share)), at))
     return kept.drop("__index")

@@ -441,7 +441,7 @@ def param_expression(spark, sf):
 _INVERSE = " + ".join(f"((i // {7**k}) % 7) * {1.0 / 7 ** (k + 1)!r}::DOUBLE" for k in range(22))
 
 
-@query(f"""WITH i AS (SELECT p_partkey, p_retailprice AS v, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
+@query(f"""WITH i AS (SELECT p_partkey, p_retailprice AS v, row_number() OVER (ORDER BY ('0x' || substr(md5(p_partkey::VARCHAR), 1, 3))::INT, p_partkey) - 1 AS i FROM part),
 m AS (SELECT min(v) AS lo, max(v) AS hi FROM i), b AS (SELECT p_partkey, i, least(greatest((v - lo) / ((hi - lo) / 16), 0), 15)::DOUBLE AS at,
  least(greatest(trunc((v - lo) * (16 / (hi - lo))), 0), 15)::INT AS bin FROM i, m),
 c AS (SELECT r.k::INT AS bin, (SELECT count(*) FROM b WHERE b.bin = r.k) AS n FROM range(16) AS r(k)),
