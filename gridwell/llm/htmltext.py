@@ -71,33 +71,49 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Runs of text between block elements, in page order, with white space made one."""
+    """Runs of text between block elements, in page order, with white space made one.
+
+    Text of an inline element that is other is a block of its own, after the run
+    that it stands in; the run goes on behind it.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str, bool, int]] = []  # name, name with class, other, number of the element
     parts: list[str] = []
-    others = number = at = 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
+    aside: list[str] = []  # text of the other inline elements that are open now
+    asides: list[Block] = []
+    number = at = 0
+
+    def emit(texts: list[str], above: list, to: list[Block]) -> None:
+        if texts:
+            text = " ".join(entities.unescape("".join(texts)).split())
+            texts.clear()
             if text:
-                out.append(Block(tuple(x[1] for x in stack), tuple(x[3] for x in stack), others > 0, text))
+                to.append(Block(tuple(x[1] for x in above), tuple(x[3] for x in above), any(x[2] for x in above), text))
 
-    def pop_to(k: int) -> None:
-        nonlocal others
-        for x in stack[k:]:
-            others -= x[2]
-        del stack[k:]
+    def run() -> int:
+        """Where the inline elements at the end of the stack begin."""
+        k = len(stack)
+        while k and stack[k - 1][0] in INLINE:
+            k -= 1
+        return k
+
+    def add(text: str) -> None:
+        (aside if any(x[2] for x in stack[run() :]) else parts).append(text)
+
+    def flush() -> None:
+        emit(aside, stack, asides)
+        emit(parts, stack[: run()], out)
+        out.extend(asides)
+        asides.clear()
 
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         kind, name = m[1], m[2]
         if name is None or kind in ("!", "?"):
@@ -108,8 +124,11 @@ def blocks(page: str) -> list[Block]:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
-                    pop_to(k)
+                    if k < run():
+                        flush()
+                    else:
+                        emit(aside, stack, asides)
+                    del stack[k:]
                     break
                 if name in INLINE and stack[k][0] in FENCES:
                     break
@@ -118,10 +137,11 @@ def blocks(page: str) -> list[Block]:
                     flush()
             continue
         if name == "br":
-            parts.append(" ")
+            add(" ")
             continue
         other = is_other(name, m[3])
-        if name in INLINE and not other:
+        # an inline element counts if it is other, or for its end tag in an other one of its name
+        if name in INLINE and not other and (name in VOID or not any(x[0] == name for x in stack)):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
@@ -135,20 +155,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
+        elif name not in VOID:
+            emit(aside, stack, asides)
         if name in VOID:
             continue
         if name not in INLINE:
             shut = CLOSES.get(name, ())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" or stack[k][0] in shut:
-                    pop_to(k)
+                    del stack[k:]
                     break
                 if stack[k][0] in FENCES and stack[k][0] not in shut:
                     break
         number += 1
         label = re.search(r"""class\s*=\s*["']?([^"'>]*)""", m[3]) if m[3] else None
         stack.append((name, f"{name}.{label[1].strip()}" if label else name, other, number))
-        others += other
     flush()
     return out
 

@@ -266,6 +266,21 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Long sentence one. <span class="ad">Buy</span> Rest.</p>', "Long sentence one. Rest."),
+        ('<article><h1>Title <a class="share">s</a></h1><p>Text, and more.</p></article>', "Title\n\nText, and more."),
+        ("<article><p>One <span hidden>no</span>two <i class='fa fa-share'>i</i>three <label>l</label>four.</p></article>", "One two three four."),
+        ("<article><p>One <span class='share'><span>a</span> b</span>two.</p></article>", "One two."),
+        ("<article><p>Never closed <span class='ad'>Buy</p><p>Next <b>one</b>.</p></article>", "Never closed\n\nNext one."),
+        ("<article><div>Before <a class='share'>t<div>in</div>u</a> after.</div></article>", "Before\n\nafter."),
+    ],
+)
+def test_text_around_other_inline_elements(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_pages(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()
     import html as entities
