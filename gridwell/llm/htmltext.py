@@ -6,7 +6,9 @@ of an article share a path, so a short one is judged with the long ones. Both
 ratios are smoothed over neighbouring paths, fused, and paths above a share of
 the greatest are content. Their lowest common element is the article; what it
 holds, headings and lists too, is its text, but for parts that say of themselves
-by tag, role, class or id that they are something else.
+by tag, role, class or id that they are something else. Words in a class or id,
+and forms, decide for parts only: not for an element that holds most of the
+page's fused text.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ OTHER = frozenset(
     subscription signup login popup modal overlay widget widgets toolbar pagination pager search form complementary contentinfo
     dialog tags skip""".split()
 )
+#: What they say of themselves holds for parts of a page, as words in a class or id do.
+MILD = frozenset("form fieldset".split())
+#: Elements that may stand in a head; any other one ends it.
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Before such a word, in "has-sidebar", it tells nothing of this element.
 ABOUT = frozenset("has with no without not is".split())
 ROOTS = frozenset("html body main article".split())
@@ -44,30 +50,43 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = frozenset("html body main article section div table ul ol dl td th blockquote".split())
 #: Share of the greatest fused ratio that makes a path content.
 LEAST = 0.1
+#: How far the greatest fused ratio of an element without a headline must stand above the rest's.
+ABOVE = 3
 
 
-def is_other(name: str, attributes: str) -> bool:
-    """Whether an element says of itself that it isn't part of the article."""
+def is_other(name: str, attributes: str) -> int:
+    """Whether an element says of itself that it isn't part of the article: 0 no,
+    1 by a word or as a form, which holds for a part of the page, 2 for good."""
+    found = 0
     if name in NEVER:
-        return True
+        if name not in MILD:
+            return 2
+        found = 1
     if not attributes or name in ROOTS or not NAMED.search(attributes):
-        return False
+        return found
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return 2
         if key in ("class", "id", "role"):
             words = re.split(r"[^a-z]+", value)
             if any(w in OTHER and not (k and words[k - 1] in ABOUT) for k, w in enumerate(words)):
-                return True
-    return False
+                if key == "role" and value not in MILD:
+                    return 2
+                found = 1
+    return found
 
 
 class Block:
-    __slots__ = ("above", "other", "path", "text")
+    """never: an element above is other for good; words: the numbers of those
+    above, outermost first, that are other by a word or as a form."""
 
-    def __init__(self, path: tuple, above: tuple, other: bool, text: str):
-        self.path, self.above, self.other, self.text = path, above, other, text
+    __slots__ = ("above", "never", "other", "path", "text", "words")
+
+    def __init__(self, stack: list, text: str):
+        self.path, self.above, self.text = tuple(x[1] for x in stack), tuple(x[3] for x in stack), text
+        self.never, self.words = any(x[2] == 2 for x in stack), tuple(x[3] for x in stack if x[2] == 1)
+        self.other = self.never or bool(self.words)
 
 
 def blocks(page: str) -> list[Block]:
@@ -77,7 +96,7 @@ def blocks(page: str) -> list[Block]:
     that it stands in; the run goes on behind it.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, name with class, other, number of the element
+    stack: list[tuple[str, str, int, int]] = []  # name, name with class, other, number of the element
     parts: list[str] = []
     aside: list[str] = []  # text of the other inline elements that are open now
     asides: list[Block] = []
@@ -88,7 +107,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                to.append(Block(tuple(x[1] for x in above), tuple(x[3] for x in above), any(x[2] for x in above), text))
+                to.append(Block(above, text))
 
     def run() -> int:
         """Where the inline elements at the end of the stack begin."""
@@ -97,7 +116,16 @@ def blocks(page: str) -> list[Block]:
             k -= 1
         return k
 
+    def leave_head() -> None:
+        for k, x in enumerate(stack):
+            if x[0] == "head":
+                flush()
+                del stack[k:]
+                break
+
     def add(text: str) -> None:
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            leave_head()
         (aside if any(x[2] for x in stack[run() :]) else parts).append(text)
 
     def flush() -> None:
@@ -136,6 +164,8 @@ def blocks(page: str) -> list[Block]:
                 if name not in INLINE:
                     flush()
             continue
+        if name == "body" or (stack and stack[-1][0] == "head" and name not in HEAD):
+            leave_head()
         if name == "br":
             add(" ")
             continue
@@ -169,7 +199,8 @@ def blocks(page: str) -> list[Block]:
                     break
         number += 1
         label = re.search(r"""class\s*=\s*["']?([^"'>]*)""", m[3]) if m[3] else None
-        stack.append((name, f"{name}.{label[1].strip()}" if label else name, other, number))
+        # an other element's path is its own
+        stack.append((name, f"{name}.{label[1].strip() if label else ''}{'!' * other}" if label or other else name, other, number))
     flush()
     return out
 
@@ -180,9 +211,55 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4
 
 
+def kind(label: str) -> str:
+    """The tag's name of a part of a path."""
+    return label.split(".")[0]
+
+
+def clear(found: list[Block], weight: np.ndarray) -> None:
+    """Takes the word of no element that holds most of the page's fused text.
+
+    An element is judged against what stands outside of it and isn't other. It
+    must hold more, and either a first heading or, where no other article or main
+    element has text, by far the greatest ratio: comments under a short article
+    stay comments. Those with a first heading come first, then the largest.
+    """
+    inside: dict[int, list[int]] = {}
+    titled: set[int] = set()
+    for i, b in enumerate(found):
+        if b.words and not b.never:
+            h1 = next((a for n, a in zip(b.path, b.above, strict=True) if kind(n) == "h1"), 0)
+            for e in b.words:
+                inside.setdefault(e, []).append(i)
+                if e < h1:
+                    titled.add(e)
+    holds = {e: weight[of].sum() for e, of in inside.items()}
+    cleared: set[int] = set()
+    waiting = sorted(inside, key=lambda e: (e not in titled, -holds[e], e))
+    outside = [i for i, b in enumerate(found) if not b.other]
+    rest = weight[outside].sum()
+    k = 0
+    while k < len(waiting):
+        e = waiting[k]
+        first = found[inside[e][0]]
+        k += 1
+        if holds[e] <= rest or not cleared.issuperset(first.words[: first.words.index(e)]):
+            continue  # not the most, or an element around it is other
+        around = set(first.above[: first.above.index(e)])
+        article = any(kind(n) in ("article", "main") and a not in around for i in outside for n, a in zip(found[i].path, found[i].above, strict=True))
+        if e in titled or (not article and weight[inside[e]].max() >= ABOVE * weight[outside].max(initial=0)):
+            cleared.add(e)
+            waiting.remove(e)
+            outside = [i for i, b in enumerate(found) if not b.never and cleared.issuperset(b.words)]
+            rest = weight[outside].sum()
+            k = 0  # what stands in it is judged next
+    for b in found:
+        b.other = b.never or not cleared.issuperset(b.words)
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the article."""
-    if all(b.other for b in found):
+    if all(b.never for b in found):
         return []
     number: dict[tuple, int] = {}
     for b in found:
@@ -193,6 +270,10 @@ def content(found: list[Block]) -> list[Block]:
     points = np.bincount(at, [len(PUNCTUATION.findall(b.text)) for b in found]) / nodes
     # fused: text that has sentences counts for more than text that has none
     fused = smoothed(length) * (1 + smoothed(points)) * np.log2(1 + np.bincount(at, [len(b.text) for b in found]))
+    if any(b.words for b in found):
+        clear(found, fused[at])
+    if all(b.other for b in found):
+        return []
     allowed = np.zeros(len(number), bool)
     for b in found:
         allowed[number[b.path]] |= not b.other
@@ -205,13 +286,13 @@ def content(found: list[Block]) -> list[Block]:
         common = common[:n]
     names = chosen[0].path[: len(common)]
     # an article or main element among those above is the article; a lone block stands for its surroundings
-    roots = [k for k, n in enumerate(chosen[0].path) if n.split(".")[0] in ("article", "main") and k < len(common)]
+    roots = [k for k, n in enumerate(chosen[0].path) if kind(n) in ("article", "main") and k < len(common)]
     if roots:
         common = common[: roots[-1] + 1]
-    elif len(common) > 1 and names[-1].split(".")[0] in ("p", "h1", "h2", "h3", "li"):
+    elif len(common) > 1 and kind(names[-1]) in ("p", "h1", "h2", "h3", "li"):
         common = common[:-1]
     root = common[-1] if common else None
-    whole = root is None or chosen[0].path[len(common) - 1].split(".")[0] in ("html", "body")
+    whole = root is None or kind(chosen[0].path[len(common) - 1]) in ("html", "body")
     if whole:  # no element holds the article alone: the paths that were picked, and headings
         return [b for b, k in zip(found, at, strict=True) if not b.other and (picked[k] or b.path and b.path[-1][:2] in ("h1", "h2", "h3"))]
     return [b for b in found if not b.other and root in b.above]

@@ -281,6 +281,33 @@ def test_text_around_other_inline_elements(page, text):
     assert htmltext.main_text(page) == text
 
 
+POST = "<h1>Headline of it</h1>" + "<p>A sentence, and one more. It goes on, at length, as texts do.</p>" * 3
+POST_TEXT = "\n\n".join(["Headline of it"] + ["A sentence, and one more. It goes on, at length, as texts do."] * 3)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><meta charset=utf-8><title>t</title><body>{POST}", POST_TEXT),
+        (f"<head><title>t</title><link rel=x><div class=post>{POST}</div>", POST_TEXT),
+        ("<head><title>t</title>Text alone, here.", "Text alone, here."),
+        ("<head><title>t</title><noscript><meta x></noscript><style>p{}</style></head><p>Text, here.", "Text, here."),
+        (f"<body><form id=aspnetForm><div class=menu><a>m</a></div><div class=x>{POST}</div></form>", POST_TEXT),
+        (f'<body><div class="layout sidebar-right"><div class="sidebar"><p>Side, text.</p></div><div>{POST}</div></div><footer>(c) 2024 F.</footer>', POST_TEXT),
+        (f'<body><div class="top"><p>An intro, which is here, too. Yes.</p></div><div class="hentry category-social">{POST}</div>', None),
+        (f'<form><div class="hentry tag-ads">{POST}<div id=comments>{"<p>First, I say.</p>" * 20}</div></div></form>', POST_TEXT),
+        (f"<div class=post>{POST}</div><div id=comments>{'<p>First, I say. And more.</p>' * 40}</div>", POST_TEXT),
+        (f"<div class='post tag-social'>{POST}</div><div id=comments>{'<p>First, I say. And more.</p>' * 40}</div>", POST_TEXT),
+        (f"<article>{POST}</article><div class=comments>{'<p>Longer, longer, longer, I say, and more, much more than that.</p>' * 40}</div>", POST_TEXT),
+        (f"<article><h1>Headline of it</h1><div class='entry tag-share'>{POST[23:]}</div></article>", POST_TEXT),
+        (f"<body><form><div hidden>{POST}</div></form><p>Text, here.", "Text, here."), ('<div role="navigation">only</div>', ""),
+    ],
+)
+def test_words_hold_for_parts(page, text):
+    got = htmltext.main_text(page)
+    assert got == text if text else got.endswith(POST_TEXT)
+
+
 def test_pages(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()
     import html as entities
