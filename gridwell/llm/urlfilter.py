@@ -1,8 +1,8 @@
 """URL rules, looked up by literal tokens.
 
-A pattern rule names literal tokens that any URL it fits must hold. The rule is
-filed under the rarest of them, by their counts over the URLs to be judged. A
-URL's own tokens fetch the rules filed under them and only these run their
+A pattern rule names literal tokens, in one set for each of its alternatives: any
+URL that it fits holds all tokens of one set. The rule is filed under the rarest
+token of every set, by their counts over the URLs to be judged. A URL's own tokens fetch the rules filed under them and only these run their
 regular expression. Host rules are filed under their host and fetched by the
 suffixes of a URL's host.
 
@@ -40,12 +40,18 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """regex is a Java regular expression over the lower-cased URL; each of
-    literals must be a whole token (letters and digits) of any URL it fits."""
+    """regex is a Java regular expression over the lower-cased URL; any URL it
+    fits must hold each of literals, or of one of others, as whole tokens
+    (letters and digits)."""
 
     verdict: str
     regex: str
     literals: tuple[str, ...]
+    others: tuple[tuple[str, ...], ...] = ()
+
+    def alternatives(self) -> list[PatternRule]:
+        """The rule once for each set of literals, as it is filed."""
+        return [PatternRule(self.verdict, self.regex, x) for x in (self.literals, *self.others)]
 
 
 #: For the registered query.
@@ -60,9 +66,9 @@ PATTERN_RULES = tuple(
     PatternRule("block", rf"://([^/?#]*[.])?[^/?#.]*\b{a}-{b}\b[^/?#]*", (a, b))
     for a, b in (("cheap", "pills"), ("free", "bets"), ("casino", "win"), ("adult", "x"), ("spam", "farm"), ("ads", "track"))
 ) + (
-    PatternRule("block", r"[/?&=._-](porn|xxx)[/?&=._-]", ("porn",)),
+    PatternRule("block", r"[/?&=._-](porn|xxx)[/?&=._-]", ("porn",), (("xxx",),)),
     PatternRule("block", r"[?&]aff(iliate)?_id=\d+", ("id",)),
-    PatternRule("allow", r"/(robots|sitemap)\.(txt|xml)$", ("robots", "txt")),
+    PatternRule("allow", r"/(robots|sitemap)\.(txt|xml)$", ("robots", "txt"), (("robots", "xml"), ("sitemap", "txt"), ("sitemap", "xml"))),
 )
 
 
@@ -105,7 +111,7 @@ class Index:
 
 
 def rarest(urls: DataFrame, url: str, rules) -> dict[PatternRule, str]:
-    """Each rule's literal that the fewest URLs hold. Only the rules' own
+    """Each rule's own literal (not of its others) that the fewest URLs hold. Only the rules' own
     literals are counted, so what comes to the driver is no longer than the rules."""
     literals = sorted({x for r in rules for x in r.literals})
     if not literals:
@@ -124,8 +130,9 @@ def judge(urls: DataFrame, url: str = "url", hosts=HOST_RULES, patterns=PATTERN_
     ``://`` have an empty host and path, and a null one fits no rule. Each row
     is judged by itself: repeated rows stay, an empty table stays empty.
     """
-    by_literal = rarest(urls, url, patterns)
-    pattern_index = Index([(k, {"verdict": r.verdict, "regex": r.regex}) for r, k in by_literal.items()], "verdict:string,regex:string")
+    by_literal = rarest(urls, url, [x for r in patterns for x in r.alternatives()])
+    filed = dict.fromkeys((k, r.verdict, r.regex) for r, k in by_literal.items())  # alternatives may share their rarest
+    pattern_index = Index([(k, {"verdict": v, "regex": x}) for k, v, x in filed], "verdict:string,regex:string")
     host_index = Index([(r.host, {"verdict": r.verdict, "path": r.path, "name": r.name, "long": len(r.name)}) for r in hosts], "verdict:string,path:string,name:string,long:int")
     # computed once per row: what follows reads them more than once
     rows = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})

@@ -420,6 +420,19 @@ def test_url_rules(spark):
         assert literal in rule.literals
 
 
+def test_url_rules_alternatives(spark):
+    block = ["http://a.net/xxx/1", "http://a.net/porn/1", "http://a.net/x?aff_id=1", "http://a.net/x?affiliate_id=1"] + [f"http://{a}-{b}.net/" for a, b in (("cheap", "pills"), ("free", "bets"), ("casino", "win"), ("adult", "x"), ("spam", "farm"), ("ads", "track"))]
+    allow = [f"http://a.net/xxx/{a}.{b}" for a in ("robots", "sitemap") for b in ("txt", "xml")]
+    for more in ([], ["http://robots/xml/"] * 9, ["http://txt/sitemap/"] * 9, ["http://xml/txt/"] * 9):  # whatever is the rarest
+        rows = spark.createDataFrame([(x,) for x in [*block, *allow, *more]], "url string")
+        got = {r["url"]: r["verdict"] for r in urlfilter.judge(rows).collect()}
+        for urls, verdict in ((block, "block"), (allow, "allow")):
+            assert [got[u] for u in urls] == [verdict] * len(urls)
+    for r in urlfilter.PATTERN_RULES:  # every URL of a rule has all literals of one of its alternatives
+        for u in [u for u in [*block, *allow] if re.search(r.regex, u)]:
+            assert any(set(x.literals) <= set(re.split("[^a-z0-9]+", u)) for x in r.alternatives())
+
+
 # -- 9
 
 
