@@ -4,8 +4,10 @@ A page is read once into blocks of text, each with the path of tags from the
 root. Text length and punctuation per node are summed up by path: the paragraphs
 of an article share a path, so a short one is judged with the long ones. Both
 ratios are smoothed over neighbouring paths, fused, and paths above a share of
-the greatest are content. Their lowest common element is the article; what it
-holds, headings and lists too, is its text, but for parts that say of themselves
+the greatest are content. They only place the article, which is their lowest
+common element (or, in the body itself, all from the headline to the end of the
+last of them) and its headline in front of it; what it holds, headings, lists and
+tables too, is its text, but for parts that say of themselves
 by tag, role, class or id that they are something else. Words in a class or id,
 and forms, decide for parts only: not for an element that holds most of the
 page's fused text.
@@ -257,6 +259,59 @@ def clear(found: list[Block], weight: np.ndarray) -> None:
         b.other = b.never or not cleared.issuperset(b.words)
 
 
+HEADINGS = ("h1", "h2", "h3")
+#: Elements that only text is divided by: they don't part the page.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address hr".split())
+
+
+def heading(b: Block) -> str:
+    """The heading element that a block stands in, or empty."""
+    return next((n for n in map(kind, reversed(b.path)) if n in HEADINGS), "")
+
+
+def shared(a: tuple, b: tuple) -> int:
+    """How many elements two blocks' ways from the root share."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def head(found: list[Block], first: int, common: tuple, whole: bool) -> int:
+    """Where the headline of an article is that is found from block first on.
+
+    That is the last h1 in front of it or, without one, the last h2 or h3 that
+    stands beside it, alone or in a header. An article that begins with a heading
+    takes a greater one only from what surrounds both of them.
+    """
+    if any(heading(b) == "h1" for b in found[first:] if not b.other and (whole or common[-1] in b.above)):
+        return first
+    begins, lower = heading(found[first]), None
+    for i in range(first - 1, -1, -1):
+        b = found[i]
+        if b.other or not (h := heading(b)):
+            continue
+        n = shared(common, b.above)
+        near = any(kind(x) not in ("html", "body") for x in b.path[:n])
+        if h == "h1" and (near or not begins or (whole and "header" not in map(kind, b.path))):
+            return i
+        if lower is None and h != "h1" and (not begins or (near and h < begins)):
+            around = [kind(x) for x in b.path[n:]]
+            if all(x in ("header", "hgroup") for x in around[: around.index(h)]) or all(heading(x) for x in found if not x.other and b.above[n] in x.above):
+                lower = i
+    return first if lower is None else lower
+
+
+def tail(found: list[Block], last: int) -> int:
+    """The last block of the text that goes on, not parted off, after block last."""
+    above, end = found[last].above, last
+    for i in range(last + 1, len(found)):
+        b = found[i]
+        if b.other:
+            continue
+        if not all(kind(x) in TEXT or kind(x) in INLINE for x in b.path[shared(above, b.above) :]):
+            break
+        end = i
+    return end
+
+
 def content(found: list[Block]) -> list[Block]:
     """The blocks of the article."""
     if all(b.never for b in found):
@@ -282,8 +337,7 @@ def content(found: list[Block]) -> list[Block]:
     chosen = [b for b, k in zip(found, at, strict=True) if picked[k] and not b.other]
     common = chosen[0].above
     for b in chosen[1:]:
-        n = next((i for i, (x, y) in enumerate(zip(common, b.above, strict=False)) if x != y), min(len(common), len(b.above)))
-        common = common[:n]
+        common = common[: shared(common, b.above)]
     names = chosen[0].path[: len(common)]
     # an article or main element among those above is the article; a lone block stands for its surroundings
     roots = [k for k, n in enumerate(chosen[0].path) if kind(n) in ("article", "main") and k < len(common)]
@@ -293,9 +347,14 @@ def content(found: list[Block]) -> list[Block]:
         common = common[:-1]
     root = common[-1] if common else None
     whole = root is None or kind(chosen[0].path[len(common) - 1]) in ("html", "body")
-    if whole:  # no element holds the article alone: the paths that were picked, and headings
-        return [b for b, k in zip(found, at, strict=True) if not b.other and (picked[k] or b.path and b.path[-1][:2] in ("h1", "h2", "h3"))]
-    return [b for b in found if not b.other and root in b.above]
+    if whole:  # no element holds the article alone: it reaches from its heading to the end of the last content
+        inside = [i for i, (b, k) in enumerate(zip(found, at, strict=True)) if picked[k] and not b.other]
+        inside.append(tail(found, inside[-1]))
+    else:
+        inside = [i for i, b in enumerate(found) if not b.other and root in b.above]
+    first = inside[0] if roots else head(found, inside[0], common, whole)
+    # where the article is the body's, other headings of the page are kept too
+    return [b for i, b in enumerate(found) if not b.other and (first <= i <= inside[-1] and (whole or i < inside[0] or root in b.above) or whole and heading(b) in HEADINGS)]
 
 
 def main_text(page: str) -> str:

@@ -271,6 +271,7 @@ def test_main_text(page, text):
     [
         ('<article><p>Long sentence one. <span class="ad">Buy</span> Rest.</p>', "Long sentence one. Rest."),
         ('<article><h1>Title <a class="share">s</a></h1><p>Text, and more.</p></article>', "Title\n\nText, and more."),
+        ('<h1>Title <a class="share">s</a></h1><p>Text, and more.</p>', "Title\n\nText, and more."),
         ("<article><p>One <span hidden>no</span>two <i class='fa fa-share'>i</i>three <label>l</label>four.</p></article>", "One two three four."),
         ("<article><p>One <span class='share'><span>a</span> b</span>two.</p></article>", "One two."),
         ("<article><p>Never closed <span class='ad'>Buy</p><p>Next <b>one</b>.</p></article>", "Never closed\n\nNext one."),
@@ -305,7 +306,31 @@ POST_TEXT = "\n\n".join(["Headline of it"] + ["A sentence, and one more. It goes
 )
 def test_words_hold_for_parts(page, text):
     got = htmltext.main_text(page)
-    assert got == text if text else got.endswith(POST_TEXT)
+    assert got == text if text is not None else got.endswith(POST_TEXT)
+
+
+LONG = ("A sentence, of some length, which goes on here. " * 9)[:399] + "."
+ITEMS = "".join(f"<li>An item of thirty letters, {k:02}</li>" for k in range(4))
+
+
+def lines(*parts):
+    return "\n\n".join(" ".join(p.split()) for p in parts)
+
+
+@pytest.mark.parametrize("foot", ["<footer>f</footer>", "<div class=end>(c) F</div>"])
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=post><h1>{'x' * 30}</h1><div class=meta>by A</div><div class=entry>{f'<p>{LONG}</p>' * 10}</div></div>", ["x" * 30, "by A", *[LONG] * 10]),
+        (f"<div class=top><p>Top</p></div><div class=post><div class=t><h2>Head</h2></div><div class=entry>{f'<p>{LONG}</p>' * 10}</div></div>", ["Head", *[LONG] * 10]),
+        (f"<div class=box><h2>Box</h2><p>b</p></div><div class=entry><h2>Own</h2>{f'<p>{LONG}</p>' * 10}</div>", ["Own", *[LONG] * 10]),
+        (f"<h1>Head</h1>{f'<p>{LONG}</p>' * 6}<h4>List</h4><ul>{ITEMS}</ul>", ["Head", *[LONG] * 6, "List", *re.findall("<li>(.*?)</li>", ITEMS)]),
+        (f"<h1>Head</h1><p>{LONG}<p>Yes.<table><tr><td>1<td>2</table>{f'<p>{LONG}</p>' * 6}", ["Head", LONG, "Yes.", "1", "2", *[LONG] * 6]),
+        (f"<div class=a><h1>Head</h1>{f'<p>{LONG}</p>' * 6}<ul>{ITEMS}</ul></div><div class=b>{f'<p>{LONG}</p>' * 6}<ul><li>i</ul></div>", ["Head", *[LONG] * 6, *re.findall("<li>(.*?)</li>", ITEMS), *[LONG] * 6, "i"]),
+    ],
+)
+def test_article_is_whole(page, text, foot):
+    assert htmltext.main_text(f"<html><body>{page}{foot}</body></html>") == lines(*text)
 
 
 def test_pages(spark):
