@@ -21,8 +21,6 @@ BITS = 16
 PRIOR = 1 << 16
 #: Mean log-likelihood ratio that a document must reach.
 THRESHOLD = -0.12
-#: At most so many trusted documents are counted, those with the least hashes.
-TARGET_ROWS = 50_000
 WINDOW = 8
 FEWEST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
@@ -94,11 +92,10 @@ def ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndar
     return np.log((target + prior * p) / (target.sum() + prior)) - np.log(p)
 
 
-def trusted(docs: DataFrame, labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
-    """The texts of documents labelled good. Labels are slim: their ids are joined to the texts."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of all documents labelled good."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:

@@ -519,3 +519,10 @@ def test_quality_edges(spark):
     assert quality.kept(docs.limit(0), labels).count() == 0
     assert quality.judged(docs, quality.fit(docs, labels)).count() == len(ODD)
     assert math.isclose(quality.ratios(np.zeros(4), np.ones(4)).sum(), 0, abs_tol=1e-9)
+
+
+def test_quality_target_is_every_good_document(spark):
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).unionAll(docs.limit(9).select("doc_id", F.lit(1)))
+    assert quality.counted(quality.trusted(docs, labels)).sum() == 3 * n
