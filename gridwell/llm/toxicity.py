@@ -9,8 +9,9 @@ step goes back on it (Kiryo et al., 2017).
 Features are the different words of a text and their first four and five
 letters, hashed to ``BUCKETS``, each weighted by how far its logarithmic share of
 positives surely stands above that of unlabelled texts. A text's sum is divided by the
-fourth root of its number of features. The model is linear, trained with numpy
-on bounded samples; each document is scored whole.
+fourth root of its number of features. The shares of the unlabelled side are counted
+over all of it; the model is linear, its gradient steps are numpy's on bounded
+samples; each document is scored whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from .common import WORD_CACHE, per_text, read
 BUCKETS = 1 << 18
 #: The share of unlabelled text that is taken to be toxic.
 PRIOR = 0.1
-#: Bounds of the training samples; documents go by a hash of their ids.
+#: Bounds of the samples for the gradient steps; documents go by a hash of their ids.
 MOST_POSITIVE, MOST_UNLABELLED = 4096, 8192
 THRESHOLD = 0.3
 #: Smoothing of the features' counts, and how many standard errors of a feature's
@@ -81,12 +83,15 @@ class _Side:
         return rows, columns, self.scale[columns] / np.maximum(1, sizes)[rows] ** ROOT
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float = PRIOR) -> Model:
-    """Without positives or unlabelled texts every score is close to 0."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float = PRIOR, counted: tuple[np.ndarray, int] | None = None) -> Model:
+    """counted: texts of the whole unlabelled side with each feature, and all its
+    texts; else those of the list. Without positives or unlabelled texts every
+    score is close to 0."""
     if not positive or not unlabelled:
         return Model(np.zeros(BUCKETS), -5.0)
-    counts = [np.bincount(np.concatenate(docs), minlength=BUCKETS) + SMOOTH for docs in (positive, unlabelled)]
-    ratio = np.log(counts[0] / (len(positive) + 2 * SMOOTH)) - np.log(counts[1] / (len(unlabelled) + 2 * SMOOTH))
+    in_all, n_all = counted or (np.bincount(np.concatenate(unlabelled), minlength=BUCKETS), len(unlabelled))
+    counts = [np.bincount(np.concatenate(positive), minlength=BUCKETS) + SMOOTH, in_all + SMOOTH]
+    ratio = np.log(counts[0] / (len(positive) + 2 * SMOOTH)) - np.log(counts[1] / (n_all + 2 * SMOOTH))
     scale = np.maximum(ratio - ERRORS * np.sqrt(1 / counts[0] + 1 / counts[1]), 0.0)
     rng = np.random.default_rng(SEED)
     p, u = _Side(positive, scale, rng), _Side(unlabelled, scale, rng)
@@ -129,22 +134,51 @@ def sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(f, np.int32) for _, f in found]
 
 
+def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts of rows have each feature, and how many rows there are; no
+    row is left out.
+
+    Each task sums up its own rows, the sums are added on the cluster, and one
+    number a bucket comes to the driver.
+    """
+
+    def run(batches):
+        features, total, n = Features(), np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for t in batch.column(0):
+                total[features.of(t.as_py() or "")] += 1
+                n += 1
+        at = np.flatnonzero(total)
+        # the rows themselves are counted under -1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], names=["bucket", "n"])
+
+    found = rows.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS + 1, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()  # -1 is the last
+    return out[:-1], int(out[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> Model:
     """A model from labels of the training folds alone.
 
     Unlabelled are documents without a row in labels; where all have one, those
-    of the training folds without a toxic label.
+    of the training folds without a toxic label. Their features are counted over
+    all of them, and the gradient steps see a sample.
     """
     of = lambda ids, most: ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     there = docs.select("doc_id").filter("doc_id IS NOT NULL")
     learnt = labels.filter(F.col("doc_id").isNotNull() & training_fold())
     toxic = learnt.filter("toxic = 1").select("doc_id")
     positive = sampled(docs, of(toxic.join(there, "doc_id", "left_semi"), MOST_POSITIVE))
+    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     unlabelled = sampled(docs, of(there.join(labels.select("doc_id"), "doc_id", "left_anti"), MOST_UNLABELLED))
-    if not unlabelled:
+    if unlabelled:
+        side = texts.join(labels.select("doc_id"), "doc_id", "left_anti")
+    else:
         clean = learnt.filter("toxic = 0 OR toxic IS NULL").select("doc_id")
         unlabelled = sampled(docs, of(clean.join(there, "doc_id", "left_semi"), MOST_UNLABELLED))
-    return train(positive, unlabelled, prior)
+        side = texts.join(clean, "doc_id", "left_semi")
+    return train(positive, unlabelled, prior, frequencies(side) if positive and unlabelled else None)
 
 
 def scored(docs: DataFrame, model: Model, carry: list[str], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

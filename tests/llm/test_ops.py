@@ -243,6 +243,23 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.kept(empty.limit(0), labels_).count() == 0
 
 
+def test_toxicity_counts_every_unlabelled_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 20)
+    found = []
+    monkeypatch.setattr(toxicity, "train", lambda *a: found.append(a))
+    n = 300
+    docs = spark.createDataFrame([(k, f"same word{'abcdefghij'[k % 10]}", "x") for k in range(n)] + [(None, "same", "x")], "doc_id long, text string, bucket string").repartition(3)
+    for labelled in (30, n):  # the rest is unlabelled; all have labels
+        labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(labelled)], "doc_id long, quality int, toxic int")
+        toxicity.fit(docs, labels)
+        _, sample, _, (counts, size) = found.pop()
+        wanted = [k for k in range(n) if k >= labelled] or [k for k in range(n) if k % 10 and zlib.crc32(str(k).encode()) % 4 != 2]
+        features = toxicity.Features()
+        assert len(sample) == 20
+        assert size == len(wanted)
+        assert (counts == sum(np.bincount(features.of(f"same word{'abcdefghij'[k % 10]}"), minlength=toxicity.BUCKETS) for k in wanted)).all()
+
+
 # -- 6
 
 
