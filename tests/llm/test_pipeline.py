@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridwell.llm import mixing, quality, toxicity
+from gridwell.llm import jaccard, mixing, quality, toxicity
 from gridwell.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,22 @@ def test_near_duplicates_stay_once(stages):
     assert ids(single) == sorted({c for _, c in found.values()})
 
 
+def test_near_duplicates_stay_once_whatever_their_ids(spark):
+    a, b, c = ("one two three four five six seven eight nine ten", "red green blue black white grey pink brown", "up down left right in out on off")
+    rows = [
+        (1, a, "x"), (1, a, "y"), (1, a + " eleven", "z"),  # near copies with one id
+        (1, b, "x"), (2, b, "y"),  # other text with that id, and a copy
+        (None, c, "x"), (None, c, "y"), (None, c + " over", "z"), (None, "alone here", "x"), (None, None, "x"),
+        (3, "", "x"), (3, "", "x"), (3, "", "y"), (4, a, "x"), (4, "of its own, but for its id", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = jaccard.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+        map(str, [(1, a, "x"), (1, b, "x"), (None, c, "x"), (None, "alone here", "x"), (None, None, "x"), (3, "", "x"), (3, "", "y"), (4, "of its own, but for its id", "x")])
+    )
+
+
 def test_ids(stages):
     from tokenizers import Tokenizer
 
