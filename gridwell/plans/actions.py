@@ -225,10 +225,17 @@ def _(data, p):
     return _with_vertices(_with_cells(data, data.cells.join(made, ["domain_id", "cell_id"], "left")), data.vertices.drop(p["field"]))
 
 
+def _without(p, name: str) -> None:
+    """An error where a method is asked for that isn't here; its default is no."""
+    if str(p.get(name, "false")).lower() != "false":
+        raise ActionError(f"{name}: not here, only false")
+
+
 for _name, _make in {"gradient": ms.gradient, "divergence": ms.divergence, "vorticity": ms.vorticity, "qcriterion": ms.qcriterion}.items():
 
     @operator(_name, "field output_name use_cell_gradient")
     def _(data, p, name=_name, make=_make):
+        _without(p, "use_cell_gradient")
         return _map(data, p["field"], lambda df: make(df, p["field"], data.mesh.axes, p.get("output_name", f"{p['field']}_{name}")))
 
 
@@ -264,6 +271,7 @@ def _(data, p):
 
 @operator("contour", "field levels iso_values use_contour_tree")
 def _(data, p):
+    _without(p, "use_contour_tree")
     if ("levels" in p) == ("iso_values" in p):
         raise ActionError("contour: either levels or iso_values")
     if _on(data, p["field"]) == "element":

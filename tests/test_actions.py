@@ -149,3 +149,14 @@ def test_stream_of_cycles(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("days").collect()) == [3, 3, 3]
+
+
+@pytest.mark.parametrize("name", ["contour", "gradient", "divergence", "vorticity", "qcriterion"])
+def test_methods_that_are_not_here(name):
+    from gridwell.plans import actions
+
+    key = "use_contour_tree" if name == "contour" else "use_cell_gradient"
+    for value in ("true", True):
+        with pytest.raises(ActionError, match=key):
+            actions.TRANSFORMS[name][0](None, {"field": "f", key: value})
+    actions._without({key: "false"}, key)
