@@ -24,11 +24,13 @@ WORD_CACHE = 300_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a folder
-    of its own.
+    Only a session on one machine without that setting (a test) gets a folder of
+    its own; on a cluster executors wouldn't see it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="gridwell-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -54,9 +56,16 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+    def table(self, df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+        """rows: how many rows of a batch Python may get while this is written, where they are wide."""
+        path, setting = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(setting)
+        try:
+            if rows:
+                self.spark.conf.set(setting, str(rows))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
