@@ -1,20 +1,24 @@
 """URL rules, looked up by literal tokens.
 
 A pattern rule names literal tokens, in one set for each of its alternatives: any
-URL that it fits holds all tokens of one set. The rule is filed under the rarest
-token of every set, by their counts over the URLs to be judged. A URL's own tokens fetch the rules filed under them and only these run their
+URL that it fits holds all tokens of one set. That is checked on the regular
+expression itself when a rule is made. The rule is filed under the rarest
+token of every set, by their counts over the URLs to be judged. A URL's own
+tokens fetch the rules filed under them and only these run their
 regular expression. Host rules are filed under their host and fetched by the
 suffixes of a URL's host.
 
 Both indexes are hash tables held as one array literal of buckets, so a lookup
 costs the same however many rules there are, no row is shuffled and nothing
-runs in Python. A literal travels with every task, so rule lists are held to
-``MOST_RULES``.
+runs in Python. A literal travels with every task: a list of more than
+``MOST_RULES`` rules is a table instead, which the tokens and host suffixes of
+the different URLs are joined with.
 """
 
 from __future__ import annotations
 
 import json
+import re._parser as parser
 import zlib
 from dataclasses import dataclass
 
@@ -38,20 +42,86 @@ class HostRule:
         return self.host + self.path
 
 
+#: Most ways through a regular expression that are looked at.
+MOST_WAYS = 512
+TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: In a way: a place where no letter or digit a-z, 0-9 is, and one where anything may be.
+EDGE, ANY = "edge", "any"
+
+
+def _class_is_edge(items) -> bool:
+    """Whether a class of characters holds no letter and no digit a-z, 0-9."""
+    negated = bool(items) and items[0][0] is parser.NEGATE
+    named = set()
+    for op, av in items[negated:]:
+        if op not in (parser.LITERAL, parser.RANGE):
+            return False
+        low, high = (av, av) if op is parser.LITERAL else av
+        named |= {c for c in TOKEN if low <= ord(c) <= high}
+    return named == TOKEN if negated else not named
+
+
+def _ways(tree) -> list[tuple]:
+    """The ways through a parsed expression, each a row of characters, EDGE and ANY."""
+    out: list[tuple] = [()]
+    for op, av in tree:
+        if op is parser.LITERAL:
+            more = [(chr(av) if chr(av) in TOKEN else EDGE,)]
+        elif op is parser.IN:
+            more = [(EDGE,)] if _class_is_edge(av) else [(ANY,)]
+        elif op is parser.AT:
+            more = [(EDGE,)] if av in (parser.AT_BEGINNING, parser.AT_BEGINNING_STRING, parser.AT_END, parser.AT_END_STRING, parser.AT_BOUNDARY) else [()]
+        elif op is parser.SUBPATTERN:
+            more = _ways(av[3])
+        elif op is parser.BRANCH:
+            more = [w for branch in av[1] for w in _ways(branch)]
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            low, high, inner = av
+            once = _ways(inner)
+            more = ([()] if low == 0 else []) + (once if high == 1 else [(ANY,)] if low == 0 else [(*w, ANY) for w in once])
+        else:
+            more = [(ANY,)]
+        out = [(*a, *b) for a in out for b in more]
+        if len(out) > MOST_WAYS:
+            raise ValueError("too many ways through a rule's regular expression")
+    return out
+
+
+def tokens_of_ways(regex: str) -> list[set[str]]:
+    """For each way through a regular expression: the whole tokens that any URL has which fits it that way."""
+    found = []
+    for way in _ways(parser.parse(regex.replace(r"\z", r"\Z"))):  # Python's name for the end
+        tokens, run, whole = set(), "", False
+        for x in (*way, ANY):
+            if x in (EDGE, ANY):
+                if run and whole and x is EDGE:
+                    tokens.add(run)
+                run, whole = "", x is EDGE
+            else:
+                run += x
+        found.append(tokens)
+    return found
+
+
 @dataclass(frozen=True)
 class PatternRule:
     """regex is a Java regular expression over the lower-cased URL; any URL it
     fits must hold each of literals, or of one of others, as whole tokens
-    (letters and digits)."""
+    (letters and digits). A rule of which the expression doesn't show that is
+    an error."""
 
     verdict: str
     regex: str
     literals: tuple[str, ...]
     others: tuple[tuple[str, ...], ...] = ()
 
-    def alternatives(self) -> list[PatternRule]:
-        """The rule once for each set of literals, as it is filed."""
-        return [PatternRule(self.verdict, self.regex, x) for x in (self.literals, *self.others)]
+    def __post_init__(self):
+        for tokens in tokens_of_ways(self.regex):
+            if not any(x and tokens.issuperset(x) for x in self.sets()):
+                raise ValueError(f"{self.regex} may fit a URL without its literals")
+
+    def sets(self) -> tuple[tuple[str, ...], ...]:
+        return (self.literals, *self.others)
 
 
 #: For the registered query.
@@ -63,12 +133,12 @@ HOST_RULES = (
     HostRule("block", "org", "/es/"),
 )
 PATTERN_RULES = tuple(
-    PatternRule("block", rf"://([^/?#]*[.])?[^/?#.]*\b{a}-{b}\b[^/?#]*", (a, b))
+    PatternRule("block", rf"://([^/?#]*[^a-z0-9_/?#])?{a}-{b}([^a-z0-9_]|\z)", (a, b))
     for a, b in (("cheap", "pills"), ("free", "bets"), ("casino", "win"), ("adult", "x"), ("spam", "farm"), ("ads", "track"))
 ) + (
     PatternRule("block", r"[/?&=._-](porn|xxx)[/?&=._-]", ("porn",), (("xxx",),)),
     PatternRule("block", r"[?&]aff(iliate)?_id=\d+", ("id",)),
-    PatternRule("allow", r"/(robots|sitemap)\.(txt|xml)$", ("robots", "txt"), (("robots", "xml"), ("sitemap", "txt"), ("sitemap", "xml"))),
+    PatternRule("allow", r"/(robots|sitemap)\.(txt|xml)\z", ("robots", "txt"), (("robots", "xml"), ("sitemap", "txt"), ("sitemap", "xml"))),
 )
 
 
@@ -96,8 +166,6 @@ class Index:
     """Entries under keys, as a literal array of hash buckets."""
 
     def __init__(self, entries: list[tuple[str, dict]], fields: str):
-        if len(entries) > MOST_RULES:
-            raise ValueError(f"{len(entries)} rules; a list may hold {MOST_RULES}")
         self.size = max(1, 2 * len(entries))
         buckets: list[list] = [[] for _ in range(self.size)]
         for key, value in entries:
@@ -110,16 +178,43 @@ class Index:
         return F.flatten(F.transform(keys, lambda k: F.filter(bucket(k), lambda e: e["key"] == k)))
 
 
-def rarest(urls: DataFrame, url: str, rules) -> dict[PatternRule, str]:
-    """Each rule's own literal (not of its others) that the fewest URLs hold. Only the rules' own
-    literals are counted, so what comes to the driver is no longer than the rules."""
-    literals = sorted({x for r in rules for x in r.literals})
+def rarest(urls: DataFrame, url: str, rules) -> list[tuple[str, PatternRule]]:
+    """(literal, rule) for each set of a rule's literals: the one that the fewest
+    URLs hold. Only the rules' own literals are counted, so what comes to the
+    driver is no longer than the rules."""
+    literals = sorted({x for r in rules for s in r.sets() for x in s})
     if not literals:
-        return {}
-    known = Index([(x, {}) for x in literals], "none:string")
-    counts = urls.select(F.explode(known.found(tokens_of(F.col(url)))).alias("e")).groupBy("e.key").count()
-    n = {r["key"]: r["count"] for r in counts.collect()}
-    return {r: min(r.literals, key=lambda x: (n.get(x, 0), x)) for r in rules}
+        return []
+    tokens = tokens_of(F.col(url))
+    if len(literals) <= MOST_RULES:
+        found = urls.select(F.explode(Index([(x, {}) for x in literals], "none:string").found(tokens)).alias("e")).select("e.key")
+    else:
+        known = urls.sparkSession.createDataFrame([(x,) for x in literals], "key string")
+        found = urls.select(F.explode(tokens).alias("key")).join(known, "key")
+    n = {r["key"]: r["count"] for r in found.groupBy("key").count().collect()}
+    return list(dict.fromkeys((min(s, key=lambda x: (n.get(x, 0), x)), r) for r in rules for s in r.sets()))
+
+
+def suffixes_of(host: Column) -> Column:
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def by_tables(urls: DataFrame, url: str, hosts: list, patterns: list) -> DataFrame:
+    """urls with structs __longest and __met, where lists are too long for literals.
+
+    Each different URL is judged once, by joins of its tokens and host suffixes with the rules."""
+    spark = urls.sparkSession
+    once = urls.select(F.col(url).alias("__url")).filter("__url IS NOT NULL").distinct()
+    rules = spark.createDataFrame([(k, r.verdict, r.regex) for k, r in patterns], "key string, verdict string, regex string")
+    met = once.select("__url", F.explode(tokens_of(F.col("__url"))).alias("key")).join(rules, "key").filter(F.rlike(lowered(F.col("__url")), F.col("regex")))
+    met = met.groupBy("__url").agg(F.collect_set(F.struct("verdict")).alias("__met"))  # two verdicts at most
+    rules = spark.createDataFrame([(r.host, r.verdict, r.path, r.name, len(r.name)) for r in hosts], "key string, verdict string, path string, name string, long int")
+    fits = once.select("__url", F.explode(suffixes_of(host_of(F.col("__url")))).alias("key")).join(rules, "key").filter(F.startswith(path_of(F.col("__url")), F.col("path")))
+    longest = fits.groupBy("__url").agg(F.max_by(F.struct("verdict", "name"), "long").alias("__longest"))
+    judged = once.join(met, "__url", "left").join(longest, "__url", "left")
+    rows = urls.join(judged, F.col(url) == F.col("__url"), "left").drop("__url")
+    return rows.withColumn("__met", F.coalesce("__met", F.array().cast("array<struct<verdict:string>>")))
 
 
 def judge(urls: DataFrame, url: str = "url", hosts=HOST_RULES, patterns=PATTERN_RULES) -> DataFrame:
@@ -128,20 +223,22 @@ def judge(urls: DataFrame, url: str = "url", hosts=HOST_RULES, patterns=PATTERN_
     The longest fitting host rule decides; else an allowing pattern rule, else
     a blocking one, else the verdict is allow. Null URLs and those without
     ``://`` have an empty host and path, and a null one fits no rule. Each row
-    is judged by itself: repeated rows stay, an empty table stays empty.
+    is judged by itself, however long its URL is: repeated rows stay, an empty
+    table stays empty. Of host rules of one name the last one counts.
     """
-    by_literal = rarest(urls, url, [x for r in patterns for x in r.alternatives()])
-    filed = dict.fromkeys((k, r.verdict, r.regex) for r, k in by_literal.items())  # alternatives may share their rarest
-    pattern_index = Index([(k, {"verdict": v, "regex": x}) for k, v, x in filed], "verdict:string,regex:string")
-    host_index = Index([(r.host, {"verdict": r.verdict, "path": r.path, "name": r.name, "long": len(r.name)}) for r in hosts], "verdict:string,path:string,name:string,long:int")
+    filed = rarest(urls, url, patterns)
+    hosts = list({r.name: r for r in hosts}.values())
     # computed once per row: what follows reads them more than once
     rows = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = F.filter(host_index.found(suffixes), lambda e: F.startswith(F.col("path"), e["path"]))
-    longest = F.get(F.array_sort(fits, lambda a, b: b["long"] - a["long"]), 0)
-    met = F.filter(pattern_index.found(tokens_of(F.col(url))), lambda e: F.coalesce(F.rlike(lowered(F.col(url)), e["regex"]), F.lit(False)))
-    rows = rows.withColumns({"__longest": longest, "__met": met})
+    if max(len(filed), len(hosts)) > MOST_RULES:
+        rows = by_tables(rows, url, hosts, filed)
+    else:
+        pattern_index = Index([(k, {"verdict": r.verdict, "regex": r.regex}) for k, r in filed], "verdict:string,regex:string")
+        host_index = Index([(r.host, {"verdict": r.verdict, "path": r.path, "name": r.name, "long": len(r.name)}) for r in hosts], "verdict:string,path:string,name:string,long:int")
+        fits = F.filter(host_index.found(suffixes_of(F.col("host"))), lambda e: F.startswith(F.col("path"), e["path"]))
+        longest = F.get(F.array_sort(fits, lambda a, b: b["long"] - a["long"]), 0)
+        met = F.filter(pattern_index.found(tokens_of(F.col(url))), lambda e: F.coalesce(F.rlike(lowered(F.col(url)), e["regex"]), F.lit(False)))
+        rows = rows.withColumns({"__longest": longest, "__met": met})
     by_pattern = F.when(F.exists("__met", lambda e: e["verdict"] == "allow"), "allow").when(F.size("__met") > 0, "block").otherwise("allow")
     rows = rows.withColumns({"rule": F.col("__longest")["name"], "verdict": F.coalesce(F.col("__longest")["verdict"], by_pattern)})
     return rows.drop("__longest", "__met")
