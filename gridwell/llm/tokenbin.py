@@ -15,10 +15,12 @@ the ids themselves.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
 from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +35,7 @@ from .shards import Folder
 
 MAGIC = b"GWT1"
 BITS = 20
-LANES = 1024
+LANES = 2048
 #: Ids in a block.
 BLOCK = 1 << 19
 #: A file ends with the document in which it reaches so many ids.
@@ -72,7 +74,9 @@ class Coder:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Coder:
-        counts = np.bincount(ids)
+        counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+        for k in range(0, len(ids), BLOCK):
+            counts += np.bincount(ids[k : k + BLOCK], minlength=len(counts))
         there = np.flatnonzero(counts)
         return cls(there, scaled(counts[there]))
 
@@ -200,14 +204,14 @@ class FileReader:
 class Memory(dict):
     """What a function gives, for the keys met lately: two generations."""
 
-    def __init__(self, of, most: int = 150_000):
-        self.of, self.most, self.old = of, most, {}
+    def __init__(self, of, most: int, longest: int = 64):
+        self.of, self.most, self.longest, self.old = of, most, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.of(key)
-        if len(key) <= 64:
+        if len(key) <= self.longest:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
@@ -215,6 +219,29 @@ class Memory(dict):
         return value
 
 
+class Later(Memory):
+    """Parts behind a space. Most new ones are plain words, which go to the model from here."""
+
+    def __init__(self, of, most: int, tokenize, packed: list[bytes]):
+        super().__init__(of, most)
+        self.tokenize, self.packed = tokenize, packed
+
+    def __missing__(self, part: str):
+        value = self.old.get(part)
+        if value is None:
+            if part.isascii() and part.isalpha():
+                packed = self.packed
+                value = b"".join([packed[t.id] for t in self.tokenize("\u0120" + part)])  # the symbol of a space
+            else:
+                value = self.of(part)
+        if len(part) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[part] = value
+        return value
+
+
 class Odd(Exception):
     """A part that can't be encoded by itself."""
 
@@ -224,47 +251,57 @@ class Tokens:
 
     The byte-level pre-tokenizer never lets a token reach over the border before
     a space that something other than white space follows, so texts are cut
-    there. A part goes through the pre-tokenizer's pattern in terms that ``re``
-    knows, and the library's model splits the words; parts and words are
-    remembered. Parts of other than everyday characters go to the library whole:
-    Python and the library go by other editions of Unicode.
+    there. A part of letters is a word, and so is what stands in front of a full
+    stop or the like; any other part goes through the pre-tokenizer's pattern in
+    terms that ``re`` knows. The library's model splits the words; parts and
+    words are remembered. Parts of other than everyday characters go to the
+    library whole: Python and the library go by other editions of Unicode.
     """
 
     #: In a part between spaces: what only the library can judge, in the light of the whole text.
     ODD = re.compile(r"\s|\Z|.*?(?:[\x1c-\x1f\x85]|<\|)", re.DOTALL)
     COMMON = re.compile("[\0-\x84\x86-\u024f\u0386-\u03ce\u0410-\u044f\u2010-\u2027\u20ac\u2122\u3001\u3002\u3041-\u3093\u4e00-\u9fa5]*")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[\d\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+    STOPS = frozenset(".,;:!?")
+    #: How many words and parts a generation holds.
+    WORDS, PARTS = 60_000, 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model, self.symbol = self.library.model, byte_symbols()
-        self.words = Memory(self._word, 250_000)
-        self.first = Memory(self._first, 20_000)
-        self.later = Memory(self._later, 400_000)
+        self.tokenize, self.symbol = self.library.model.tokenize, byte_symbols()
+        self.packed = [k.to_bytes(4, "little") for k in range(max(self.library.get_vocab().values()) + 1)]
+        self.words = Memory(self._word, self.WORDS)
+        self.first = Memory(self._first, self.PARTS // 20)
+        self.later = Later(self._later, self.PARTS, self.tokenize, self.packed)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        symbol = self.symbol
-        return array("I", [t.id for t in self.model.tokenize("".join([symbol[b] for b in word.encode()]))]).tobytes()
+        symbol, packed = self.symbol, self.packed
+        return b"".join([packed[t.id] for t in self.tokenize("".join([symbol[b] for b in word.encode()]))])
 
     def _first(self, part: str) -> bytes:
         if part and self.ODD.match(part):
             raise Odd
-        return self._part(part)
+        if not self.COMMON.fullmatch(part):
+            return self._ids(part)
+        return b"".join(map(self.words.__getitem__, self.PIECES.findall(part)))
 
     def _later(self, part: str) -> bytes:
+        if part.isalpha():
+            if self.COMMON.fullmatch(part):
+                return self._word(" " + part)
+        elif part[-1:] in self.STOPS and part[:-1].isalpha() and self.COMMON.fullmatch(part):
+            return self.later[part[:-1]] + self.words[part[-1]]
         if self.ODD.match(part):
             raise Odd
-        return self._part(" " + part)
-
-    def _part(self, part: str) -> bytes:
-        if self.COMMON.fullmatch(part):
-            return b"".join(map(self.words.__getitem__, self.PIECES.findall(part)))
-        return self._ids(part)
+        if not self.COMMON.fullmatch(part):
+            return self._ids(" " + part)
+        later, words = self.later, self.words
+        return b"".join([later[w[1:]] if w[0] == " " and w[1:].isalpha() else words[w] for w in self.PIECES.findall(" " + part)])
 
     def encode(self, text: str) -> bytes:
         """Packed little-endian 32-bit ids."""
@@ -286,12 +323,26 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@contextmanager
+def paused():
+    """Without garbage collection: the many small objects here don't refer to each other."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def written(docs: DataFrame, folder: str, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """(part, file, name, n) of the files written, with documents in ascending order of key.
 
-    Files go by part and file. A null text has no ids but the end id; null keys
-    come first; documents with one key stand next to each other. Write the
-    result before using it: running it again writes new files.
+    Files go by part and file. A null or empty text has no ids but the end id; null
+    keys come first; documents with one key stand next to each other, and repeated
+    rows are written each. A very long text goes whole into one file. Only key and
+    text are read, so other columns can't clash; an empty table gives no files.
+    Write the result before using it: running it again writes new files.
     """
     path = path or default_path()
     Folder(folder).make()
@@ -301,27 +352,33 @@ def written(docs: DataFrame, folder: str, path: str | None = None, key: str = "d
     def run(batches):
         place, encoder, end = Folder(folder), tokens(path), np.uint32(end_id).tobytes()
         part = TaskContext.get().partitionId()
-        keys, sizes, ids, total, count = [], [], [], 0, 0
+        keys, sizes, ids, count = [], [], bytearray(), 0
 
         def flush():
+            nonlocal keys, sizes, ids, count
             name = place.new_name(part, f"-{count:04d}.gwt")
             docs = pa.RecordBatch.from_arrays([pa.chunked_array(keys).combine_chunks(), pa.array(sizes, pa.int64())], names=["key", "n_tokens"])
             with place.create(name) as stream:
-                write_file(stream, docs, np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (count, pa.int32()), (name, pa.string()), (total, pa.int64()))], names=["part", "file", "name", "n"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                packed = encoder.encode(batch.column(1)[i].as_py() or "") + end
-                keys.append(batch.column(0).slice(i, 1))
-                sizes.append(len(packed) // 4)
-                ids.append(packed)
-                total += len(packed) // 4
-                if total >= FILE:
-                    yield flush()
-                    keys, sizes, ids, total, count = [], [], [], 0, count + 1
-        if keys:
-            yield flush()
+                write_file(stream, docs, np.frombuffer(ids, "<u4"))
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (count, pa.int32()), (name, pa.string()), (len(ids) // 4, pa.int64()))], names=["part", "file", "name", "n"])
+            keys, sizes, ids, count = [], [], bytearray(), count + 1
+            return out
+
+        with paused():
+            for batch in batches:
+                begin = 0
+                for i, text in enumerate(batch.column(1)):
+                    before = len(ids)
+                    ids += encoder.encode(text.as_py() or "")
+                    ids += end
+                    sizes.append((len(ids) - before) // 4)
+                    if len(ids) >= 4 * FILE:
+                        keys.append(batch.column(0).slice(begin, i + 1 - begin))
+                        begin = i + 1
+                        yield flush()
+                keys.append(batch.column(0).slice(begin))
+            if sizes:
+                yield flush()
 
     return rows.mapInArrow(run, "part int, file int, name string, n long")
 
