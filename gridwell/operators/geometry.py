@@ -10,37 +10,50 @@ from pyspark.sql import functions as F
 from . import mesh as meshes
 
 
-def simplices(mesh: meshes.Mesh, value: Column) -> DataFrame:
-    """(domain_id, cell_id, part, values, points) of tetrahedra or triangles."""
+def simplices(mesh: meshes.Mesh, value: Column, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(domain_id, cell_id, part, values, points) of tetrahedra or triangles. A
+    corner's numbers in points are its coordinates and then the vertex fields."""
     parts = meshes.split(mesh.cells).select("domain_id", "cell_id", "part", F.posexplode("conn").alias("corner", "vertex_id"))
-    at = mesh.vertices.select("domain_id", "vertex_id", value.cast("double").alias("v"), F.array(*(F.col(c).cast("double") for c in mesh.axes)).alias("p"))
+    at = mesh.vertices.select("domain_id", "vertex_id", value.cast("double").alias("v"), F.array(*(F.col(c).cast("double") for c in (*mesh.axes, *fields))).alias("p"))
     rows = parts.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "part").agg(F.array_sort(F.collect_list(F.struct("corner", "v", "p"))).alias("c"))
     return rows.select("domain_id", "cell_id", "part", F.transform("c", lambda x: x["v"]).alias("values"), F.flatten(F.transform("c", lambda x: x["p"])).alias("points"))
 
 
-def crossing(values: np.ndarray, points: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which simplices a level passes through, and the points on their edges, as
-    triangles (of tetrahedra) or segments (of triangles): (owner, corners)."""
-    n = values.shape[1]
-    above = values > level
-    owners, shapes = [], []
+def _cut(values: np.ndarray, points: np.ndarray, rows: np.ndarray, level: float):
+    """Gives the points (with fields) where edges of some simplices cross a level."""
 
-    def cut(rows, a, b):
+    def on(a: int, b: int) -> np.ndarray:
         va, vb = values[rows, a], values[rows, b]
         t = ((level - va) / (vb - va))[:, None]
         return points[rows, a] + t * (points[rows, b] - points[rows, a])
 
-    for mask in range(1, 2**n - 1):
-        rows = np.flatnonzero((above * (1 << np.arange(n))).sum(1) == mask)
-        if not len(rows):
+    return on
+
+
+def _masks(values: np.ndarray, level: float):
+    """(rows, corners above, others) of the simplices that have the same corners above a level."""
+    n = values.shape[1]
+    mask = ((values > level) * (1 << np.arange(n))).sum(1)
+    for m in range(2**n):
+        rows = np.flatnonzero(mask == m)
+        if len(rows):
+            yield rows, [k for k in range(n) if m >> k & 1], [k for k in range(n) if not m >> k & 1]
+
+
+def crossing(values: np.ndarray, points: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which simplices a level passes through, and the points on their edges, as
+    triangles (of tetrahedra) or segments (of triangles): (owner, corners)."""
+    n = values.shape[1]
+    owners, shapes = [], []
+    for rows, high, low in _masks(values, level):
+        if not high or not low:
             continue
-        high, low = [k for k in range(n) if mask >> k & 1], [k for k in range(n) if not mask >> k & 1]
-        edge = {(a, b): cut(rows, a, b) for a in high for b in low}
+        on = _cut(values, points, rows, level)
         if n == 3 or len(high) != 2:
-            cycles = [list(edge.values())]
+            cycles = [[on(a, b) for a in high for b in low]]
         else:
             (a, b), (c, d) = high, low
-            ring = [edge[a, c], edge[a, d], edge[b, d], edge[b, c]]
+            ring = [on(a, c), on(a, d), on(b, d), on(b, c)]
             cycles = [ring[:3], [ring[0], ring[2], ring[3]]]
         for cycle in cycles:
             owners.append(rows)
@@ -50,8 +63,60 @@ def crossing(values: np.ndarray, points: np.ndarray, level: float) -> tuple[np.n
     return np.concatenate(owners), np.concatenate(shapes)
 
 
-def contour(mesh: meshes.Mesh, value: Column, levels: list[float]) -> DataFrame:
-    """(domain_id, cell_id, level, points): the triangles or segments of each level.
+def below(values: np.ndarray, points: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of simplices where a linear function isn't above a level, as simplices: (owner, corners)."""
+    n = values.shape[1]
+    owners, shapes = [], []
+    for rows, high, low in _masks(values, level):
+        if not low:
+            continue
+        on, at = _cut(values, points, rows, level), lambda k, rows=rows: points[rows, k]
+        if not high:
+            pieces = [[at(k) for k in low]]
+        elif len(low) == 1:  # a corner
+            pieces = [[at(low[0]), *(on(h, low[0]) for h in high)]]
+        elif n == 3:  # two corners of a triangle: a quadrilateral
+            (a, b), h = low, high[0]
+            pieces = [[at(a), at(b), on(h, b)], [at(a), on(h, b), on(h, a)]]
+        else:  # a prism between two triangles
+            if len(low) == 3:
+                one, two = [at(k) for k in low], [on(high[0], k) for k in low]
+            else:
+                (a, b), (c, d) = low, high
+                one, two = [at(a), on(c, a), on(d, a)], [at(b), on(c, b), on(d, b)]
+            pieces = [[one[0], one[1], one[2], two[2]], [one[0], one[1], two[1], two[2]], [one[0], two[0], two[1], two[2]]]
+        for piece in pieces:
+            owners.append(rows)
+            shapes.append(np.stack(piece, 1))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros((0, n, points.shape[2]))
+    return np.concatenate(owners), np.concatenate(shapes)
+
+
+def _lists(numbers: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists."""
+    flat = numbers.reshape(len(numbers), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.reshape(-1)))
+
+
+def _shapes(batch: pa.RecordBatch, owner: np.ndarray, shape: np.ndarray, axes: int, fields: tuple[str, ...], **more) -> pa.RecordBatch:
+    """Rows of shapes: the corners' coordinates, and each field's values there."""
+    take = pa.array(owner)
+    columns = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(v) for v in more.values()), _lists(shape[:, :, :axes]), *(_lists(shape[:, :, axes + k]) for k in range(len(fields)))]
+    return pa.RecordBatch.from_arrays(columns, names=["domain_id", "cell_id", *more, "points", *fields])
+
+
+def _schema(fields, *more: str) -> str:
+    return ", ".join(["domain_id int", "cell_id long", *more, "points array<double>", *(f"`{f}` array<double>" for f in fields)])
+
+
+def _arrays(batch: pa.RecordBatch, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch.column(3).flatten()).reshape(-1, n), np.asarray(batch.column(4).flatten()).reshape(-1, n, width)
+
+
+def contour(mesh: meshes.Mesh, value: Column, levels: list[float], fields: tuple[str, ...] = ()) -> DataFrame:
+    """(domain_id, cell_id, level, points, fields): the triangles or segments of
+    each level, with vertex fields interpolated to their corners.
 
     Only cells that a level passes through reach the kernel.
     """
@@ -59,22 +124,53 @@ def contour(mesh: meshes.Mesh, value: Column, levels: list[float]) -> DataFrame:
     ranges = meshes.cell_ranges(mesh, value)
     hit = F.exists(F.array(*(F.lit(float(v)) for v in levels)), lambda v: (F.col("low") <= v) & (F.col("high") >= v))
     near = mesh.cells.join(ranges.filter(hit).select("domain_id", "cell_id"), ["domain_id", "cell_id"], "left_semi")
-    rows = simplices(meshes.Mesh(mesh.vertices, near, mesh.axes), value)
+    rows = simplices(meshes.Mesh(mesh.vertices, near, mesh.axes), value, fields)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.asarray(batch.column(3).flatten()).reshape(-1, n)
-            points = np.asarray(batch.column(4).flatten()).reshape(-1, n, axes)
+            values, points = _arrays(batch, n, axes + len(fields))
             for level in levels:
                 owner, shape = crossing(values, points, level)
                 if len(owner):
-                    take = pa.array(owner)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, shape.size + 1, axes * (n - 1)), pa.int32()), pa.array(shape.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(owner), level)), flat], names=["domain_id", "cell_id", "level", "points"])
+                    yield _shapes(batch, owner, shape, axes, fields, level=np.full(len(owner), level))
+
+    return rows.mapInArrow(run, _schema(fields, "level double"))
+
+
+def clipped(mesh: meshes.Mesh, value: Column, most: float = 0.0, least: float | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(domain_id, cell_id, points, fields): the parts of cells where a function,
+    linear on their simplices, isn't above most (nor below least), as simplices
+    with vertex fields interpolated to their corners."""
+    axes, n = len(mesh.axes), len(mesh.axes) + 1
+    rows = simplices(mesh, value, fields)
+    width = axes + len(fields)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, points = _arrays(batch, n, width)
+            both = np.concatenate([points, values[:, :, None]], 2)  # the function goes on to the second cut
+            owner, shape = below(values, both, most)
+            if least is not None and len(owner):
+                again, shape = below(-shape[:, :, width], shape, -least)
+                owner = owner[again]
+            if len(owner):
+                yield _shapes(batch, owner, shape[:, :, :width], axes, fields)
+
+    return rows.mapInArrow(run, _schema(fields))
 
-    return rows.mapInArrow(run, "domain_id int, cell_id long, level double, points array<double>")
+
+def volume(shapes: DataFrame, axes: int = 3) -> DataFrame:
+    """shapes that are simplices, with their volume (tetrahedra) or area (triangles), as size."""
+    p = lambda i, k: F.get("points", F.lit(i * axes + k))
+    d = [[p(i, k) - p(0, k) for k in range(axes)] for i in range(1, axes + 1)]
+    if axes == 2:
+        return shapes.withColumn("size", F.abs(d[0][0] * d[1][1] - d[0][1] * d[1][0]) / 2)
+    (a, b, c), (u, v, w), (x, y, z) = d
+    return shapes.withColumn("size", F.abs(a * (v * z - w * y) - b * (u * z - w * x) + c * (u * y - v * x)) / 6)
 
 
 def measure(shapes: DataFrame, axes: int = 3) -> DataFrame:
@@ -94,35 +190,63 @@ def clipped_volume(mesh: meshes.Mesh, implicit: Column) -> DataFrame:
     axes, n = len(mesh.axes), len(mesh.axes) + 1
     rows = simplices(mesh, implicit)
 
-    def below(v: np.ndarray) -> np.ndarray:
-        """Share of a simplex where a linear function with corner values v is negative:
-        a sum of v_i^d over products of differences, as in divided differences."""
-        spread = np.abs(v).max(1, keepdims=True) + 1e-300
-        v = np.sort(v / spread, 1) + np.arange(n) * 1e-4  # apart, so that no difference is zero
-        share = np.zeros(len(v))
-        for i in range(n):
-            others = np.prod([v[:, j] - v[:, i] for j in range(n) if j != i], 0)
-            share += np.where(v[:, i] < 0, (-v[:, i]) ** (n - 1) / others, 0)
-        return np.clip(np.where(v[:, 0] >= 0, 0, np.where(v[:, -1] <= 0, 1, share)), 0, 1)
+    def size(p: np.ndarray) -> np.ndarray:
+        return np.abs(np.linalg.det(p[:, 1:] - p[:, :1]))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.asarray(batch.column(3).flatten()).reshape(-1, n)
-            p = np.asarray(batch.column(4).flatten()).reshape(-1, n, axes)
-            size = np.abs(np.linalg.det(p[:, 1:] - p[:, :1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(size * below(values))], names=["domain_id", "cell_id", "size", "in"])
+            values, points = _arrays(batch, n, axes)
+            owner, shape = below(values, points, 0.0)
+            inside = np.bincount(owner, size(shape), minlength=len(points))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size(points)), pa.array(inside)], names=["domain_id", "cell_id", "size", "in"])
 
     parts = rows.mapInArrow(run, "domain_id int, cell_id long, size double, in double")
     return parts.groupBy("domain_id", "cell_id").agg((F.sum("in") / F.sum("size")).alias("fraction"))
 
 
+def sampled_velocity(mesh: meshes.Mesh, field: str):
+    """A function of places (n, axes) that gives a vertex vector field of a uniform
+    grid there, linear between vertices; outside of the grid nothing (NaN).
+
+    The field goes to every task, so its size is checked: FIELD_VALUES numbers at most.
+    """
+    axes, dims, d = list(mesh.axes), mesh.dims, len(mesh.axes)
+    if not mesh.spacing:
+        raise ValueError("this needs a uniform grid")
+    if int(np.prod(dims)) * d > FIELD_VALUES:
+        raise ValueError(f"a field of more than {FIELD_VALUES} numbers is too large to go to every task")
+    rows = mesh.vertices.select("vertex_id", *(F.col(field)[c].cast("double").alias(f"v{k}") for k, c in enumerate(axes))).toArrow()
+    grid = np.zeros((int(np.prod(dims)), d))
+    grid[rows["vertex_id"].to_numpy()] = np.stack([rows[f"v{k}"].to_numpy() for k in range(d)], 1)
+    shared = mesh.vertices.sparkSession.sparkContext.broadcast(grid)
+    origin, spacing = np.array(mesh.origin), np.array(mesh.spacing)
+    strides = np.cumprod([1, *dims[:-1]])
+
+    def velocity(at: np.ndarray) -> np.ndarray:
+        place = (at - origin) / spacing
+        inside = ((place >= 0) & (place <= np.array(dims) - 1)).all(1)
+        low = np.clip(np.floor(np.where(np.isfinite(place), place, 0)), 0, np.array(dims) - 2).astype(np.int64)
+        part, out = place - low, np.zeros((len(at), d))
+        for corner in range(1 << d):
+            bits = np.array([corner >> k & 1 for k in range(d)])
+            out += np.prod(np.where(bits, part, 1 - part), 1)[:, None] * shared.value[(low + bits) @ strides]
+        return np.where(inside[:, None], out, np.nan)
+
+    return velocity
+
+
+#: Numbers of a vector field that may go to every task: 64 MB.
+FIELD_VALUES = 1 << 23
+
+
 def advect(seeds: DataFrame, velocity, steps: int, step_size: float, axes=meshes.XYZ) -> DataFrame:
     """(seed_id, step, x, y, z): paths of particles by fourth-order Runge-Kutta steps.
 
     velocity takes an array (n, axes) of places and gives one of speeds; it goes
-    to the workers by pickle. Particles are independent.
+    to the workers by pickle. Particles are independent; one that leaves the
+    field (where it has no speed) ends.
     """
     names = list(axes)
 
@@ -130,9 +254,14 @@ def advect(seeds: DataFrame, velocity, steps: int, step_size: float, axes=meshes
         for batch in batches:
             if not batch.num_rows:
                 continue
+            ids = np.asarray(batch.column(0))
             at = np.stack([np.asarray(batch.column(1 + k), float) for k in range(len(names))], 1)
             for step in range(steps + 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(at), step), pa.int32()), *(pa.array(at[:, k]) for k in range(len(names)))], names=["seed_id", "step", *names])
+                there = np.isfinite(at).all(1)
+                ids, at = ids[there], at[there]
+                if not len(at):
+                    break
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(at), step), pa.int32()), *(pa.array(at[:, k]) for k in range(len(names)))], names=["seed_id", "step", *names])
                 a = velocity(at)
                 b = velocity(at + step_size / 2 * a)
                 c = velocity(at + step_size / 2 * b)

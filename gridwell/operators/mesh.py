@@ -85,29 +85,32 @@ def to_cells(mesh: Mesh, field: str, output: str | None = None) -> DataFrame:
     return rows.groupBy("domain_id", "cell_id").agg(F.avg("v").alias(output or field))
 
 
-def gradient(grid: DataFrame, field: str | Column, axes=XYZ, output: str = "gradient") -> DataFrame:
-    """Rows of a regular grid with a struct of the field's slopes: central
-    differences inside, one-sided ones on the border.
+def slopes(grid: DataFrame, fields: dict[str, Column], axes=XYZ) -> DataFrame:
+    """Rows of a regular grid with a struct of slopes for each field, under its name:
+    central differences inside, one-sided ones on the border.
 
     A window runs along one line of the grid at a time, so no task holds more
-    than some lines.
+    than some lines; each axis has one window over all fields.
     """
-    v = number(F.col(field) if isinstance(field, str) else field)
-    rows = grid.withColumn("__v", v)
+    rows = grid.withColumns({f"__v{k}": number(v) for k, v in enumerate(fields.values())})
     names = IJK[: len(axes)]
     for n, c in zip(names, axes, strict=True):
         w = Window.partitionBy("domain_id", *(x for x in names if x != n)).orderBy(n)
-        ahead, behind = F.coalesce(F.lead("__v").over(w), F.col("__v")), F.coalesce(F.lag("__v").over(w), F.col("__v"))
-        step = F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
-        rows = rows.withColumn(f"__d{c}", F.try_divide(ahead - behind, step))
-    return rows.withColumn(output, F.struct(*(F.col(f"__d{c}").alias(c) for c in axes))).drop("__v", *(f"__d{c}" for c in axes))
+        over = lambda x, w=w: F.coalesce(F.lead(x).over(w), F.col(x)) - F.coalesce(F.lag(x).over(w), F.col(x))
+        rows = rows.withColumns({f"__step_{c}": over(c), **{f"__d{k}_{c}": over(f"__v{k}") for k in range(len(fields))}})
+    of = lambda k: F.struct(*(F.try_divide(f"__d{k}_{c}", f"__step_{c}").alias(c) for c in axes))
+    kept = [c for c in grid.columns if c not in fields]
+    return rows.select(*kept, *(of(k).alias(name) for k, name in enumerate(fields)))
+
+
+def gradient(grid: DataFrame, field: str | Column, axes=XYZ, output: str = "gradient") -> DataFrame:
+    """Rows of a regular grid with a struct of the field's slopes."""
+    return slopes(grid, {output: F.col(field) if isinstance(field, str) else field}, axes)
 
 
 def jacobian(grid: DataFrame, vector: str, axes=XYZ) -> DataFrame:
     """Rows with columns __g_<component>: the gradient of each component."""
-    for c in axes:
-        grid = gradient(grid, F.col(vector)[c], axes, f"__g_{c}")
-    return grid
+    return slopes(grid, {f"__g_{c}": F.col(vector)[c] for c in axes}, axes)
 
 
 def _drop(rows: DataFrame, axes) -> DataFrame:
@@ -178,12 +181,23 @@ def boundary(cells: DataFrame) -> DataFrame:
     return rows.groupBy("domain_id", "face").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").drop("n")
 
 
+TETS = [(0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6)]
+#: The other way to cut a hexahedron: its neighbours' cut, so that faces that two cells share are cut alike.
+MIRRORED = [(1, 0, 2, 5), (0, 3, 2, 7), (0, 5, 4, 7), (2, 5, 7, 6), (0, 2, 5, 7)]
+TRIANGLES, MIRRORED_TRIANGLES = [(0, 1, 2), (0, 2, 3)], [(0, 1, 3), (1, 2, 3)]
+
+
 def split(cells: DataFrame) -> DataFrame:
-    """Cells cut to triangles (quadrilaterals) or tetrahedra (hexahedra): (.., part, conn)."""
-    tets = [(0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6)]
-    triangles = [(0, 1, 2), (0, 2, 3)]
+    """Cells cut to triangles (quadrilaterals) or tetrahedra (hexahedra): (.., part, conn).
+
+    On a regular grid (with i, j, k) the cut alternates from cell to cell, so
+    that neighbours cut the face between them along the same diagonal.
+    """
     of = lambda table: F.array(*(F.array(*(F.get("conn", F.lit(k)) for k in f)) for f in table))
-    parts = F.when(F.size("conn") == 8, of(tets)).when(F.size("conn") == 4, of(triangles)).otherwise(F.array("conn"))
+    places = [F.col(c) for c in IJK if c in cells.columns]
+    odd = reduce(lambda a, b: a + b, places) % 2 == 1 if places else F.lit(False)
+    either = lambda one, other: F.when(odd, of(other)).otherwise(of(one))
+    parts = F.when(F.size("conn") == 8, either(TETS, MIRRORED)).when(F.size("conn") == 4, either(TRIANGLES, MIRRORED_TRIANGLES)).otherwise(F.array("conn"))
     kept = [c for c in cells.columns if c != "conn"]
     return cells.select(*kept, F.posexplode(parts).alias("part", "conn"))
 
@@ -282,6 +296,30 @@ def dominant_material(materials: DataFrame) -> DataFrame:
     return materials.groupBy("domain_id", "cell_id").agg(best).select("domain_id", "cell_id", "b.material", "b.vol_frac")
 
 
-def partition(cells: DataFrame, target: int, by: list[str]) -> DataFrame:
-    """cells dealt to target domains by ranges of columns, as a column new_domain_id."""
-    return cells.repartitionByRange(target, *by).withColumn("new_domain_id", F.spark_partition_id())
+#: Steps of a histogram that parts a column's range.
+STEPS = 1 << 16
+
+
+def partition(cells: DataFrame, target: int, by: str) -> DataFrame:
+    """cells dealt to target domains of much the same size by ranges of a numeric
+    column, as a column new_domain_id; rows without a number go to the first.
+
+    The ranges end where a histogram of STEPS equal steps says that a domain is
+    full, so the same rows always get the same domains, however they are stored.
+    No row is moved.
+    """
+    v = number(F.col(by))
+    step = lambda low, high: F.when(F.lit(high > low), F.least(F.floor((v - F.lit(low)) / F.lit((high - low) or 1.0) * STEPS), F.lit(STEPS - 1))).otherwise(0)
+    low, high = cells.agg(F.min(v), F.max(v)).first()
+    if low is None:
+        return cells.withColumn("new_domain_id", F.lit(0))
+    at = step(low, high).cast("int")
+    counts = cells.filter(v.isNotNull()).groupBy(at.alias("at")).count().orderBy("at").collect()  # STEPS rows at most
+    total, seen, ends = sum(r["count"] for r in counts), 0, []
+    for r in counts:
+        domain = seen * target // total
+        while len(ends) < domain:
+            ends.append(r["at"])  # the first step of the next domain
+        seen += r["count"]
+    domain = reduce(lambda a, b: a + b, ((at >= e).cast("int") for e in ends), F.lit(0))
+    return cells.withColumn("new_domain_id", F.coalesce(domain, F.lit(0)))

@@ -117,26 +117,34 @@ def _(data, p):
     return _with_cells(data, sl.cells_in_range(data.cells, data.vertices, p["field"], p["min_value"], p["max_value"], p.get("all_in_range", False), p.get("invert", False)))
 
 
-@operator("clip", "sphere cylinder box plane multi_plane invert topology")
+@operator("clip", "sphere cylinder box plane multi_plane invert cut topology")
 def _(data, p):
+    """cut: the pieces of cells with their fields; else whole cells, with clip_fraction for the share that is left."""
     shape = _implicit(data, p)
     if data.vertices is None:
         return _with_cells(data, sl.inside(data.cells, shape, not p.get("invert", False)))
+    if p.get("cut"):
+        return _pieces(data, shape if p.get("invert") else -shape)
     fractions = gm.clipped_volume(data.mesh, shape if p.get("invert") else -shape).filter("fraction > 0")
     return _with_cells(data, data.cells.join(fractions.withColumnRenamed("fraction", "clip_fraction"), ["domain_id", "cell_id"]))
 
 
-@operator("clip_with_field", "field clip_value invert")
+@operator("clip_with_field", "field clip_value invert cut topology")
 def _(data, p):
     v = F.col(p["field"]) - float(p["clip_value"])
+    if p.get("cut") and _on(data, p["field"]) == "vertex":
+        return _pieces(data, v if p.get("invert") else -v)
     if _on(data, p["field"]) == "element":
         return _with_cells(data, data.cells.filter(v <= 0 if p.get("invert") else v >= 0))
     fractions = gm.clipped_volume(data.mesh, v if p.get("invert") else -v).filter("fraction > 0")
     return _with_cells(data, data.cells.join(fractions.withColumnRenamed("fraction", "clip_fraction"), ["domain_id", "cell_id"]))
 
 
-@operator("isovolume", "field min_value max_value")
+@operator("isovolume", "field min_value max_value topology")
 def _(data, p):
+    """A vertex field cuts cells to pieces with their fields; by an element field whole cells stay."""
+    if _on(data, p["field"]) == "vertex":
+        return _pieces(data, F.col(p["field"]), float(p["max_value"]), float(p["min_value"]))
     return TRANSFORMS["threshold"][0](data, p)
 
 
@@ -269,6 +277,18 @@ def _(data, p):
     return _with_cells(data, ms.split(data.cells))
 
 
+def _scalars(data: Data) -> tuple[str, ...]:
+    """The numeric fields on vertices, which a cut interpolates."""
+    known = {"domain_id", "vertex_id", "i", "j", "k", *data.mesh.axes}
+    kinds = ("double", "float", "integer", "long", "short", "byte")
+    return tuple(f.name for f in data.vertices.schema.fields if f.name not in known and f.dataType.typeName() in kinds)
+
+
+def _pieces(data: Data, value, most: float = 0.0, least: float | None = None) -> Data:
+    """What is left of the cells, cut where a function leaves its bounds."""
+    return Data(gm.clipped(data.mesh, value, most, least, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
+
+
 @operator("contour", "field levels iso_values use_contour_tree")
 def _(data, p):
     _without(p, "use_contour_tree")
@@ -280,13 +300,13 @@ def _(data, p):
         values = [r["value"] for r in ms.contour_levels(data.vertices, p["field"], p["levels"]).orderBy("level").collect()]
     else:
         values = p["iso_values"] if isinstance(p["iso_values"], list) else [p["iso_values"]]
-    return Data(gm.contour(data.mesh, F.col(p["field"]), values), None, ("domain_id", "cell_id"), data.state)
+    return Data(gm.contour(data.mesh, F.col(p["field"]), values, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
 @operator("slice", "point normal sphere cylinder box plane topology")
 def _(data, p):
     shape = _implicit(data, {"plane": {"point": p["point"], "normal": p["normal"]}} if "point" in p else p)
-    return Data(gm.contour(data.mesh, shape, [0.0]), None, ("domain_id", "cell_id"), data.state)
+    return Data(gm.contour(data.mesh, shape, [0.0], _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
 @operator("3slice", "x_offset y_offset z_offset topology")
@@ -310,7 +330,39 @@ def _(data, p):
 
 @operator("partition", "target by")
 def _(data, p):
-    return _with_cells(data, ms.partition(data.cells, p["target"], p.get("by") or data.key_columns("element")))
+    by = p.get("by") or next((c for c in (*data.key_columns("element"), "x") if c in data.cells.columns), None)
+    by = by[0] if isinstance(by, list | tuple) and len(by) == 1 else by
+    if not isinstance(by, str) or by not in data.cells.columns:
+        raise ActionError("partition: by is the name of one numeric column")
+    if not isinstance(p["target"], int) or p["target"] < 1:
+        raise ActionError("partition: target is a number of domains from 1 on")
+    return _with_cells(data, ms.partition(data.cells, p["target"], by))
+
+
+@operator("streamline", "field num_steps step_size seeds")
+def _(data, p):
+    """seeds: {"type": "point", "location": ...}, {"type": "point_list", "points": [...]},
+    {"type": "line", "start": ..., "end": ..., "num_seeds": n} or {"type": "box",
+    "min": ..., "max": ..., "num_seeds": n along each axis}."""
+    axes = data.mesh.axes
+    at = lambda v: [float(v[c]) for c in axes] if isinstance(v, dict) else [float(x) for x in v]
+    s = p["seeds"]
+    kinds = {"point": {"location"}, "point_list": {"points"}, "line": {"start", "end", "num_seeds"}, "box": {"min", "max", "num_seeds"}}
+    if s.get("type") not in kinds or set(s) - {"type"} != kinds[s["type"]]:
+        raise ActionError("streamline: seeds are " + "; ".join(f"{k} with {', '.join(sorted(v))}" for k, v in kinds.items()))
+    spark = data.cells.sparkSession
+    if s["type"] in ("point", "point_list"):
+        points = [at(s["location"])] if s["type"] == "point" else [at(x) for x in s["points"]]
+        seeds = spark.createDataFrame([(k, *x) for k, x in enumerate(points)], f"seed_id long, {', '.join(f'{c} double' for c in axes)}")
+    else:
+        n, line = int(s["num_seeds"]), s["type"] == "line"
+        low, high = (at(s["start"]), at(s["end"])) if line else (at(s["min"]), at(s["max"]))
+        part = lambda k: (F.col("id") if line else F.floor(F.col("id") / n**k) % n) / max(1, n - 1)
+        seeds = spark.range(n if line else n ** len(axes)).select(F.col("id").alias("seed_id"), *((F.lit(a) + part(k) * (b - a)).alias(c) for k, (c, a, b) in enumerate(zip(axes, low, high, strict=True))))
+    if _on(data, p["field"]) == "element":
+        data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
+    paths = gm.advect(seeds, gm.sampled_velocity(data.mesh, p["field"]), int(p["num_steps"]), float(p["step_size"]), axes)
+    return Data(paths, None, ("seed_id", "step"), data.state)
 
 
 @operator("add_domain_ids", "output topology")
@@ -323,7 +375,7 @@ def _(data, p):
     return _with_cells(data, fl.add_ranks(data.cells, p.get("output", "mpi_rank")))
 
 
-@operator("mir", "matset materials")
+@operator("mir", "materials")
 def _(data, p):
     best = ms.dominant_material(p["materials"])
     return _with_cells(data, data.cells.join(best, ["domain_id", "cell_id"], "left"))
@@ -346,8 +398,9 @@ def _(engine, data, p):
 
 @operator("vtk", "path topology", EXTRACTS)
 def _(engine, data, p):
-    tables.write_vtk(data.mesh, engine.path(p["path"]))
-    return engine.path(p["path"])
+    if data.mesh is None:
+        raise ActionError("vtk: this needs a mesh")
+    return tables.write_vtk(data.mesh, engine.path(p["path"]))
 
 
 @operator("view", "name", EXTRACTS)
@@ -444,6 +497,13 @@ class Engine:
         value = Evaluator(self.data, self.history).query(p["name"], p["expression"])
         self.info["expressions"][p["name"]] = plain(value)
 
+    @staticmethod
+    def _named(what: str, p: dict, data: Data) -> None:
+        """An error where a parameter asks for a topology or matset that isn't there."""
+        asked = [p[k] for k in ("topology",) if k in p] + list(p.get("topologies") or ())
+        if other := [t for t in asked if t != data.topology]:
+            raise ActionError(f"{what}: unknown topology {', '.join(map(str, other))}; known is {data.topology}")
+
     @staticmethod
     def _checked(what: str, p: dict, known: set[str]) -> None:
         if unknown := set(p) - known:
@@ -477,12 +537,14 @@ class Engine:
             apply, known = TRANSFORMS[kind]
             p = s.get("params") or {}
             self._checked(kind, p, known)
+            self._named(kind, p, data)
             columns = {*data.cells.columns, *(data.vertices.columns if data.vertices is not None else ())}
             missing = [p[k] for k in FIELDS if isinstance(p.get(k), str) and p[k] not in columns]
             if missing and kind not in ("ghost_stripper", "noop"):
-                log.warning("%s: no field %s; its result is empty", kind, ", ".join(missing))
+                log.warning("%s: no field %s; its result, and so the pipeline's, is empty", kind, ", ".join(missing))
                 data = _with_cells(data, data.cells.limit(0))
-                continue
+                data = _with_vertices(data, data.vertices.limit(0)) if data.vertices is not None else data
+                break  # later steps would make fields of nothing
             data = apply(data, self._resolved(p, data))
         self.pipelines[name] = data
         return data
@@ -500,11 +562,12 @@ class Engine:
         apply, known = EXTRACTS[kind]
         params = p.get("params") or {}
         self._checked(kind, params, known)
+        self._named(kind, params, self._source(p))
         return apply(self, self._source(p), params)
 
     def _command(self, p: dict):
         p = p.get("params", p)
-        self._checked("command", p, {"callback", "shell_command", "mpi_behavior"})
+        self._checked("command", p, {"callback", "shell_command"})
         if "callback" in p:
             if p["callback"] not in self.callbacks:
                 raise ActionError(f"unknown callback {p['callback']}")

@@ -458,30 +458,33 @@ def field_selection(spark, sf):
     return sl.select_fields(read(spark, sf, "orders"), ["o_orderkey", "o_orderstatus"])
 
 
-# -- meshes: a grid of 9 by 7 by 5 vertices with f = x * y + z
+# -- meshes: the orders are the vertices of a grid, 5 by 6 in each layer, with f = x * y + z + w and w the root of their price
 
-_V = "v AS (SELECT id, (id % 9)::INT AS i, ((id // 9) % 7)::INT AS j, (id // 63)::INT AS k, (id % 9) * 0.5::DOUBLE AS x, ((id // 9) % 7) * 1.0::DOUBLE AS y, (id // 63) * 2.0::DOUBLE AS z FROM range(315) AS r(id))"
-_F = "f AS (SELECT *, x * y + z AS f FROM v)"
-_C = "c AS (SELECT id, (id % 8)::INT AS i, ((id // 8) % 6)::INT AS j, (id // 48)::INT AS k, ((id % 8) + 0.5) * 0.5::DOUBLE AS x, ((id // 8) % 6) + 0.5::DOUBLE AS y, ((id // 48) + 0.5) * 2.0::DOUBLE AS z FROM range(192) AS r(id))"
+_V = "v AS (SELECT id, (id % 5)::INT AS i, ((id // 5) % 6)::INT AS j, (id // 30)::INT AS k, (id % 5) * 0.5::DOUBLE AS x, ((id // 5) % 6) * 1.0::DOUBLE AS y, (id // 30) * 2.0::DOUBLE AS z, w FROM (SELECT o_orderkey AS id, sqrt(o_totalprice) / 100 AS w FROM orders))"
+_F = "f AS (SELECT *, x * y + z + w AS f FROM v)"
+_C = "c AS (SELECT i + 4 * j + 20 * k AS id, i, j, k, x + 0.25 AS x, y + 0.5 AS y, z + 1.0 AS z, (x + 0.25) * (y + 0.5) + (z + 1.0) + w AS f, x AS x0, y AS y0, z AS z0 FROM v WHERE i < 4 AND j < 5 AND k < (SELECT max(k) FROM v))"
 _CV = "cv AS (SELECT c.id AS cell_id, f.* FROM c JOIN f ON f.i BETWEEN c.i AND c.i + 1 AND f.j BETWEEN c.j AND c.j + 1 AND f.k BETWEEN c.k AND c.k + 1)"
 _MESH = f"WITH {_V}, {_F}, {_C}, {_CV}"
 
 
-def _mesh(spark) -> ms.Mesh:
-    m = ms.uniform(spark, (9, 7, 5), spacing=(0.5, 1.0, 2.0))
-    f = F.col("x") * F.col("y") + F.col("z")
-    m.vertices, m.cells = m.vertices.withColumn("f", f), m.cells.withColumn("f", f)
+def _mesh(spark, sf) -> ms.Mesh:
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("vertex_id"), (F.sqrt("o_totalprice") / 100).alias("w"))
+    m = ms.uniform(spark, (5, 6, orders.count() // 30), spacing=(0.5, 1.0, 2.0))
+    f = F.col("x") * F.col("y") + F.col("z") + F.col("w")
+    lowest = m.cells.withColumn("vertex_id", F.col("conn")[0])
+    m.vertices, m.cells = (df.join(orders, "vertex_id").withColumn("f", f) for df in (m.vertices, lowest))
+    m.cells = m.cells.drop("vertex_id")
     return m
 
 
 @query(_MESH + " SELECT cell_id, round(avg(f), 6) AS f FROM cv GROUP BY 1")
 def mesh_recenter_v2e(spark, sf):
-    return ms.to_cells(_mesh(spark), "f").select("cell_id", F.round("f", 6).alias("f"))
+    return ms.to_cells(_mesh(spark, sf), "f").select("cell_id", F.round("f", 6).alias("f"))
 
 
-@query(_MESH + ", g AS (SELECT id, x * y + z AS g FROM c) SELECT cv.id AS vertex_id, round(avg(g.g), 6) AS f FROM cv JOIN g ON g.id = cv.cell_id GROUP BY 1")
+@query(_MESH + " SELECT cv.id AS vertex_id, round(avg(c.f), 6) AS f FROM cv JOIN c ON c.id = cv.cell_id GROUP BY 1")
 def mesh_recenter_e2v(spark, sf):
-    return ms.to_vertices(_mesh(spark), "f").select("vertex_id", F.round("f", 6).alias("f"))
+    return ms.to_vertices(_mesh(spark, sf), "f").select("vertex_id", F.round("f", 6).alias("f"))
 
 
 _SLOPE = "(coalesce(lead({f}) OVER {w}, {f}) - coalesce(lag({f}) OVER {w}, {f})) / (coalesce(lead({c}) OVER {w}, {c}) - coalesce(lag({c}) OVER {w}, {c}))"
@@ -494,111 +497,121 @@ def _slope(f: str, c: str) -> str:
 
 @query(_MESH + f" SELECT id AS vertex_id, round({_slope('f', 'x')}, 6) AS dx, round({_slope('f', 'y')}, 6) AS dy, round({_slope('f', 'z')}, 6) AS dz FROM f {_WINDOWS}")
 def mesh_gradient(spark, sf):
-    out = ms.gradient(_mesh(spark).vertices, "f")
+    out = ms.gradient(_mesh(spark, sf).vertices, "f")
     return out.select("vertex_id", *(F.round(F.col(f"gradient.{c}"), 6).alias(f"d{c}") for c in "xyz"))
 
 
-_VEC = _MESH + ", u AS (SELECT *, x * y AS p, y * z AS q, z * x AS r FROM f)"
+_VEC = _MESH + ", u AS (SELECT *, x * y + w AS p, y * z AS q, z * x AS r FROM f)"
 
 
-def _vector_mesh(spark) -> DataFrame:
-    x, y, z = (F.col(c) for c in "xyz")
-    return _mesh(spark).vertices.withColumn("v", vectors.vector(x * y, y * z, z * x))
+def _vector_mesh(spark, sf) -> DataFrame:
+    x, y, z, w = (F.col(c) for c in "xyzw")
+    return _mesh(spark, sf).vertices.withColumn("v", vectors.vector(x * y + w, y * z, z * x))
 
 
 @query(_VEC + f" SELECT id AS vertex_id, round({_slope('p', 'x')} + {_slope('q', 'y')} + {_slope('r', 'z')}, 6) AS value FROM u {_WINDOWS}")
 def mesh_divergence(spark, sf):
-    return ms.divergence(_vector_mesh(spark), "v").select("vertex_id", F.round("divergence", 6).alias("value"))
+    return ms.divergence(_vector_mesh(spark, sf), "v").select("vertex_id", F.round("divergence", 6).alias("value"))
 
 
-@query(_VEC + f" SELECT id AS vertex_id, round({_slope('r', 'y')} - {_slope('q', 'z')}, 6) AS x, round({_slope('p', 'z')} - {_slope('r', 'x')}, 6) AS y, round({_slope('q', 'x')} - {_slope('p', 'y')}, 6) AS z FROM u {_WINDOWS}")
+_CURL = _VEC + f" SELECT id AS vertex_id, round({_slope('r', 'y')} - {_slope('q', 'z')}, 6) AS x, round({_slope('p', 'z')} - {_slope('r', 'x')}, 6) AS y, round({_slope('q', 'x')} - {_slope('p', 'y')}, 6) AS z FROM u {_WINDOWS}"
+
+
+@query(_CURL)
 def mesh_vorticity(spark, sf):
-    return ms.vorticity(_vector_mesh(spark), "v").select("vertex_id", *((F.round(F.col(f"vorticity.{c}"), 6) + 0.0).alias(c) for c in "xyz"))
+    return ms.vorticity(_vector_mesh(spark, sf), "v").select("vertex_id", *((F.round(F.col(f"vorticity.{c}"), 6) + 0.0).alias(c) for c in "xyz"))
 
 
 _SQUARES = " + ".join(f"d{a}{b} * d{b}{a}" for a in "pqr" for b in "pqr")
 _ALL = ", ".join(f"{_slope(a, c)} AS d{a}{b}" for a in "pqr" for b, c in zip("pqr", "xyz", strict=True))
 
 
-@query(_VEC + f", d AS (SELECT id, {_ALL} FROM u {_WINDOWS}) SELECT id AS vertex_id, round(-0.5 * ({_SQUARES}), 6)::DOUBLE + 0.0::DOUBLE AS value FROM d")
+@query(_VEC + f", d AS (SELECT id, {_ALL} FROM u {_WINDOWS}) SELECT id AS vertex_id, round(-0.5 * ({_SQUARES}), 4)::DOUBLE + 0.0::DOUBLE AS value FROM d")
 def mesh_qcriterion(spark, sf):
-    return ms.qcriterion(_vector_mesh(spark), "v").select("vertex_id", (F.round("qcriterion", 6) + 0.0).alias("value"))
+    return ms.qcriterion(_vector_mesh(spark, sf), "v").select("vertex_id", (F.round("qcriterion", 4) + 0.0).alias("value"))
 
 
 @query(_MESH + " SELECT min(x)::DOUBLE AS min_x, max(x)::DOUBLE AS max_x, min(y)::DOUBLE AS min_y, max(y)::DOUBLE AS max_y, min(z)::DOUBLE AS min_z, max(z)::DOUBLE AS max_z FROM v")
 def mesh_bounds(spark, sf):
-    return rd.bounds(_mesh(spark).vertices, ["x", "y", "z"])
+    return rd.bounds(_mesh(spark, sf).vertices, ["x", "y", "z"])
 
 
 @query(_MESH + " SELECT id AS cell_id, 0.5::DOUBLE AS dx, 1.0::DOUBLE AS dy, 2.0::DOUBLE AS dz, 1.0::DOUBLE AS volume FROM c")
 def mesh_measures(spark, sf):
-    return ms.measures(_mesh(spark)).select("cell_id", "dx", "dy", "dz", "volume")
+    return ms.measures(_mesh(spark, sf)).select("cell_id", "dx", "dy", "dz", "volume")
 
 
-_AT = "least(floor({x} / 0.5), 7)::INT + 8 * least(floor({y}), 5)::INT + 48 * least(floor({z} / 2.0), 3)::INT"
+_AT = "CASE WHEN x / 0.5 BETWEEN 0 AND 4 AND y BETWEEN 0 AND 5 AND z / 2.0 BETWEEN 0 AND km THEN least(floor(x / 0.5), 3)::INT + 4 * least(floor(y), 4)::INT + 20 * least(floor(z / 2.0), km - 1)::INT END"
+_TOP = "m AS (SELECT max(k) AS km FROM v)"
 
 
-@query(_MESH + f""", p AS (SELECT s::INT AS sample, -1 + s * (6 / 11.0::DOUBLE) AS x, 0.5::DOUBLE + s * (5 / 11.0::DOUBLE) AS y, 1.0::DOUBLE + s * (6 / 11.0::DOUBLE) AS z FROM range(12) AS r(s)),
-l AS (SELECT *, CASE WHEN x / 0.5 BETWEEN 0 AND 8 AND y BETWEEN 0 AND 6 AND z / 2.0 BETWEEN 0 AND 4 THEN {_AT.format(x='x', y='y', z='z')} END AS at FROM p)
-SELECT l.sample, round(l.x, 6)::DOUBLE AS x, round(coalesce(c.x * c.y + c.z, -1), 6)::DOUBLE AS f FROM l LEFT JOIN c ON c.id = l.at""")
+@query(_MESH + f""", {_TOP}, p AS (SELECT s::INT AS sample, -1 + s * (3.5 / 11.0::DOUBLE) AS x, 0.5::DOUBLE + s * (4 / 11.0::DOUBLE) AS y, 1.0::DOUBLE + s * (89 / 11.0::DOUBLE) AS z FROM range(12) AS r(s)),
+l AS (SELECT p.*, {_AT} AS at FROM p, m)
+SELECT l.sample, round(l.x, 6)::DOUBLE AS x, round(coalesce(c.f, -1), 6)::DOUBLE AS f FROM l LEFT JOIN c ON c.id = l.at""")
 def lineout(spark, sf):
-    return ms.lineout(_mesh(spark), 10, (-1, 0.5, 1), (5, 5.5, 7), ["f"], -1.0).select("sample", F.round("x", 6).alias("x"), F.round("f", 6).alias("f"))
+    return ms.lineout(_mesh(spark, sf), 10, (-1, 0.5, 1), (2.5, 4.5, 90), ["f"], -1.0).select("sample", F.round("x", 6).alias("x"), F.round("f", 6).alias("f"))
 
 
-@query(_MESH + f""", p AS (SELECT id AS point_id, -0.75 + (id % 5) * 1.25 AS x, 0.25 + ((id // 5) % 4) * 1.5 AS y, 1.0 + (id // 20) * 3.0 AS z FROM range(60) AS r(id)),
-l AS (SELECT *, CASE WHEN x / 0.5 BETWEEN 0 AND 8 AND y BETWEEN 0 AND 6 AND z / 2.0 BETWEEN 0 AND 4 THEN {_AT.format(x='x', y='y', z='z')} END AS at FROM p)
-SELECT l.point_id, round(coalesce(c.x * c.y + c.z, 0), 6)::DOUBLE AS f FROM l LEFT JOIN c ON c.id = l.at""")
+@query(_MESH + f""", {_TOP}, p AS (SELECT id AS point_id, -0.75 + (id % 5) * 0.75 AS x, 0.25 + ((id // 5) % 4) * 1.5 AS y, 1.0 + (id // 20) * 30.0 AS z FROM range(60) AS r(id)),
+l AS (SELECT p.*, {_AT} AS at FROM p, m)
+SELECT l.point_id, round(coalesce(c.f, 0), 6)::DOUBLE AS f FROM l LEFT JOIN c ON c.id = l.at""")
 def uniform_grid(spark, sf):
-    return ms.uniform_grid(_mesh(spark), ["f"], (5, 4, 3), (-0.75, 0.25, 1.0), (1.25, 1.5, 3.0)).select("point_id", F.round("f", 6).alias("f"))
+    return ms.uniform_grid(_mesh(spark, sf), ["f"], (5, 4, 3), (-0.75, 0.25, 1.0), (0.75, 1.5, 30.0)).select("point_id", F.round("f", 6).alias("f"))
 
 
 @query(_MESH + " SELECT l::INT AS level, round(min(f) + l * (max(f) - min(f)) / 5, 6) AS value FROM f, range(1, 5) AS r(l) GROUP BY l")
 def contour_levels(spark, sf):
-    return ms.contour_levels(_mesh(spark).vertices, "f", 4).select("level", F.round("value", 6).alias("value"))
+    return ms.contour_levels(_mesh(spark, sf).vertices, "f", 4).select("level", F.round("value", 6).alias("value"))
 
 
 @query(_MESH + ", r AS (SELECT cell_id, min(f) AS lo, max(f) AS hi FROM cv GROUP BY 1) SELECT cell_id, v.value::DOUBLE AS value FROM r, (VALUES (6.25), (12.5)) AS v(value) WHERE lo < v.value AND hi >= v.value")
 def contour_cells(spark, sf):
-    return ms.contour_cells(_mesh(spark), "f", [6.25, 12.5]).select("cell_id", "value")
+    return ms.contour_cells(_mesh(spark, sf), "f", [6.25, 12.5]).select("cell_id", "value")
+
+
+_ACROSS = "((x - 1) + (y - 2.5) * 0.5 + (z - 40) * 0.25)"
+ACROSS = ((1, 2.5, 40), (1, 0.5, 0.25))
 
 
-@query(_MESH + " SELECT cell_id FROM cv GROUP BY 1 HAVING min((x - 2) + (y - 3) * 0.5 + (z - 4) * 0.25) <= 0 AND max((x - 2) + (y - 3) * 0.5 + (z - 4) * 0.25) >= 0")
+@query(_MESH + f" SELECT cell_id FROM cv GROUP BY 1 HAVING min{_ACROSS} <= 0 AND max{_ACROSS} >= 0")
 def slice_cells(spark, sf):
-    return ms.slice_cells(_mesh(spark), sl.plane((2, 3, 4), (1, 0.5, 0.25))).select("cell_id")
+    return ms.slice_cells(_mesh(spark, sf), sl.plane(*ACROSS)).select("cell_id")
 
 
-@query(_MESH + " SELECT id AS cell_id, 'x' AS axis FROM c WHERE i IN (2) UNION ALL SELECT id, 'y' FROM c WHERE j = 2 UNION ALL SELECT id, 'z' FROM c WHERE k = 1")
+@query(_MESH + " SELECT id AS cell_id, 'x' AS axis FROM c WHERE i = 1 UNION ALL SELECT id, 'y' FROM c WHERE j = 2 UNION ALL SELECT id, 'z' FROM c WHERE k = 20")
 def three_slice(spark, sf):
-    return ms.three_slice(_mesh(spark), (1.25, 2.5, 3.0)).select("cell_id", "axis")
+    return ms.three_slice(_mesh(spark, sf), (0.85, 2.5, 41.0)).select("cell_id", "axis")
 
 
 @query(_MESH + " SELECT cell_id FROM cv GROUP BY 1 HAVING bool_or(f BETWEEN 10 AND 14)")
 def threshold_vertex_field(spark, sf):
-    m = _mesh(spark)
+    m = _mesh(spark, sf)
     return sl.cells_in_range(m.cells, m.vertices, "f", 10, 14).select("cell_id")
 
 
-@query(_MESH + " SELECT cell_id FROM cv GROUP BY 1 HAVING bool_and((x - 2) * (x - 2) + (y - 3) * (y - 3) + (z - 4) * (z - 4) <= 9)")
+@query(_MESH + " SELECT cell_id FROM cv GROUP BY 1 HAVING bool_and((x - 1) * (x - 1) + (y - 2.5) * (y - 2.5) + (z - 40) * (z - 40) <= 25)")
 def threshold_cells_sphere(spark, sf):
-    m = _mesh(spark)
-    return sl.cells_inside(m.cells, m.vertices, sl.sphere((2, 3, 4), 3.0)).select("cell_id")
+    m = _mesh(spark, sf)
+    return sl.cells_inside(m.cells, m.vertices, sl.sphere((1, 2.5, 40), 5.0)).select("cell_id")
 
 
-@query(_MESH + " SELECT DISTINCT cv.id AS vertex_id FROM cv JOIN c ON c.id = cv.cell_id WHERE c.x * c.y + c.z BETWEEN 8 AND 9")
+@query(_MESH + " SELECT DISTINCT cv.id AS vertex_id FROM cv JOIN c ON c.id = cv.cell_id WHERE c.f BETWEEN 8 AND 9")
 def clean_grid(spark, sf):
-    m = _mesh(spark)
+    m = _mesh(spark, sf)
     return sl.clean_grid(m.vertices, sl.threshold(m.cells, "f", 8, 9)).select("vertex_id")
 
 
 @query(_MESH + """ SELECT count(*) AS faces, count(DISTINCT cell_id) AS cells FROM (
-SELECT id AS cell_id FROM c WHERE i IN (0, 7) UNION ALL SELECT id FROM c WHERE j IN (0, 5) UNION ALL SELECT id FROM c WHERE k IN (0, 3))""")
+SELECT id AS cell_id FROM c WHERE i IN (0, 3) UNION ALL SELECT id FROM c WHERE j IN (0, 4) UNION ALL SELECT id FROM c WHERE k = 0 OR k = (SELECT max(k) FROM c))""")
 def mesh_boundary(spark, sf):
-    return ms.boundary(_mesh(spark).cells).agg(F.count("*").alias("faces"), F.countDistinct("cell_id").alias("cells"))
+    return ms.boundary(_mesh(spark, sf).cells).agg(F.count("*").alias("faces"), F.countDistinct("cell_id").alias("cells"))
 
 
-@query(_MESH + " SELECT id AS cell_id, p::INT AS part FROM c, range(5) AS r(p)")
+@query(_MESH + """, t(odd, part, corners) AS (VALUES (0, 0, [0, 1, 3, 4]), (0, 1, [1, 2, 3, 6]), (0, 2, [1, 4, 5, 6]), (0, 3, [3, 4, 6, 7]), (0, 4, [1, 3, 4, 6]),
+(1, 0, [1, 0, 2, 5]), (1, 1, [0, 3, 2, 7]), (1, 2, [0, 5, 4, 7]), (1, 3, [2, 5, 7, 6]), (1, 4, [0, 2, 5, 7]))
+SELECT c.id AS cell_id, t.part::INT AS part, array_to_string(list_transform(t.corners, lambda n: c.i + 5 * c.j + 30 * c.k + [0, 1, 6, 5, 30, 31, 36, 35][n + 1]), ' ') AS conn FROM c JOIN t ON t.odd = (c.i + c.j + c.k) % 2""")
 def triangulate(spark, sf):
-    return ms.split(_mesh(spark).cells).select("cell_id", "part")
+    return ms.split(_mesh(spark, sf).cells).select("cell_id", "part", F.array_join(F.transform("conn", lambda v: v.cast("string")), " ").alias("conn"))
 
 
 @query(f"SELECT {_KEYS}, round(l_quantity * 2 + 1, 6) AS x, round(l_discount * 3 - l_tax, 6) AS y, round(l_tax + 0.5, 6) AS z FROM lineitem")
@@ -617,10 +630,13 @@ def reflect(spark, sf):
     return ms.reflect(_points(spark, sf), 25, "x").select(*LINE_KEYS, F.round("x", 6).alias("x"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders")
-def partition_counts(spark, sf):
-    rows = ms.partition(read(spark, sf, "orders"), 4, ["o_orderkey"])
-    return rows.groupBy("new_domain_id").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("k")).agg(F.sum("n").alias("n"), F.sum("k").alias("keys"))
+@query("""WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders),
+s AS (SELECT o_orderkey, least(floor((o_totalprice - lo) / (hi - lo) * 65536), 65535)::INT AS place FROM orders, m),
+g AS (SELECT place, count(*) AS c FROM s GROUP BY place),
+c AS (SELECT place, (sum(c) OVER (ORDER BY place) - c)::BIGINT AS before FROM g)
+SELECT o_orderkey, (before * 4 // n)::INT AS new_domain_id FROM s JOIN c USING (place), m""")
+def partition_domains(spark, sf):
+    return ms.partition(read(spark, sf, "orders"), 4, "o_totalprice").select("o_orderkey", "new_domain_id")
 
 
 @query("SELECT id AS i, CASE WHEN id BETWEEN 2 AND 4 THEN 1 ELSE 0 END AS ghost FROM (SELECT unnest(range(8))::INT AS id)")
@@ -645,9 +661,10 @@ def union_domains(spark, sf):
     return tables.union_domains([n, r])
 
 
-@query("SELECT vec_id, label FROM embeddings")
+@query("""SELECT p_partkey, p_size AS s_size, p_brand AS s_brand, '[' || p_partkey || ',' || p_size || ']' AS pair FROM part""")
 def flatten_rows(spark, sf):
-    return tables.flattened(read(spark, sf, "embeddings")).select("vec_id", "label")
+    rows = read(spark, sf, "part").select("p_partkey", F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).alias("s"), F.array("p_partkey", "p_size").alias("pair"))
+    return tables.flattened(rows)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -666,23 +683,74 @@ def query_actions(spark, sf):
     return spark.createDataFrame(rows, "name string, value double")
 
 
-# -- geometry: no SQL says these
+# -- geometry: a plane cuts boxes, so areas and volumes are sums over their corners
+
+_BOX = """, o AS (SELECT c.*, {d} AS d FROM c), e(sign, a) AS (VALUES {corners}),
+s AS (SELECT o.id AS cell_id, sum(e.sign * greatest(o.d - e.a, 0) ** {power}) AS total FROM o, e GROUP BY 1)"""
+
+
+def _box(d: str, sides: tuple, power: int) -> str:
+    """Sums over a box's corners of powers of how far each lies below a plane."""
+    corners = ", ".join(f"({(-1) ** sum(k)}, {sum(s for s, on in zip(sides, k, strict=True) if on)}::DOUBLE)" for k in ((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)))
+    return _BOX.format(d=d, corners=corners, power=power)
 
 
-@query(None)
+# x + 2 y + 3 z over cells of 0.5 by 1 by 2
+_TILTED = "x0 + 2 * y0 + 3 * z0"
+
+
+@query(" UNION ALL ".join(f"(SELECT * FROM ({_MESH}{_box(f'{level} - ({_TILTED})', (0.5, 2, 6), 2)} SELECT cell_id, {level}::DOUBLE AS level, round(sqrt(14) / 12 * total, 5) AS area FROM s) WHERE area > 0.00002)" for level in (20.25, 41.5)))
 def contour_triangles(spark, sf):
-    return gm.measure(gm.contour(_mesh(spark), F.col("f"), [6.25, 12.5]))
+    shapes = gm.measure(gm.contour(_mesh(spark, sf), F.col("x") + 2 * F.col("y") + 3 * F.col("z"), [20.25, 41.5]))
+    return shapes.groupBy("cell_id", "level").agg(F.round(F.sum("size"), 5).alias("area")).filter("area > 0.00002")
+
+
+_BELOW = "-((x0 - 1) + (y0 - 2.5) * 0.5 + (z0 - 40) * 0.25)"
 
 
-@query(None)
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 3) + " SELECT cell_id, round(total / 0.75, 5) + 0.0 AS fraction FROM s")
 def clip_fractions(spark, sf):
-    return gm.clipped_volume(_mesh(spark), sl.plane((2, 3, 4), (1, 0.5, 0.25)))
+    return gm.clipped_volume(_mesh(spark, sf), sl.plane(*ACROSS)).select("cell_id", (F.round("fraction", 5) + 0.0).alias("fraction"))
+
+
+def _whole(shapes: DataFrame) -> DataFrame:
+    """Sizes by cell, and whether the field x at each corner is the corner's x."""
+    off = F.aggregate(F.transform("x", lambda v, k: F.abs(v - F.get("points", k * 3))), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return shapes.withColumn("off", off).groupBy("cell_id").agg(F.round(F.sum("size"), 5).alias("size"), (F.max("off") < 1e-9).alias("same"))
+
 
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 3) + " SELECT cell_id, round(total / 0.75, 5) + 0.0 AS size, true AS same FROM s WHERE total > 0.00002")
+def clip_cells(spark, sf):
+    pieces = gm.clipped(_mesh(spark, sf), sl.plane(*ACROSS), fields=("x",))
+    return _whole(gm.volume(pieces)).filter("size > 0.00002 / 0.75")
 
-@query(None)
+
+_UP, _DOWN = f"3 + {_BELOW}", f"-2 + {_BELOW}"
+
+
+@query(_MESH + _box(_UP, (0.5, 0.5, 0.5), 3) + ", t AS (SELECT * FROM s)" + _box(_DOWN, (0.5, 0.5, 0.5), 3).replace(", o AS", ", o2 AS").replace(", e(", ", e2(").replace("s AS (", "s2 AS (").replace("o.", "o2.").replace("e.", "e2.").replace("FROM o, e", "FROM o2, e2")
+       + " SELECT cell_id, round((t.total - s2.total) / 0.75, 5) + 0.0 AS size, true AS same FROM t JOIN s2 USING (cell_id) WHERE round((t.total - s2.total) / 0.75, 5) > 0.0001")
+def isovolume_cells(spark, sf):
+    value = (F.col("x") - 1) + (F.col("y") - 2.5) * 0.5 + (F.col("z") - 40) * 0.25
+    pieces = gm.clipped(_mesh(spark, sf), value, 3.0, -2.0, fields=("x",))
+    return _whole(gm.volume(pieces)).filter("size > 0.0001")
+
+
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 2) + " SELECT cell_id, round(total * sqrt(1.3125) / 0.25, 5) + 0.0 AS size, true AS same FROM s WHERE round(total * sqrt(1.3125) / 0.25, 5) > 0.0001")
+def slice_areas(spark, sf):
+    shapes = gm.measure(gm.contour(_mesh(spark, sf), sl.plane(*ACROSS), [0.0], fields=("x",)))
+    return _whole(shapes).filter("size > 0.0001")
+
+
+# steps of 0.1 by Runge and Kutta: for speeds that are linear in place, powers of the step up to the fourth
+
+
+@query("""WITH RECURSIVE r AS (SELECT id AS seed_id, 0 AS step, id / 16.0::DOUBLE + 0.5 AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM range(16) AS r(id)
+UNION ALL SELECT seed_id, step + 1, x * (1 - 0.005 + 0.0001 / 24) - y * (0.1 - 0.001 / 6), y * (1 - 0.005 + 0.0001 / 24) + x * (0.1 - 0.001 / 6), z + 0.01 FROM r WHERE step < 20)
+SELECT seed_id, step::INT AS step, round(x, 6) AS x, round(y, 6) + 0.0 AS y, round(z, 6) AS z FROM r""")
 def streamlines(spark, sf):
     seeds = spark.range(16).select(F.col("id").alias("seed_id"), (F.col("id") / 16 + 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    return gm.advect(seeds, _swirl, 20, 0.1)
+    return gm.advect(seeds, _swirl, 20, 0.1).select("seed_id", "step", F.round("x", 6).alias("x"), (F.round("y", 6) + 0.0).alias("y"), F.round("z", 6).alias("z"))
 
 
 def _swirl(at):
@@ -691,11 +759,29 @@ def _swirl(at):
     return np.stack([-at[:, 1], at[:, 0], np.full(len(at), 0.1)], 1)
 
 
-@query(None)
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS seed_id, 0 AS step, 0.2 + (o_orderkey % 7) * 0.2::DOUBLE AS x, 0.5 + (o_orderkey % 5) * 0.7::DOUBLE AS y, 1.0 + (o_orderkey % 40)::DOUBLE AS z FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL SELECT seed_id, step + 1, x + 0.1 * (0.1 * y * (1 - 0.00005 / 6) + 0.1 * (0.1 - 0.05 * x) * (0.05 - 0.000005 / 24)), y + 0.1 * ((0.1 - 0.05 * x) * (1 - 0.00005 / 6) - 0.05 * 0.1 * y * (0.05 - 0.000005 / 24)), z + 0.05 FROM r WHERE step < 10)
+SELECT seed_id, step::INT AS step, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r""")
+def field_streamlines(spark, sf):
+    m = _mesh(spark, sf)
+    m.vertices = m.vertices.withColumn("v", vectors.vector(F.col("y") * 0.1, 0.1 - F.col("x") * 0.05, F.lit(0.5)))
+    key = F.col("o_orderkey")
+    seeds = read(spark, sf, "orders").filter(key % 10 == 0).select(key.alias("seed_id"), (0.2 + (key % 7) * 0.2).alias("x"), (0.5 + (key % 5) * 0.7).alias("y"), (1.0 + (key % 40)).alias("z"))
+    return gm.advect(seeds, gm.sampled_velocity(m, "v"), 10, 0.1).select("seed_id", "step", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query(_MESH + """, m AS (SELECT min(z) AS low, (max(z) - min(z)) / 4 AS step, min(f) AS least, max(f) - min(f) AS width FROM c),
+b AS (SELECT round((z - low) / step)::INT AS level, least(trunc((f - least) * (16 / width)), 15)::INT AS bin FROM c, m),
+n AS (SELECT level, bin, count(*) AS n FROM b WHERE level BETWEEN 1 AND 3 GROUP BY 1, 2),
+e AS (SELECT level, -sum(p * ln(p)) AS entropy FROM (SELECT level, n / sum(n) OVER (PARTITION BY level) AS p FROM n) GROUP BY 1)
+SELECT level, round(low + level * step, 6) AS position, round(entropy, 6) AS entropy FROM e, m ORDER BY round(entropy, 9) DESC, level LIMIT 1""")
 def auto_slice(spark, sf):
-    return ms.auto_slice(_mesh(spark), "f", 3, "z", 16)
+    return ms.auto_slice(_mesh(spark, sf), "f", 3, "z", 16).select("level", F.round("position", 6).alias("position"), F.round("entropy", 6).alias("entropy"))
 
 
 def flagship(spark, sf: str) -> DataFrame:
     """Mean price by quantity and discount, over a grid."""
     return QUERIES["binning_avg_2d"](spark, sf)
+
+
+from . import programs as programs  # noqa: E402  it registers its queries, which are built on those above

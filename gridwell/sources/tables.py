@@ -74,15 +74,55 @@ def save_info(spark: SparkSession, path: str, info: dict) -> str:
     return write_text(spark, path, json.dumps(info, indent=1, default=str))
 
 
-def write_vtk(mesh, path: str) -> DataFrame:
-    """(domain_id, n): a legacy VTK file, as a row of lines, for each domain of a mesh of points.
+#: VTK's numbers for cells by how many vertices they have.
+VTK_CELLS = {2: 3, 3: 5, 4: 9, 8: 12}
 
-    The text of a domain is one row under path, written by Spark.
+
+def write_vtk(mesh, path: str) -> str:
+    """A mesh as VTK files for unstructured grids, one a task: cells with their
+    vertices, and the numeric fields of both. Returns the folder.
+
+    Each file has the cells of one partition and those vertices that they need,
+    so no task holds more than a partition, however large a domain is. The
+    files are rows of a table of texts, which Spark writes.
     """
-    axes = mesh.axes
-    at = F.concat_ws(" ", *(F.col(c).cast("string") if c in axes else F.lit("0.0") for c in ("x", "y", "z")))
-    points = mesh.vertices.groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("vertex_id", at.alias("p")))).alias("v"))
-    text = F.concat_ws("\n", F.lit("# vtk DataFile Version 3.0"), F.lit("mesh"), F.lit("ASCII"), F.lit("DATASET POLYDATA"), F.concat(F.lit("POINTS "), F.size("v").cast("string"), F.lit(" double")), F.array_join(F.transform("v", lambda x: x["p"]), "\n"))
-    rows = points.select("domain_id", text.alias("value"))
-    rows.write.mode("overwrite").partitionBy("domain_id").text(path)
-    return points.select("domain_id", F.size("v").alias("n"))
+    axes, keys = mesh.axes, ["domain_id", "cell_id"]
+    numeric = ("double", "float", "integer", "long", "short", "byte")
+    of = lambda df, known: [f.name for f in df.schema.fields if f.name not in known and f.dataType.typeName() in numeric]
+    cell_fields = of(mesh.cells, {*keys, "i", "j", "k", *axes})
+    vertex_fields = of(mesh.vertices, {"domain_id", "vertex_id", "i", "j", "k", *axes})
+    corners = mesh.cells.select(*keys, F.posexplode("conn").alias("corner", "vertex_id"))
+    number = lambda c: F.col(c).cast("double")
+    points = mesh.vertices.select("domain_id", "vertex_id", F.array(*(number(c) for c in (*axes, *vertex_fields))).alias("p"))
+    shapes = corners.join(points, ["domain_id", "vertex_id"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("corner", "vertex_id", "p"))).alias("corners"))
+    cells = mesh.cells.select(*keys, F.array(*map(number, cell_fields)).cast("array<double>").alias("fields"))
+    rows = shapes.join(cells, keys).select("domain_id", "fields", F.transform("corners", lambda c: c["vertex_id"]).alias("ids"), F.transform("corners", lambda c: c["p"]).alias("points"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        at: dict[tuple, int] = {}
+        places, inside, lines, kinds = [], [], [], []
+        for batch in batches:
+            for domain, fields, ids, corners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for v, p in zip(ids, corners, strict=True):
+                    if (domain, v) not in at:
+                        at[domain, v] = len(at)
+                        places.append(p)
+                inside.append(fields)
+                lines.append(" ".join(map(str, [len(ids), *(at[domain, v] for v in ids)])))
+                kinds.append(VTK_CELLS.get(len(ids), 7))
+        if not lines:
+            return
+        d = len(axes)
+        text = ["# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {len(places)} double"]
+        text += [" ".join(map(repr, [*p[:d], *[0.0] * (3 - d)])) for p in places]
+        text += [f"CELLS {len(lines)} {sum(x.count(' ') + 1 for x in lines)}", *lines, f"CELL_TYPES {len(kinds)}", *map(str, kinds)]
+        for what, n, names, values in (("POINT_DATA", len(places), vertex_fields, [p[d:] for p in places]), ("CELL_DATA", len(lines), cell_fields, inside)):
+            text.append(f"{what} {n}")
+            for k, name in enumerate(names):
+                text += [f"SCALARS {name.replace(' ', '_')} double 1", "LOOKUP_TABLE default", *("nan" if v[k] is None else repr(v[k]) for v in values)]
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(text)])], names=["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").option("fileExtension", ".vtk").text(path)
+    return path
