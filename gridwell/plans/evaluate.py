@@ -38,6 +38,13 @@ class Field:
     is_bool: bool = False
 
 
+class Later:
+    """A value that is worked out when it is asked for."""
+
+    def __init__(self, of):
+        self.of = of
+
+
 @dataclass
 class Record:
     """A result with attributes."""
@@ -48,6 +55,8 @@ class Record:
     def __getitem__(self, name: str):
         if name not in self.attrs:
             raise ExpressionError(f"{self.kind} has no attribute {name}; it has {', '.join(self.attrs)}")
+        if isinstance(self.attrs[name], Later):
+            self.attrs[name] = self.attrs[name].of()
         return self.attrs[name]
 
 
@@ -678,7 +687,7 @@ def _(ev, reduction_var, reduction_op, bin_axes, empty_bin_val=0.0, component=No
         b = bn.binning(ev.data.table(assoc), reduction_var, reduction_op, axes, empty_bin_val, component)
     except ValueError as e:
         raise ExpressionError(str(e)) from None
-    values = [r["value"] for r in b.grid.orderBy("bin").collect()]
+    values = Later(lambda: [r["value"] for r in b.grid.orderBy("bin").collect()])  # the grid stays on the cluster until then
     return Record("binning", {"value": values, "binning": b, "reduction_op": reduction_op, "reduction_var": reduction_var, "association": assoc})
 
 
@@ -778,7 +787,7 @@ for _name in ("gradient_range", "history_gradient_range"):
 def plain(value):
     """A result as nested dicts, lists and numbers."""
     if isinstance(value, Record):
-        return {k: plain(v) for k, v in value.attrs.items() if not isinstance(v, bn.Binning)}
+        return {k: plain(value[k]) for k in list(value.attrs) if not isinstance(value.attrs[k], bn.Binning)}
     if isinstance(value, list):
         return [plain(v) for v in value]
     return value if not isinstance(value, Field) else "field"

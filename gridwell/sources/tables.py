@@ -124,5 +124,5 @@ def write_vtk(mesh, path: str) -> str:
                 text += [f"SCALARS {name.replace(' ', '_')} double 1", "LOOKUP_TABLE default", *("nan" if v[k] is None else repr(v[k]) for v in values)]
         yield pa.RecordBatch.from_arrays([pa.array(["\n".join(text)])], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.mode("overwrite").option("fileExtension", ".vtk").text(path)
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
     return path

@@ -47,6 +47,96 @@ def test_transforms(engine, kind, params, cells):
     assert engine.pipelines["p"].cells.count() == cells
 
 
+def test_a_missing_field_empties_the_rest(engine):
+    steps = {"a": {"type": "threshold", "params": {"field": "none", "min_value": 0, "max_value": 1}}, "b": {"type": "expression", "params": {"expression": "field('f') + 1", "name": "g"}}}
+    engine.execute([{"action": "add_pipelines", "pipelines": {"p": steps}}])
+    out = engine.pipelines["p"]
+    assert (out.cells.count(), out.vertices.count()) == (0, 0)
+    assert "g" not in out.cells.columns
+
+
+def test_what_is_not_there_is_an_error(engine):
+    for actions in (
+        pipeline("triangulate", topology="other"), pipeline("mir", matset="m"), pipeline("partition", target=2, by=["x", "y"]), pipeline("partition", target=0),
+        pipeline("streamline", field="v", num_steps=1, step_size=1, seeds={"type": "point"}), [{"action": "add_commands", "commands": {"c": {"params": {"callback": "c", "mpi_behavior": "all"}}}}],
+        [{"action": "add_extracts", "extracts": {"e": {"type": "relay", "params": {"path": "p", "topologies": ["other"]}}}}],
+    ):
+        with pytest.raises(ActionError):
+            engine.execute(actions)
+    engine.execute(pipeline("triangulate", topology="mesh"))
+
+
+def test_cuts_keep_fields(engine):
+    """Pieces of a clip fill half of the mesh, and fields are what they are at the pieces' corners."""
+    half = {"point": {"x": 1.7, "y": 0, "z": 0}, "normal": {"x": 1, "y": 0, "z": 0}}
+    for invert, size in ((True, 1.7 * 16), (False, 2.3 * 16)):
+        engine.execute(pipeline("clip", plane=half, invert=invert, cut=True))
+        pieces = engine.pipelines["p"].cells
+        assert gm.volume(pieces).agg(F.sum("size")).first()[0] == pytest.approx(size)
+        off = pieces.select(F.posexplode("v").alias("k", "v"), "points").select(F.abs(F.col("v") - F.get("points", F.col("k") * 3) - F.get("points", F.col("k") * 3 + 1)).alias("off"))
+        assert off.agg(F.max("off")).first()[0] < 1e-9
+    engine.execute(pipeline("isovolume", field="v", min_value=2.0, max_value=4.0))
+    assert gm.volume(engine.pipelines["p"].cells).agg(F.sum("size")).first()[0] == pytest.approx((8 - 2) * 4)
+
+
+def test_neighbours_are_cut_alike(engine):
+    """Every triangle inside a cut grid belongs to two tetrahedra."""
+    engine.execute(pipeline("triangulate"))
+    faces = F.array(*(F.array_sort(F.array(*(F.col("conn")[k] for k in f))) for f in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))))
+    once = engine.pipelines["p"].cells.select(F.explode(faces).alias("f")).groupBy("f").count().filter("count = 1").count()
+    assert once == 6 * 16 * 2  # the outer faces, two triangles each
+
+
+@pytest.mark.parametrize(
+    ("seeds", "n"),
+    [
+        ({"type": "point", "location": {"x": 1, "y": 1, "z": 1}}, 1), ({"type": "point_list", "points": [[1, 1, 1], [2, 2, 2], [9, 9, 9]]}, 2),
+        ({"type": "line", "start": [0, 0, 0], "end": [1, 1, 1], "num_seeds": 3}, 3), ({"type": "box", "min": [0, 0, 0], "max": [1, 1, 1], "num_seeds": 2}, 8),
+    ],
+)
+def test_streamlines_in_a_field(engine, seeds, n):
+    """x goes at the speed of y: places after two steps, and the end of what leaves the grid."""
+    vertices = engine.data.vertices.withColumn("u", F.struct(F.col("y").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+    engine.data.vertices = engine.data.mesh.vertices = vertices
+    engine.execute(pipeline("streamline", field="u", num_steps=2, step_size=0.5, seeds=seeds))
+    rows = engine.pipelines["p"].cells.collect()
+    start = {r["seed_id"]: r for r in rows if r["step"] == 0}
+    assert len([r for r in rows if r["step"] == 1]) == n
+    for r in rows:
+        s = start[r["seed_id"]]
+        assert (r["x"], r["y"], r["z"]) == pytest.approx((s["x"] + 0.5 * r["step"] * s["y"], s["y"], s["z"]))
+
+
+def test_vtk_files(engine, tmp_path):
+    engine.execute([{"action": "add_extracts", "extracts": {"v": {"type": "vtk", "params": {"path": "mesh"}}}}])
+    files = sorted((tmp_path / "mesh").glob("part-*"))
+    cells = 0
+    for f in files:
+        lines = f.read_text().split("\n")
+        at = {x.split(" ")[0]: (k, x.split(" ")) for k, x in enumerate(lines) if x and x.split(" ")[0].isupper()}
+        n, points = int(at["CELLS"][1][1]), int(at["POINTS"][1][1])
+        k = at["CELLS"][0] + 1
+        assert all(len(x.split(" ")) == 9 and x.startswith("8 ") and max(map(int, x.split(" ")[1:])) < points for x in lines[k : k + n])
+        assert lines[at["CELL_TYPES"][0] + 1 : at["CELL_TYPES"][0] + 1 + n] == ["12"] * n
+        place = [list(map(float, x.split(" "))) for x in lines[at["POINTS"][0] + 1 : at["POINTS"][0] + 1 + points]]
+        k = lines.index("SCALARS v double 1") + 2
+        assert [float(x) for x in lines[k : k + points]] == [p[0] + p[1] for p in place]
+        cells += n
+    assert cells == 64
+
+
+def test_partitions_agree(engine, spark):
+    rows = spark.range(1000).select(F.col("id").alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    of = lambda df: {r["k"]: r["new_domain_id"] for r in ms.partition(df, 4, "v").collect()}
+    found = of(rows)
+    assert found == of(rows.repartition(7)) == of(rows.orderBy("v").coalesce(1))
+    sizes = [sum(d == k for d in found.values()) for k in range(4)]
+    assert min(sizes) > 200
+    same = rows.withColumn("v", F.lit(3.0))
+    assert set(of(same).values()) == {0}
+    assert ms.partition(rows.limit(0), 4, "v").count() == 0
+
+
 def test_unknown_parameters_and_types(engine):
     for actions in (pipeline("threshold", field="f", surprise=1), pipeline("nothing"), [{"action": "nothing"}]):
         with pytest.raises(ActionError):
