@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -127,18 +128,94 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
+#: Ids that go to every task; beyond these, rows meet their ids by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids (one column, of the same name)."""
+    ids = ids.filter(F.col(key).isNotNull()).distinct()
+    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+#: Buckets whose sums travel together.
+SLICE = 1 << 13
+
+
+def bucket_sums(texts: DataFrame, size: int, make) -> tuple[np.ndarray, int]:
+    """How often each of so many buckets comes up in all rows of a column of texts,
+    and how many rows there are.
+
+    make() is called once in each task and returns the function that gives the
+    buckets of a text's UTF-8 bytes (null: of an empty text). Each task adds up
+    its own rows, the sums meet on the cluster by packed slices of buckets, and
+    one number a bucket comes to the driver.
+    """
+
+    def run(batches):
+        of, total, n = make(), np.zeros(size, np.int64), 0
+        for batch in batches:
+            for raw in binaries(batch.column(0)):
+                np.add.at(total, of(raw), 1)
+                n += 1
+        slices, data = [-1], [zlib.compress(np.array([n], np.int64).tobytes(), 1)]
+        for k in range(0, size, SLICE):
+            part = total[k : k + SLICE]
+            if part.any():
+                slices.append(k // SLICE)
+                data.append(zlib.compress(part.tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["slice", "sums"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(data.as_buffer()), np.int64)
+                if k in sums:
+                    sums[k] += part
+                else:
+                    sums[k] = part.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
+
+    schema = "slice int, sums binary"
+    parts = min(-(-size // SLICE), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit(""))).mapInArrow(run, schema).repartition(parts, "slice").mapInArrow(add, schema).collect()
+    out, n = np.zeros(size, np.int64), 0
+    for k, data in found:
+        sums = np.frombuffer(bytes(data), np.int64)
+        if k < 0:
+            n = int(sums[0])
+        else:
+            out[k * SLICE : k * SLICE + len(sums)] = sums
+    return out, n
+
+
+def binaries(column: pa.Array):
+    """The bytes of each entry of a string or binary column, without a copy; null: none."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return (np.zeros(0, np.uint8) for _ in range(len(column)))
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(data, np.uint8)
+    if column.null_count:
+        there = column.is_valid().to_pylist()
+        return (data[a:b] if ok else data[:0] for a, b, ok in zip(at, at[1:], there, strict=False))
+    return (data[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
 #: Spark's name for each Arrow type in use.
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 #: Rows that Python holds at once: whole texts may be long.
 ROWS_AT_ONCE = 256
 
 
-def per_text(docs: DataFrame, carry: list[str], text: str, fields: str, make) -> DataFrame:
+def per_text(docs: DataFrame, carry: list[str], text: str, fields: str, make, raw: bool = False) -> DataFrame:
     """docs' columns carry, with fields that a Python function makes of each text.
 
     make() is called once in each task and returns the function, which takes a
-    text (null: empty) and returns a tuple in the order of fields. Only carry and
-    text are read.
+    text (null: empty; with raw: its UTF-8 bytes) and returns a tuple in the order
+    of fields. Only carry and text are read.
     """
     named = [f.strip().split(" ") for f in fields.split(",")]
     kinds = [ARROW[k] for _, k in named]
@@ -150,7 +227,8 @@ def per_text(docs: DataFrame, carry: list[str], text: str, fields: str, make) ->
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
-                columns = zip(*(of(t.as_py() or "") for t in part.column(len(carry))), strict=True)
+                texts = part.column(len(carry))
+                columns = zip(*(map(of, binaries(texts)) if raw else (of(t.as_py() or "") for t in texts)), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
     return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)

@@ -3,24 +3,34 @@
 Words and pairs of words are hashed to buckets. Two multinomials over buckets
 are counted, one over trusted documents (the target), one over the whole corpus
 (raw). A document's score is the sum over its n-grams of the logarithm of
-target over raw probability, divided by their number; documents below a fixed
-threshold go. The target leans on the raw corpus with the weight of ``PRIOR``
-n-grams, so that a small target judges mildly and none keeps everything.
+target over raw probability, divided by their number. The target leans on the
+raw corpus with the weight of ``PRIOR`` n-grams, so that a small target judges
+mildly.
+
+Trusted documents that were counted score better than others like them, the more
+so the smaller the target is. So a fold of them isn't counted, and
+the threshold is where all but a share of ``LOST`` of that fold pass: text like
+the target is kept alike at every size. Without such a fold all pass.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, read, scramble, window_hashes
+from .common import WORD, WordHashes, bucket_sums, only, read, scramble, window_hashes
 
 BITS = 16
 PRIOR = 1 << 16
-#: Mean log-likelihood ratio that a document must reach.
-THRESHOLD = -0.12
+#: The share of trusted documents held out that may fall below the threshold.
+LOST = 0.002
+#: Scores are put in steps of this when the threshold is sought.
+STEP = 1 / 1024
 WINDOW = 8
 FEWEST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
@@ -66,24 +76,13 @@ def base_counts(text: str, hashes: WordHashes) -> tuple[tuple[int, int, int, int
 
 
 def counted(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Documents' n-grams per bucket, over every row.
-
-    Each task sums up its own rows, the sums are added on the cluster, and one
-    number a bucket comes to the driver.
-    """
+    """Documents' n-grams per bucket, over every row."""
 
-    def run(batches):
-        hashes, total = WordHashes(), np.zeros(1 << BITS, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                total += np.bincount(buckets(hashes.of(WORD.findall(t.as_py() or ""))), minlength=1 << BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
+    def make():
+        hashes = WordHashes()
+        return lambda raw: buckets(hashes.of(WORD.findall(raw.tobytes().decode("utf-8", "surrogatepass"))))
 
-    out = np.zeros(1 << BITS, np.int64)
-    for r in docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+    return bucket_sums(docs.select(text), 1 << BITS, make)[0]
 
 
 def ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -92,32 +91,55 @@ def ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndar
     return np.log((target + prior * p) / (target.sum() + prior)) - np.log(p)
 
 
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of all documents labelled good."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+@dataclass
+class Model:
+    weights: np.ndarray
+    threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    return ratios(counted(trusted(docs, labels)), counted(docs))
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The fold of trusted documents that sets the threshold."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 3
 
 
-def judged(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ids and texts of all documents labelled good."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    return only(docs.select("doc_id", "text"), "doc_id", good)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Counts of all documents, and of all labelled good but for a fold; the
+    threshold from that fold's scores. Repeated ids or labels count a document
+    once for each of its rows; null ids are in the raw corpus alone."""
+    good = trusted(docs, labels)
+    weights = ratios(counted(good.filter(~held_out()).select("text")), counted(docs.select("text")))
+    scores = judged(good.filter(held_out()), Model(weights, 0.0), carry=("doc_id",)).filter("NOT quality.base_failed")
+    steps = scores.groupBy(F.floor(F.col("quality.score") / STEP).alias("step")).count().collect()  # scores are within some 30 of 0
+    left = LOST * sum(r["count"] for r in steps)
+    for r in sorted(steps):
+        left -= r["count"]
+        if left < 0:
+            return Model(weights, r["step"] * STEP)
+    return Model(weights, -math.inf)
+
+
+def judged(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
     """docs with a struct ``quality``: the counts, base_failed, score and kept.
 
     A null or empty text has no words, fails the base rules and isn't kept.
     Rows are judged one by one, whole, so repeated rows all get the same
-    verdict. The columns named by carry pass through in ``row``, so none can clash.
+    verdict; an empty table stays empty. The columns named by carry pass through in ``row``, so none can clash.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)  # one number a bucket
+    shared = spark.sparkContext.broadcast(model)  # one number a bucket
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
     rows = docs.select(F.col(text).cast("string").alias("text"), F.struct(*carry).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, quality struct<{', '.join(x.replace(' ', ':') for x in fields.split(', '))}>"
     kinds = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]
 
     def run(batches):
-        hashes, weigh = WordHashes(), shared.value
+        hashes, weigh, threshold = WordHashes(), shared.value.weights, shared.value.threshold
         for batch in batches:
             out = []
             for t in batch.column(0):
@@ -133,13 +155,13 @@ def judged(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, t
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns. Rows are judged one by one:
+    repeated ones stay or go together, and an empty table stays empty."""
     return judged(docs, fit(docs, labels)).filter("quality.kept").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    weights = fit(docs, labels)
     # only the id travels beside the text
-    return judged(docs, weights, carry=("doc_id",)).select(F.col("row.doc_id").alias("doc_id"), "quality.*")
+    return judged(docs, fit(docs, labels), carry=("doc_id",)).select(F.col("row.doc_id").alias("doc_id"), "quality.*")
