@@ -6,55 +6,55 @@ The risk of the negatives is estimated from the unlabelled text less what the
 prior says of positives in it; where a batch makes that estimate negative, the
 step goes back on it (Kiryo et al., 2017).
 
-Features are the different words of a text and their first four and five
-letters, hashed to ``BUCKETS``, each weighted by how far its logarithmic share of
+Features are the different words of a text and their beginnings of four to eight
+bytes, and that two or three of its words begin alike; all are hashed to
+buckets, straight from the bytes. Each is weighted by how far its logarithmic share of
 positives surely stands above that of unlabelled texts. A text's sum is divided by the
-fourth root of its number of features. The shares of the unlabelled side are counted
-over all of it; the model is linear, its gradient steps are numpy's on bounded
+fourth root of its number of features. The unlabelled side is the whole corpus,
+as it stands for what any text may be; shares are counted over all of it and all
+positives. The model is linear, its gradient steps are numpy's on bounded
 samples; each document is scored whole.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, per_text, read
+from .common import bucket_sums, only, per_text, read, scramble
+from .wordhash import letter_words
 
-BUCKETS = 1 << 18
+BITS = 18
+#: How many bytes of a word's beginning are a feature.
+BEGINNINGS = (4, 5, 6, 8)
+#: So many words of a text that begin alike are a feature of their own.
+ALIKE = (2, 3)
+BUCKETS = (1 + len(ALIKE)) << BITS
 #: The share of unlabelled text that is taken to be toxic.
 PRIOR = 0.1
 #: Bounds of the samples for the gradient steps; documents go by a hash of their ids.
 MOST_POSITIVE, MOST_UNLABELLED = 4096, 8192
+#: Most features with a weight: the surest ones.
+MOST_FEATURES = 1 << 15
 THRESHOLD = 0.3
 #: Smoothing of the features' counts, and how many standard errors of a feature's
 #: logarithmic ratio count for nothing, so that few examples teach little.
-SMOOTH, ERRORS = 0.5, 3.0
+SMOOTH, ERRORS = 0.25, 3.0
 ROOT = 0.25
 STEPS, BATCH, RATE, SEED = 128, 256, 0.1, 11
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
-class Features(dict):
-    """word -> the buckets of the word and its beginnings."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORD_CACHE // 2:
-            self.clear()
-        found = ["w" + word] + [f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n]
-        value = self[word] = tuple(xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in found)
-        return value
-
-    def of(self, text: str) -> np.ndarray:
-        """The different buckets of a text."""
-        found = {b for w in set(LETTERS.findall(text.lower())) for b in self[w]}
-        return np.fromiter(sorted(found), np.int32, len(found))
+def features(raw: np.ndarray) -> np.ndarray:
+    """The different buckets of a text's UTF-8 bytes."""
+    words, beginnings = letter_words(raw, BEGINNINGS)
+    shift = np.uint64(64 - BITS)
+    kinds = (np.arange(1, len(BEGINNINGS) + 1, dtype=np.uint64) << np.uint64(56)) * np.uint64(37)
+    alike, times = np.unique((scramble(beginnings ^ kinds) >> shift).astype(np.int32)[beginnings != 0], return_counts=True)
+    once = np.unique(np.concatenate([(scramble(words) >> shift).astype(np.int32), alike]))
+    return np.concatenate([once, *(alike[times >= n] + (k << BITS) for k, n in enumerate(ALIKE, 1))])
 
 
 @dataclass
@@ -67,36 +67,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def sureness(positive: tuple[np.ndarray, int], unlabelled: tuple[np.ndarray, int]) -> np.ndarray:
+    """How far each feature's logarithmic share of positives surely stands above
+    that of unlabelled texts, 0 where it doesn't. Each side: texts with each feature, and all texts."""
+    (p, n_p), (u, n_u) = positive, unlabelled
+    p, u = p + SMOOTH, u + SMOOTH
+    ratio = np.log(p / (n_p + 2 * SMOOTH)) - np.log(u / (n_u + 2 * SMOOTH))
+    found = np.maximum(ratio - ERRORS * np.sqrt(1 / p + 1 / u), 0.0)
+    if np.count_nonzero(found) > MOST_FEATURES:
+        found[np.argsort(-found, kind="stable")[MOST_FEATURES:]] = 0.0
+    return found
+
+
 class _Side:
-    """A sample's features, and batches of it."""
+    """A sample's features (places among those with a weight, and the number of all) and batches of it."""
 
-    def __init__(self, docs: list[np.ndarray], scale: np.ndarray, rng):
+    def __init__(self, docs: list[tuple[np.ndarray, int]], scale: np.ndarray, rng):
         self.docs, self.scale, self.rng, self.order = docs, scale, rng, []
 
     def batch(self, n: int):
         while len(self.order) < n:
-            self.order += list(self.rng.permutation(len(self.docs)))
+            self.order += self.rng.permutation(len(self.docs)).tolist()
         take, self.order = self.order[:n], self.order[n:]
-        sizes = np.array([len(self.docs[i]) for i in take])
-        rows = np.repeat(np.arange(n), sizes)
-        columns = np.concatenate([self.docs[i] for i in take])
-        return rows, columns, self.scale[columns] / np.maximum(1, sizes)[rows] ** ROOT
+        rows = np.repeat(np.arange(n), [len(self.docs[i][0]) for i in take])
+        columns = np.concatenate([self.docs[i][0] for i in take])
+        sizes = np.array([max(1, self.docs[i][1]) for i in take])
+        return rows, columns, self.scale[columns] / sizes[rows] ** ROOT
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float = PRIOR, counted: tuple[np.ndarray, int] | None = None) -> Model:
-    """counted: texts of the whole unlabelled side with each feature, and all its
-    texts; else those of the list. Without positives or unlabelled texts every
-    score is close to 0."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(BUCKETS), -5.0)
-    in_all, n_all = counted or (np.bincount(np.concatenate(unlabelled), minlength=BUCKETS), len(unlabelled))
-    counts = [np.bincount(np.concatenate(positive), minlength=BUCKETS) + SMOOTH, in_all + SMOOTH]
-    ratio = np.log(counts[0] / (len(positive) + 2 * SMOOTH)) - np.log(counts[1] / (n_all + 2 * SMOOTH))
-    scale = np.maximum(ratio - ERRORS * np.sqrt(1 / counts[0] + 1 / counts[1]), 0.0)
+def train(positive: list, unlabelled: list, scale: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """Weights of the features that scale holds, and the bias."""
     rng = np.random.default_rng(SEED)
     p, u = _Side(positive, scale, rng), _Side(unlabelled, scale, rng)
     np_, nu = min(len(positive), BATCH // 4), min(len(unlabelled), BATCH)
-    w, b, seen, seen_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-6), 1e-6
+    w, b, seen, seen_b = np.zeros(len(scale)), 0.0, np.full(len(scale), 1e-6), 1e-6
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(STEPS):
         (rp, cp, vp), (ru, cu, vu) = p.batch(np_), u.batch(nu)
@@ -107,13 +111,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         as_positive, as_negative = -prior * (1 - sigmoid(sp)) / np_, -prior * sigmoid(sp) / np_
         gu = sigmoid(su) / nu
         gp, gu = (as_positive + as_negative, gu) if negative >= 0 else (-as_negative, -gu)
-        g = np.bincount(cp, gp[rp] * vp, minlength=BUCKETS) + np.bincount(cu, gu[ru] * vu, minlength=BUCKETS)
+        g = np.bincount(cp, gp[rp] * vp, minlength=len(w)) + np.bincount(cu, gu[ru] * vu, minlength=len(w))
         gb = gp.sum() + gu.sum()
         seen += g * g
         seen_b += gb * gb
         w -= RATE * g / np.sqrt(seen)
         b -= RATE * gb / np.sqrt(seen_b)
-    return Model(w * scale, float(b))
+    return w * scale, float(b)
 
 
 def training_fold(doc_id="doc_id"):
@@ -121,88 +125,79 @@ def training_fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
-def sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Features of the documents with these ids, of which there is a bounded number."""
+def sampled(docs: DataFrame, ids: DataFrame, most: int, active: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Of the documents with these ids, or as many of them as may be: places of
+    their features in active (no more than MOST_FEATURES), and how many they have in all."""
+    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(active)
 
     def make():
-        features = Features()
-        return lambda t: (features.of(t).tobytes(),)
+        known = shared.value
 
-    found = per_text(rows, ["doc_id"], "text", "features binary", make).collect()
-    found = sorted({(r["doc_id"], bytes(r["features"])) for r in found})
-    return [np.frombuffer(f, np.int32) for _, f in found]
+        def of(raw: np.ndarray):
+            found = features(raw)
+            at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+            return (at[known[at] == found].astype(np.int32).tobytes() if len(known) else b"", len(found))
 
+        return of
 
-def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts of rows have each feature, and how many rows there are; no
-    row is left out.
-
-    Each task sums up its own rows, the sums are added on the cluster, and one
-    number a bucket comes to the driver.
-    """
+    found = per_text(rows, ["doc_id"], "text", "features binary, n long", make, raw=True).collect()
+    return [(np.frombuffer(f, np.int32), n) for _, f, n in sorted({(r["doc_id"], bytes(r["features"]), r["n"]) for r in found})]
 
-    def run(batches):
-        features, total, n = Features(), np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            for t in batch.column(0):
-                total[features.of(t.as_py() or "")] += 1
-                n += 1
-        at = np.flatnonzero(total)
-        # the rows themselves are counted under -1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], names=["bucket", "n"])
 
-    found = rows.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS + 1, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()  # -1 is the last
-    return out[:-1], int(out[-1])
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of the texts have each feature, and how many there are; no row is left out."""
+    return bucket_sums(texts.select("text"), BUCKETS, lambda: features)
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> Model:
-    """A model from labels of the training folds alone.
+    """A model from the toxic labels of the training folds alone.
 
-    Unlabelled are documents without a row in labels; where all have one, those
-    of the training folds without a toxic label. Their features are counted over
-    all of them, and the gradient steps see a sample.
+    Unlabelled are all documents: they are what any text may be. Features are
+    counted over all documents and over all positives, and the gradient steps
+    see a sample of each. Rows without an id are only counted. A label that is
+    there twice counts once, a document whose id is there twice counts twice.
+    Without positives or documents every score is close to 0.
     """
-    of = lambda ids, most: ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    there = docs.select("doc_id").filter("doc_id IS NOT NULL")
-    learnt = labels.filter(F.col("doc_id").isNotNull() & training_fold())
-    toxic = learnt.filter("toxic = 1").select("doc_id")
-    positive = sampled(docs, of(toxic.join(there, "doc_id", "left_semi"), MOST_POSITIVE))
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    unlabelled = sampled(docs, of(there.join(labels.select("doc_id"), "doc_id", "left_anti"), MOST_UNLABELLED))
-    if unlabelled:
-        side = texts.join(labels.select("doc_id"), "doc_id", "left_anti")
-    else:
-        clean = learnt.filter("toxic = 0 OR toxic IS NULL").select("doc_id")
-        unlabelled = sampled(docs, of(clean.join(there, "doc_id", "left_semi"), MOST_UNLABELLED))
-        side = texts.join(clean, "doc_id", "left_semi")
-    return train(positive, unlabelled, prior, frequencies(side) if positive and unlabelled else None)
+    toxic = labels.filter(F.col("doc_id").isNotNull() & training_fold() & (F.col("toxic") == 1)).select("doc_id")
+    positives = only(docs.select("doc_id", "text"), "doc_id", toxic)
+    positive = frequencies(positives)
+    unlabelled = frequencies(docs) if positive[1] else positive
+    if not positive[1]:
+        return Model(np.zeros(BUCKETS), -5.0)
+    scale = sureness(positive, unlabelled)
+    active = np.flatnonzero(scale).astype(np.int32)
+    sides = [sampled(docs, ids, most, active) for ids, most in ((positives.select("doc_id"), MOST_POSITIVE), (docs.select("doc_id").filter("doc_id IS NOT NULL"), MOST_UNLABELLED))]
+    weights = np.zeros(BUCKETS)
+    weights[active], bias = train(*sides, scale[active], prior)
+    return Model(weights, bias)
 
 
 def scored(docs: DataFrame, model: Model, carry: list[str], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Columns carry with score and predicted, of whole texts.
 
     A null or empty text has no features and gets the score of the bias alone.
-    Equal texts get equal scores; repeated rows stay.
+    Equal texts get equal scores, however long they are; repeated rows stay, an
+    empty table stays empty, and columns other than carry and text are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
 
     def make():
-        features, model = Features(), shared.value
+        model = shared.value
 
-        def of(t: str):
-            s = model.score(features.of(t))
+        def of(raw: np.ndarray):
+            s = model.score(features(raw))
             return s, int(s >= threshold)
 
         return of
 
-    return per_text(docs, carry, text, "score double, predicted int", make)
+    return per_text(docs, carry, text, "score double, predicted int", make, raw=True)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted to be toxic, with their own columns."""
+    """The documents that aren't predicted to be toxic, with their own columns.
+    Repeated rows stay or go together; an empty table stays empty."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     return scored(rows, fit(docs, labels), ["row"]).filter("predicted = 0").select("row.*")
 

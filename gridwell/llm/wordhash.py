@@ -15,7 +15,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 from .common import scramble
@@ -90,15 +89,34 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def binaries(column: pa.Array):
-    """The bytes of each entry of a string or binary column, without a copy; null: none."""
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    if not len(column) or data is None:
-        return (np.zeros(0, np.uint8) for _ in range(len(column)))
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    data = np.frombuffer(data, np.uint8)
-    if column.null_count:
-        there = column.is_valid().to_pylist()
-        return (data[a:b] if ok else data[:0] for a, b, ok in zip(at, at[1:], there, strict=False))
-    return (data[a:b] for a, b in zip(at, at[1:], strict=False))
+#: Bytes of letters: those of ASCII, and of any character beyond it.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_words(raw: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each different run of letters: its hash, and a row of hashes of its
+    first so many bytes, 0 where it's shorter. Runs longer than a piece, and
+    those across its end, are cut there."""
+    up, down = _tables()
+    hashes, firsts = [np.zeros(0, np.uint64)], [np.zeros((0, len(heads)), np.uint64)]
+    for at in range(0, len(raw), PIECE):
+        part = raw[at : at + PIECE]
+        is_letter = LETTER[part]
+        edges = np.flatnonzero(is_letter[1:] != is_letter[:-1]) + 1
+        edges = np.concatenate([[0] * int(is_letter[0]), edges, [len(part)] * int(is_letter[-1])]).astype(np.int64)
+        begin, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUE[part] * up[: len(part)], out=sums[1:])
+        found, first = np.unique((sums[end] - sums[begin]) * down[begin], return_index=True)
+        begin, end = begin[first], end[first]
+        hashes.append(found)
+        rows = np.zeros((len(found), len(heads)), np.uint64)
+        for k, n in enumerate(heads):
+            long = np.flatnonzero(end - begin >= n)
+            rows[long, k] = (sums[begin[long] + n] - sums[begin[long]]) * down[begin[long]]
+        firsts.append(rows)
+    if len(hashes) == 2:
+        return hashes[1], firsts[1]
+    found, first = np.unique(np.concatenate(hashes), return_index=True)
+    return found, np.concatenate(firsts)[first]
