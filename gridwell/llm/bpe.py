@@ -27,6 +27,8 @@ from .common import per_text
 
 #: Most words of a generation whose ids a worker remembers.
 WORD_CACHE = 250_000
+#: Most pairs whose border is remembered.
+PAIRS = 400_000
 #: Words longer than this aren't remembered.
 LONGEST_KEPT = 64
 
@@ -83,7 +85,7 @@ class Merges:
                 until, a = a, ha[1]
             else:
                 until, b = b + 1, hb[0]
-        if len(self.beside) >= 2_000_000:
+        if len(self.beside) >= PAIRS:
             self.beside.clear()
         self.beside[left, right] = ok
         return ok

@@ -455,7 +455,9 @@ def extracted(pages: DataFrame, carry: list[str], page: str = "html") -> DataFra
 
     A null, empty or markup-free page is handled like any other: without text the
     result is empty, plain text is one block. Broken and unfinished markup is
-    read as far as it goes. Rows are independent; repeated ones stay.
+    read as far as it goes. A page's time grows with its length, however deep its
+    elements are. Rows are independent; repeated ones stay, an empty table stays
+    empty, and columns other than carry and the page are left out.
     """
 
     def make():

@@ -102,6 +102,8 @@ class TarWriter:
         self.stream.close()
 
 
+#: Most different payloads in a shard.
+MOST_PAYLOADS = 200_000
 #: What a row carries in place of its payload.
 REFERENCE = "digest string, shard string, offset long, length long, n_bytes long"
 
@@ -111,8 +113,9 @@ def stored(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text"
 
     Write the result before using it: running it again writes new shards. A null
     text is stored as an empty one, 64 zero bytes. Every row gets a reference,
-    repeated rows and copies to the same bytes if they are in one shard. An
-    empty table writes nothing of note.
+    repeated rows and copies to the same bytes if they are in one shard. A very
+    long text is one payload, whole. Only key and text are read, so other columns
+    can't clash; an empty table gives no rows and no shards that hold payloads.
     """
     Folder(folder).make()
     kind = docs.schema[key].dataType.simpleString()
@@ -128,6 +131,10 @@ def stored(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text"
                 size, payload = padded(t.as_py() or "")
                 same = hashlib.blake2b(payload, digest_size=20, salt=size.to_bytes(8, "little")).digest()
                 if same not in texts:
+                    if len(texts) >= MOST_PAYLOADS:  # a shard is full: what a task remembers is bounded
+                        writer.close()
+                        writer, name = None, place.new_name(TaskContext.get().partitionId(), ".tar")
+                        texts.clear()
                     writer = writer or TarWriter(place.create(name))
                     png = to_png(payload)
                     digest = hashlib.sha256(png).hexdigest()

@@ -73,9 +73,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
 def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key: str = "doc_id", weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """Rows of docs, as a struct ``row``, with size, source_size, target and copies.
 
-    size: a column of whole numbers; by default the words of ``text``. Ties and
-    repeated rows each count for themselves and may get different numbers of
-    copies. A null text has size 0; so has an empty one. Null sources are one
+    size: a column of whole numbers; by default the words of ``text``, however
+    long. Ties and repeated rows each count for themselves and may get different
+    numbers of copies; rows that share a key go by a hash of all their columns, so
+    reruns agree. A null text has size 0; so has an empty one. Null sources are one
     source. A null key is a key. Sources without words have target 0 and no
     copies. Any further columns stay inside ``row``, so no name can clash. An
     empty table gives an empty one.
@@ -89,6 +90,7 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
         size.cast("long").alias("size"),
         F.col(key).alias("key"),
         hashed(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("hash"),
+        F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString())).alias("tie"),
     ).withColumns({"class": size_class(F.col("size")), "salt": F.col("hash") % SALTS})
     cell = ["src", "class", "salt"]
     with Scratch(spark) as scratch:
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
         "src",
     )
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(before("src", "class", "salt")), F.lit(0)).alias("within")).join(classes, ["src", "class"])
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "hash", "key"))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "hash", "key", "tie"))
     placed = rows.join(cells, cell).withColumn("place", F.col("base") + F.col("within") + place)
     crossed = (F.col("offset") + F.col("place") % ONE * F.col("part")) % ONE < F.col("part")
     return placed.select("row", "size", "source_size", "target", (F.col("whole") + crossed.cast("long")).alias("copies"))

@@ -22,6 +22,7 @@ import zlib
 from array import array
 from contextlib import contextmanager
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import Scratch
 from .shards import Folder
 
 MAGIC = b"GWT1"
-BITS = 20
+BITS = 18
 LANES = 2048
 #: Ids in a block.
 BLOCK = 1 << 19
@@ -201,6 +202,9 @@ class FileReader:
                 yield key, b"".join(parts)
 
 
+_ID = attrgetter("id")
+
+
 class Memory(dict):
     """What a function gives, for the keys met lately: two generations."""
 
@@ -220,18 +224,22 @@ class Memory(dict):
 
 
 class Later(Memory):
-    """Parts behind a space. Most new ones are plain words, which go to the model from here."""
+    """Parts behind a space. Most new ones are plain words, with a stop or without,
+    and go to the model from here."""
 
-    def __init__(self, of, most: int, tokenize, packed: list[bytes]):
+    def __init__(self, of, most: int, tokenize, packed: list[bytes], stops: dict[str, bytes]):
         super().__init__(of, most)
-        self.tokenize, self.packed = tokenize, packed
+        self.tokenize, self.packed, self.stops = tokenize, packed.__getitem__, stops
 
     def __missing__(self, part: str):
         value = self.old.get(part)
         if value is None:
-            if part.isascii() and part.isalpha():
-                packed = self.packed
-                value = b"".join([packed[t.id] for t in self.tokenize("\u0120" + part)])  # the symbol of a space
+            if not part.isascii():
+                value = self.of(part)
+            elif part.isalpha():
+                value = b"".join(map(self.packed, map(_ID, self.tokenize("\u0120" + part))))  # the symbol of a space
+            elif (word := part[:-1]).isalpha() and (stop := self.stops.get(part[-1])):
+                value = self[word] + stop
             else:
                 value = self.of(part)
         if len(part) <= self.longest:
@@ -264,7 +272,7 @@ class Tokens:
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[\d\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
     STOPS = frozenset(".,;:!?")
     #: How many words and parts a generation holds.
-    WORDS, PARTS = 60_000, 250_000
+    WORDS, PARTS = 60_000, 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -274,14 +282,13 @@ class Tokens:
         self.packed = [k.to_bytes(4, "little") for k in range(max(self.library.get_vocab().values()) + 1)]
         self.words = Memory(self._word, self.WORDS)
         self.first = Memory(self._first, self.PARTS // 20)
-        self.later = Later(self._later, self.PARTS, self.tokenize, self.packed)
+        self.later = Later(self._later, self.PARTS, self.tokenize, self.packed, {c: self._word(c) for c in self.STOPS})
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        symbol, packed = self.symbol, self.packed
-        return b"".join([packed[t.id] for t in self.tokenize("".join([symbol[b] for b in word.encode()]))])
+        return b"".join(map(self.packed.__getitem__, map(_ID, self.tokenize("".join(map(self.symbol.__getitem__, word.encode()))))))
 
     def _first(self, part: str) -> bytes:
         if part and self.ODD.match(part):

@@ -69,6 +69,34 @@ def test_near_duplicates_stay_once_whatever_their_ids(spark):
     )
 
 
+def test_odd_documents_go_through(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, and no rows at all."""
+    plain = read(spark, SF, "documents")
+    texts = [None, "", " ", "one", "w " * 5_000, "x" * 20_000, "a\nb\na\n\n\nb\n", "<|endoftext|> " * 30]
+    rows = [(k if k % 3 else None, t, None if k % 2 else "en", None if k % 2 == 0 else "s", None, "row", k) for k, t in enumerate([*texts, *texts])]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, size long")
+    odd = odd.unionAll(odd).unionByName(plain.limit(40), allowMissingColumns=True)
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        columns = docs.columns
+        for k, (stage, of) in enumerate(corpus_pipeline.STAGES):
+            out = of(spark, docs, SF)
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            assert docs.columns == columns or stage == "bpe"
+        assert (docs.count() > 0) == (name == "odd")
+
+
+def test_a_failing_stage_leaves_nothing(spark, tmp_path, monkeypatch):
+    def fails(*_):
+        raise RuntimeError("stop")
+
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda spark, docs, _: docs.limit(3)), ("second", fails)])
+    with pytest.raises(RuntimeError, match="stop"):
+        corpus_pipeline.run(spark, SF)
+    assert not list(tmp_path.glob("**/*.parquet"))
+
+
 def test_ids(stages):
     from tokenizers import Tokenizer
 
