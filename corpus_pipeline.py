@@ -15,28 +15,33 @@ from gridwell.llm import bpe, jaccard, mixing, quality, toxicity
 from gridwell.llm.common import read, shared_dir
 
 
+# Every stage takes an empty table, null ids, texts and sources, texts of any
+# length, repeated rows and further columns, which pass through; what each does
+# with them stands with the operator that it calls.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and the likelihood ratio."""
+    """Documents that pass the counts and the likelihood ratio; null and empty texts fail the counts."""
     return quality.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic; null and empty texts stay."""
     return toxicity.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
+    """One document of each group of similar ones; texts without words are like no other."""
     return jaccard.kept(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; null is a source, and texts without words are taken as their neighbours are."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, and digests of them and of their decoding."""
+    """The ids of each document, and digests of them and of their decoding; a null text has none."""
     rows = bpe.encoded(docs)
     return rows.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
@@ -57,17 +62,28 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. The tables between stages go when the last one is written."""
+    """All stages over documents.
+
+    A table goes when the next one is written, and all go when a stage fails.
+    The result is the last table, which stays in the shared folder for its readers.
+    """
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
     conf = spark._jsc.hadoopConfiguration()
-    path = None
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        before, path = path, f"{root}/{k}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-        if before:
-            old = spark._jvm.org.apache.hadoop.fs.Path(before)
-            old.getFileSystem(conf).delete(old, True)
+
+    def drop(path: str) -> None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(conf).delete(old, True)
+
+    docs, path = read(spark, sf_dir, "documents"), None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            out = stage(spark, docs, sf_dir)
+            before, path = path, f"{root}/{k}-{name}"
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+            if before:
+                drop(before)
+    except BaseException:
+        drop(root)
+        raise
     return docs
