@@ -63,6 +63,16 @@ def rectilinear(spark: SparkSession, *coordinates, domain_id: int = 0) -> Mesh:
     return Mesh(mesh.vertices.withColumns(at), mesh.cells.withColumns(middle), mesh.axes, mesh.dims)
 
 
+def explicit(vertices: DataFrame, cells: DataFrame, axes=XYZ) -> Mesh:
+    """A mesh of any cells: vertices (vertex_id, coordinates, fields) and cells
+    (cell_id, conn: their vertices' ids, fields), with a domain_id in both or
+    neither. Cells get their centres: the means of their vertices."""
+    vertices, cells = (df if "domain_id" in df.columns else df.withColumn("domain_id", F.lit(0)) for df in (vertices, cells))
+    corners = cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id")).join(vertices.select("domain_id", "vertex_id", *axes), ["domain_id", "vertex_id"])
+    centres = corners.groupBy("domain_id", "cell_id").agg(*(F.avg(c).alias(c) for c in axes))
+    return Mesh(vertices, cells.drop(*axes).join(centres, ["domain_id", "cell_id"]), tuple(axes))
+
+
 def measures(mesh: Mesh) -> DataFrame:
     """cells with the extent on each axis, and area or volume (of the box around a cell)."""
     corners = mesh.cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id")).join(mesh.vertices, ["domain_id", "vertex_id"])
@@ -171,12 +181,19 @@ def reflect(df: DataFrame, point, axis: str) -> DataFrame:
     return df.withColumn(axis, F.lit(2.0 * float(point)) - F.col(axis))
 
 
-def boundary(cells: DataFrame) -> DataFrame:
-    """Faces that only one cell has, as sorted vertex ids; cells are hexahedra or quadrilaterals."""
-    hexes = [(0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)]
-    quads = [(0, 1), (1, 2), (2, 3), (3, 0)]
+#: Faces of cells with so many vertices, in space and in a plane.
+FACES = {
+    3: {8: [(0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)], 4: [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)], 5: [(0, 1, 2, 3), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)], 6: [(0, 1, 2), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)]},
+    2: {4: [(0, 1), (1, 2), (2, 3), (3, 0)], 3: [(0, 1), (1, 2), (2, 0)]},
+}
+
+
+def boundary(cells: DataFrame, axes: int = 3) -> DataFrame:
+    """Faces (edges in a plane) that only one cell has, as sorted vertex ids."""
     of = lambda table: F.array(*(F.array_sort(F.array(*(F.get("conn", F.lit(k)) for k in f))) for f in table))
-    faces = F.when(F.size("conn") == 8, of(hexes)).otherwise(of(quads))
+    faces = F.when(F.lit(False), F.array(F.col("conn")))
+    for n, table in FACES[axes].items():
+        faces = faces.when(F.size("conn") == n, of(table))
     rows = cells.select("domain_id", "cell_id", F.explode(faces).alias("face"))
     return rows.groupBy("domain_id", "face").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").drop("n")
 
@@ -184,22 +201,26 @@ def boundary(cells: DataFrame) -> DataFrame:
 TETS = [(0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6)]
 #: The other way to cut a hexahedron: its neighbours' cut, so that faces that two cells share are cut alike.
 MIRRORED = [(1, 0, 2, 5), (0, 3, 2, 7), (0, 5, 4, 7), (2, 5, 7, 6), (0, 2, 5, 7)]
-TRIANGLES, MIRRORED_TRIANGLES = [(0, 1, 2), (0, 2, 3)], [(0, 1, 3), (1, 2, 3)]
+#: How a cell with so many vertices is cut, in space and in a plane: wedges, pyramids, quadrilaterals.
+IN_SPACE = {6: [(0, 1, 2, 5), (0, 1, 5, 4), (0, 4, 5, 3)], 5: [(0, 1, 2, 4), (0, 2, 3, 4)]}
+IN_PLANE = {4: [(0, 1, 2), (0, 2, 3)]}
 
 
-def split(cells: DataFrame) -> DataFrame:
-    """Cells cut to triangles (quadrilaterals) or tetrahedra (hexahedra): (.., part, conn).
+def split(cells: DataFrame, axes: int = 3) -> DataFrame:
+    """Cells cut to triangles (in a plane) or tetrahedra (in space): (.., part, conn).
 
-    On a regular grid (with i, j, k) the cut alternates from cell to cell, so
-    that neighbours cut the face between them along the same diagonal.
+    Hexahedra, wedges, pyramids and quadrilaterals are cut; simplices stay. On a
+    regular grid (with i, j, k) the cut of hexahedra alternates from cell to
+    cell, so that neighbours cut the face between them along the same diagonal.
     """
     of = lambda table: F.array(*(F.array(*(F.get("conn", F.lit(k)) for k in f)) for f in table))
     places = [F.col(c) for c in IJK if c in cells.columns]
     odd = reduce(lambda a, b: a + b, places) % 2 == 1 if places else F.lit(False)
-    either = lambda one, other: F.when(odd, of(other)).otherwise(of(one))
-    parts = F.when(F.size("conn") == 8, either(TETS, MIRRORED)).when(F.size("conn") == 4, either(TRIANGLES, MIRRORED_TRIANGLES)).otherwise(F.array("conn"))
+    parts = F.when(F.size("conn") == 8, F.when(odd, of(MIRRORED)).otherwise(of(TETS)))
+    for n, table in (IN_SPACE if axes == 3 else IN_PLANE).items():
+        parts = parts.when(F.size("conn") == n, of(table))
     kept = [c for c in cells.columns if c != "conn"]
-    return cells.select(*kept, F.posexplode(parts).alias("part", "conn"))
+    return cells.select(*kept, F.posexplode(parts.otherwise(F.array("conn"))).alias("part", "conn"))
 
 
 def cell_ranges(mesh: Mesh, value: Column) -> DataFrame:

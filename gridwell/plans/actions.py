@@ -274,7 +274,7 @@ def _(data, p):
 
 @operator("triangulate", "topology")
 def _(data, p):
-    return _with_cells(data, ms.split(data.cells))
+    return _with_cells(data, ms.split(data.cells, len(data.mesh.axes) if data.mesh is not None else 3))
 
 
 def _scalars(data: Data) -> tuple[str, ...]:
@@ -383,7 +383,7 @@ def _(data, p):
 
 @operator("mesh_boundary", "topology")
 def _(data, p):
-    return Data(ms.boundary(data.cells), None, ("domain_id", "cell_id"), data.state)
+    return Data(ms.boundary(data.cells, len(data.mesh.axes) if data.mesh is not None else 3), None, ("domain_id", "cell_id"), data.state)
 
 
 @operator("relay", "path protocol fields num_files topologies", EXTRACTS)

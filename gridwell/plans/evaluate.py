@@ -70,6 +70,8 @@ class Data:
     state: dict[str, Any] = field(default_factory=dict)
     mesh: Any = None
     topology: str = "mesh"
+    #: What reductions of a field have said, by its table and column.
+    sums: dict[Any, Any] = field(default_factory=dict)
 
     @classmethod
     def of_mesh(cls, mesh, **state) -> Data:
@@ -461,18 +463,28 @@ function("min(arg1: field)")(_extreme(False))
 function("max(arg1: field)")(_extreme(True))
 
 
-def _reduction(make):
+_REDUCTIONS = {"sum": F.sum, "avg": F.avg, "field_nan_count": rd.nan_count, "field_inf_count": rd.inf_count}
+
+
+def _reduction(name: str):
+    """One scan gives all of a field's reductions; later ones of the same field are known."""
+
     def of(ev, arg1):
         if arg1.vector:
             raise ExpressionError("a reduction needs a scalar field")
-        found = ev.materialised(arg1).agg(make(numeric.number(F.col("__field")))).first()[0]
+        table, known = ev.data.table(arg1.assoc), ev.data.sums
+        key = (arg1.assoc, str(arg1.column))
+        if key not in known or known[key][0] is not table:
+            f = numeric.number(F.col("__field"))
+            known[key] = table, ev.materialised(arg1).agg(*(make(f).alias(n) for n, make in _REDUCTIONS.items())).first()
+        found = known[key][1][name]
         return float(found) if found is not None else NAN
 
     return of
 
 
-for _name, _of in {"sum": F.sum, "avg": F.avg, "field_nan_count": rd.nan_count, "field_inf_count": rd.inf_count}.items():
-    function(f"{_name}(arg1: field)")(_reduction(_of))
+for _name in _REDUCTIONS:
+    function(f"{_name}(arg1: field)")(_reduction(_name))
 
 
 @function("bounds(topology: string =)")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors
+from .operators import geometry as gm
 from .operators import mesh as ms
+from .operators import selection as sl
 from .plans.actions import Engine
 from .plans.evaluate import Data, Evaluator, History
-from .queries import _CURL, _HIST, _KEYS, _MESH, LINE_KEYS, _mesh, query, read
+from .queries import _BELOW, _CURL, _HIST, _KEYS, _MESH, ACROSS, LINE_KEYS, _box, _mesh, query, read
 from .streaming import cycles
 
 
@@ -196,3 +198,29 @@ def streamline_pipeline(spark, sf):
     engine = Engine().publish(data)
     engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"f": {"type": "streamline", "params": {"field": "v", "num_steps": 8, "step_size": 0.1, "seeds": seeds}}}}}])
     return engine.pipelines["p"].cells.select("seed_id", "step", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+def _wedges(spark, sf) -> ms.Mesh:
+    """The mesh with each cell as two wedges, of which nothing but their vertices is known."""
+    m = _mesh(spark, sf)
+    at = lambda *k: F.array(*(F.col("conn")[i] for i in k))
+    halves = m.cells.select("cell_id", F.explode(F.array(at(0, 1, 2, 4, 5, 6), at(0, 2, 3, 4, 6, 7))).alias("conn"), "f")
+    cells = halves.select((F.col("cell_id") * 2 + (F.col("conn")[1] - F.col("conn")[0] != 1).cast("int")).alias("cell_id"), "conn", "f")
+    return ms.explicit(m.vertices.drop("domain_id", "i", "j", "k"), cells)
+
+
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 3) + " SELECT cell_id, round(total / 0.75, 5) + 0.0 AS size FROM s WHERE round(total / 0.75, 5) > 0.0001")
+def explicit_mesh(spark, sf):
+    """Wedges cut by a plane: together they have what is left of each box."""
+    pieces = gm.volume(gm.clipped(_wedges(spark, sf), sl.plane(*ACROSS)))
+    return pieces.groupBy(F.floor(F.col("cell_id") / 2).alias("cell_id")).agg((F.round(F.sum("size"), 5) + 0.0).alias("size")).filter("size > 0.0001")
+
+
+@query(_MESH + " SELECT 2 * id + h AS cell_id, round(x0 + CASE WHEN h = 0 THEN 1.0 / 3 ELSE 0.5 / 3 END, 6) AS x, round(y0 + CASE WHEN h = 0 THEN 1.0 / 3 ELSE 2.0 / 3 END, 6) AS y FROM c, (VALUES (0), (1)) AS t(h)")
+def explicit_centres(spark, sf):
+    return _wedges(spark, sf).cells.select("cell_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(_MESH + " SELECT (SELECT count(*) * 2 FROM c WHERE i IN (0, 3)) // 2 + (SELECT count(*) FROM c WHERE j IN (0, 4)) + 2 * (SELECT count(*) FROM c WHERE k = 0 OR k = (SELECT max(k) FROM c)) AS faces FROM (SELECT 1)")
+def explicit_boundary(spark, sf):
+    return ms.boundary(_wedges(spark, sf).cells).agg(F.count("*").alias("faces"))
