@@ -269,3 +269,17 @@ def advect(seeds: DataFrame, velocity, steps: int, step_size: float, axes=meshes
                 at = at + step_size / 6 * (a + 2 * b + 2 * c + d)
 
     return seeds.select("seed_id", *(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(run, f"seed_id long, step int, {', '.join(c + ' double' for c in names)}")
+
+
+def flow_map(mesh: meshes.Mesh, field: str, steps: int, step_size: float, resolution=None) -> DataFrame:
+    """(seed_id, start, end) of particles that a vertex vector field of a uniform grid
+    carries for some steps: places at both ends, as structs; end is null for
+    particles that leave the grid. Seeds are the grid's vertices, or those of a
+    grid of another resolution (vertices on each axis) over the same room."""
+    dims = tuple(resolution or mesh.dims)
+    spacing = [s * (n - 1) / max(1, m - 1) for s, n, m in zip(mesh.spacing, mesh.dims, dims, strict=True)]
+    seeds = meshes.uniform(mesh.vertices.sparkSession, dims, mesh.origin, spacing).vertices.select(F.col("vertex_id").alias("seed_id"), *mesh.axes)
+    path = advect(seeds, sampled_velocity(mesh, field), steps, step_size, mesh.axes)
+    place = F.struct(*mesh.axes)
+    ends = path.filter(F.col("step") == steps).select("seed_id", place.alias("end"))
+    return seeds.select("seed_id", place.alias("start")).join(ends, "seed_id", "left")

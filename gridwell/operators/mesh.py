@@ -260,13 +260,19 @@ def three_slice(mesh: Mesh, at) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def auto_slice(mesh: Mesh, field: str, levels: int, axis: str, bins: int = 256) -> DataFrame:
-    """One row: of levels planes across an axis, the one with the greatest entropy of the field on its cells."""
-    low, high = mesh.cells.agg(F.min(axis), F.max(axis)).first()
+def auto_slice(mesh: Mesh, field: str, levels: int, normal, bins: int = 256) -> DataFrame:
+    """One row: of levels planes across a normal (or an axis), the one with the
+    greatest entropy of the field on its cells; position is the distance from
+    the origin along the normal."""
+    normal = [float(c == normal) for c in mesh.axes] if isinstance(normal, str) else [float(x) for x in normal]
+    size = sum(x * x for x in normal) ** 0.5
+    if not size:
+        raise ValueError("auto_slice: a normal has a direction")
+    along = reduce(lambda a, b: a + b, (F.col(c) * (x / size) for c, x in zip(mesh.axes, normal, strict=True)))
     f = number(F.col(field))
-    least, most = mesh.cells.agg(F.min(f), F.max(f)).first()
+    low, high, least, most = mesh.cells.agg(F.min(along), F.max(along), F.min(f), F.max(f)).first()
     step, width = (high - low) / (levels + 1), (most - least) or 1.0
-    rows = mesh.cells.select(F.round((F.col(axis) - low) / F.lit(step or 1.0)).cast("int").alias("level"), F.least(((f - least) * F.lit(bins / width)).cast("int"), F.lit(bins - 1)).alias("bin"))
+    rows = mesh.cells.select(F.round((along - low) / F.lit(step or 1.0)).cast("int").alias("level"), F.least(((f - least) * F.lit(bins / width)).cast("int"), F.lit(bins - 1)).alias("bin"))
     counts = rows.filter(F.col("level").between(1, levels)).groupBy("level", "bin").agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("level"))
     scores = counts.withColumn("p", p).groupBy("level").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
@@ -274,18 +280,73 @@ def auto_slice(mesh: Mesh, field: str, levels: int, axis: str, bins: int = 256)
     return best.select("b.level", (F.lit(low) + F.col("b.level") * step).alias("position"), "b.entropy")
 
 
-def _located(points: DataFrame, mesh: Mesh, fields: list[str], empty: float) -> DataFrame:
-    """points with cell_id and the fields of the cell of a uniform grid they lie in:
-    their place in the grid is arithmetic, so the join is on cell ids."""
-    inside, cell, stride = F.lit(True), F.lit(0).cast("long"), 1
-    for c, n, o, s in zip(mesh.axes, mesh.dims, mesh.origin, mesh.spacing, strict=True):
-        at = (F.col(c) - o) / s
-        inside &= (at >= 0) & (at <= n - 1)
-        cell = cell + F.least(F.floor(at), F.lit(n - 2)) * stride
-        stride *= n - 1
-    rows = points.withColumn("cell_id", F.when(inside, cell))
-    values = mesh.cells.select("cell_id", *fields)
-    out = rows.join(values, "cell_id", "left")
+def merge_points(mesh: Mesh, delta: float) -> Mesh:
+    """The mesh with vertices that lie in one box of a grid of width delta made one:
+    it has the least id among them, the mean place, and the fields of that least one."""
+    box = [F.floor(F.col(c) / float(delta)).alias(f"__{c}") for c in mesh.axes]
+    rows = mesh.vertices.select("*", *box)
+    keys = ["domain_id", *(f"__{c}" for c in mesh.axes)]
+    merged = rows.groupBy(*keys).agg(F.min("vertex_id").alias("__into"), *(F.avg(c).alias(f"__at_{c}") for c in mesh.axes))
+    placed = rows.join(merged, keys)
+    vertices = placed.filter("vertex_id = __into").withColumns({c: F.col(f"__at_{c}") for c in mesh.axes}).select(mesh.vertices.columns)
+    corners = mesh.cells.select("domain_id", "cell_id", F.posexplode("conn").alias("corner", "vertex_id")).join(placed.select("domain_id", "vertex_id", "__into"), ["domain_id", "vertex_id"])
+    conn = corners.groupBy("domain_id", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "__into"))), lambda x: x["__into"]).alias("conn"))
+    return Mesh(vertices, mesh.cells.drop("conn").join(conn, ["domain_id", "cell_id"]), mesh.axes)
+
+
+def _det(rows: list[list[Column]]) -> Column:
+    if len(rows) == 2:
+        (a, b), (c, d) = rows
+        return a * d - b * c
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+
+def locate(points: DataFrame, mesh: Mesh, key: str, near: float = 1e-9) -> DataFrame:
+    """(key, domain_id, cell_id) of the points that lie in a cell, on any mesh; the
+    least cell where several hold a point.
+
+    Points and simplices of cells meet by the boxes of a coarse grid, about one for
+    each cell, and an exact test decides.
+    """
+    from .geometry import simplices
+
+    axes, d = mesh.axes, len(mesh.axes)
+    rows = simplices(mesh, F.lit(0.0)).select("domain_id", "cell_id", "points")
+    at = lambda i, k: F.get("points", F.lit(i * d + k))
+    ends = bounds(mesh.vertices, list(axes)).first()
+    each = max(1, round(mesh.cells.count() ** (1 / d)))
+    low = [float(ends[f"min_{c}"]) for c in axes]
+    width = [(float(ends[f"max_{c}"]) - a) / each or 1.0 for c, a in zip(axes, low, strict=True)]
+    place = lambda v, k: F.floor((v - low[k]) / width[k])
+    for k in range(d):
+        across = [at(i, k) for i in range(d + 1)]
+        rows = rows.withColumn(f"__b{k}", F.explode(F.sequence(place(F.least(*across) - near, k), place(F.greatest(*across) + near, k))))
+    asked = points.select(key, *(F.col(c).cast("double").alias(f"__p{k}") for k, c in enumerate(axes)))
+    asked = asked.withColumns({f"__b{k}": place(F.col(f"__p{k}"), k) for k in range(d)})
+    met = asked.join(rows, [f"__b{k}" for k in range(d)])
+    edges = [[at(i, k) - at(0, k) for k in range(d)] for i in range(1, d + 1)]
+    away = [F.col(f"__p{k}") - at(0, k) for k in range(d)]
+    met = met.withColumn("__size", _det(edges))
+    shares = [F.try_divide(_det([away if j == i else e for j, e in enumerate(edges)]), F.col("__size")) for i in range(d)]
+    inside = reduce(lambda a, b: a & b, (x >= -near for x in shares)) & (reduce(lambda a, b: a + b, shares) <= 1 + near)
+    return met.filter(inside).groupBy(key).agg(F.min(F.struct("domain_id", "cell_id")).alias("c")).select(key, "c.domain_id", "c.cell_id")
+
+
+def _located(points: DataFrame, mesh: Mesh, fields: list[str], empty: float, key: str) -> DataFrame:
+    """points with cell_id and the fields of the cell they lie in. On a uniform grid
+    their place is arithmetic, so the join is on cell ids; else they are looked up."""
+    if mesh.spacing:
+        inside, cell, stride = F.lit(True), F.lit(0).cast("long"), 1
+        for c, n, o, s in zip(mesh.axes, mesh.dims, mesh.origin, mesh.spacing, strict=True):
+            at = (F.col(c) - o) / s
+            inside &= (at >= 0) & (at <= n - 1)
+            cell = cell + F.least(F.floor(at), F.lit(n - 2)) * stride
+            stride *= n - 1
+        out = points.withColumn("cell_id", F.when(inside, cell)).join(mesh.cells.select("cell_id", *fields), "cell_id", "left")
+    else:
+        found = locate(points, mesh, key).join(mesh.cells.select("domain_id", "cell_id", *fields), ["domain_id", "cell_id"])
+        out = points.join(found.drop("domain_id"), key, "left")
     return out.withColumns({f: F.coalesce(number(F.col(f)), F.lit(float(empty))) for f in fields})
 
 
@@ -293,13 +354,13 @@ def lineout(mesh: Mesh, samples: int, start, end, fields: list[str], empty_val:
     """samples + 2 points from start to end with the fields of the cells they lie in."""
     n = samples + 1
     points = mesh.cells.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("sample"), *((F.lit(float(a)) + F.col("id") * F.lit((float(b) - float(a)) / n)).alias(c) for c, a, b in zip(mesh.axes, start, end, strict=True)))
-    return _located(points, mesh, fields, empty_val)
+    return _located(points, mesh, fields, empty_val, "sample")
 
 
 def uniform_grid(mesh: Mesh, fields: list[str], dims, origin, spacing, invalid_value: float = 0.0) -> DataFrame:
     """Points of another uniform grid with the fields of the cells they lie in."""
     other = uniform(mesh.cells.sparkSession, dims, origin, spacing).vertices.select(F.col("vertex_id").alias("point_id"), *mesh.axes)
-    return _located(other, mesh, fields, invalid_value)
+    return _located(other, mesh, fields, invalid_value, "point_id")
 
 
 def paint_ghosts(coarse: DataFrame, fine: DataFrame, factor: int, axes: int = 3, output: str = "ghost") -> DataFrame:

@@ -316,9 +316,25 @@ def _(data, p):
     return Data(ms.three_slice(data.mesh, at), None, ("domain_id", "cell_id"), data.state)
 
 
-@operator("auto_slice", "field levels axis")
+@operator("auto_slice", "field levels axis normal")
 def _(data, p):
-    return Data(ms.auto_slice(data.mesh, p["field"], p["levels"], p.get("axis", "z")), None, ("level",), data.state)
+    normal = p.get("normal") or p.get("axis") or data.mesh.axes[-1]
+    normal = [normal[c] for c in data.mesh.axes] if isinstance(normal, dict) else normal
+    return Data(ms.auto_slice(data.mesh, p["field"], p["levels"], normal), None, ("level",), data.state)
+
+
+@operator("merge_points", "delta")
+def _(data, p):
+    merged = ms.merge_points(data.mesh, p["delta"])
+    return Data(merged.cells, merged.vertices, data.keys, data.state, merged, data.topology)
+
+
+@operator("lagrangian", "field num_steps step_size x_res y_res z_res")
+def _(data, p):
+    asked = [p.get(f"{c}_res") for c in data.mesh.axes]
+    if any(asked) and not all(asked):
+        raise ActionError("lagrangian: a resolution for each axis, or none")
+    return Data(gm.flow_map(data.mesh, p["field"], int(p["num_steps"]), float(p["step_size"]), asked if all(asked) else None), None, ("seed_id",), data.state)
 
 
 @operator("uniform_grid", "field dims origin spacing invalid_value")

@@ -224,3 +224,36 @@ def explicit_centres(spark, sf):
 @query(_MESH + " SELECT (SELECT count(*) * 2 FROM c WHERE i IN (0, 3)) // 2 + (SELECT count(*) FROM c WHERE j IN (0, 4)) + 2 * (SELECT count(*) FROM c WHERE k = 0 OR k = (SELECT max(k) FROM c)) AS faces FROM (SELECT 1)")
 def explicit_boundary(spark, sf):
     return ms.boundary(_wedges(spark, sf).cells).agg(F.count("*").alias("faces"))
+
+
+@query(_MESH + """, p AS (SELECT s::INT AS sample, 0.1 + s * (1.73 / 38.0::DOUBLE) AS x, 0.3 + s * (5.41 / 38.0::DOUBLE) AS y, 1.1 + s * (77.3 / 38.0::DOUBLE) AS z FROM range(39) AS r(s)),
+l AS (SELECT p.*, CASE WHEN y <= 5 THEN floor(x / 0.5)::INT + 4 * floor(y)::INT + 20 * floor(z / 2.0)::INT END AS place FROM p)
+SELECT l.sample, CASE WHEN c.id IS NOT NULL THEN 2 * c.id + (l.y - c.y0 > (l.x - c.x0) / 0.5)::INT END AS cell_id, round(coalesce(c.f, -1), 6) AS f FROM l LEFT JOIN c ON c.id = l.place""")
+def explicit_lineout(spark, sf):
+    """Points on a line that are looked up in a mesh of wedges."""
+    return ms.lineout(_wedges(spark, sf), 37, (0.1, 0.3, 1.1), (1.83, 5.71, 78.4), ["f"], -1.0).select("sample", "cell_id", F.round("f", 6).alias("f"))
+
+
+@query(_MESH + """
+SELECT min(id) AS vertex_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(min_by(w, id), 6) AS w FROM f GROUP BY floor(x / 1.5), floor(y / 1.5), floor(z / 1.5)""")
+def merged_points(spark, sf):
+    return ms.merge_points(_mesh(spark, sf), 1.5).vertices.select("vertex_id", *(F.round(c, 6).alias(c) for c in "xyzw"))
+
+
+@query(_MESH + """, s AS (SELECT id AS seed_id, x, y, z, x + 0.1 * 4 * 0.25 AS ex, z + 0.1 * 4 * 0.5 AS ez FROM v), m AS (SELECT max(x) AS mx, max(z) AS mz FROM v)
+SELECT seed_id, CASE WHEN ex <= mx + 1e-9 AND ez <= mz + 1e-9 THEN round(ex - x, 6) END AS dx, CASE WHEN ex <= mx + 1e-9 AND ez <= mz + 1e-9 THEN round(ez - z, 6) END AS dz FROM s, m""")
+def flow_maps(spark, sf):
+    """Where a steady wind carries the vertices in four steps; those on the far sides leave."""
+    m = _mesh(spark, sf)
+    m.vertices = m.vertices.withColumn("v", vectors.vector(F.lit(0.25), F.lit(0.0), F.lit(0.5)))
+    out = gm.flow_map(m, "v", 4, 0.1)
+    return out.select("seed_id", *(F.round(F.col(f"end.{c}") - F.col(f"start.{c}"), 6).alias(f"d{c}") for c in "xz"))
+
+
+@query(_MESH + """, a AS (SELECT (x + 2 * y + 2 * z) / 3 AS d, f FROM c), m AS (SELECT min(d) AS low, (max(d) - min(d)) / 5 AS step, min(f) AS least, max(f) - min(f) AS width FROM a),
+b AS (SELECT round((d - low) / step)::INT AS level, least(trunc((f - least) * (256 / width)), 255)::INT AS bin FROM a, m),
+n AS (SELECT level, bin, count(*) AS n FROM b WHERE level BETWEEN 1 AND 4 GROUP BY 1, 2),
+e AS (SELECT level, -sum(p * ln(p)) AS entropy FROM (SELECT level, n / sum(n) OVER (PARTITION BY level) AS p FROM n) GROUP BY 1)
+SELECT level, round(low + level * step, 6) AS position, round(entropy, 6) AS entropy FROM e, m ORDER BY round(entropy, 9) DESC, level LIMIT 1""")
+def auto_slice_normal(spark, sf):
+    return ms.auto_slice(_mesh(spark, sf), "f", 4, (1, 2, 2)).select("level", F.round("position", 6).alias("position"), F.round("entropy", 6).alias("entropy"))
