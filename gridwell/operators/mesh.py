@@ -118,34 +118,65 @@ def gradient(grid: DataFrame, field: str | Column, axes=XYZ, output: str = "grad
     return slopes(grid, {output: F.col(field) if isinstance(field, str) else field}, axes)
 
 
-def jacobian(grid: DataFrame, vector: str, axes=XYZ) -> DataFrame:
-    """Rows with columns __g_<component>: the gradient of each component."""
-    return slopes(grid, {f"__g_{c}": F.col(vector)[c] for c in axes}, axes)
+def cell_slopes(mesh: Mesh, fields: dict[str, Column]) -> DataFrame:
+    """(domain_id, cell_id, a struct of slopes for each field) on any mesh: the plane
+    through a cell's vertices by least squares, which on boxes is the slope in
+    the middle. Vertex fields; a cell without room along an axis has no slopes."""
+    axes, d = mesh.axes, len(mesh.axes)
+    corners = mesh.cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id"))
+    at = mesh.vertices.select("domain_id", "vertex_id", *(number(F.col(c)).alias(f"__x{k}") for k, c in enumerate(axes)), *(number(v).alias(f"__v{k}") for k, v in enumerate(fields.values())))
+    both = lambda a, b: F.covar_pop(a, b).alias(f"{a}{b}")
+    sums = [both(f"__x{a}", f"__x{b}") for a in range(d) for b in range(a, d)] + [both(f"__x{a}", f"__v{k}") for a in range(d) for k in range(len(fields))]
+    rows = corners.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id").agg(*sums)
+    spread = [[F.col(f"__x{min(a, b)}__x{max(a, b)}") for b in range(d)] for a in range(d)]
+    whole = spread[0][0] if d == 1 else _det(spread)
+
+    def slope(k: int, axis: int) -> Column:
+        with_f = [[F.col(f"__x{a}__v{k}") if b == axis else spread[a][b] for b in range(d)] for a in range(d)]
+        return F.try_divide(with_f[0][0] if d == 1 else _det(with_f), whole)
+
+    return rows.select("domain_id", "cell_id", *(F.struct(*(slope(k, i).alias(c) for i, c in enumerate(axes))).alias(name) for k, name in enumerate(fields)))
 
 
-def _drop(rows: DataFrame, axes) -> DataFrame:
-    return rows.drop(*(f"__g_{c}" for c in axes))
+def any_slopes(mesh: Mesh, fields: dict[str, Column], on: str = "vertex") -> DataFrame:
+    """The vertices, or cells, of any mesh with a struct of slopes for each vertex
+    field: of cells by cell_slopes, at vertices the mean over the cells around them."""
+    found = cell_slopes(mesh, fields)
+    if on == "element":
+        return mesh.cells.drop(*fields).join(found, ["domain_id", "cell_id"], "left")
+    corners = mesh.cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id")).join(found, ["domain_id", "cell_id"])
+    means = corners.groupBy("domain_id", "vertex_id").agg(*(F.struct(*(F.avg(F.col(name)[c]).alias(c) for c in mesh.axes)).alias(name) for name in fields))
+    return mesh.vertices.drop(*fields).join(means, ["domain_id", "vertex_id"], "left")
 
 
-def divergence(grid: DataFrame, vector: str, axes=XYZ, output: str = "divergence") -> DataFrame:
-    rows = jacobian(grid, vector, axes)
-    return _drop(rows.withColumn(output, reduce(lambda a, b: a + b, (F.col(f"__g_{c}")[c] for c in axes))), axes)
+def components(vector: str, axes) -> dict[str, Column]:
+    """The fields whose slopes make a vector field's jacobian."""
+    return {f"__g_{c}": F.col(vector)[c] for c in axes}
 
 
-def vorticity(grid: DataFrame, vector: str, axes=XYZ, output: str = "vorticity") -> DataFrame:
-    """The curl; on two axes its z alone."""
-    rows = jacobian(grid, vector, axes)
+def of_jacobian(kind: str, axes) -> Column:
+    """Divergence, vorticity (on two axes its z alone) or Q-criterion (-1/2 of the
+    trace of the gradient's square: what rotation has over strain), of columns
+    __g_<component>."""
     g = lambda a, b: F.col(f"__g_{a}")[b]
-    z = g("y", "x") - g("x", "y")
-    parts = [z.alias("z")] if len(axes) == 2 else [(g("z", "y") - g("y", "z")).alias("x"), (g("x", "z") - g("z", "x")).alias("y"), z.alias("z")]
-    return _drop(rows.withColumn(output, F.struct(*parts)), axes)
+    if kind == "divergence":
+        return reduce(lambda a, b: a + b, (g(c, c) for c in axes))
+    if kind == "vorticity":
+        z = g("y", "x") - g("x", "y")
+        parts = [z.alias("z")] if len(axes) == 2 else [(g("z", "y") - g("y", "z")).alias("x"), (g("x", "z") - g("z", "x")).alias("y"), z.alias("z")]
+        return F.struct(*parts)
+    return reduce(lambda a, b: a + b, (g(a, b) * g(b, a) for a in axes for b in axes)) * -0.5
+
+
+def _on_grid(kind: str):
+    def of(grid: DataFrame, vector: str, axes=XYZ, output: str = kind) -> DataFrame:
+        fields = components(vector, axes)
+        return slopes(grid, fields, axes).withColumn(output, of_jacobian(kind, axes)).drop(*fields)
+
+    return of
 
 
-def qcriterion(grid: DataFrame, vector: str, axes=XYZ, output: str = "qcriterion") -> DataFrame:
-    """Half of what rotation has over strain: -1/2 of the trace of the gradient's square."""
-    rows = jacobian(grid, vector, axes)
-    trace = reduce(lambda a, b: a + b, (F.col(f"__g_{a}")[b] * F.col(f"__g_{b}")[a] for a in axes for b in axes))
-    return _drop(rows.withColumn(output, trace * -0.5), axes)
+divergence, vorticity, qcriterion = map(_on_grid, ("divergence", "vorticity", "qcriterion"))
 
 
 def transform(df: DataFrame, scale=None, translate=None, matrix=None, rotate=None, axes=XYZ) -> DataFrame:

@@ -243,8 +243,18 @@ for _name, _make in {"gradient": ms.gradient, "divergence": ms.divergence, "vort
 
     @operator(_name, "field output_name use_cell_gradient")
     def _(data, p, name=_name, make=_make):
-        _without(p, "use_cell_gradient")
-        return _map(data, p["field"], lambda df: make(df, p["field"], data.mesh.axes, p.get("output_name", f"{p['field']}_{name}")))
+        """On a regular grid along its lines; on another mesh, or with
+        use_cell_gradient, from the vertices of each cell: then a field of the cells."""
+        by_cell = str(p.get("use_cell_gradient", "false")).lower() == "true"
+        output, axes = p.get("output_name", f"{p['field']}_{name}"), data.mesh.axes
+        if not by_cell and "i" in data.cells.columns:
+            return _map(data, p["field"], lambda df: make(df, p["field"], axes, output))
+        if _on(data, p["field"]) == "element":
+            data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
+        fields = {output: F.col(p["field"])} if name == "gradient" else ms.components(p["field"], axes)
+        rows = ms.any_slopes(data.mesh, fields, "element" if by_cell else "vertex")
+        rows = rows if name == "gradient" else rows.withColumn(output, ms.of_jacobian(name, axes)).drop(*fields)
+        return _with_cells(data, rows) if by_cell else _with_vertices(data, rows)
 
 
 @operator("scale", "x_scale y_scale z_scale")

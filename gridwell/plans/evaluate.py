@@ -543,10 +543,14 @@ def _(ev):
     return Field(F.rand(0))
 
 
-def _grid(ev, f: Field) -> tuple[DataFrame, tuple]:
-    if ev.data.mesh is None or not ev.data.mesh.dims:
-        raise ExpressionError("this needs a regular grid")
-    return ev.data.table(f.assoc), ev.data.mesh.axes
+def _slopes(ev, f: Field, fields: dict) -> DataFrame:
+    """A field's table with structs of slopes: along the lines of a regular grid, else by cells."""
+    mesh = ev.data.mesh
+    if mesh is not None and mesh.dims:
+        return ms.slopes(ev.data.table(f.assoc), fields, mesh.axes)
+    if mesh is None or f.assoc != "vertex":
+        raise ExpressionError("this needs a regular grid, or a vertex field of a mesh")
+    return ms.any_slopes(mesh, fields)
 
 
 def _store(ev, assoc: str, df: DataFrame, name: str) -> None:
@@ -566,17 +570,16 @@ def _fresh(ev, stem: str) -> str:
 
 @function("gradient(field: field)")
 def _(ev, field):
-    df, axes = _grid(ev, field)
     name = _fresh(ev, "gradient")
-    _store(ev, field.assoc, ms.gradient(df, field.column, axes, name), name)
-    return Field(F.col(name), field.assoc, axes)
+    _store(ev, field.assoc, _slopes(ev, field, {name: field.column}), name)
+    return Field(F.col(name), field.assoc, ev.data.mesh.axes)
 
 
 @function("curl(field: field)")
 def _(ev, field):
-    df, axes = _grid(ev, field)
-    name, vector = _fresh(ev, "curl"), _fresh(ev, "vector")
-    out = ms.vorticity(df.withColumn(vector, field.column), vector, axes, name)
+    name, axes = _fresh(ev, "curl"), ev.data.mesh.axes if ev.data.mesh is not None else ()
+    fields = {f"__g_{c}": field.column[c] for c in axes}
+    out = _slopes(ev, field, fields).withColumn(name, ms.of_jacobian("vorticity", axes)).drop(*fields)
     _store(ev, field.assoc, out, name)
     return Field(F.col(name), field.assoc, ("z",) if len(axes) == 2 else axes)
 

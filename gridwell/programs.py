@@ -257,3 +257,22 @@ e AS (SELECT level, -sum(p * ln(p)) AS entropy FROM (SELECT level, n / sum(n) OV
 SELECT level, round(low + level * step, 6) AS position, round(entropy, 6) AS entropy FROM e, m ORDER BY round(entropy, 9) DESC, level LIMIT 1""")
 def auto_slice_normal(spark, sf):
     return ms.auto_slice(_mesh(spark, sf), "f", 4, (1, 2, 2)).select("level", F.round("position", 6).alias("position"), F.round("entropy", 6).alias("entropy"))
+
+
+@query(_MESH + """ SELECT cell_id, round((avg(f) FILTER (WHERE a = 1) - avg(f) FILTER (WHERE a = 0)) / 0.5, 6) AS dx, round(avg(f) FILTER (WHERE b = 1) - avg(f) FILTER (WHERE b = 0), 6) AS dy,
+ round((avg(f) FILTER (WHERE d = 1) - avg(f) FILTER (WHERE d = 0)) / 2, 6) AS dz FROM (SELECT cv.cell_id, cv.f, cv.i - c.i AS a, cv.j - c.j AS b, cv.k - c.k AS d FROM cv JOIN c ON c.id = cv.cell_id) GROUP BY 1""")
+def cell_gradient(spark, sf):
+    """The slopes of a vertex field in each cell, by its corners."""
+    data = _mesh_data(spark, sf)
+    data.cells = data.mesh.cells = data.cells.drop("f")
+    engine = Engine().publish(data)
+    engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"f": {"type": "gradient", "params": {"field": "f", "output_name": "d", "use_cell_gradient": "true"}}}}}])
+    return engine.pipelines["p"].cells.select("cell_id", *(F.round(F.col("d")[c], 6).alias(f"d{c}") for c in "xyz"))
+
+
+@query(_MESH + " SELECT id AS vertex_id, 1.0::DOUBLE AS dx, 2.0::DOUBLE AS dy, -3.0::DOUBLE AS dz FROM v")
+def explicit_gradient(spark, sf):
+    """The slopes of a linear field at the vertices of a mesh of wedges."""
+    m = _wedges(spark, sf)
+    found = ms.any_slopes(m, {"d": F.col("x") + 2 * F.col("y") - 3 * F.col("z")})
+    return found.select("vertex_id", *(F.round(F.col("d")[c], 6).alias(f"d{c}") for c in "xyz"))

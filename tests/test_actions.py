@@ -241,12 +241,26 @@ def test_stream_of_cycles(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("days").collect()) == [3, 3, 3]
 
 
-@pytest.mark.parametrize("name", ["contour", "gradient", "divergence", "vorticity", "qcriterion"])
-def test_methods_that_are_not_here(name):
-    from gridwell.plans import actions
-
-    key = "use_contour_tree" if name == "contour" else "use_cell_gradient"
+def test_contour_trees_are_not_here(engine):
     for value in ("true", True):
-        with pytest.raises(ActionError, match=key):
-            actions.TRANSFORMS[name][0](None, {"field": "f", key: value})
-    actions._without({key: "false"}, key)
+        with pytest.raises(ActionError, match="use_contour_tree"):
+            engine.execute(pipeline("contour", field="v", levels=2, use_contour_tree=value))
+    engine.execute(pipeline("contour", field="v", levels=2, use_contour_tree="false"))
+
+
+@pytest.mark.parametrize("by_cell", [True, False])
+def test_slopes_of_linear_fields(spark, engine, by_cell):
+    """On boxes by cells, and on tetrahedra without any order, they are exact."""
+    m = engine.data.mesh
+    cells = ms.split(m.cells).select((F.col("cell_id") * 5 + F.col("part")).alias("cell_id"), "conn")
+    mesh = m if by_cell else ms.explicit(m.vertices.drop("domain_id", "i", "j", "k"), cells)
+    x, y, z = (F.col(c) for c in "xyz")
+    mesh.vertices = mesh.vertices.withColumn("s", 2 * x - y + 3 * z).withColumn("u", F.struct((x + 4 * y).alias("x"), (2 * y - z).alias("y"), (5 * x).alias("z")))
+    wanted = {"gradient": (2, -1, 3), "divergence": 3, "vorticity": (1, -5, -4), "qcriterion": -0.5 * (1 + 4)}
+    for kind, value in wanted.items():
+        e = Engine().publish(Data.of_mesh(mesh))
+        e.execute(pipeline(kind, field="s" if kind == "gradient" else "u", output_name="d", **({"use_cell_gradient": "true"} if by_cell else {})))
+        out = e.pipelines["p"].cells if by_cell else e.pipelines["p"].vertices
+        found = [tuple(r["d"]) if isinstance(value, tuple) else r["d"] for r in out.select("d").collect()]
+        assert len(found) == (64 if by_cell else 125)
+        assert all(f == pytest.approx(value) for f in found)
