@@ -114,6 +114,15 @@ def _arrays(batch: pa.RecordBatch, n: int, width: int) -> tuple[np.ndarray, np.n
     return np.asarray(batch.column(3).flatten()).reshape(-1, n), np.asarray(batch.column(4).flatten()).reshape(-1, n, width)
 
 
+def _wide(shape: np.ndarray) -> np.ndarray:
+    """Which triangles or segments have an area or a length."""
+    d = shape[:, 1:] - shape[:, :1]
+    if d.shape[1] == 1:
+        return (d[:, 0] ** 2).sum(1) > 0
+    a, b = d[:, 0], d[:, 1]
+    return (a**2).sum(1) * (b**2).sum(1) - (a * b).sum(1) ** 2 > 0
+
+
 def contour(mesh: meshes.Mesh, value: Column, levels: list[float], fields: tuple[str, ...] = ()) -> DataFrame:
     """(domain_id, cell_id, level, points, fields): the triangles or segments of
     each level, with vertex fields interpolated to their corners.
@@ -133,6 +142,8 @@ def contour(mesh: meshes.Mesh, value: Column, levels: list[float], fields: tuple
             values, points = _arrays(batch, n, axes + len(fields))
             for level in levels:
                 owner, shape = crossing(values, points, level)
+                whole = _wide(shape[:, :, :axes])  # where a corner lies on the level, some are points
+                owner, shape = owner[whole], shape[whole]
                 if len(owner):
                     yield _shapes(batch, owner, shape, axes, fields, level=np.full(len(owner), level))
 

@@ -14,6 +14,7 @@ import subprocess
 import time as clock
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -323,7 +324,9 @@ def _(data, p):
 def _(data, p):
     row = rd.bounds(data.vertices, list(data.mesh.axes)).first()
     at = [(row[f"min_{c}"] + row[f"max_{c}"]) / 2 + p.get(f"{c}_offset", 0.0) * (row[f"max_{c}"] - row[f"min_{c}"]) / 2 for c in data.mesh.axes]
-    return Data(ms.three_slice(data.mesh, at), None, ("domain_id", "cell_id"), data.state)
+    normals = {c: [float(c == x) for x in data.mesh.axes] for c in data.mesh.axes}
+    parts = [gm.contour(data.mesh, sl.plane(at, n, data.mesh.axes), [0.0], _scalars(data)).withColumn("axis", F.lit(c)) for c, n in normals.items()]
+    return Data(reduce(DataFrame.unionByName, parts), None, ("domain_id", "cell_id"), data.state)
 
 
 @operator("auto_slice", "field levels axis normal")

@@ -14,9 +14,10 @@ from .functions import vectors
 from .operators import geometry as gm
 from .operators import mesh as ms
 from .operators import selection as sl
-from .plans.actions import Engine
+from .plans.actions import Engine, load_session
 from .plans.evaluate import Data, Evaluator, History
 from .queries import _BELOW, _CURL, _HIST, _KEYS, _MESH, ACROSS, LINE_KEYS, _box, _mesh, query, read
+from .sources import tables
 from .streaming import cycles
 
 
@@ -92,12 +93,12 @@ def expression_curl(spark, sf):
     return data.vertices.select("vertex_id", *((F.round(curl.column[c], 6) + 0.0).alias(c) for c in "xyz"))
 
 
-@query(_MESH + " SELECT c.id AS cell_id, round(avg(cv.w) + c.x * 1.0 * 1.0, 6) AS value FROM cv JOIN c ON c.id = cv.cell_id GROUP BY c.id, c.x")
+@query(_MESH + " SELECT c.id AS cell_id, round(avg(cv.w) + c.x * 1.0 + 7.0, 6) AS value FROM cv JOIN c ON c.id = cv.cell_id GROUP BY c.id, c.x")
 def expression_mesh(spark, sf):
     """A vertex field brought to the cells, and attributes of the cells."""
     data = _mesh_data(spark, sf)
     data.cells = data.mesh.cells = data.cells.drop("w")
-    f = Evaluator(data).run("recenter(field('w'), 'element') + topo('grid').cell.x * topo('grid').cell.volume")
+    f = Evaluator(data).run("recenter(field('w'), 'element') + topo('grid').cell.x * topo('grid').cell.volume + topo('grid').cell.surface_area")
     return data.cells.select("cell_id", F.round(f.column, 6).alias("value"))
 
 
@@ -276,3 +277,52 @@ def explicit_gradient(spark, sf):
     m = _wedges(spark, sf)
     found = ms.any_slopes(m, {"d": F.col("x") + 2 * F.col("y") - 3 * F.col("z")})
     return found.select("vertex_id", *(F.round(F.col("d")[c], 6).alias(f"d{c}") for c in "xyz"))
+
+
+def _through_files(spark, sf, table: str, keys: tuple, extract: dict, read_back) -> DataFrame:
+    """What read_back makes of an extract's files, before these go."""
+    path = tables.scratch_path(spark)
+    try:
+        data = _mesh_data(spark, sf) if table == "mesh" else Data(read(spark, sf, table), keys=keys)
+        Engine().publish(data).execute([{"action": "add_extracts", "extracts": {"e": {"type": extract["type"], "params": {**extract["params"], "path": path}}}}])
+        rows = read_back(path)
+        return spark.createDataFrame(rows.collect(), rows.schema)  # some hundreds of rows
+    finally:
+        tables.remove(spark, path)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def relay_roundtrip(spark, sf):
+    """Chosen fields written and loaded again."""
+    extract = {"type": "relay", "params": {"fields": ["o_orderpriority", "o_totalprice"], "protocol": "csv"}}
+    kinds = "o_orderpriority string, o_totalprice double"
+    of = lambda path: tables.load(spark, path, "csv", kinds).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return _through_files(spark, sf, "orders", ("o_orderkey",), extract, of)
+
+
+@query(_MESH + " SELECT (SELECT count(*) FROM c) AS cells, (SELECT count(*) FROM c) AS hexahedra, round((SELECT sum(f) FROM c), 2) AS total")
+def vtk_roundtrip(spark, sf):
+    """VTK files read as text: their cells, the cells' kinds, and a field's sum."""
+
+    def of(path):
+        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?s)^.*\nCELLS (\d+) .*\nCELL_TYPES \d+\n(.*)\nPOINT_DATA .*\nSCALARS f double 1\nLOOKUP_TABLE default\n([^A-Z]*).*$", "$1|$2|$3").alias("v"))
+        part = F.split("v", r"\|")
+        kinds, values = F.split(part[1], "\n"), F.filter(F.split(part[2], "\n"), lambda x: x != "")
+        rows = text.select(part[0].cast("long").alias("n"), F.size(F.filter(kinds, lambda x: x == "12")).cast("long").alias("h"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("f"))
+        return rows.agg(F.sum("n").alias("cells"), F.sum("h").alias("hexahedra"), F.round(F.sum("f"), 2).alias("total"))
+
+    return _through_files(spark, sf, "mesh", (), {"type": "vtk", "params": {}}, of)
+
+
+@query("SELECT 'kept' AS name, round(max(o_totalprice) * 2, 6) AS value FROM orders UNION ALL SELECT 'cycle', 4.0")
+def session_roundtrip(spark, sf):
+    """Results of a run, saved and loaded for another one."""
+    path = tables.scratch_path(spark)
+    try:
+        data = Data(read(spark, sf, "orders"), keys=("o_orderkey",), state={"cycle": 4, "time": 2.0})
+        said = {"action": "add_queries", "queries": {"q": {"params": {"expression": "max(field('o_totalprice')).value", "name": "top"}}}}
+        Engine().publish(data).execute([said, {"action": "save_session", "file_name": path}])
+        history = load_session(spark, path)
+        return _values(spark, {"kept": Evaluator(data, history).run("top * 2"), "cycle": history.of("top")[0][0]})
+    finally:
+        tables.remove(spark, path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,23 @@ from ..operators.selection import select_fields
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``;
+    without that setting one on this machine, if all of Spark runs on it."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/gridwell-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def load(spark: SparkSession, path: str, protocol: str = "parquet", schema=None) -> DataFrame:
     if protocol not in FORMATS:
         raise ValueError(f"unknown protocol {protocol}; known are {', '.join(FORMATS)}")

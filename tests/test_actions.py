@@ -38,7 +38,7 @@ def pipeline(kind, **params):
         ("clip", {"plane": {"point": {"x": 2, "y": 0, "z": 0}, "normal": {"x": 1, "y": 0, "z": 0}}}, 32), ("scale", {"x_scale": 2}, 64), ("transform", {"translate": {"x": 1, "y": 0, "z": 0}}, 64),
         ("histsampling", {"field": "f", "bins": 4, "sample_rate": 1.0}, 64), ("binning", {"reduction_op": "sum", "reduction_field": "f", "output_field": "b", "axes": [{"field": "x", "num_bins": 2}]}, 64),
         ("binning", {"reduction_op": "sum", "var": "f", "output_field": "b", "output_type": "bins", "axes": [{"var": "x", "num_bins": 2}]}, 2), ("triangulate", {}, 320),
-        ("expression", {"expression": "field('f') + 1", "name": "s"}, 64), ("noop", {"field": "f"}, 64), ("3slice", {}, 48 * 2), ("partition", {"target": 2}, 64), ("mesh_boundary", {}, 96),
+        ("expression", {"expression": "field('f') + 1", "name": "s"}, 64), ("noop", {"field": "f"}, 64), ("3slice", {}, 3 * 16 * 2), ("partition", {"target": 2}, 64), ("mesh_boundary", {}, 96),
         ("add_domain_ids", {"output": "d"}, 64), ("uniform_grid", {"field": "f"}, 125), ("clean_grid", {}, 64), ("reflect", {"point": 0, "axis": "x"}, 64), ("threshold", {"field": "none", "min_value": 0, "max_value": 1}, 0),
     ],
 )
@@ -79,6 +79,14 @@ def test_cuts_keep_fields(engine):
     assert gm.volume(engine.pipelines["p"].cells).agg(F.sum("size")).first()[0] == pytest.approx((8 - 2) * 4)
 
 
+def test_three_slices_are_whole(engine):
+    engine.execute(pipeline("3slice", x_offset=0.3, z_offset=-0.2))
+    shapes = gm.measure(engine.pipelines["p"].cells)
+    assert {r["axis"]: r["a"] for r in shapes.groupBy("axis").agg(F.sum("size").alias("a")).collect()} == pytest.approx({"x": 16, "y": 16, "z": 16})
+    off = F.abs(F.get("points", F.lit(0)) - 2.6)
+    assert shapes.filter("axis = 'x'").agg(F.max(off)).first()[0] < 1e-9
+
+
 def test_neighbours_are_cut_alike(engine):
     """Every triangle inside a cut grid belongs to two tetrahedra."""
     engine.execute(pipeline("triangulate"))
