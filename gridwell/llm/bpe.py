@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import per_text
 
 #: Most words of a generation whose ids a worker remembers.
-WORD_CACHE = 250_000
+WORD_CACHE = 120_000
 #: Most pairs whose border is remembered.
-PAIRS = 400_000
+PAIRS = 150_000
 #: Words longer than this aren't remembered.
 LONGEST_KEPT = 64
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_SQL)
 #: Most word hashes that a worker remembers; beyond it, it starts anew.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +82,20 @@ class Scratch:
         self.drop()
 
 
+#: Bytes of input for each task of a shuffle of whole texts, and most tasks.
+BYTES_A_TASK, MOST_TASKS = 1 << 28, 100_000
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks a shuffle of df's texts takes: ``spark.sql.shuffle.partitions``,
+    or more where the tables that df reads are too large for so few."""
+    usual = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a table of unknown size has the greatest
+    return max(usual, min(known // BYTES_A_TASK, MOST_TASKS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -128,6 +142,19 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
+def lean(run):
+    """run, a function of batches, after which the worker gives back the memory that
+    Arrow holds on to: a worker stays for later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 #: Ids that go to every task; beyond these, rows meet their ids by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -179,7 +206,7 @@ def bucket_sums(texts: DataFrame, size: int, make) -> tuple[np.ndarray, int]:
 
     schema = "slice int, sums binary"
     parts = min(-(-size // SLICE), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit(""))).mapInArrow(run, schema).repartition(parts, "slice").mapInArrow(add, schema).collect()
+    found = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit(""))).mapInArrow(lean(run), schema).repartition(parts, "slice").mapInArrow(lean(add), schema).collect()
     out, n = np.zeros(size, np.int64), 0
     for k, data in found:
         sums = np.frombuffer(bytes(data), np.int64)
@@ -231,4 +258,4 @@ def per_text(docs: DataFrame, carry: list[str], text: str, fields: str, make, ra
                 columns = zip(*(map(of, binaries(texts)) if raw else (of(t.as_py() or "") for t in texts)), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), schema)

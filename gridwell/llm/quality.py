@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, bucket_sums, only, read, scramble, window_hashes
+from .common import WORD, WordHashes, bucket_sums, lean, only, read, scramble, window_hashes
 
 BITS = 16
 PRIOR = 1 << 16
@@ -151,7 +151,7 @@ def judged(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str,
             quality = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
             yield pa.RecordBatch.from_arrays([batch.column(1), quality], names=["row", "quality"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import Scratch
+from .common import Scratch, tasks
 from .shards import Folder
 
 MAGIC = b"GWT1"
@@ -353,8 +353,7 @@ def written(docs: DataFrame, folder: str, path: str | None = None, key: str = "d
     """
     path = path or default_path()
     Folder(folder).make()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(key, F.col(text).cast("string").alias("text")).repartitionByRange(n, key).sortWithinPartitions(key)
+    rows = docs.select(key, F.col(text).cast("string").alias("text")).repartitionByRange(tasks(docs), key).sortWithinPartitions(key)
 
     def run(batches):
         place, encoder, end = Folder(folder), tokens(path), np.uint32(end_id).tobytes()

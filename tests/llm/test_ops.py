@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridwell.llm import bpe, chat, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter, wordhash
+from gridwell.llm import bpe, chat, common, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter, wordhash
 from gridwell.llm.common import Scratch, WordHashes
 from gridwell.llm.queries import oracle_sql, queries
 
@@ -39,6 +39,20 @@ def truth():
     return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
 
 
+def test_tasks_follow_the_input(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.tasks(docs) == usual
+    assert common.tasks(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == usual  # of unknown size
+    size = Path(f"{SF}/documents.parquet").stat().st_size
+    monkeypatch.setattr(common, "BYTES_A_TASK", 10_000)
+    assert common.tasks(docs.join(docs.select("doc_id"), "doc_id")) == 2 * size // 10_000
+    with Scratch(spark) as scratch:
+        monkeypatch.setattr(common, "BYTES_A_TASK", 30_000)
+        files = scratch.table(tokenbin.written(docs, f"{scratch.root}/tokens"), "files")
+        assert files.select("part").distinct().count() == size // 30_000
+
+
 # -- 1
 
 
