@@ -68,7 +68,9 @@ def _ways(tree) -> list[tuple]:
         if op is parser.LITERAL:
             more = [(chr(av) if chr(av) in TOKEN else EDGE,)]
         elif op is parser.IN:
-            more = [(EDGE,)] if _class_is_edge(av) else [(ANY,)]
+            one = lambda c: chr(c) if chr(c) in TOKEN else EDGE
+            few = len(av) <= 4 and all(kind is parser.LITERAL for kind, _ in av)  # (a|b) is read as [ab]
+            more = [(EDGE,)] if _class_is_edge(av) else [(one(c),) for _, c in av] if few else [(ANY,)]
         elif op is parser.AT:
             more = [(EDGE,)] if av in (parser.AT_BEGINNING, parser.AT_BEGINNING_STRING, parser.AT_END, parser.AT_END_STRING, parser.AT_BOUNDARY) else [()]
         elif op is parser.SUBPATTERN:
