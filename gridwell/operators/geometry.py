@@ -12,11 +12,18 @@ from . import mesh as meshes
 
 def simplices(mesh: meshes.Mesh, value: Column, fields: tuple[str, ...] = ()) -> DataFrame:
     """(domain_id, cell_id, part, values, points) of tetrahedra or triangles. A
-    corner's numbers in points are its coordinates and then the vertex fields."""
-    parts = meshes.split(mesh.cells, len(mesh.axes)).select("domain_id", "cell_id", "part", F.posexplode("conn").alias("corner", "vertex_id"))
+    corner's numbers in points are its coordinates and then the vertex fields.
+
+    Vertices come together once for each cell, and cells are cut where they lie."""
+    cells = mesh.cells.select("domain_id", "cell_id", meshes.is_odd(mesh.cells).alias("odd"), F.posexplode("conn").alias("corner", "vertex_id"))
     at = mesh.vertices.select("domain_id", "vertex_id", value.cast("double").alias("v"), F.array(*(F.col(c).cast("double") for c in (*mesh.axes, *fields))).alias("p"))
-    rows = parts.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "part").agg(F.array_sort(F.collect_list(F.struct("corner", "v", "p"))).alias("c"))
-    return rows.select("domain_id", "cell_id", "part", F.transform("c", lambda x: x["v"]).alias("values"), F.flatten(F.transform("c", lambda x: x["p"])).alias("points"))
+    rows = cells.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "odd").agg(F.array_sort(F.collect_list(F.struct("corner", "v", "p"))).alias("c"))
+    whole = F.array(F.transform("c", lambda _, k: k))
+    parts = F.coalesce(meshes.pieces(F.size("c"), F.col("odd"), len(mesh.axes)), whole)
+    rows = rows.select("domain_id", "cell_id", "c", F.posexplode(parts).alias("part", "f"))
+    return rows.select(
+        "domain_id", "cell_id", "part", F.transform("f", lambda k: F.get("c", k)["v"]).alias("values"), F.flatten(F.transform("f", lambda k: F.get("c", k)["p"])).alias("points")
+    )
 
 
 def _cut(values: np.ndarray, points: np.ndarray, rows: np.ndarray, level: float):

@@ -237,21 +237,34 @@ IN_SPACE = {6: [(0, 1, 2, 5), (0, 1, 5, 4), (0, 4, 5, 3)], 5: [(0, 1, 2, 4), (0,
 IN_PLANE = {4: [(0, 1, 2), (0, 2, 3)]}
 
 
+def pieces(size: Column, odd: Column, axes: int = 3) -> Column:
+    """How a cell with so many vertices is cut, as rows of places among its vertices:
+    hexahedra, wedges, pyramids and quadrilaterals to simplices; null for
+    simplices. odd: hexahedra are cut the other way."""
+    of = lambda table: F.array(*(F.array(*map(F.lit, f)) for f in table))
+    parts = F.when(size == 8, F.when(odd, of(MIRRORED)).otherwise(of(TETS)))
+    for n, table in (IN_SPACE if axes == 3 else IN_PLANE).items():
+        parts = parts.when(size == n, of(table))
+    return parts
+
+
+def is_odd(cells: DataFrame) -> Column:
+    """Which cells of a regular grid are cut the other way; elsewhere none."""
+    places = [F.col(c) for c in IJK if c in cells.columns]
+    return reduce(lambda a, b: a + b, places) % 2 == 1 if places else F.lit(False)
+
+
 def split(cells: DataFrame, axes: int = 3) -> DataFrame:
     """Cells cut to triangles (in a plane) or tetrahedra (in space): (.., part, conn).
 
-    Hexahedra, wedges, pyramids and quadrilaterals are cut; simplices stay. On a
-    regular grid (with i, j, k) the cut of hexahedra alternates from cell to
-    cell, so that neighbours cut the face between them along the same diagonal.
+    Simplices stay. On a regular grid (with i, j, k) the cut of hexahedra
+    alternates from cell to cell, so that neighbours cut the face between them
+    along the same diagonal.
     """
-    of = lambda table: F.array(*(F.array(*(F.get("conn", F.lit(k)) for k in f)) for f in table))
-    places = [F.col(c) for c in IJK if c in cells.columns]
-    odd = reduce(lambda a, b: a + b, places) % 2 == 1 if places else F.lit(False)
-    parts = F.when(F.size("conn") == 8, F.when(odd, of(MIRRORED)).otherwise(of(TETS)))
-    for n, table in (IN_SPACE if axes == 3 else IN_PLANE).items():
-        parts = parts.when(F.size("conn") == n, of(table))
+    places = pieces(F.size("conn"), is_odd(cells), axes)
+    parts = F.coalesce(F.transform(places, lambda f: F.transform(f, lambda k: F.get("conn", k))), F.array("conn"))
     kept = [c for c in cells.columns if c != "conn"]
-    return cells.select(*kept, F.posexplode(parts.otherwise(F.array("conn"))).alias("part", "conn"))
+    return cells.select(*kept, F.posexplode(parts).alias("part", "conn"))
 
 
 def cell_ranges(mesh: Mesh, value: Column) -> DataFrame:
