@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter
+from . import bpe, chat, decontaminate, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op13_decontamination": decontaminate.op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op8_url_filters": urlfilter.OP8_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op8_url_filters": urlfilter.OP8_SQL, "op13_decontamination": decontaminate.OP13_SQL}

@@ -67,17 +67,17 @@ def _piece(raw: np.ndarray, is_separator: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """The hash of each word of a text's UTF-8 bytes, in order."""
+def word_hashes(raw: np.ndarray, separators: np.ndarray = SEPARATOR) -> np.ndarray:
+    """The hash of each word of a text's UTF-8 bytes, in order. separators: which bytes part words."""
     out, at = [], 0
     while at < len(raw):
         part = raw[at : at + PIECE]
-        is_separator = SEPARATOR[part]
+        is_separator = separators[part]
         if at + len(part) < len(raw):
             last = len(part) - 1 - int(np.argmax(is_separator[::-1]))
             if not is_separator[last]:  # a word longer than the piece
                 end = at + len(part)
-                while end < len(raw) and not (found := SEPARATOR[raw[end : end + PIECE]]).any():
+                while end < len(raw) and not (found := separators[raw[end : end + PIECE]]).any():
                     end += len(found)
                 end = min(len(raw), end + (int(np.argmax(found)) if end < len(raw) else 0))
                 out.append(np.array([_long(raw[at:end])], np.uint64))
