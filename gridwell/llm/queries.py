@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, htmltext, jaccard, media, mixing, quality, tokenbin, toxicity, urlfilter, whitening
+from . import bpe, chat, decontaminate, htmltext, jaccard, media, mixing, quality, spelling, tokenbin, toxicity, urlfilter, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_bpe": bpe.op9_bpe,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_decontamination": decontaminate.op13_decontamination,
     }
 
