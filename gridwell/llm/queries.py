@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op8_url_filters": urlfilter.OP8_SQL, "op13_decontamination": decontaminate.OP13_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op8_url_filters": urlfilter.OP8_SQL, "op12_spelling_variants": spelling.OP12_SQL, "op13_decontamination": decontaminate.OP13_SQL}

@@ -171,3 +171,25 @@ def variants(counts: DataFrame, fewest: int = FEWEST) -> DataFrame:
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:
     """Every word of all documents, with its form and root."""
     return variants(counted(read(spark, sf_dir, "documents")))
+
+
+#: crc32 bit by bit as a table, then byte by byte over each different run of a document.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i AS byte, 0 AS k, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT byte, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM runs),
+hashed AS (SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))), lambda h, x: xor(h >> 8, t[1 + (xor(h, x) & 255)])), 4294967295) AS h FROM bytes, crc),
+slipped AS (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words),
+cards AS (SELECT word, n, k, word[:k - 1] AS a, word[k + 1:] AS z FROM places),
+near AS (SELECT x.word, y.word AS other, y.n FROM cards x JOIN cards y USING (k, a, z) WHERE x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cards x JOIN words y ON x.a || x.z = y.word
+  UNION SELECT y.word, x.word, x.n FROM cards x JOIN words y ON x.a || x.z = y.word),
+best AS (SELECT word, count(*) AS n_near, min({'n': -n, 'other': other}) AS b FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 2 * n THEN b.other END AS form, CASE WHEN -b.n >= 2 * n THEN -b.n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+"""
