@@ -10,17 +10,33 @@ from pyspark.sql import functions as F
 from . import mesh as meshes
 
 
-def simplices(mesh: meshes.Mesh, value: Column, fields: tuple[str, ...] = ()) -> DataFrame:
-    """(domain_id, cell_id, part, values, points) of tetrahedra or triangles. A
-    corner's numbers in points are its coordinates and then the vertex fields.
+def gathered(mesh: meshes.Mesh, **columns: Column) -> DataFrame:
+    """(domain_id, cell_id, c, parts): of each cell, columns of its vertices in order of
+    its corners (with corner), and how it is cut: rows of places among its corners.
 
-    Vertices come together once for each cell, and cells are cut where they lie."""
+    Vertices come together once for each cell; all else happens where it lies."""
     cells = mesh.cells.select("domain_id", "cell_id", meshes.is_odd(mesh.cells).alias("odd"), F.posexplode("conn").alias("corner", "vertex_id"))
-    at = mesh.vertices.select("domain_id", "vertex_id", value.cast("double").alias("v"), F.array(*(F.col(c).cast("double") for c in (*mesh.axes, *fields))).alias("p"))
-    rows = cells.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "odd").agg(F.array_sort(F.collect_list(F.struct("corner", "v", "p"))).alias("c"))
+    at = mesh.vertices.select("domain_id", "vertex_id", *(v.alias(k) for k, v in columns.items()))
+    rows = cells.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "odd").agg(F.array_sort(F.collect_list(F.struct("corner", *columns))).alias("c"))
     whole = F.array(F.transform("c", lambda _, k: k))
-    parts = F.coalesce(meshes.pieces(F.size("c"), F.col("odd"), len(mesh.axes)), whole)
-    rows = rows.select("domain_id", "cell_id", "c", F.posexplode(parts).alias("part", "f"))
+    return rows.select("domain_id", "cell_id", "c", F.coalesce(meshes.pieces(F.size("c"), F.col("odd"), len(mesh.axes)), whole).alias("parts"))
+
+
+def _numbers(mesh: meshes.Mesh, fields: tuple[str, ...]) -> Column:
+    """A vertex's coordinates and fields."""
+    return F.array(*(F.col(c).cast("double") for c in (*mesh.axes, *fields)))
+
+
+def simplices(mesh: meshes.Mesh, value: Column, fields: tuple[str, ...] = (), levels: list[float] | None = None) -> DataFrame:
+    """(domain_id, cell_id, part, values, points) of tetrahedra or triangles. A
+    corner's numbers in points are its coordinates and then the vertex fields.
+    levels: only of cells whose values reach from below to above one of these."""
+    rows = gathered(mesh, v=value.cast("double"), p=_numbers(mesh, fields))
+    if levels is not None:
+        v = F.transform("c", lambda c: c["v"])
+        rows = rows.withColumns({"low": F.array_min(v), "high": F.array_max(v)})
+        rows = rows.filter(F.exists(F.array(*(F.lit(float(x)) for x in levels)), lambda x: (F.col("low") <= x) & (F.col("high") >= x)))
+    rows = rows.select("domain_id", "cell_id", "c", F.posexplode("parts").alias("part", "f"))
     return rows.select(
         "domain_id", "cell_id", "part", F.transform("f", lambda k: F.get("c", k)["v"]).alias("values"), F.flatten(F.transform("f", lambda k: F.get("c", k)["p"])).alias("points")
     )
@@ -137,10 +153,7 @@ def contour(mesh: meshes.Mesh, value: Column, levels: list[float], fields: tuple
     Only cells that a level passes through reach the kernel.
     """
     axes, n = len(mesh.axes), len(mesh.axes) + 1
-    ranges = meshes.cell_ranges(mesh, value)
-    hit = F.exists(F.array(*(F.lit(float(v)) for v in levels)), lambda v: (F.col("low") <= v) & (F.col("high") >= v))
-    near = mesh.cells.join(ranges.filter(hit).select("domain_id", "cell_id"), ["domain_id", "cell_id"], "left_semi")
-    rows = simplices(meshes.Mesh(mesh.vertices, near, mesh.axes), value, fields)
+    rows = simplices(mesh, value, fields, levels)
 
     def run(batches):
         for batch in batches:
@@ -217,7 +230,7 @@ def clipped_volume(mesh: meshes.Mesh, implicit: Column) -> DataFrame:
                 continue
             values, points = _arrays(batch, n, axes)
             owner, shape = below(values, points, 0.0)
-            inside = np.bincount(owner, size(shape), minlength=len(points))
+            inside = np.bincount(owner, size(shape), minlength=len(points)).astype(float)  # of no pieces it counts in integers
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size(points)), pa.array(inside)], names=["domain_id", "cell_id", "size", "in"])
 
     parts = rows.mapInArrow(run, "domain_id int, cell_id long, size double, in double")
@@ -233,7 +246,7 @@ def sampled_velocity(mesh: meshes.Mesh, field: str):
     axes, dims, d = list(mesh.axes), mesh.dims, len(mesh.axes)
     if not mesh.spacing:
         raise ValueError("this needs a uniform grid")
-    if int(np.prod(dims)) * d > FIELD_VALUES:
+    if not goes_to_tasks(mesh):
         raise ValueError(f"a field of more than {FIELD_VALUES} numbers is too large to go to every task")
     rows = mesh.vertices.select("vertex_id", *(F.col(field)[c].cast("double").alias(f"v{k}") for k, c in enumerate(axes))).toArrow()
     grid = np.zeros((int(np.prod(dims)), d))
@@ -289,15 +302,30 @@ def advect(seeds: DataFrame, velocity, steps: int, step_size: float, axes=meshes
     return seeds.select("seed_id", *(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(run, f"seed_id long, step int, {', '.join(c + ' double' for c in names)}")
 
 
+def goes_to_tasks(mesh: meshes.Mesh) -> bool:
+    """Whether a vector field of the mesh is one of a uniform grid, and small enough for every task."""
+    return bool(mesh.spacing) and int(np.prod(mesh.dims)) * len(mesh.axes) <= FIELD_VALUES
+
+
 def flow_map(mesh: meshes.Mesh, field: str, steps: int, step_size: float, resolution=None) -> DataFrame:
-    """(seed_id, start, end) of particles that a vertex vector field of a uniform grid
-    carries for some steps: places at both ends, as structs; end is null for
-    particles that leave the grid. Seeds are the grid's vertices, or those of a
-    grid of another resolution (vertices on each axis) over the same room."""
-    dims = tuple(resolution or mesh.dims)
-    spacing = [s * (n - 1) / max(1, m - 1) for s, n, m in zip(mesh.spacing, mesh.dims, dims, strict=True)]
-    seeds = meshes.uniform(mesh.vertices.sparkSession, dims, mesh.origin, spacing).vertices.select(F.col("vertex_id").alias("seed_id"), *mesh.axes)
-    path = advect(seeds, sampled_velocity(mesh, field), steps, step_size, mesh.axes)
+    """(seed_id, start, end) of particles that a vertex vector field carries for some
+    steps: places at both ends, as structs; end is null for particles that leave the
+    mesh. Seeds are the mesh's vertices, or those of a grid of a resolution
+    (vertices on each axis) over a uniform grid's room."""
+    from .particles import streamlines
+
+    if resolution and not mesh.spacing:
+        raise ValueError("a resolution needs a uniform grid")
+    if resolution:
+        spacing = [s * (n - 1) / max(1, m - 1) for s, n, m in zip(mesh.spacing, mesh.dims, resolution, strict=True)]
+        vertices = meshes.uniform(mesh.vertices.sparkSession, tuple(resolution), mesh.origin, spacing).vertices
+    else:
+        vertices = mesh.vertices
+    seeds = vertices.select(F.col("vertex_id").alias("seed_id"), *mesh.axes)
+    if goes_to_tasks(mesh):
+        path = advect(seeds, sampled_velocity(mesh, field), steps, step_size, mesh.axes)
+    else:
+        path = streamlines(seeds, mesh, field, steps, step_size)
     place = F.struct(*mesh.axes)
     ends = path.filter(F.col("step") == steps).select("seed_id", place.alias("end"))
     return seeds.select("seed_id", place.alias("start")).join(ends, "seed_id", "left")

@@ -74,12 +74,20 @@ def explicit(vertices: DataFrame, cells: DataFrame, axes=XYZ) -> Mesh:
 
 
 def measures(mesh: Mesh) -> DataFrame:
-    """cells with the extent on each axis, and area or volume (of the box around a cell)."""
-    corners = mesh.cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id")).join(mesh.vertices, ["domain_id", "vertex_id"])
-    size = corners.groupBy("domain_id", "cell_id").agg(*((F.max(c) - F.min(c)).alias(f"d{c}") for c in mesh.axes))
-    name = {1: "length", 2: "area", 3: "volume"}[len(mesh.axes)]
-    size = size.withColumn(name, reduce(lambda a, b: a * b, (F.col(f"d{c}") for c in mesh.axes)))
-    return mesh.cells.join(size, ["domain_id", "cell_id"])
+    """cells with the extent on each axis (dx, dy, dz), and length, area or volume:
+    that of the simplices they are cut to, which is a cell's own if its faces are flat."""
+    corners = mesh.cells.select("domain_id", "cell_id", is_odd(mesh.cells).alias("odd"), F.posexplode("conn").alias("corner", "vertex_id"))
+    at = mesh.vertices.select("domain_id", "vertex_id", F.array(*(F.col(c).cast("double") for c in mesh.axes)).alias("p"))
+    d, ranges = len(mesh.axes), [(F.max(F.col("p")[k]) - F.min(F.col("p")[k])).alias(f"d{c}") for k, c in enumerate(mesh.axes)]
+    rows = corners.join(at, ["domain_id", "vertex_id"]).groupBy("domain_id", "cell_id", "odd").agg(F.array_sort(F.collect_list(F.struct("corner", "p"))).alias("c"), *ranges)
+    name = {1: "length", 2: "area", 3: "volume"}[d]
+    if d == 1:
+        return mesh.cells.join(rows.select("domain_id", "cell_id", "dx", F.col("dx").alias(name)), ["domain_id", "cell_id"])
+    parts = F.coalesce(pieces(F.size("c"), F.col("odd"), d), F.array(F.transform("c", lambda _, k: k)))
+    place = lambda f, i, k: F.get(F.get("c", F.get(f, F.lit(i)))["p"], F.lit(k))
+    size = lambda f: F.abs(_det([[place(f, i, k) - place(f, 0, k) for k in range(d)] for i in range(1, d + 1)])) / (2 if d == 2 else 6)
+    whole = F.aggregate(parts, F.lit(0.0), lambda n, f: n + size(f)).alias(name)
+    return mesh.cells.join(rows.select("domain_id", "cell_id", *(f"d{c}" for c in mesh.axes), whole), ["domain_id", "cell_id"])
 
 
 def to_vertices(mesh: Mesh, field: str, output: str | None = None) -> DataFrame:
@@ -267,6 +275,35 @@ def split(cells: DataFrame, axes: int = 3) -> DataFrame:
     return cells.select(*kept, F.posexplode(parts).alias("part", "conn"))
 
 
+def triangulated(mesh: Mesh, stride: int = 8) -> Mesh:
+    """The mesh with its cells cut to simplices, which are cells of their own: their
+    ids are stride times their cell's, which stays as parent_cell, and their part."""
+    cells = split(mesh.cells, len(mesh.axes))
+    ids = {"parent_cell": F.col("cell_id"), "cell_id": F.col("cell_id") * stride + F.col("part")}
+    return explicit(mesh.vertices.drop(*IJK), cells.withColumns(ids).drop("part", *IJK), mesh.axes)
+
+
+def moved(mesh: Mesh, scale=None, translate=None, matrix=None, rotate=None) -> Mesh:
+    """The mesh with its vertices and centres put through transform. A grid that is
+    scaled or moved stays one; turned, its lines no longer run along the axes."""
+    how = {"scale": scale, "translate": translate, "matrix": matrix, "rotate": rotate}
+    vertices, cells = (transform(df, axes=mesh.axes, **how) for df in (mesh.vertices, mesh.cells))
+    if matrix is not None or rotate is not None:
+        return Mesh(vertices, cells, mesh.axes)
+    by = [float(s) for s in scale or (1,) * 3]
+    to = [float(s) for s in translate or (0,) * 3]
+    origin = tuple(o * s + m for o, s, m in zip(mesh.origin, by, to, strict=False))
+    return Mesh(vertices, cells, mesh.axes, mesh.dims, origin, tuple(w * s for w, s in zip(mesh.spacing, by, strict=False)))
+
+
+def mirrored(mesh: Mesh, point: float, axis: str) -> Mesh:
+    """The mesh on the other side of a point of an axis."""
+    place = mesh.axes.index(axis)
+    flip = lambda values, f: tuple(f(v) if k == place else v for k, v in enumerate(values))
+    origin, spacing = flip(mesh.origin, lambda o: 2.0 * float(point) - o), flip(mesh.spacing, lambda s: -s)
+    return Mesh(reflect(mesh.vertices, point, axis), reflect(mesh.cells, point, axis), mesh.axes, mesh.dims, origin, spacing)
+
+
 def cell_ranges(mesh: Mesh, value: Column) -> DataFrame:
     """cells with the least and greatest value on their vertices."""
     rows = mesh.cells.select("domain_id", "cell_id", F.explode("conn").alias("vertex_id"))
@@ -387,7 +424,9 @@ def _located(points: DataFrame, mesh: Mesh, fields: list[str], empty: float, key
             inside &= (at >= 0) & (at <= n - 1)
             cell = cell + F.least(F.floor(at), F.lit(n - 2)) * stride
             stride *= n - 1
-        out = points.withColumn("cell_id", F.when(inside, cell)).join(mesh.cells.select("cell_id", *fields), "cell_id", "left")
+        met = points.withColumn("cell_id", F.when(inside, cell)).join(mesh.cells.select("domain_id", "cell_id", *(F.col(f).alias(f"__{f}") for f in fields)), "cell_id", "left")
+        first = F.min_by(F.struct("cell_id", *(F.col(f"__{f}").alias(f) for f in fields)), F.coalesce("domain_id", F.lit(0))).alias("c")  # where several domains have the cell
+        out = points.join(met.groupBy(key).agg(first), key, "left").select(*points.columns, "c.*")
     else:
         found = locate(points, mesh, key).join(mesh.cells.select("domain_id", "cell_id", *fields), ["domain_id", "cell_id"])
         out = points.join(found.drop("domain_id"), key, "left")

@@ -24,7 +24,9 @@ from ..operators import binning as bn
 from ..operators import fields as fl
 from ..operators import geometry as gm
 from ..operators import histogram as hg
+from ..operators import materials as mt
 from ..operators import mesh as ms
+from ..operators import particles as pt
 from ..operators import reductions as rd
 from ..operators import selection as sl
 from ..sources import tables
@@ -248,7 +250,7 @@ for _name, _make in {"gradient": ms.gradient, "divergence": ms.divergence, "vort
         use_cell_gradient, from the vertices of each cell: then a field of the cells."""
         by_cell = str(p.get("use_cell_gradient", "false")).lower() == "true"
         output, axes = p.get("output_name", f"{p['field']}_{name}"), data.mesh.axes
-        if not by_cell and "i" in data.cells.columns:
+        if not by_cell and data.mesh.dims:
             return _map(data, p["field"], lambda df: make(df, p["field"], axes, output))
         if _on(data, p["field"]) == "element":
             data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
@@ -271,21 +273,30 @@ def _(data, p):
     return _moved(data, scale=at(p.get("scale")), translate=at(p.get("translate")), matrix=p.get("matrix"), rotate=(rotate["angle"], at(rotate["axis"])) if rotate else None)
 
 
+def _of_mesh(data: Data, mesh: ms.Mesh) -> Data:
+    """data with another mesh in place of its own."""
+    return Data(mesh.cells, mesh.vertices, data.keys, data.state, mesh, data.topology)
+
+
 def _moved(data: Data, **how) -> Data:
-    axes = data.mesh.axes if data.mesh is not None else tuple(c for c in ("x", "y", "z") if c in data.cells.columns)
+    if data.mesh is not None:
+        return _of_mesh(data, ms.moved(data.mesh, **how))
+    axes = tuple(c for c in ("x", "y", "z") if c in data.cells.columns)
     out = _with_cells(data, ms.transform(data.cells, axes=axes, **how))
     return _with_vertices(out, ms.transform(data.vertices, axes=axes, **how)) if data.vertices is not None else out
 
 
 @operator("reflect", "point axis")
 def _(data, p):
+    if data.mesh is not None:
+        return _of_mesh(data, ms.mirrored(data.mesh, p["point"], p["axis"]))
     out = _with_cells(data, ms.reflect(data.cells, p["point"], p["axis"]))
     return _with_vertices(out, ms.reflect(data.vertices, p["point"], p["axis"])) if data.vertices is not None else out
 
 
 @operator("triangulate", "topology")
 def _(data, p):
-    return _with_cells(data, ms.split(data.cells, len(data.mesh.axes) if data.mesh is not None else 3))
+    return _of_mesh(data, ms.triangulated(data.mesh)) if data.mesh is not None else _with_cells(data, ms.split(data.cells, 3))
 
 
 def _scalars(data: Data) -> tuple[str, ...]:
@@ -338,8 +349,7 @@ def _(data, p):
 
 @operator("merge_points", "delta")
 def _(data, p):
-    merged = ms.merge_points(data.mesh, p["delta"])
-    return Data(merged.cells, merged.vertices, data.keys, data.state, merged, data.topology)
+    return _of_mesh(data, ms.merge_points(data.mesh, p["delta"]))
 
 
 @operator("lagrangian", "field num_steps step_size x_res y_res z_res")
@@ -390,7 +400,26 @@ def _(data, p):
         seeds = spark.range(n if line else n ** len(axes)).select(F.col("id").alias("seed_id"), *((F.lit(a) + part(k) * (b - a)).alias(c) for k, (c, a, b) in enumerate(zip(axes, low, high, strict=True))))
     if _on(data, p["field"]) == "element":
         data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
-    paths = gm.advect(seeds, gm.sampled_velocity(data.mesh, p["field"]), int(p["num_steps"]), float(p["step_size"]), axes)
+    steps, size = int(p["num_steps"]), float(p["step_size"])
+    if gm.goes_to_tasks(data.mesh):
+        paths = gm.advect(seeds, gm.sampled_velocity(data.mesh, p["field"]), steps, size, axes)
+    else:
+        paths = pt.streamlines(seeds, data.mesh, p["field"], steps, size)
+    return Data(paths, None, ("seed_id", "step"), data.state)
+
+
+@operator("warpx_streamline", "b_field e_field charge_field mass_field momentum_field weighting_field num_steps step_size speed_of_light")
+def _(data, p):
+    """The vertices are charged particles: of fields for charge, mass, momentum (a vector)
+    and weighting, in the fields of e_field and b_field, in SI units unless
+    speed_of_light says otherwise (null: without relativity)."""
+    of = lambda name: p.get(f"{name.lower()}_field", name)
+    needed = [of(n) for n in ("B", "E", "Charge", "Mass", "Momentum", "Weighting")]
+    if lacking := [n for n in needed if n not in data.vertices.columns]:
+        raise ActionError(f"warpx_streamline: no vertex field {', '.join(lacking)}")
+    momentum = {f"p{c}": F.col(of("Momentum"))[c] for c in data.mesh.axes}
+    seeds = data.vertices.select(F.col("vertex_id").alias("seed_id"), *data.mesh.axes, *(v.alias(n) for n, v in momentum.items()), *(F.col(of(n.title())).alias(n) for n in ("mass", "charge", "weighting")))
+    paths = pt.charged(seeds, data.mesh, of("E"), of("B"), int(p["num_steps"]), float(p["step_size"]), p.get("speed_of_light", pt.SPEED_OF_LIGHT))
     return Data(paths, None, ("seed_id", "step"), data.state)
 
 
@@ -404,10 +433,22 @@ def _(data, p):
     return _with_cells(data, fl.add_ranks(data.cells, p.get("output", "mpi_rank")))
 
 
-@operator("mir", "materials")
+@operator("mir", "materials matset dominant")
 def _(data, p):
-    best = ms.dominant_material(p["materials"])
-    return _with_cells(data, data.cells.join(best, ["domain_id", "cell_id"], "left"))
+    """materials: a table (domain_id, cell_id, material, vol_frac), or matset: its name in
+    the state. The pieces of each cell by material, with the vertex fields; dominant:
+    whole cells, with the material that has most of each."""
+    if ("materials" in p) == ("matset" in p):
+        raise ActionError("mir: either materials or matset")
+    known = data.state.get("matsets", {})
+    if "matset" in p and p["matset"] not in known:
+        raise ActionError(f"mir: unknown matset {p['matset']}; known are {', '.join(known)}")
+    table = p["materials"] if "materials" in p else known[p["matset"]]
+    if p.get("dominant"):
+        return _with_cells(data, data.cells.join(ms.dominant_material(table), ["domain_id", "cell_id"], "left"))
+    if data.mesh is None:
+        raise ActionError("mir: this needs a mesh; without one, only dominant")
+    return Data(mt.interfaces(data.mesh, table, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
 @operator("mesh_boundary", "topology")

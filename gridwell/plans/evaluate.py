@@ -426,7 +426,7 @@ def _topology(ev, name):
     if "cell_id" in ev.data.cells.columns:
         cell["id"] = Field(F.col("cell_id"))
     if ev.data.mesh is not None and ev.data.mesh.spacing:
-        spacing = ev.data.mesh.spacing
+        spacing = [abs(s) for s in ev.data.mesh.spacing]
         cell |= {f"d{c}": Field(F.lit(s)) for c, s in zip(ev.data.mesh.axes, spacing, strict=True)}
         cell[{1: "length", 2: "area", 3: "volume"}[len(spacing)]] = Field(F.lit(math.prod(spacing)))
         if len(spacing) == 3:

@@ -784,4 +784,5 @@ def flagship(spark, sf: str) -> DataFrame:
     return QUERIES["binning_avg_2d"](spark, sf)
 
 
-from . import programs as programs  # noqa: E402  it registers its queries, which are built on those above
+from . import meshwork as meshwork  # noqa: E402  these register their queries, which are built on those above
+from . import programs as programs  # noqa: E402

@@ -93,8 +93,9 @@ def save_info(spark: SparkSession, path: str, info: dict) -> str:
     return write_text(spark, path, json.dumps(info, indent=1, default=str))
 
 
-#: VTK's numbers for cells by how many vertices they have.
-VTK_CELLS = {2: 3, 3: 5, 4: 9, 8: 12}
+#: VTK's numbers for cells by how many vertices they have, on so many axes:
+#: lines; triangles, quadrilaterals; tetrahedra, pyramids, wedges, hexahedra.
+VTK_CELLS = {1: {2: 3}, 2: {3: 5, 4: 9}, 3: {3: 5, 4: 10, 5: 14, 6: 13, 8: 12}}
 
 
 def write_vtk(mesh, path: str) -> str:
@@ -130,7 +131,7 @@ def write_vtk(mesh, path: str) -> str:
                         places.append(p)
                 inside.append(fields)
                 lines.append(" ".join(map(str, [len(ids), *(at[domain, v] for v in ids)])))
-                kinds.append(VTK_CELLS.get(len(ids), 7))
+                kinds.append(VTK_CELLS[len(axes)].get(len(ids), 7))
         if not lines:
             return
         d = len(axes)
