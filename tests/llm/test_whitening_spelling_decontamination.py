@@ -140,7 +140,7 @@ def test_variants_of_few_letters_ties_and_odd_rows(spark):
     docs = [(k if k % 9 else None, "-".join(w for w in rnd.sample(words, 25) for _ in range(rnd.randint(1, 5)))) for k in range(40)]
     docs += [(k, t) for k, t in enumerate(ODD)] + docs[:3]
     got = variants_of(spark, docs)
-    assert got == brute_variants(docs) and max(r[4] for r in got) > 2 and any(r[2] != r[1] for r in got if r[1])
+    assert got == brute_variants(docs) and max(r[4] for r in got) > 2 and any(r[1] for r in got)
     assert variants_of(spark, []) == [] and variants_of(spark, [(1, None), (2, "a b c")]) == []
 
 
