@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import vectors
+from .operators import extrema as xt
 from .operators import geometry as gm
 from .operators import mesh as ms
 from .operators import particles as pt
@@ -201,3 +202,50 @@ def charged_particles(spark, sf):
     data.vertices = data.mesh.vertices = data.mesh.vertices.withColumns(fields)
     out = _after(data, ("warpx_streamline", {"num_steps": 6, "step_size": 0.1, "speed_of_light": None}))
     return out.cells.select("seed_id", "step", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "px", "py")))
+
+
+# -- extrema: the orders side by side, as a strip of two rows with the same heights; a way along it is a way along one row
+
+_STRIP = "v AS (SELECT o_orderkey AS i, round(sqrt(o_totalprice) / 100, 2) AS w FROM orders), n AS (SELECT count(*) AS n FROM v)"
+
+
+def _peaks(sign: int) -> str:
+    """Per maximum (minimum): on each side the lowest place before a higher one, of which the higher is its saddle."""
+    k = "up" if sign > 0 else "down"
+    return f""", {k}0 AS (SELECT i, {sign} * w AS w FROM v), {k}1 AS (SELECT a.* FROM {k}0 a LEFT JOIN {k}0 l ON l.i = a.i - 1 LEFT JOIN {k}0 r ON r.i = a.i + 1 WHERE coalesce(l.w <= a.w, true) AND coalesce(r.w < a.w, true)),
+{k}2 AS (SELECT a.i, a.w, min(b.i) FILTER (b.i > a.i AND b.w >= a.w) AS after, max(b.i) FILTER (b.i < a.i AND b.w > a.w) AS before FROM {k}1 a, {k}0 b GROUP BY ALL),
+{k}3 AS (SELECT a.i, a.w, a.after IS NULL AND a.before IS NULL AS top, min({{'w': b.w, 'i': b.i}}) FILTER (b.i > a.i AND b.i < a.after) AS r, min({{'w': b.w, 'i': b.i}}) FILTER (b.i < a.i AND b.i > a.before) AS l FROM {k}2 a, {k}0 b GROUP BY ALL),
+{k} AS (SELECT i, {sign} * w AS value, CASE WHEN l IS NULL OR r > l THEN r ELSE l END AS s FROM {k}3)"""
+
+
+def _strip(spark, sf) -> ms.Mesh:
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.round(F.sqrt("o_totalprice") / 100, 2).alias("w"))
+    m = ms.uniform(spark, (orders.count(), 2))
+    m.vertices = m.vertices.withColumn("i", F.col("i").cast("long")).join(orders, "i")
+    return m
+
+
+@query(f"WITH {_STRIP}{_peaks(1)} SELECT i + n AS vertex_id, value, s.i + n AS saddle_id, round(s.w, 6) AS saddle, round(value - s.w, 6) AS persistence FROM up, n")
+def merge_tree(spark, sf):
+    """The maxima of a field, their saddles, and how much they stand out."""
+    out = xt.extrema(_strip(spark, sf), "w")
+    return out.select("vertex_id", "value", "saddle_id", F.round("saddle", 6).alias("saddle"), F.round("persistence", 6).alias("persistence"))
+
+
+@query(f"""WITH {_STRIP}{_peaks(1)}{_peaks(-1)}, extremes AS (SELECT i, abs(value - s.w) AS p, s.w + 1e-5 AS level FROM up WHERE s IS NOT NULL UNION ALL SELECT i, abs(value + s.w), -s.w - 1e-5 FROM down WHERE s IS NOT NULL),
+best AS (SELECT DISTINCT level FROM (SELECT level FROM extremes ORDER BY p DESC, level, i LIMIT 6))
+SELECT round(level, 6) AS level, count(*) AS cells FROM best JOIN v a ON true JOIN v b ON b.i = a.i + 1 WHERE level BETWEEN least(a.w, b.w) AND greatest(a.w, b.w) GROUP BY 1""")
+def contour_tree_levels(spark, sf):
+    """Contours beside the saddles of what stands out most, and how many cells they pass through."""
+    m = _strip(spark, sf)
+    out = _after(Data(m.cells, m.vertices, mesh=m), ("contour", {"field": "w", "levels": 6, "use_contour_tree": "true"}))
+    return out.cells.groupBy(F.round("level", 6).alias("level")).agg(F.countDistinct("cell_id").alias("cells"))
+
+
+@query(f"""WITH RECURSIVE {_STRIP}, step AS (SELECT a.i, arg_max(b.i, {{'w': b.w, 'i': b.i}}) AS next FROM v a JOIN v b ON b.i BETWEEN a.i - 1 AND a.i + 1 GROUP BY 1),
+walk AS (SELECT i, i AS at FROM v UNION ALL SELECT w.i, s.next FROM walk w JOIN step s ON s.i = w.at WHERE s.next <> w.at)
+SELECT v.i + j * n AS vertex_id, CASE WHEN v.w >= 3.5 THEN e.at + n ELSE -1 END AS segment FROM v JOIN (SELECT w.i, w.at FROM walk w JOIN step s ON s.i = w.at WHERE s.next = w.at) e USING (i), n, (VALUES (0), (1)) AS t(j)""")
+def merge_tree_segments(spark, sf):
+    """Which maximum each vertex belongs to, above a threshold."""
+    m = _strip(spark, sf)
+    return _after(Data(m.cells, m.vertices, mesh=m), ("bflow_pmt", {"field": "w", "threshold": 3.5, "gen_segment": 1, "fanin": 2})).vertices.select("vertex_id", "segment")

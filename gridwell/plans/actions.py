@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import binning as bn
+from ..operators import extrema as xt
 from ..operators import fields as fl
 from ..operators import geometry as gm
 from ..operators import histogram as hg
@@ -236,12 +237,6 @@ def _(data, p):
     return _with_vertices(_with_cells(data, data.cells.join(made, ["domain_id", "cell_id"], "left")), data.vertices.drop(p["field"]))
 
 
-def _without(p, name: str) -> None:
-    """An error where a method is asked for that isn't here; its default is no."""
-    if str(p.get(name, "false")).lower() != "false":
-        raise ActionError(f"{name}: not here, only false")
-
-
 for _name, _make in {"gradient": ms.gradient, "divergence": ms.divergence, "vorticity": ms.vorticity, "qcriterion": ms.qcriterion}.items():
 
     @operator(_name, "field output_name use_cell_gradient")
@@ -313,18 +308,41 @@ def _pieces(data: Data, value, most: float = 0.0, least: float | None = None) ->
 
 @operator("contour", "field levels iso_values use_contour_tree")
 def _(data, p):
-    _without(p, "use_contour_tree")
+    """use_contour_tree: the levels lie beside the saddles of the extrema that stand out most, in place of even steps."""
+    by_tree = str(p.get("use_contour_tree", "false")).lower() == "true"
+    if by_tree and "levels" not in p:
+        raise ActionError("contour: use_contour_tree goes with levels")
     if ("levels" in p) == ("iso_values" in p):
         raise ActionError("contour: either levels or iso_values")
     if _on(data, p["field"]) == "element":
         data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
-    if "levels" in p:
+    if by_tree:
+        values = xt.relevant_levels(data.mesh, p["field"], int(p["levels"]))
+        if not values:  # a field without two maxima or minima
+            return Data(gm.contour(data.mesh, F.col(p["field"]), [0.0], _scalars(data)).limit(0), None, ("domain_id", "cell_id"), data.state)
+    elif "levels" in p:
         values = [r["value"] for r in ms.contour_levels(data.vertices, p["field"], p["levels"]).orderBy("level").collect()]
     else:
         values = p["iso_values"] if isinstance(p["iso_values"], list) else [p["iso_values"]]
     return Data(gm.contour(data.mesh, F.col(p["field"]), values, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
+@operator("bflow_pmt", "field threshold gen_segment fanin persistence")
+def _(data, p):
+    """The merge tree of a field's maxima; with gen_segment 1, the vertices at or above
+    threshold with the maximum that each belongs to (-1 for those below), as
+    ``segment``. persistence: lesser maxima join those they merge into. fanin, which
+    says how blocks are put together, changes no result."""
+    if _on(data, p["field"]) == "element":
+        data = TRANSFORMS["recenter"][0](data, {"field": p["field"], "association": "vertex"})
+    if not int(p.get("gen_segment", 1)):
+        tree = xt.extrema(data.mesh, p["field"]).filter(F.col("value") >= float(p["threshold"]))
+        return Data(tree.filter(F.col("persistence").isNull() | (F.col("persistence") >= float(p.get("persistence", 0)))), None, ("domain_id", "vertex_id"), data.state)
+    found = xt.segments(data.mesh, p["field"], float(p.get("persistence", 0)), float(p["threshold"]))
+    rows = data.vertices.join(found, ["domain_id", "vertex_id"], "left")
+    return _with_vertices(data, rows.withColumn("segment", F.coalesce("segment", F.lit(-1).cast("long"))))
+
+
 @operator("slice", "point normal sphere cylinder box plane topology")
 def _(data, p):
     shape = _implicit(data, {"plane": {"point": p["point"], "normal": p["normal"]}} if "point" in p else p)
@@ -495,7 +513,7 @@ def _(engine, data, p):
     return {"min_val": h.min_val, "max_val": h.max_val, "counts": [r["value"] for r in h.bins.orderBy("bin").collect()]}
 
 
-NUMERIC = ("min_value", "max_value", "clip_value", "iso_values", "exponent", "clamp_min_value", "sample_rate", "empty_bin_val")
+NUMERIC = ("threshold", "persistence", "min_value", "max_value", "clip_value", "iso_values", "exponent", "clamp_min_value", "sample_rate", "empty_bin_val")
 FIELDS = ("field", "field1", "field2", "field3", "reduction_field")
 
 
