@@ -72,6 +72,12 @@ class One:
         text = text_of(value)
         return [] if self.optional and not text else [(self.role, text)]
 
+    def reads(self, record, path: str) -> bool:
+        value = _at(record, self.path)
+        if isinstance(value, list) and value and all(isinstance(x, dict) and {"role", "content"} <= x.keys() for x in value):
+            return Many(self.path).reads(record, path)
+        return _below(path, self.path)
+
 
 @dataclass(frozen=True)
 class Many:
@@ -95,6 +101,11 @@ class Many:
             found.append((names.get(role, role), text))
         return found
 
+    def reads(self, record, path: str) -> bool:
+        """Whether a leaf is in the turns: roles and texts of objects, and all of what is no object."""
+        each = f"{self.path}[]"
+        return path == each or path.startswith(f"{each}[]") or _below(path, f"{each}.{self.role}") or _below(path, f"{each}.{self.text}") or _empty(record, self.path, path)
+
 
 @dataclass(frozen=True)
 class Pairs:
@@ -117,6 +128,9 @@ class Pairs:
                 found.append(("user", text_of(x)))
         return found
 
+    def reads(self, record, path: str) -> bool:
+        return Many(self.path).reads(record, path)
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -136,6 +150,14 @@ class Mapping:
         return [t for part in self.parts for t in part.turns(record)]
 
 
+def _below(path: str, top: str) -> bool:
+    return path == top or path.startswith((f"{top}.", f"{top}[]"))
+
+
+def _empty(record, top: str, path: str) -> bool:
+    return path == top and _at(record, top) is None
+
+
 def _at(record, path: str):
     for part in path.split("."):
         record = record.get(part) if isinstance(record, dict) else None
@@ -223,6 +245,10 @@ def parsed(output: str) -> list[tuple[str, str]]:
     return [(_unescape(r), _unescape(t)) for r, t in _TURNS.findall(output)]
 
 
+#: Halves of surrogate pairs on their own.
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def read_back(record: str, layouts: Layouts) -> tuple:
     """What a JSON record's formatted text says when it's read back."""
     try:
@@ -231,7 +257,8 @@ def read_back(record: str, layouts: Layouts) -> tuple:
         value = {}
     value = value if isinstance(value, dict) else {}
     key, mapping = layouts.mapping(value)
-    text, spans = formatted(mapping.turns(value) if mapping else [])
+    text, spans = formatted([(_LONE.sub("\ufffd", r), _LONE.sub("\ufffd", t)) for r, t in mapping.turns(value)] if mapping else [])
+    unread = sorted(_LONE.sub("\ufffd", p) for p in field_paths(value) if p and not (mapping and any(x.reads(value, p) for x in mapping.parts)))
     turns = parsed(text)
     digest, loss = hashlib.sha256(), hashlib.sha256()
     for role, said in turns:
@@ -241,10 +268,10 @@ def read_back(record: str, layouts: Layouts) -> tuple:
         said = _unescape(text[a:b])
         n += len(said)
         loss.update(said.encode("utf-8", "surrogatepass"))
-    return text, json.dumps(spans), key, mapping.name if mapping else "", len(turns), digest.hexdigest(), n, loss.hexdigest(), len(text)
+    return text, json.dumps(spans), key, mapping.name if mapping else "", len(turns), digest.hexdigest(), n, loss.hexdigest(), len(text), json.dumps(unread, ensure_ascii=False)
 
 
-FIELDS = "formatted string, loss_spans string, fingerprint string, layout string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+FIELDS = "formatted string, loss_spans string, fingerprint string, layout string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, unread string"
 
 
 def format_records(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
@@ -253,6 +280,9 @@ def format_records(records: DataFrame, key: str = "conv_id", record: str = "reco
     A null, empty or broken record (nested too deep to be read, too), and one of
     an unknown layout, has no turns and an empty output. Null texts, roles and
     messages are empty; whatever else stands in a text's place goes in as JSON.
+    Half a surrogate pair, which JSON can name and no UTF-8 text can hold, becomes
+    U+FFFD. ``unread`` lists the paths of a record that its mapping has no place for,
+    such as calls of tools beside a message or a second layout, as JSON.
     Texts may be of any length. Rows are independent: repeated ones stay, an
     empty table stays empty, and columns other than key and record are left out.
     """
@@ -309,4 +339,4 @@ def op3_chat(spark, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     out = format_records(conversations(rows.unionByName(more)))
-    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "fingerprint", "layout")
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "fingerprint", "layout", "unread")
