@@ -18,6 +18,7 @@ the different URLs are joined with.
 from __future__ import annotations
 
 import json
+import re
 import re._parser as parser
 import zlib
 from dataclasses import dataclass
@@ -74,6 +75,8 @@ def _ways(tree) -> list[tuple]:
         elif op is parser.AT:
             more = [(EDGE,)] if av in (parser.AT_BEGINNING, parser.AT_BEGINNING_STRING, parser.AT_END, parser.AT_END_STRING, parser.AT_BOUNDARY) else [()]
         elif op is parser.SUBPATTERN:
+            if av[1] or av[2]:
+                raise ValueError("flags in a rule's regular expression")
             more = _ways(av[3])
         elif op is parser.BRANCH:
             more = [w for branch in av[1] for w in _ways(branch)]
@@ -92,7 +95,15 @@ def _ways(tree) -> list[tuple]:
 def tokens_of_ways(regex: str) -> list[set[str]]:
     """For each way through a regular expression: the whole tokens that any URL has which fits it that way."""
     found = []
-    for way in _ways(parser.parse(regex.replace(r"\z", r"\Z"))):  # Python's name for the end
+    if "&&" in regex or re.search(r"\[[^]]*\[", regex.replace(r"\[", "")):
+        raise ValueError("sets of sets in a rule's regular expression")  # which the parser here reads otherwise
+    try:
+        tree = parser.parse(regex.replace(r"\z", r"\Z"))  # Python's name for the end
+    except re.error as e:
+        raise ValueError(f"{regex}: {e}") from e
+    if tree.state.flags & ~re.UNICODE:
+        raise ValueError("flags in a rule's regular expression")
+    for way in _ways(tree):
         tokens, run, whole = set(), "", False
         for x in (*way, ANY):
             if x in (EDGE, ANY):
@@ -110,7 +121,7 @@ class PatternRule:
     """regex is a Java regular expression over the lower-cased URL; any URL it
     fits must hold each of literals, or of one of others, as whole tokens
     (letters and digits). A rule of which the expression doesn't show that is
-    an error."""
+    an error, and so is one with flags, such as (?i): the URL is lower-case already."""
 
     verdict: str
     regex: str

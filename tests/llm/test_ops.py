@@ -66,7 +66,7 @@ def test_sql(spark, name):
     found = c.execute(oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
-    assert sorted(tuple(r[x] for x in columns) for r in df.collect()) == sorted(tuple(r[names.index(x)] for x in columns) for r in found.fetchall()) or _close(df, columns, c.execute(oracle_sql()[name]).fetchall(), names)
+    assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=repr) == sorted((tuple(r[names.index(x)] for x in columns) for r in found.fetchall()), key=repr) or _close(df, columns, c.execute(oracle_sql()[name]).fetchall(), names)
 
 
 def _close(df, columns, rows, names):
@@ -840,3 +840,55 @@ def test_quality_target_is_every_good_document(spark):
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality")).unionAll(docs.limit(9).select("doc_id", F.lit(1)))
     assert quality.counted(quality.trusted(docs, labels)).sum() == 3 * n
+
+
+# -- records and rules that were told wrong
+
+
+def test_halves_of_surrogate_pairs_and_unread_fields_go_through_spark(spark):
+    records = [
+        r'{"messages":[{"role":"us\udc00er","content":"a\ud800b"}]}',
+        '{"messages":[{"role":"user","content":"a","tool_calls":[{"x":1}]}],"prompt":"p"}',
+        '{"chosen":"c","prompt":"a","completion":"b"}',
+        '{"history":[["a","b"],{"role":"user","content":"x","z":1}],"instruction":"i","output":{"deep":["o"]},"input":null}',
+        r'{"x":{"\ud800":1}}',
+        '{"messages":[["bare",{"t":1}],null,7]}',
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = {r["conv_id"]: r for r in chat.format_records(rows).collect()}
+    assert chat.parsed(got[0]["formatted"]) == [("us�er", "a�b")]
+    assert got[0]["turns_sha256"] == hashlib.sha256("us�er\na�b\n".encode()).hexdigest()
+    assert [json.loads(got[k]["unread"]) for k in range(7)] == [[], ["messages[].tool_calls[].x", "prompt"], ["chosen"], ["history[].z"], ["x.�"], [], []]
+    assert all(json.loads(r["unread"]) == [] for r in chat.format_records(chat.conversations(spark.read.parquet(f"{SF}/conversations.parquet"))).collect())
+
+
+def test_url_rules_with_flags_or_sets_of_sets_are_refused():
+    for regex in ("(?i)-Xfoo-", "(?i:-foo-)", "-(?-i:foo)-", "-foo-[a&&[b]]", "-foo-[a[b]]", r"-foo-\p{L}", "-foo-("):
+        with pytest.raises(ValueError):
+            urlfilter.PatternRule("block", regex, ("foo",))
+
+
+def test_tokens_of_random_rules_hold_in_what_java_matches(spark):
+    """Whatever a random expression fits has the tokens that were read off it."""
+    rng = np.random.default_rng(8)
+    pieces = ["a", "b", "X", "ab", "-", "/", r"\.", "[ab]", "[-/]", "[^a-z0-9]", "[^b]", ".", "a?", "(a|b-)", "(-ab)+", "(b)*", r"\b", "^", "$", r"\z", "_", r"\d", "(-|/b)", "b{1,2}", "é"]
+    rules = []
+    while len(rules) < 120:
+        regex = "".join(rng.choice(pieces, rng.integers(2, 7)))
+        try:
+            ways = urlfilter.tokens_of_ways(regex)
+        except ValueError:
+            continue
+        if all(ways):
+            rules.append((regex, ways))
+    urls = ["".join(rng.choice(list("ab-/._1é") + ["ab", "-ab-"], rng.integers(1, 9))) for _ in range(1500)]
+    rows = spark.createDataFrame([(u,) for u in sorted(set(urls))], "url string").select("url", *(F.col("url").rlike(r).alias(f"r{k}") for k, (r, _) in enumerate(rules))).collect()
+    fits = 0
+    for row in rows:
+        tokens = set(re.split("[^a-z0-9]+", row["url"]))
+        for k, (regex, ways) in enumerate(rules):
+            if row[f"r{k}"]:
+                fits += 1
+                assert any(w <= tokens for w in ways), (regex, row["url"], ways)
+    assert fits > 500
