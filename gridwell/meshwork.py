@@ -10,6 +10,7 @@ from .operators import extrema as xt
 from .operators import geometry as gm
 from .operators import mesh as ms
 from .operators import particles as pt
+from .operators import polytopes as pg
 from .plans.actions import Engine
 from .plans.evaluate import Data
 from .programs import _mesh_data, _wedges
@@ -249,3 +250,87 @@ def merge_tree_segments(spark, sf):
     """Which maximum each vertex belongs to, above a threshold."""
     m = _strip(spark, sf)
     return _after(Data(m.cells, m.vertices, mesh=m), ("bflow_pmt", {"field": "w", "threshold": 3.5, "gen_segment": 1, "fanin": 2})).vertices.select("vertex_id", "segment")
+
+
+# -- polygons and polyhedra: two neighbours along x make one cell, of six vertices in a plane and of ten faces in space
+
+_LAYER = "WITH v AS (SELECT o_orderkey AS id, (o_orderkey % 5)::INT AS i, (o_orderkey // 5)::INT AS j, (o_orderkey % 5) * 0.5::DOUBLE AS x, (o_orderkey // 5)::DOUBLE AS y, sqrt(o_totalprice) / 100 AS w FROM orders), c AS (SELECT i // 2 + 2 * j AS id, j, x AS x0, y AS y0 FROM v WHERE i IN (0, 2) AND j < (SELECT max(j) FROM v))"
+
+
+def _polygons(spark, sf) -> ms.Mesh:
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("vertex_id"), (F.sqrt("o_totalprice") / 100).alias("w"))
+    i, j = F.col("vertex_id") % 5, F.floor(F.col("vertex_id") / 5)
+    vertices = orders.withColumns({"x": i * 0.5, "y": j.cast("double")})
+    ring = F.array(*(F.col("vertex_id") + k for k in (0, 1, 2, 7, 6, 5)))
+    cells = orders.filter(i.isin(0, 2) & (j < orders.count() // 5 - 1)).select((F.floor(i / 2) + 2 * j).cast("long").alias("cell_id"), ring.alias("conn"))
+    return ms.explicit(vertices, cells, ("x", "y"))
+
+
+_LINE = ", o AS (SELECT c.id, 20.3 - (x0 + 0.5 * y0) AS d FROM c), s AS (SELECT id AS cell_id, greatest(d, 0) - greatest(d - 1, 0) - greatest(d - 0.5, 0) + greatest(d - 1.5, 0) AS total FROM o)"
+
+
+@query(_LAYER + _LINE + " SELECT cell_id, round(total * sqrt(5), 5) AS size FROM s WHERE total * sqrt(5) > 0.00002")
+def polygon_contour(spark, sf):
+    """A contour through hexagons: how long it is in each."""
+    m = _polygons(spark, sf)
+    return _sizes(gm.measure(gm.contour(m, F.col("x") + 0.5 * F.col("y"), [20.3]), 2))
+
+
+@query(_LAYER + " SELECT 6 * id + k AS cell_id, id AS parent_cell, (0.25 - 0.125 * (k IN (0, 1, 3, 4))::INT)::DOUBLE AS area FROM c, range(6) AS r(k)")
+def polygon_sides(spark, sf):
+    """Hexagons as the triangles around their centres, by the action."""
+    m = _polygons(spark, sf)
+    out = _after(Data(m.cells, m.vertices, mesh=m), ("sides", {}))
+    return ms.measures(out.mesh).select("cell_id", "parent_cell", F.round("area", 9).alias("area"))
+
+
+@query(_LAYER + " SELECT id AS cell_id, 1 + 2 * (j = 0)::INT + 2 * (j = (SELECT max(j) FROM c))::INT AS edges FROM c")
+def polygon_boundary(spark, sf):
+    """Edges that one hexagon alone has."""
+    return ms.boundary(_polygons(spark, sf).cells, 2).groupBy("cell_id").agg(F.count("*").alias("edges"))
+
+
+def _polyhedra(spark, sf) -> pg.Polyhedra:
+    """Boxes two by two along x: faces by their direction and the least vertex."""
+    m = _mesh(spark, sf)
+    v = F.col("conn")[0]
+    face = lambda kind, at: (F.lit(3) * at + kind).cast("long")
+    cell = m.cells.filter(F.col("i") % 2 == 0)
+    of = [face(0, v), face(0, v + 2), *(face(1, v + a + b) for a in (0, 1) for b in (0, 5)), *(face(2, v + a + b) for a in (0, 1) for b in (0, 30))]
+    cells = cell.select((F.floor(F.col("cell_id") / 2)).alias("cell_id"), F.array(*of).alias("faces"))
+    rings = {0: (0, 5, 35, 30), 1: (0, 1, 31, 30), 2: (0, 1, 6, 5)}
+    named = cells.select(F.explode("faces").alias("face_id")).distinct()
+    least, kind = F.floor(F.col("face_id") / 3), F.col("face_id") % 3
+    ring = F.when(F.lit(False), F.array(least))
+    for k, places in rings.items():
+        ring = ring.when(kind == k, F.array(*(least + p for p in places)))
+    return pg.Polyhedra(m.vertices.drop("domain_id", "i", "j", "k"), cells, named.select("face_id", ring.alias("conn")))
+
+
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 3) + " SELECT cell_id // 2 AS cell_id, round(sum(total) / 0.75, 5) + 0.0 AS size FROM s GROUP BY 1 HAVING round(sum(total) / 0.75, 5) > 0.00002")
+def polyhedron_clip(spark, sf):
+    """Polyhedra of ten faces, cut by a plane."""
+    out = _after(Data.of_polyhedra(_polyhedra(spark, sf)), ("clip", {"plane": {"point": list(ACROSS[0]), "normal": [-n for n in ACROSS[1]]}, "cut": True}))
+    parents = pg.polyhedron_sides(_polyhedra(spark, sf)).cells.select("cell_id", "parent_cell")
+    return _sizes(gm.volume(out.cells).join(parents, "cell_id"), "parent_cell")
+
+
+@query(_MESH + ", g AS (SELECT i // 2 + 2 * j + 10 * k AS cell_id, (i IN (0, 3))::INT + (j = 0)::INT + (j = 4)::INT + (k = 0)::INT + (k = (SELECT max(k) FROM c))::INT AS n FROM c) SELECT cell_id, sum(n)::BIGINT AS faces FROM g GROUP BY 1")
+def polyhedron_boundary(spark, sf):
+    """Faces that one polyhedron alone has."""
+    return pg.polyhedron_boundary(_polyhedra(spark, sf)).groupBy("cell_id").agg(F.count("*").alias("faces"))
+
+
+@query(_MESH + """, t AS (SELECT sum(l_tax) AS taxes, count(*) AS lines FROM lineitem WHERE l_quantity >= 30), b AS (SELECT count(*) AS boxes FROM c WHERE f BETWEEN 8 AND 12)
+SELECT 'taxes' AS name, round(taxes, 6)::DOUBLE AS value FROM t UNION ALL SELECT 'lines', lines::DOUBLE FROM t UNION ALL SELECT 'boxes', boxes::DOUBLE FROM b UNION ALL SELECT 'all', (SELECT count(*)::DOUBLE FROM c) UNION ALL SELECT 'greatest', (SELECT round(max(f), 6)::DOUBLE FROM c)""")
+def several_topologies(spark, sf):
+    """A grid and the rows of another table, published together: steps go to the one they name, or whose field they name."""
+    grid = _mesh_data(spark, sf)
+    rows = Data(read(spark, sf, "lineitem").withColumnRenamed("l_tax", "tax"), keys=("l_orderkey", "l_linenumber"))
+    engine = Engine().publish(Data.of_topologies({"grid": grid, "lines": rows}))
+    steps = {"a": {"type": "threshold", "params": {"field": "l_quantity", "min_value": 30.0, "max_value": 1e9}}, "b": {"type": "threshold", "params": {"field": "f", "min_value": 8.0, "max_value": 12.0, "topology": "grid"}}}
+    info = engine.execute([{"action": "add_queries", "queries": {"q": {"params": {"expression": "max(field('f')).value", "name": "greatest"}}}}, {"action": "add_pipelines", "pipelines": {"p": steps, "untouched": {"a": {"type": "noop", "params": {"field": "tax"}}}}}])
+    out, rest = engine.pipelines["p"].topologies(), engine.pipelines["untouched"].topologies()
+    taxes, lines = out["lines"].cells.agg(F.sum("tax"), F.count("*")).first()
+    said = {"taxes": taxes, "lines": lines, "boxes": out["grid"].cells.count(), "all": rest["grid"].cells.count(), "greatest": info["expressions"]["greatest"]}
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in said.items()], "name string, value double")

@@ -85,8 +85,9 @@ def measures(mesh: Mesh) -> DataFrame:
         return mesh.cells.join(rows.select("domain_id", "cell_id", "dx", F.col("dx").alias(name)), ["domain_id", "cell_id"])
     parts = F.coalesce(pieces(F.size("c"), F.col("odd"), d), F.array(F.transform("c", lambda _, k: k)))
     place = lambda f, i, k: F.get(F.get("c", F.get(f, F.lit(i)))["p"], F.lit(k))
-    size = lambda f: F.abs(_det([[place(f, i, k) - place(f, 0, k) for k in range(d)] for i in range(1, d + 1)])) / (2 if d == 2 else 6)
-    whole = F.aggregate(parts, F.lit(0.0), lambda n, f: n + size(f)).alias(name)
+    turned = lambda f: _det([[place(f, i, k) - place(f, 0, k) for k in range(d)] for i in range(1, d + 1)])
+    size = (lambda f: turned(f) / 2) if d == 2 else (lambda f: F.abs(turned(f)) / 6)  # triangles of a polygon that isn't convex turn both ways
+    whole = F.abs(F.aggregate(parts, F.lit(0.0), lambda n, f: n + size(f))).alias(name)
     return mesh.cells.join(rows.select("domain_id", "cell_id", *(f"d{c}" for c in mesh.axes), whole), ["domain_id", "cell_id"])
 
 
@@ -233,6 +234,9 @@ def boundary(cells: DataFrame, axes: int = 3) -> DataFrame:
     faces = F.when(F.lit(False), F.array(F.col("conn")))
     for n, table in FACES[axes].items():
         faces = faces.when(F.size("conn") == n, of(table))
+    if axes == 2:  # polygons
+        ring = F.transform("conn", lambda v, k: F.array_sort(F.array(v, F.get("conn", (k + 1) % F.size("conn")))))
+        faces = F.when(F.size("conn") > 4, ring).otherwise(faces)
     rows = cells.select("domain_id", "cell_id", F.explode(faces).alias("face"))
     return rows.groupBy("domain_id", "face").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id")).filter("n = 1").drop("n")
 
@@ -247,12 +251,14 @@ IN_PLANE = {4: [(0, 1, 2), (0, 2, 3)]}
 
 def pieces(size: Column, odd: Column, axes: int = 3) -> Column:
     """How a cell with so many vertices is cut, as rows of places among its vertices:
-    hexahedra, wedges, pyramids and quadrilaterals to simplices; null for
+    hexahedra, wedges, pyramids, quadrilaterals and convex polygons to simplices; null for
     simplices. odd: hexahedra are cut the other way."""
     of = lambda table: F.array(*(F.array(*map(F.lit, f)) for f in table))
     parts = F.when(size == 8, F.when(odd, of(MIRRORED)).otherwise(of(TETS)))
     for n, table in (IN_SPACE if axes == 3 else IN_PLANE).items():
         parts = parts.when(size == n, of(table))
+    if axes == 2:  # a polygon: triangles from its first vertex
+        parts = F.when(size > 4, F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda k: F.array(F.lit(0), k, k + 1))).otherwise(parts)
     return parts
 
 
@@ -278,6 +284,8 @@ def split(cells: DataFrame, axes: int = 3) -> DataFrame:
 def triangulated(mesh: Mesh, stride: int = 8) -> Mesh:
     """The mesh with its cells cut to simplices, which are cells of their own: their
     ids are stride times their cell's, which stays as parent_cell, and their part."""
+    if len(mesh.axes) == 2:
+        stride = max(stride, mesh.cells.agg(F.max(F.size("conn"))).first()[0] or 0)
     cells = split(mesh.cells, len(mesh.axes))
     ids = {"parent_cell": F.col("cell_id"), "cell_id": F.col("cell_id") * stride + F.col("part")}
     return explicit(mesh.vertices.drop(*IJK), cells.withColumns(ids).drop("part", *IJK), mesh.axes)

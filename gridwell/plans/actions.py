@@ -28,10 +28,11 @@ from ..operators import histogram as hg
 from ..operators import materials as mt
 from ..operators import mesh as ms
 from ..operators import particles as pt
+from ..operators import polytopes as pg
 from ..operators import reductions as rd
 from ..operators import selection as sl
 from ..sources import tables
-from .evaluate import Data, Evaluator, History, plain
+from .evaluate import Data, Evaluator, History, plain, quoted
 
 log = logging.getLogger(__name__)
 
@@ -469,6 +470,12 @@ def _(data, p):
     return Data(mt.interfaces(data.mesh, table, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
+@operator("sides", "topology")
+def _(data, p):
+    """Polygons as the triangles around their centres; parent_cell is the cell of each."""
+    return _of_mesh(data, pg.polygon_sides(data.mesh))
+
+
 @operator("mesh_boundary", "topology")
 def _(data, p):
     return Data(ms.boundary(data.cells, len(data.mesh.axes) if data.mesh is not None else 3), None, ("domain_id", "cell_id"), data.state)
@@ -476,7 +483,12 @@ def _(data, p):
 
 @operator("relay", "path protocol fields num_files topologies", EXTRACTS)
 def _(engine, data, p):
-    return tables.save(tables.flattened(data.cells), engine.path(p["path"]), p.get("protocol", "parquet"), p.get("fields"), p.get("num_files"))
+    """One topology, or each of several that are named, in folders by name."""
+    known, path = data.topologies(), engine.path(p["path"])
+    save = lambda d, to: tables.save(tables.flattened(d.cells), to, p.get("protocol", "parquet"), p.get("fields"), p.get("num_files"))
+    if len(p.get("topologies") or ()) > 1:
+        return [save(known[name], f"{path}/{name}") for name in p["topologies"]]
+    return save(known[p["topologies"][0]] if p.get("topologies") else data, path)
 
 
 @operator("flatten", "path protocol fields", EXTRACTS)
@@ -533,8 +545,9 @@ class Engine:
         return name if "://" in name or name.startswith("/") or not self.options.default_dir else f"{self.options.default_dir}/{name}"
 
     def publish(self, data: Data) -> Engine:
-        for g in self.options.ghost_fields:
-            data = _with_cells(data, sl.strip_ghosts(data.cells, g, 0, self.options.ghost_max))
+        others = {name: self._stripped(d) for name, d in data.others.items()}
+        data = self._stripped(data)
+        data.others = others
         data.state = {**data.state, "history": self.history}
         self.data = data
         if self.first and self.history.entries:
@@ -542,6 +555,11 @@ class Engine:
         self.first = False
         return self
 
+    def _stripped(self, data: Data) -> Data:
+        for g in self.options.ghost_fields:
+            data = _with_cells(data, sl.strip_ghosts(data.cells, g, 0, self.options.ghost_max))
+        return data
+
     def execute(self, actions: list[dict] | str) -> dict:
         """actions: the list, or its JSON. Returns what came of it."""
         actions = json.loads(actions) if isinstance(actions, str) else actions
@@ -589,8 +607,16 @@ class Engine:
     def _named(what: str, p: dict, data: Data) -> None:
         """An error where a parameter asks for a topology or matset that isn't there."""
         asked = [p[k] for k in ("topology",) if k in p] + list(p.get("topologies") or ())
-        if other := [t for t in asked if t != data.topology]:
-            raise ActionError(f"{what}: unknown topology {', '.join(map(str, other))}; known is {data.topology}")
+        if other := [t for t in asked if t not in data.topologies()]:
+            raise ActionError(f"{what}: unknown topology {', '.join(map(str, other))}; known is {', '.join(data.topologies())}")
+
+    @staticmethod
+    def _faced(data: Data, p: dict) -> Data:
+        """The topology that a step is about: by its name, or by the fields that it names."""
+        if not data.others:
+            return data
+        names = {p[k] for k in ("topology",) if k in p} or {p[k] for k in FIELDS if isinstance(p.get(k), str)} | {f for f in p.get("fields") or () if isinstance(f, str)}
+        return data.facing(names | (quoted(p["expression"]) if "expression" in p and "topology" not in p else set()))
 
     @staticmethod
     def _checked(what: str, p: dict, known: set[str]) -> None:
@@ -626,14 +652,16 @@ class Engine:
             p = s.get("params") or {}
             self._checked(kind, p, known)
             self._named(kind, p, data)
-            columns = {*data.cells.columns, *(data.vertices.columns if data.vertices is not None else ())}
-            missing = [p[k] for k in FIELDS if isinstance(p.get(k), str) and p[k] not in columns]
+            data = self._faced(data, p)
+            name_, rest = data.topology, data.others
+            missing = [p[k] for k in FIELDS if isinstance(p.get(k), str) and p[k] not in data.fields()]
             if missing and kind not in ("ghost_stripper", "noop"):
                 log.warning("%s: no field %s; its result, and so the pipeline's, is empty", kind, ", ".join(missing))
                 data = _with_cells(data, data.cells.limit(0))
                 data = _with_vertices(data, data.vertices.limit(0)) if data.vertices is not None else data
                 break  # later steps would make fields of nothing
             data = apply(data, self._resolved(p, data))
+            data.topology, data.others = name_, rest  # other topologies pass untouched
         self.pipelines[name] = data
         return data
 
@@ -651,7 +679,7 @@ class Engine:
         params = p.get("params") or {}
         self._checked(kind, params, known)
         self._named(kind, params, self._source(p))
-        return apply(self, self._source(p), params)
+        return apply(self, self._faced(self._source(p), params), params)
 
     def _command(self, p: dict):
         p = p.get("params", p)

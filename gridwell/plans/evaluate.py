@@ -6,7 +6,9 @@ bigger column. A reduction is where a plan is run; its result is a plain value.
 
 from __future__ import annotations
 
+import dataclasses
 import math
+import re
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
@@ -70,6 +72,8 @@ class Data:
     state: dict[str, Any] = field(default_factory=dict)
     mesh: Any = None
     topology: str = "mesh"
+    #: Other topologies of the same mesh, by name; each operator works on one.
+    others: dict[str, Data] = field(default_factory=dict)
     #: What reductions of a field have said, by its table and column.
     sums: dict[Any, Any] = field(default_factory=dict)
 
@@ -77,6 +81,40 @@ class Data:
     def of_mesh(cls, mesh, **state) -> Data:
         return cls(mesh.cells, mesh.vertices, state=state, mesh=mesh)
 
+    @classmethod
+    def of_polyhedra(cls, solid, **state) -> Data:
+        """Polyhedra as the tetrahedra that they are cut to; parent_cell is the cell of each."""
+        from ..operators.polytopes import polyhedron_sides
+
+        return cls.of_mesh(polyhedron_sides(solid), **state)
+
+    @classmethod
+    def of_topologies(cls, topologies: dict[str, Data]) -> Data:
+        """Several topologies, by name; the first one is worked on unless a name or a field says another."""
+        first, *rest = ((name, dataclasses.replace(d, topology=name)) for name, d in topologies.items())
+        return dataclasses.replace(first[1], others=dict(rest))
+
+    def fields(self) -> set[str]:
+        return {*self.cells.columns, *(self.vertices.columns if self.vertices is not None else ())}
+
+    def topologies(self) -> dict[str, Data]:
+        return {self.topology: self, **self.others}
+
+    def facing(self, names: set[str]) -> Data:
+        """The topology that is named, or else the one that has the fields named (this
+        one, if it has them); the rest go with it."""
+        known = self.topologies()
+        called = [n for n in known if n in names]
+        asked = {n for n in names if any(n in d.fields() for d in known.values())}
+        having = called or [n for n, d in known.items() if asked <= d.fields()]
+        if len(called) > 1 or asked and not having:
+            raise ExpressionError(f"{', '.join(sorted(names))}: one topology at a time; known are {', '.join(known)}")
+        to = having[0] if having else self.topology
+        if to == self.topology:
+            return self
+        rest = {n: dataclasses.replace(d, others={}) for n, d in known.items() if n != to}
+        return dataclasses.replace(known[to], state=self.state, others=rest)
+
     def table(self, assoc: str) -> DataFrame:
         return self.vertices if assoc == "vertex" else self.cells
 
@@ -114,6 +152,11 @@ def _same(a, b) -> bool:
     return isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b) or a == b
 
 
+def quoted(text: str) -> set[str]:
+    """What stands in quotes in a program: names of fields, topologies and results."""
+    return {a or b for a, b in re.findall(r"'([^']*)'|\"([^\"]*)\"", text)}
+
+
 class Evaluator:
     """Evaluates programs; results of earlier queries are known by name."""
 
@@ -124,6 +167,8 @@ class Evaluator:
         self.done: dict[Any, Any] = {}
 
     def run(self, text: str):
+        """The value of a program, on the topology that it names or whose fields it names."""
+        self.data = self.data.facing(quoted(text))
         statements, result = parse(text)
         self.names = {}
         for name, tree in statements:

@@ -249,13 +249,6 @@ def test_stream_of_cycles(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("days").collect()) == [3, 3, 3]
 
 
-def test_contour_trees_are_not_here(engine):
-    for value in ("true", True):
-        with pytest.raises(ActionError, match="use_contour_tree"):
-            engine.execute(pipeline("contour", field="v", levels=2, use_contour_tree=value))
-    engine.execute(pipeline("contour", field="v", levels=2, use_contour_tree="false"))
-
-
 @pytest.mark.parametrize("by_cell", [True, False])
 def test_slopes_of_linear_fields(spark, engine, by_cell):
     """On boxes by cells, and on tetrahedra without any order, they are exact."""

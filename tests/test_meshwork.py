@@ -249,3 +249,57 @@ def test_charged_particles_turn_about_the_magnetic_field(spark):
     turn = np.unwrap(np.arctan2(slow.py, slow.px))
     gamma = np.sqrt(1 + (36 + 0.25) / 4 / 9)
     assert -(turn[50] - turn[0]) == pytest.approx(1.5 / gamma, rel=1e-3)
+
+
+# -- polygons, polyhedra, several topologies
+
+
+def test_sides_of_polygons_share_their_vertices(spark):
+    at = [(k, float(x), float(y), 2.0 * x + y) for k, (x, y) in enumerate([(0, 0), (2, 0), (3, 1), (2, 2), (0, 2), (-1, 1), (5, 0), (5, 2)])]
+    vertices = spark.createDataFrame(at, "vertex_id long, x double, y double, g double")
+    cells = spark.createDataFrame([(0, [0, 1, 2, 3, 4, 5], 7.0), (1, [1, 6, 7, 3, 2], 8.0)], "cell_id long, conn array<long>, f double")
+    m = ms.explicit(vertices, cells, ("x", "y"))
+    assert {r["cell_id"]: r["area"] for r in ms.measures(m).collect()} == pytest.approx({0: 6.0, 1: 5.0})
+    out = after(Data(m.cells, m.vertices, mesh=m), ("sides", {}))
+    rows = {r["cell_id"]: r for r in ms.measures(out.mesh).collect()}
+    assert set(rows) == {*range(6), *range(6, 11)} and sum(r["area"] for r in rows.values()) == pytest.approx(11)
+    assert {(r["parent_cell"], r["f"]) for r in rows.values()} == {(0, 7.0), (1, 8.0)}
+    assert all(r["g"] == pytest.approx(2 * r["x"] + r["y"]) for r in out.vertices.collect()) and out.vertices.count() == 10
+    assert ms.boundary(m.cells, 2).count() == 7 and ms.boundary(out.cells, 2).count() == 7
+    size = lambda mesh: gm.measure(gm.contour(mesh, F.col("x"), [1.5, 2.5]), 2).agg(F.sum("size")).first()[0]
+    assert size(out.mesh) == pytest.approx(4)
+    assert after(Data(m.cells, m.vertices, mesh=m), ("triangulate", {})).cells.count() == 4 + 3
+
+
+def test_a_prism_of_five_sides_as_a_polyhedron(spark):
+    import math
+
+    ring = [(math.cos(2 * math.pi * k / 5), math.sin(2 * math.pi * k / 5)) for k in range(5)]
+    vertices = spark.createDataFrame([(5 * z + k, x, y, 2.0 * z) for z in (0, 1) for k, (x, y) in enumerate(ring)], "vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(10, [0, 1, 2, 3, 4]), (11, [5, 6, 7, 8, 9]), *((k, [k, (k + 1) % 5, (k + 1) % 5 + 5, k + 5]) for k in range(5))], "face_id long, conn array<long>")
+    from gridwell.operators import polytopes as pg
+
+    solid = pg.Polyhedra(vertices, spark.createDataFrame([(3, [10, 11, 0, 1, 2, 3, 4], 1.5)], "cell_id long, faces array<long>, f double"), faces)
+    data = Data.of_polyhedra(solid)
+    assert data.cells.count() == 5 + 5 + 5 * 4 and {r["f"] for r in data.cells.collect()} == {1.5}
+    volume = 2 * 5 / 2 * math.sin(2 * math.pi / 5)
+    assert ms.measures(data.mesh).agg(F.sum("volume")).first()[0] == pytest.approx(volume)
+    half = after(data, ("clip", {"plane": {"point": [0, 0, 0.5], "normal": [0, 0, -1]}, "cut": True}))
+    assert gm.volume(half.cells).agg(F.sum("size")).first()[0] == pytest.approx(volume / 4)
+    assert pg.polyhedron_boundary(solid).count() == 7
+
+
+def test_topologies_are_told_apart(spark):
+    a, b = ms.uniform(spark, (3, 3)), ms.uniform(spark, (4, 4))
+    a.cells, b.cells = a.cells.withColumns({"f": F.col("x"), "both": F.lit(1.0)}), b.cells.withColumns({"g": F.col("x"), "both": F.lit(2.0)})
+    data = Data.of_topologies({"a": Data(a.cells, a.vertices, mesh=a), "b": Data(b.cells, b.vertices, mesh=b)})
+    ask = lambda text: Evaluator(data).run(text)
+    assert ask("sum(field('f'))") == 4 and ask("sum(field('g'))") == 13.5 and ask("sum(field('both'))") == 4
+    assert ask("sum(field('both') * topo('b').cell.area)") == 18
+    for bad in ("sum(field('f') + field('g'))", "sum(field('f') * topo('b').cell.area)", "sum(topo('a').cell.x + topo('b').cell.x)"):
+        with pytest.raises(ValueError):
+            ask(bad)
+    out = after(data, ("threshold", {"field": "g", "min_value": 1.0, "max_value": 2.0}), ("expression", {"expression": "field('f') + 1", "name": "more"}))
+    assert out.topology == "a" and "more" in out.cells.columns and out.topologies()["b"].cells.count() == 3 and out.cells.count() == 4
+    with pytest.raises(ActionError):
+        after(data, ("threshold", {"field": "g", "min_value": 1.0, "max_value": 2.0, "topology": "c"}))
