@@ -334,3 +334,40 @@ def several_topologies(spark, sf):
     taxes, lines = out["lines"].cells.agg(F.sum("tax"), F.count("*")).first()
     said = {"taxes": taxes, "lines": lines, "boxes": out["grid"].cells.count(), "all": rest["grid"].cells.count(), "greatest": info["expressions"]["greatest"]}
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in said.items()], "name string, value double")
+
+
+# -- domains put together anew
+
+
+@query(_MESH + """, p AS (SELECT id, CASE WHEN k BETWEEN 0 AND 3 THEN 0 WHEN id % 7 = 3 AND id < 400 THEN 1 WHEN id BETWEEN 200 AND 299 OR id BETWEEN 500 AND 519 THEN 2 END AS part, i, j, k FROM c),
+n AS (SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS cell_id FROM p WHERE part IS NOT NULL),
+u AS (SELECT DISTINCT p.part, cv.id FROM p JOIN cv ON cv.cell_id = p.id WHERE part IS NOT NULL), w AS (SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS vertex_id FROM u)
+SELECT n.part::INT AS domain_id, n.cell_id, n.id AS original_cell_id, a.vertex_id AS first_vertex, b.vertex_id AS last_vertex FROM n JOIN c ON c.id = n.id JOIN w a ON a.part = n.part AND a.id = c.i + 5 * c.j + 30 * c.k JOIN w b ON b.part = n.part AND b.id = c.i + 1 + 5 * (c.j + 1) + 30 * (c.k + 1)""")
+def partition_selections(spark, sf):
+    """Layers, listed cells and ranges of cells as three domains, with vertices of their own."""
+    chosen = [{"type": "logical", "start": [0, 0, 0], "end": [3, 4, 3]}, {"type": "explicit", "elements": list(range(3, 400, 7))}, {"type": "ranges", "ranges": [200, 299, 500, 519]}]
+    out = _after(_mesh_data(spark, sf), ("partition", {"selections": chosen}))
+    return out.cells.select("domain_id", "cell_id", "original_cell_id", F.col("conn")[0].alias("first_vertex"), F.col("conn")[6].alias("last_vertex"))
+
+
+@query(_MESH + """, p AS (SELECT id, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN 1 WHEN k % 4 = 2 THEN 2 ELSE 3 END // 2 AS part FROM c), u AS (SELECT DISTINCT p.part, cv.id FROM p JOIN cv ON cv.cell_id = p.id)
+SELECT part::INT AS domain_id, (SELECT count(*) FROM p q WHERE q.part = u.part) AS cells, count(*) AS vertices, round(sum(w), 4) AS total FROM u JOIN v USING (id) GROUP BY part""")
+def partition_merged(spark, sf):
+    """Four domains that have vertices of their own, made two: what lies at one place becomes one vertex."""
+    m = _mesh(spark, sf)
+    own = m.cells.withColumn("domain_id", F.col("k") % 4)
+    used = own.select("domain_id", F.explode("conn").alias("vertex_id")).distinct().join(m.vertices.drop("domain_id", "i", "j", "k"), "vertex_id")
+    apart = ms.Mesh(used, own.drop("i", "j", "k"))
+    out = _after(Data(apart.cells, apart.vertices, mesh=apart), ("partition", {"target": 2, "merge_tolerance": 1e-6}))
+    cells = out.cells.groupBy("domain_id").agg(F.count("*").alias("cells"))
+    return out.vertices.groupBy("domain_id").agg(F.count("*").alias("vertices"), F.round(F.sum("w"), 4).alias("total")).join(cells, "domain_id")
+
+
+@query(_MESH + """, h AS (SELECT id, i + 5 * j + 30 * k AS a FROM c WHERE f BETWEEN 8 AND 9), u AS (SELECT DISTINCT cv.id FROM h JOIN cv ON cv.cell_id = h.id), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vertex_id FROM u)
+SELECT h.id AS cell_id, n.vertex_id AS first_vertex FROM h JOIN n ON n.id = h.a""")
+def clean_grid_cells(spark, sf):
+    """Cells whose vertices were numbered anew when unused ones went."""
+    data = _mesh_data(spark, sf)
+    data.vertices = data.mesh.vertices = data.mesh.vertices.drop("f")
+    out = _after(data, ("threshold", {"field": "f", "min_value": 8, "max_value": 9}), ("clean_grid", {}))
+    return out.cells.select("cell_id", F.col("conn")[0].alias("first_vertex"))

@@ -15,13 +15,11 @@ cut to. Of equal values the one with the greater id counts as higher.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import number
-from ..sources.tables import remove, scratch_path
+from ..sources.tables import Kept
 from . import geometry as gm
 from . import mesh as meshes
 
@@ -29,30 +27,6 @@ from . import mesh as meshes
 FEW = 100_000
 
 
-class _Tables:
-    """Tables of one run, in the shared folder: each cuts the lineage of what follows."""
-
-    def __init__(self, spark):
-        self.spark, self.root = spark, scratch_path(spark)
-
-    def __enter__(self):
-        return self
-
-    def __call__(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def last(self, rows: DataFrame) -> DataFrame:
-        """rows, on their own when the tables go."""
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            self.spark.sparkContext.setCheckpointDir(scratch_path(self.spark))
-        return self(rows).checkpoint()
-
-    def __exit__(self, *_):
-        remove(self.spark, self.root)
-
-
 def _edges(mesh: meshes.Mesh, value: Column) -> DataFrame:
     """(domain_id, low, high): edges between vertices with values, as structs (v, id), the lower end first."""
     d = len(mesh.axes)
@@ -65,7 +39,7 @@ def _edges(mesh: meshes.Mesh, value: Column) -> DataFrame:
     return rows.filter(known("low") & known("high"))
 
 
-def _ends(pointers: DataFrame, tables: _Tables) -> DataFrame:
+def _ends(pointers: DataFrame, tables: Kept) -> DataFrame:
     """(domain_id, id, to) of pointers that lead on, followed to where none leads on.
     Each round doubles how far they see; those at their end aren't joined again."""
     done, now = None, tables(pointers)
@@ -106,7 +80,7 @@ def _small(saddles: list) -> list[tuple]:
     return out
 
 
-def _tree(mesh: meshes.Mesh, value: Column, tables: _Tables) -> tuple[DataFrame, DataFrame]:
+def _tree(mesh: meshes.Mesh, value: Column, tables: Kept) -> tuple[DataFrame, DataFrame]:
     """Pairs (domain_id, end, saddle, into), of structs (v, id), and basins (domain_id, id, to)."""
     spark, keys = mesh.vertices.sparkSession, ["domain_id", "a", "b"]
     edges = tables(_edges(mesh, value))
@@ -152,7 +126,7 @@ def extrema(mesh: meshes.Mesh, field: str | Column, minima: bool = False) -> Dat
     connected part never merges, and has nulls there. Vertices without a number, and
     those of no cell, take no part."""
     sign = F.lit(-1.0 if minima else 1.0)
-    with _Tables(mesh.vertices.sparkSession) as tables:
+    with Kept(mesh.vertices.sparkSession) as tables:
         pairs, basins = _tree(mesh, _value(field, minima), tables)
         rows = pairs.select("domain_id", F.col("end.id").alias("vertex_id"), (F.col("end.v") * sign).alias("value"), F.col("saddle.id").alias("saddle_id"), (F.col("saddle.v") * sign).alias("saddle"), F.col("into.id").alias("into"))
         tops = basins.select("domain_id", F.col("to.id").alias("vertex_id"), (F.col("to.v") * sign).alias("value")).distinct()
@@ -165,7 +139,7 @@ def segments(mesh: meshes.Mesh, field: str | Column, persistence: float = 0.0, l
     """(domain_id, vertex_id, segment): the maximum (or minimum) that each vertex belongs
     to. Those whose persistence is below a bound join the one they merge into;
     vertices below ``least`` (above it, for minima) have no row."""
-    with _Tables(mesh.vertices.sparkSession) as tables:
+    with Kept(mesh.vertices.sparkSession) as tables:
         pairs, basins = _tree(mesh, _value(field, minima), tables)
         minor = tables(pairs.filter(F.col("end.v") - F.col("saddle.v") < F.lit(float(persistence))).select("domain_id", F.col("end.id").alias("id"), F.col("into.id").alias("to")))
         lead = _ends(minor, tables)

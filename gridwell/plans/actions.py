@@ -28,6 +28,7 @@ from ..operators import histogram as hg
 from ..operators import materials as mt
 from ..operators import mesh as ms
 from ..operators import particles as pt
+from ..operators import partition as pn
 from ..operators import polytopes as pg
 from ..operators import reductions as rd
 from ..operators import selection as sl
@@ -160,6 +161,9 @@ def _(data, p):
 
 @operator("clean_grid", "topology")
 def _(data, p):
+    """The vertices that cells use, numbered from 0 in each domain, and conn with it."""
+    if data.mesh is not None:
+        return _of_mesh(data, pn.compacted(data.mesh))
     return _with_vertices(data, sl.clean_grid(data.vertices, data.cells))
 
 
@@ -386,8 +390,18 @@ def _(data, p):
     return Data(ms.uniform_grid(m, [p["field"]], at(p.get("dims"), m.dims), at(p.get("origin"), m.origin), at(p.get("spacing"), (1.0,) * len(m.axes)), p.get("invalid_value", 0.0)), None, ("point_id",), data.state)
 
 
-@operator("partition", "target by")
+@operator("partition", "target by selections mapping merge_tolerance")
 def _(data, p):
+    """With selections, mapping or merge_tolerance, new domains of their own; else the
+    cells get a new_domain_id by ranges of a column. mapping 0: without the columns
+    that say where cells and vertices come from."""
+    if {"selections", "mapping", "merge_tolerance"} & set(p):
+        if data.mesh is None or "by" in p:
+            raise ActionError("partition: selections need a mesh, and no by")
+        out = pn.partitioned(data.mesh, p.get("selections"), p.get("target"), float(p.get("merge_tolerance", pn.MERGE)))
+        if not int(p.get("mapping", 1)):
+            out.cells, out.vertices = (df.drop("original_domain_id", "original_cell_id", "original_vertex_id") for df in (out.cells, out.vertices))
+        return _of_mesh(data, out)
     by = p.get("by") or next((c for c in (*data.key_columns("element"), "x") if c in data.cells.columns), None)
     by = by[0] if isinstance(by, list | tuple) and len(by) == 1 else by
     if not isinstance(by, str) or by not in data.cells.columns:

@@ -639,11 +639,12 @@ def partition_domains(spark, sf):
     return ms.partition(read(spark, sf, "orders"), 4, "o_totalprice").select("o_orderkey", "new_domain_id")
 
 
-@query("SELECT id AS i, CASE WHEN id BETWEEN 2 AND 4 THEN 1 ELSE 0 END AS ghost FROM (SELECT unnest(range(8))::INT AS id)")
+@query("WITH f AS (SELECT o_orderkey AS i FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey AS i, (o_custkey IN (SELECT i // 2 FROM f))::INT AS ghost FROM (SELECT DISTINCT o_custkey FROM orders)")
 def nestset_ghosts(spark, sf):
-    coarse = spark.range(8).select(F.col("id").cast("int").alias("i"))
-    fine = spark.range(4, 10).select(F.col("id").cast("int").alias("i"))
-    return ms.paint_ghosts(coarse, fine, 2, axes=1)
+    """Customers' keys as places of a coarse grid, keys of finished orders as those of one twice as fine."""
+    orders = read(spark, sf, "orders")
+    coarse = orders.select(F.col("o_custkey").alias("i")).distinct()
+    return ms.paint_ghosts(coarse, orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("i")), 2, axes=1)
 
 
 @query("""WITH t AS (SELECT l_orderkey AS cell_id, l_returnflag AS material, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), f AS (SELECT *, q / sum(q) OVER (PARTITION BY cell_id) AS vol_frac FROM t)
@@ -745,11 +746,11 @@ def slice_areas(spark, sf):
 # steps of 0.1 by Runge and Kutta: for speeds that are linear in place, powers of the step up to the fourth
 
 
-@query("""WITH RECURSIVE r AS (SELECT id AS seed_id, 0 AS step, id / 16.0::DOUBLE + 0.5 AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM range(16) AS r(id)
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS seed_id, 0 AS step, sqrt(o_totalprice) / 100 AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM orders
 UNION ALL SELECT seed_id, step + 1, x * (1 - 0.005 + 0.0001 / 24) - y * (0.1 - 0.001 / 6), y * (1 - 0.005 + 0.0001 / 24) + x * (0.1 - 0.001 / 6), z + 0.01 FROM r WHERE step < 20)
 SELECT seed_id, step::INT AS step, round(x, 6) AS x, round(y, 6) + 0.0 AS y, round(z, 6) AS z FROM r""")
 def streamlines(spark, sf):
-    seeds = spark.range(16).select(F.col("id").alias("seed_id"), (F.col("id") / 16 + 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    seeds = read(spark, sf, "orders").select(F.col("o_orderkey").alias("seed_id"), (F.sqrt("o_totalprice") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return gm.advect(seeds, _swirl, 20, 0.1).select("seed_id", "step", F.round("x", 6).alias("x"), (F.round("y", 6) + 0.0).alias("y"), F.round("z", 6).alias("z"))
 
 

@@ -303,3 +303,66 @@ def test_topologies_are_told_apart(spark):
     assert out.topology == "a" and "more" in out.cells.columns and out.topologies()["b"].cells.count() == 3 and out.cells.count() == 4
     with pytest.raises(ActionError):
         after(data, ("threshold", {"field": "g", "min_value": 1.0, "max_value": 2.0, "topology": "c"}))
+
+
+# -- domains put together anew
+
+
+def two_domains(spark):
+    """A row of six boxes, as two domains of three with vertices of their own."""
+    m = ms.uniform(spark, (4, 2, 2))
+    right = ms.uniform(spark, (4, 2, 2), origin=(3, 0, 0), domain_id=1)
+    mesh = ms.Mesh(m.vertices.union(right.vertices), m.cells.union(right.cells))
+    mesh.vertices = mesh.vertices.withColumn("g", 10 * F.col("domain_id") + F.col("x"))
+    return mesh
+
+
+def domains(mesh):
+    """Per domain: x of the centres in order of cells; how many vertices; whether the corners lie around the centres."""
+    rows = mesh.cells.select("domain_id", "cell_id", "x", F.posexplode("conn").alias("k", "vertex_id")).join(mesh.vertices.select("domain_id", "vertex_id", F.col("x").alias("vx")), ["domain_id", "vertex_id"]).collect()
+    assert len(rows) == 8 * mesh.cells.count()
+    for r in rows:
+        assert r["vx"] == pytest.approx(r["x"] + (0.5 if r["k"] in (1, 2, 5, 6) else -0.5))
+    cells, n = {}, {r["domain_id"]: (r["n"], r["low"], r["high"]) for r in mesh.vertices.groupBy("domain_id").agg(F.count("*").alias("n"), F.min("vertex_id").alias("low"), F.max("vertex_id").alias("high")).collect()}
+    assert all(low == 0 and high == k - 1 for k, low, high in n.values())
+    for r in sorted({(r["domain_id"], r["cell_id"], r["x"]) for r in rows}):
+        assert r[1] == len(cells.setdefault(r[0], []))
+        cells[r[0]].append(r[2])
+    return {d: (c, n[d][0]) for d, c in cells.items()}
+
+
+def test_domains_are_cut_and_put_together(spark):
+    from gridwell.operators import partition as pn
+
+    m = two_domains(spark)
+    row = [k + 0.5 for k in range(6)]
+    assert domains(pn.partitioned(m)) == {0: (row[:3], 16), 1: (row[3:], 16)}
+    assert domains(pn.partitioned(m, target=1)) == {0: (row, 28)}
+    assert domains(pn.partitioned(m, target=3)) == {0: (row[:3], 16), 1: (row[3:5], 12), 2: (row[5:], 8)}
+    assert domains(pn.partitioned(m, target=6)) == {k: ([row[k]], 8) for k in range(6)}
+    chosen = [{"type": "explicit", "domain_id": 1, "elements": [0, 2]}, {"type": "ranges", "ranges": [0, 0, 2, 2]}]
+    assert domains(pn.partitioned(m, chosen)) == {0: ([3.5, 5.5], 16), 1: ([0.5, 2.5], 16)}
+    assert domains(pn.partitioned(m, [{"type": "logical", "start": [1, 0, 0], "end": [2, 0, 0]}], 1)) == {0: ([1.5, 2.5, 4.5, 5.5], 24)}
+    m.cells = m.cells.withColumn("side", F.when(F.col("x") > 1, F.col("x") % 2))
+    assert domains(pn.partitioned(m, [{"type": "field", "field": "side"}])) == {0: ([2.5, 4.5], 16), 1: ([1.5, 3.5, 5.5], 24)}
+    assert pn.partitioned(m, [{"type": "explicit", "elements": []}]).cells.count() == 0
+    for bad in ({"target": 0}, {"selections": [{"type": "other"}]}):
+        with pytest.raises(ValueError):
+            pn.partitioned(m, **bad)
+    out = pn.partitioned(m, target=1)
+    assert {r["g"] for r in out.vertices.filter("x = 3").collect()} == {3.0}  # of two at one place, the first domain's
+    assert {(r["original_domain_id"], r["original_cell_id"]) for r in out.cells.collect()} == {(d, c) for d in (0, 1) for c in range(3)}
+    data = after(Data(m.cells, m.vertices, mesh=m), ("partition", {"target": 1, "mapping": 0}))
+    assert "original_cell_id" not in data.cells.columns and "side" in data.cells.columns and data.cells.count() == 6
+
+
+def test_unused_vertices_go_and_the_rest_is_numbered(spark):
+    m = two_domains(spark)
+    out = after(Data(m.cells, m.vertices, mesh=m), ("threshold", {"box": {"min": {"x": 0.9, "y": -1, "z": -1}, "max": {"x": 4.1, "y": 2, "z": 2}}}), ("clean_grid", {}))
+    rows = out.cells.collect()
+    assert {(r["domain_id"], r["cell_id"]) for r in rows} == {(0, 1), (0, 2), (1, 0)}
+    found = {(r["domain_id"], r["vertex_id"]): r for r in out.vertices.collect()}
+    assert sorted(found) == [(0, k) for k in range(12)] + [(1, k) for k in range(8)]
+    for r in rows:
+        assert [found[r["domain_id"], v]["x"] - r["x"] for v in r["conn"]] == pytest.approx([-0.5, 0.5, 0.5, -0.5] * 2)
+    assert found[0, 0]["original_vertex_id"] == 1
