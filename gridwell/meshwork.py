@@ -371,3 +371,26 @@ def clean_grid_cells(spark, sf):
     data.vertices = data.mesh.vertices = data.mesh.vertices.drop("f")
     out = _after(data, ("threshold", {"field": "f", "min_value": 8, "max_value": 9}), ("clean_grid", {}))
     return out.cells.select("cell_id", F.col("conn")[0].alias("first_vertex"))
+
+
+# -- quality: boxes of 0.5 by 1 by 2 put askew, x moved by half of y; and their tetrahedra, wedges and pyramids
+
+
+@query(_MESH + " SELECT id AS cell_id, 1.0::DOUBLE AS volume, round(2 / sqrt(5.0), 6) AS scaled_jacobian, round(4 / 1.0::DOUBLE, 6) * 0.5 / 0.5 AS edge_ratio, round(1 / sqrt(5.0), 6) AS skew FROM c")
+def cell_quality(spark, sf):
+    data = _mesh_data(spark, sf)
+    matrix = [1, 0.5, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    names = ("volume", "scaled_jacobian", "edge_ratio", "skew")
+    out = _after(data, ("transform", {"matrix": matrix}), *(("mesh_quality", {"metric": n}) for n in names))
+    return out.cells.select("cell_id", *(F.round(n, 6).alias(n) for n in names))
+
+
+@query(_MESH + f", {_VOLUMES} SELECT 8 * c.id + part AS cell_id, round(share::DOUBLE * 2, 6) AS twice FROM c JOIN t ON kind = c.id % 3")
+def expression_volumes(spark, sf):
+    """The volumes of tetrahedra, wedges and pyramids in an expression."""
+    from .plans.evaluate import Evaluator
+
+    m = _mixed(spark, sf)
+    data = Data(m.cells, m.vertices, mesh=m)
+    twice = Evaluator(data).run("topo('mesh').cell.volume * 2")
+    return data.cells.select("cell_id", F.round(twice.column, 6).alias("twice"))

@@ -32,6 +32,7 @@ from ..operators import partition as pn
 from ..operators import polytopes as pg
 from ..operators import reductions as rd
 from ..operators import selection as sl
+from ..operators import shapes as sh
 from ..sources import tables
 from .evaluate import Data, Evaluator, History, plain, quoted
 
@@ -484,6 +485,17 @@ def _(data, p):
     return Data(mt.interfaces(data.mesh, table, _scalars(data)), None, ("domain_id", "cell_id"), data.state)
 
 
+@operator("mesh_quality", "metric output_name topology")
+def _(data, p):
+    """A measure of each cell's shape, or its length, area or volume, as a field of the cells."""
+    sizes = {1: "length", 2: "area", 3: "volume"}[len(data.mesh.axes)]
+    if p["metric"] not in (sizes, *sh.MEASURES):
+        raise ActionError(f"mesh_quality: unknown metric {p['metric']}; known are {', '.join((sizes, *sh.MEASURES))}")
+    found = ms.measures(data.mesh) if p["metric"] == sizes else sh.quality(data.mesh)
+    found = found.select("domain_id", "cell_id", F.col(p["metric"]).alias(p.get("output_name", p["metric"])))
+    return _with_cells(data, data.cells.join(found, ["domain_id", "cell_id"], "left"))
+
+
 @operator("sides", "topology")
 def _(data, p):
     """Polygons as the triangles around their centres; parent_cell is the cell of each."""

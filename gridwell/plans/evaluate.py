@@ -464,6 +464,15 @@ def _(ev, name, component=None):
     raise ExpressionError(f"unknown field {name}; known are {', '.join(known)}")
 
 
+def _size(ev, name: str) -> Field:
+    """The size of cells of any kind, as a field that is worked out when it is asked for."""
+    column = _fresh(ev, name)
+    mesh = ms.Mesh(ev.data.vertices, ev.data.cells.select("domain_id", "cell_id", "conn", *(c for c in ms.IJK if c in ev.data.cells.columns)), ev.data.mesh.axes)
+    found = ms.measures(mesh).select("domain_id", "cell_id", F.col(name).alias(column))
+    _store(ev, "element", ev.data.cells.join(found, ["domain_id", "cell_id"], "left"), column)
+    return Field(F.col(column))
+
+
 def _topology(ev, name):
     if name != ev.data.topology:
         raise ExpressionError(f"unknown topology {name}; known is {ev.data.topology}")
@@ -477,6 +486,9 @@ def _topology(ev, name):
         if len(spacing) == 3:
             a, b, c = spacing
             cell["surface_area"] = Field(F.lit(2 * (a * b + b * c + c * a)))
+    elif ev.data.mesh is not None and "conn" in ev.data.cells.columns:
+        sizes = {1: "length", 2: "area", 3: "volume"}[len(ev.data.mesh.axes)]
+        cell |= {name: Later(lambda name=name: _size(ev, name)) for name in (sizes, *(f"d{c}" for c in ev.data.mesh.axes))}
     attrs = {"cell": Record("cell", cell)}
     if ev.data.vertices is not None:
         vertex = {c: Field(F.col(c), "vertex") for c in ("x", "y", "z") if c in ev.data.vertices.columns}

@@ -366,3 +366,33 @@ def test_unused_vertices_go_and_the_rest_is_numbered(spark):
     for r in rows:
         assert [found[r["domain_id"], v]["x"] - r["x"] for v in r["conn"]] == pytest.approx([-0.5, 0.5, 0.5, -0.5] * 2)
     assert found[0, 0]["original_vertex_id"] == 1
+
+
+# -- quality
+
+
+def test_quality_of_known_shapes():
+    from gridwell.operators import shapes as sh
+
+    corners = {n: np.array(p, float) for n, p in {
+        8: [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)],
+        6: [(0, 0, 0), (1, 0, 0), (0.5, 3**0.5 / 2, 0), (0, 0, 1), (1, 0, 1), (0.5, 3**0.5 / 2, 1)],
+        5: [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0.5, 0.5, 0.5**0.5)],
+        4: [(1, 1, 1), (-1, 1, -1), (1, -1, -1), (-1, -1, 1)],
+    }.items()}
+    for n, p in corners.items():
+        p = p if np.linalg.det([p[k] - p[0] for k in ((1, 3, 4) if n == 8 else (1, 2, 3) if n in (4, 6) else (1, 3, 4))]) > 0 else p[[0, 2, 1, *range(3, n)]]
+        got = {m: v[0] for m, v in sh.measured(p[None]).items()}
+        assert got["scaled_jacobian"] == pytest.approx(1) and got["edge_ratio"] == pytest.approx(1), n
+        stretched = {m: v[0] for m, v in sh.measured(p[None] * np.array([1, 1, 3.0])).items()}
+        assert stretched["edge_ratio"] > 1 and (n == 5 or stretched["scaled_jacobian"] <= 1 + 1e-9)
+        folded = p.copy()
+        folded[[0, 1]] = folded[[1, 0]]
+        assert sh.measured(folded[None])["scaled_jacobian"][0] < 0.01
+    box = {m: v[0] for m, v in sh.measured(corners[8][None] * np.array([1, 2, 3.0])).items()}
+    assert box["jacobian"] == pytest.approx(6) and box["skew"] == pytest.approx(0) and box["diagonal_ratio"] == pytest.approx(1) and box["edge_ratio"] == pytest.approx(3)
+    triangle = {m: v[0] for m, v in sh.measured(np.array([[[0, 0], [1, 0], [0, 1.0]]])).items()}
+    assert triangle["min_angle"] == pytest.approx(45) and triangle["max_angle"] == pytest.approx(90) and np.isnan(triangle["skew"])
+    rhombus = {m: v[0] for m, v in sh.measured(np.array([[[0, 0], [2, 0], [3, 3**0.5], [1, 3**0.5]]])).items()}
+    assert rhombus["skew"] == pytest.approx(0.5) and rhombus["scaled_jacobian"] == pytest.approx(3**0.5 / 2) and rhombus["diagonal_ratio"] == pytest.approx(3**-0.5)
+    assert np.isnan(sh.measured(np.zeros((2, 7, 3)))["edge_ratio"]).all()
