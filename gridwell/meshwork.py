@@ -9,6 +9,7 @@ from .functions import vectors
 from .operators import extrema as xt
 from .operators import geometry as gm
 from .operators import mesh as ms
+from .operators import moments as mo
 from .operators import particles as pt
 from .operators import polytopes as pg
 from .plans.actions import Engine
@@ -394,3 +395,16 @@ def expression_volumes(spark, sf):
     data = Data(m.cells, m.vertices, mesh=m)
     twice = Evaluator(data).run("topo('mesh').cell.volume * 2")
     return data.cells.select("cell_id", F.round(twice.column, 6).alias("twice"))
+
+
+# -- moments
+
+
+@query("""WITH e AS (SELECT min(l_quantity) AS q0, max(l_quantity) - min(l_quantity) AS q1, min(l_discount) AS d0, max(l_discount) - min(l_discount) AS d1, min(l_tax) AS t0, max(l_tax) - min(l_tax) AS t1 FROM lineitem),
+x AS (SELECT l_returnflag AS domain, (l_quantity - q0) / q1 AS q, (l_discount - d0) / d1 AS d, (l_tax - t0) / t1 AS t FROM lineitem, e),
+c AS (SELECT domain, [q - avg(q) OVER w, d - avg(d) OVER w, t - avg(t) OVER w] AS v FROM x WINDOW w AS (PARTITION BY domain))
+SELECT domain, a::INT AS a, b::INT AS b, c::INT AS c, d::INT AS d, round(avg(v[a + 1] * v[b + 1] * v[c + 1] * v[d + 1]), 9) + 0.0 AS value FROM c, range(3) AS r1(a), range(3) AS r2(b), range(3) AS r3(c), range(3) AS r4(d) GROUP BY ALL""")
+def fourth_moments(spark, sf):
+    """The fourth central moments of three fields, for each flag."""
+    out = mo.co_moments(read(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag")
+    return out.select("domain", *"abcd", (F.round("value", 9) + 0.0).alias("value"))

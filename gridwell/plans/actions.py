@@ -27,6 +27,7 @@ from ..operators import geometry as gm
 from ..operators import histogram as hg
 from ..operators import materials as mt
 from ..operators import mesh as ms
+from ..operators import moments as mo
 from ..operators import particles as pt
 from ..operators import partition as pn
 from ..operators import polytopes as pg
@@ -540,6 +541,23 @@ def _(engine, data, p):
     return p["function"](data)
 
 
+@operator("learn", "fields threshold path topology", EXTRACTS)
+def _(engine, data, p):
+    """Which domains stand out by the fourth moments of some fields: the cells with
+    spatial_metric at path, a row for each domain at path_small, and whether any is
+    above the threshold."""
+    fields = list(p.get("fields") or ())
+    if lacking := [f for f in fields if f not in data.cells.columns] or not fields:
+        raise ActionError(f"learn: needs fields of the cells; not there: {lacking}")
+    path = engine.path(p.get("path", "spatial_metric"))
+    found = mo.spatial_metric(data.cells, fields).withColumnRenamed("domain", "domain_id")
+    tables.save(found, f"{path}_small")
+    small = tables.load(data.cells.sparkSession, f"{path}_small")
+    tables.save(data.cells.join(small.select("domain_id", "spatial_metric"), "domain_id", "left"), path)
+    low, high = small.agg(F.min("spatial_metric"), F.max("spatial_metric")).first()
+    return {"path": path, "min": low, "max": high, "triggered": high is not None and high > float(p.get("threshold", 0.7))}
+
+
 @operator("statistics", "field", EXTRACTS)
 def _(engine, data, p):
     return rd.statistics(data.table(_on(data, p["field"])), p["field"]).first().asDict()
