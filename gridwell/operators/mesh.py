@@ -391,12 +391,17 @@ def _det(rows: list[list[Column]]) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
+#: Vertices in one box beyond which points are looked up in boxes of several sizes.
+CROWDED = 4096
+
+
 def locate(points: DataFrame, mesh: Mesh, key: str, near: float = 1e-9) -> DataFrame:
     """(key, domain_id, cell_id) of the points that lie in a cell, on any mesh; the
     least cell where several hold a point.
 
-    Points and simplices of cells meet by the boxes of a coarse grid, about one for
-    each cell, and an exact test decides.
+    Points and simplices of cells meet by boxes, and an exact test decides: those of
+    a coarse grid, about one for each cell; where vertices crowd in some of these, by
+    boxes that are halved until none holds too many simplices.
     """
     from .geometry import simplices
 
@@ -405,15 +410,23 @@ def locate(points: DataFrame, mesh: Mesh, key: str, near: float = 1e-9) -> DataF
     at = lambda i, k: F.get("points", F.lit(i * d + k))
     ends = bounds(mesh.vertices, list(axes)).first()
     each = max(1, round(mesh.cells.count() ** (1 / d)))
-    low = [float(ends[f"min_{c}"]) for c in axes]
-    width = [(float(ends[f"max_{c}"]) - a) / each or 1.0 for c, a in zip(axes, low, strict=True)]
+    low = [float(ends[f"min_{c}"] or 0.0) for c in axes]
+    width = [(float(ends[f"max_{c}"] or 0.0) - a) / each or 1.0 for c, a in zip(axes, low, strict=True)]
     place = lambda v, k: F.floor((v - low[k]) / width[k])
+    asked = points.select(key, *(F.col(c).cast("double").alias(f"__p{k}") for k, c in enumerate(axes)))
+    most = mesh.vertices.groupBy(*(place(F.col(c), k).alias(f"__b{k}") for k, c in enumerate(axes))).count().agg(F.max("count")).first()[0] or 0
+    if most > CROWDED:
+        return _in_halved_boxes(asked, rows, mesh, key, near)
     for k in range(d):
         across = [at(i, k) for i in range(d + 1)]
         rows = rows.withColumn(f"__b{k}", F.explode(F.sequence(place(F.least(*across) - near, k), place(F.greatest(*across) + near, k))))
-    asked = points.select(key, *(F.col(c).cast("double").alias(f"__p{k}") for k, c in enumerate(axes)))
     asked = asked.withColumns({f"__b{k}": place(F.col(f"__p{k}"), k) for k in range(d)})
-    met = asked.join(rows, [f"__b{k}" for k in range(d)])
+    return _holding(asked.join(rows, [f"__b{k}" for k in range(d)]), d, key, near)
+
+
+def _holding(met: DataFrame, d: int, key: str, near: float) -> DataFrame:
+    """Of points and the simplices next to them: the least cell that holds each point."""
+    at = lambda i, k: F.get("points", F.lit(i * d + k))
     edges = [[at(i, k) - at(0, k) for k in range(d)] for i in range(1, d + 1)]
     away = [F.col(f"__p{k}") - at(0, k) for k in range(d)]
     met = met.withColumn("__size", _det(edges))
@@ -422,6 +435,18 @@ def locate(points: DataFrame, mesh: Mesh, key: str, near: float = 1e-9) -> DataF
     return met.filter(inside).groupBy(key).agg(F.min(F.struct("domain_id", "cell_id")).alias("c")).select(key, "c.domain_id", "c.cell_id")
 
 
+def _in_halved_boxes(asked: DataFrame, rows: DataFrame, mesh: Mesh, key: str, near: float) -> DataFrame:
+    from ..sources.tables import Kept
+    from .particles import dealt
+
+    d = len(mesh.axes)
+    with Kept(mesh.cells.sparkSession) as kept:
+        boxes, inside = dealt(kept(rows), mesh, kept)
+        places = [F.col(f"__p{k}") for k in range(d)]
+        there = asked.filter(reduce(lambda a, b: a & b, (p.isNotNull() & ~F.isnan(p) for p in places)))
+        return kept.last(_holding(boxes.of(there, places).join(inside, ["level", "place"]), d, key, near))
+
+
 def _located(points: DataFrame, mesh: Mesh, fields: list[str], empty: float, key: str) -> DataFrame:
     """points with cell_id and the fields of the cell they lie in. On a uniform grid
     their place is arithmetic, so the join is on cell ids; else they are looked up."""
@@ -434,7 +459,7 @@ def _located(points: DataFrame, mesh: Mesh, fields: list[str], empty: float, key
             stride *= n - 1
         met = points.withColumn("cell_id", F.when(inside, cell)).join(mesh.cells.select("domain_id", "cell_id", *(F.col(f).alias(f"__{f}") for f in fields)), "cell_id", "left")
         first = F.min_by(F.struct("cell_id", *(F.col(f"__{f}").alias(f) for f in fields)), F.coalesce("domain_id", F.lit(0))).alias("c")  # where several domains have the cell
-        out = points.join(met.groupBy(key).agg(first), key, "left").select(*points.columns, "c.*")
+        out = met.groupBy(*points.columns).agg(first).select(*points.columns, "c.*")
     else:
         found = locate(points, mesh, key).join(mesh.cells.select("domain_id", "cell_id", *fields), ["domain_id", "cell_id"])
         out = points.join(found.drop("domain_id"), key, "left")

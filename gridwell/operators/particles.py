@@ -14,6 +14,7 @@ shared folder, which cuts its lineage.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil
@@ -199,10 +200,10 @@ class Boxes:
         return rows.withColumn("place", self.linear([F.col(n) for n in names], level)).drop(*names)
 
 
-def _dealt(rows: DataFrame, mesh: meshes.Mesh, kept) -> tuple[Boxes, DataFrame]:
+def dealt(rows: DataFrame, mesh: meshes.Mesh, kept) -> tuple[Boxes, DataFrame]:
     """Boxes for simplices (points), and the simplices by box, (level, place). Boxes of
     more than BLOCK simplices are halved, DEEPEST times at most, since many may meet
-    at one point. kept: writes a table, by a name."""
+    at one point. kept: writes a table."""
     d = len(mesh.axes)
     width = F.size("points") / (d + 1)
     at = lambda i, k: F.get("points", (F.lit(i) * width + k).cast("int"))
@@ -214,12 +215,12 @@ def _dealt(rows: DataFrame, mesh: meshes.Mesh, kept) -> tuple[Boxes, DataFrame]:
     boxes, light, left = Boxes(low, wide, each, []), [], rows
     for level in range(DEEPEST + 1):
         left = boxes.spread(left, ends, level)
-        heavy = kept(left.groupBy("place").count().filter(F.col("count") > BLOCK).select("place"), f"heavy{level}")
+        heavy = kept(left.groupBy("place").count().filter(F.col("count") > BLOCK).select("place"))
         if level == DEEPEST or (each << level + 1) ** d >= 1 << 53 or heavy.isEmpty():
             return boxes, reduce(DataFrame.unionByName, [*light, left.withColumn("level", F.lit(level))])
         light.append(left.join(heavy, "place", "left_anti").withColumn("level", F.lit(level)))
         boxes.heavy.append(heavy)
-        left = kept(left.join(heavy, "place", "left_semi"), f"halved{level}")
+        left = kept(left.join(heavy, "place", "left_semi"))
 
 
 def carried(seeds: DataFrame, mesh: meshes.Mesh, values: list[Column], stepper: Stepper, steps: int) -> DataFrame:
@@ -268,16 +269,17 @@ def carried(seeds: DataFrame, mesh: meshes.Mesh, values: list[Column], stepper:
                     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:4]), *map(gm._lists, columns[4:])], names=["seed_id", "step", "stage", "moving", "state", "q"])
 
-    def kept(rows: DataFrame, name: str) -> DataFrame:
+    def kept(rows: DataFrame, name: str = "") -> DataFrame:
+        name = name or uuid.uuid4().hex
         rows.write.parquet(f"{root}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
 
     try:
         simplices = kept(gm.simplices(meshes.Mesh(known, mesh.cells, mesh.axes), F.lit(0.0), tuple(names)).drop("values"), "simplices")
-        boxes, dealt = _dealt(simplices, mesh, kept)
+        boxes, inside = dealt(simplices, mesh, kept)
         placed = lambda rows: boxes.of(rows, [F.get("q", F.lit(k)) for k in range(d)]).drop("q")
         # of simplices in one box, in one order
-        packed = dealt.groupBy("level", "place").agg(F.sort_array(F.collect_list(F.struct("domain_id", "cell_id", "part", "points"))).alias("s"))
+        packed = inside.groupBy("level", "place").agg(F.sort_array(F.collect_list(F.struct("domain_id", "cell_id", "part", "points"))).alias("s"))
         packed = packed.select("level", "place", F.flatten(F.transform("s", lambda s: s["points"])).alias("block"))
         blocks = kept(packed.sortWithinPartitions("place", "level"), "blocks")
         fold, ends = F.pow(F.lit(2.0), F.col("level")), []

@@ -182,7 +182,7 @@ def test_paths_through_many_blocks(spark, monkeypatch):
     m = wheel(ms.uniform(spark, (7, 7, 3), origin=(-3, -3, 0), spacing=(1, 1, 1)))
     at = [(1, 1.0, 0.0, 0.5), (2, 0.0, -2.5, 1.0), (3, 2.9, 2.9, 1.0), (4, 9.0, 0.0, 0.0), (5, None, 0.0, 0.0), (6, 3.0, 3.0, 2.0)]
     seeds = spark.createDataFrame(at, "seed_id long, x double, y double, z double")
-    h, steps = 0.25, 12
+    h, steps = 0.25, 8
 
     def speed(p):
         return np.array([-p[1], p[0], 0.05]) if (abs(p[:2]) <= 3 + 1e-9).all() and -1e-9 <= p[2] <= 2 + 1e-9 else np.full(3, np.nan)
@@ -198,8 +198,8 @@ def test_paths_through_many_blocks(spark, monkeypatch):
             b = speed(p + h / 2 * a)
             c = speed(p + h / 2 * b)
             p = p + h / 6 * (a + 2 * b + 2 * c + speed(p + h * c))
-    assert 10 < len(want) < 5 * (steps + 1)
-    for block, chunk in ((4096, 4096), (40, 2)):
+    assert 10 < len(want) < 6 * (steps + 1)
+    for block, chunk in ((4096, 4096), (90, 2)):
         monkeypatch.setattr(pt, "BLOCK", block)
         monkeypatch.setattr(pt, "CHUNK", chunk)
         got = paths(pt.streamlines(seeds, m, "v", steps, h))
@@ -214,11 +214,11 @@ def test_boxes_of_a_graded_mesh_are_halved(spark, monkeypatch):
     edges = [0.01 * k for k in range(9)] + [1.0, 2.0]
     m = ms.rectilinear(spark, edges, edges, [0.0, 1.0])
     rows = gm.simplices(m, F.lit(0.0)).drop("values")
-    boxes, dealt = pt._dealt(rows, m, lambda df, name: df.cache())
+    boxes, dealt = pt.dealt(rows, m, lambda df: df.cache())
     most = dealt.groupBy("level", "place").count().agg(F.max("count")).first()[0]
     assert len(boxes.heavy) > 1 and most <= 60 and dealt.select("cell_id", "part").distinct().count() == rows.count()
-    got = paths(pt.streamlines(spark.createDataFrame([(1, 0.005, 0.005, 0.5)], "seed_id long, x double, y double, z double"), ms.Mesh(m.vertices.withColumn("v", vectors.vector(F.lit(0.1), F.lit(0.1), F.lit(0.0))), m.cells), "v", 15, 1.0))
-    assert got[1, 15] == pytest.approx((1.505, 1.505, 0.5))
+    got = paths(pt.streamlines(spark.createDataFrame([(1, 0.005, 0.005, 0.5)], "seed_id long, x double, y double, z double"), ms.Mesh(m.vertices.withColumn("v", vectors.vector(F.lit(0.3), F.lit(0.3), F.lit(0.0))), m.cells), "v", 5, 1.0))
+    assert got[1, 5] == pytest.approx((1.505, 1.505, 0.5))
 
 
 def test_the_action_takes_any_mesh_and_any_size(spark, monkeypatch):
@@ -396,3 +396,18 @@ def test_quality_of_known_shapes():
     rhombus = {m: v[0] for m, v in sh.measured(np.array([[[0, 0], [2, 0], [3, 3**0.5], [1, 3**0.5]]])).items()}
     assert rhombus["skew"] == pytest.approx(0.5) and rhombus["scaled_jacobian"] == pytest.approx(3**0.5 / 2) and rhombus["diagonal_ratio"] == pytest.approx(3**-0.5)
     assert np.isnan(sh.measured(np.zeros((2, 7, 3)))["edge_ratio"]).all()
+
+
+def test_points_in_a_graded_mesh_are_found_in_halved_boxes(spark, monkeypatch):
+    edges = [0.001 * k for k in range(12)] + [1.0, 2.0]
+    m = ms.rectilinear(spark, edges, edges, [0.0, 1.0])
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.random((60, 3)) * [0.02, 0.02, 1], rng.random((40, 3)) * [2.2, 2.2, 1]])
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(places)] + [(1000, None, 0.0, 0.0)], "p long, x double, y double, z double")
+    of = lambda: {r["p"]: r["cell_id"] for r in ms.locate(points, m, "p").collect()}
+    usual = of()
+    at = lambda v: int(np.searchsorted(edges, v, "right")) - 1
+    assert usual == {k: at(x) + 13 * at(y) for k, (x, y, _) in enumerate(places) if x <= 2 and y <= 2}
+    monkeypatch.setattr(ms, "CROWDED", 3)
+    monkeypatch.setattr(pt, "BLOCK", 100)
+    assert of() == usual
