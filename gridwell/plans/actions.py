@@ -31,9 +31,11 @@ from ..operators import moments as mo
 from ..operators import particles as pt
 from ..operators import partition as pn
 from ..operators import polytopes as pg
+from ..operators import rays as ry
 from ..operators import reductions as rd
 from ..operators import selection as sl
 from ..operators import shapes as sh
+from ..operators import trees as tr
 from ..sources import tables
 from .evaluate import Data, Evaluator, History, plain, quoted
 
@@ -458,6 +460,27 @@ def _(data, p):
     return Data(paths, None, ("seed_id", "step"), data.state)
 
 
+def _camera(data: Data, p: dict) -> ry.Camera:
+    """By the parameters camera, image_width and image_height; without a camera, one that looks down on the mesh."""
+    size = {"width": p.get("image_width", 512), "height": p.get("image_height", 512)}
+    if data.mesh is None or len(data.mesh.axes) != 3:
+        raise ActionError("rays need a mesh in space")
+    if not (c := p.get("camera")):
+        return ry.Camera.over(data.mesh, **size)
+    at = lambda v: [float(v[x]) for x in ("x", "y", "z")] if isinstance(v, dict) else [float(x) for x in v]
+    if (lacking := {"position", "look_at"} - set(c)) or set(c) - {"position", "look_at", "up", "fov", "parallel_scale"}:
+        raise ActionError(f"a camera has position, look_at, up, and fov or parallel_scale; lacking: {sorted(lacking)}")
+    fov = c.get("fov", None if "parallel_scale" in c else 60.0)
+    return ry.Camera.looking(at(c["position"]), at(c["look_at"]), at(c.get("up", (0, 1, 0))), fov=fov, scale=c.get("parallel_scale"), **size)
+
+
+@operator("project_2d", "fields camera image_width image_height topology")
+def _(data, p):
+    """Where the ray of each pixel comes into the mesh, and the fields there; all numeric ones of the vertices, if none are named."""
+    fields = list(p.get("fields") or _scalars(data))
+    return Data(ry.first_met(data.mesh, _camera(data, p), fields), None, ("px", "py"), data.state)
+
+
 @operator("add_domain_ids", "output topology")
 def _(data, p):
     return _with_cells(data, fl.add_domain_ids(data.cells, output=p["output"]))
@@ -530,6 +553,28 @@ def _(engine, data, p):
     return tables.write_vtk(data.mesh, engine.path(p["path"]))
 
 
+@operator("xray", "absorption emission unit_scalar filename camera image_width image_height topology", EXTRACTS)
+def _(engine, data, p):
+    """Absorption (and emission) along the ray of each pixel, as a table at filename."""
+    found = ry.integrals(data.mesh, _camera(data, p), p["absorption"], p.get("emission"), float(p.get("unit_scalar", 1.0)))
+    return tables.save(found, engine.path(p["filename"]))
+
+
+@operator("htg", "path fields blank_value heights topology", EXTRACTS)
+def _(engine, data, p):
+    """Fields of a uniform grid's cells as tree grids, each in a folder by its name; all
+    numeric ones, if none are named. Those of vertices are passed over."""
+    if "blank_value" not in p or not p.get("path"):
+        raise ActionError("htg: needs a path and a blank_value")
+    if data.mesh is None or len(data.mesh.axes) != 3 or not data.mesh.spacing:
+        raise ActionError("htg: needs a uniform grid in space")
+    known = {"domain_id", "cell_id", *ms.IJK, *data.mesh.axes}
+    kinds = ("double", "float", "integer", "long", "short", "byte")
+    numeric = [f.name for f in data.cells.schema.fields if f.name not in known and f.dataType.typeName() in kinds]
+    fields = [f for f in p.get("fields") or numeric if f in numeric]
+    return [tr.write(data.mesh, f, f"{engine.path(p['path'])}/{f}", float(p["blank_value"]), int(p.get("heights", tr.HEIGHTS))) for f in fields]
+
+
 @operator("view", "name", EXTRACTS)
 def _(engine, data, p):
     data.cells.createOrReplaceTempView(p.get("name", "published"))

@@ -785,5 +785,6 @@ def flagship(spark, sf: str) -> DataFrame:
     return QUERIES["binning_avg_2d"](spark, sf)
 
 
-from . import meshwork as meshwork  # noqa: E402  these register their queries, which are built on those above
+from . import fieldwork as fieldwork  # noqa: E402  these register their queries, which are built on those above
+from . import meshwork as meshwork  # noqa: E402
 from . import programs as programs  # noqa: E402
