@@ -6,14 +6,16 @@ from math import atan, degrees
 
 from pyspark.sql import functions as F
 
+from .functions import vectors
 from .meshwork import _after
+from .operators import flows as fw
 from .operators import mesh as ms
 from .operators import rays as ry
 from .operators import trees as tr
 from .plans.actions import Engine
 from .plans.evaluate import Data
 from .programs import _mesh_data, _wedges
-from .queries import _MESH, _mesh, query
+from .queries import _MESH, _mesh, query, read
 from .sources import tables
 
 # -- rays: a camera that looks along (1, 2, 2) / 3, with (-2, 2, -1) / 3 to its right and (2, 1, -2) / 3 above
@@ -110,3 +112,24 @@ def tree_files(spark, sf):
         return spark.createDataFrame(rows.collect(), rows.schema)  # two rows for each height
     finally:
         tables.remove(spark, path)
+
+
+# -- flows over cycles: the mean discount and tax of an order's first, second, .. line are the winds of the cycles
+
+
+@query(_MESH + """, g AS (SELECT ((l_linenumber - 1) // 2 * 2 + 2)::BIGINT AS cycle, l_linenumber AS line, avg(l_discount)::DOUBLE AS a, avg(l_tax)::DOUBLE AS b FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+w AS (SELECT cycle, 0.1 * 5 * 6 * sum(a) AS dx, 0.1 * 5 * 90 * sum(b) AS dz FROM g GROUP BY 1), m AS (SELECT max(x) AS mx, max(z) AS mz FROM v)
+SELECT cycle, v.id AS seed_id, CASE WHEN x + dx <= mx + 1e-9 AND z + dz <= mz + 1e-9 THEN round(dx, 6) END AS dx, CASE WHEN x + dx <= mx + 1e-9 AND z + dz <= mz + 1e-9 THEN round(dz, 6) END AS dz FROM v, w, m""")
+def lagrangian_cycles(spark, sf):
+    """Four cycles with winds of their own, and the flow of each two of them."""
+    m = _mesh(spark, sf)
+    winds = read(spark, sf, "lineitem").filter("l_linenumber <= 4").groupBy("l_linenumber").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b")).collect()  # four rows
+    with tables.Kept(spark) as kept:
+        path, engine = f"{kept.root}/flows", Engine()
+        step = {"type": "lagrangian", "params": {"field": "v", "num_steps": 5, "step_size": 0.1, "write_frequency": 2, "path": path}}
+        for cycle, a, b in sorted(map(tuple, winds)):
+            blown = ms.Mesh(m.vertices.withColumn("v", vectors.vector(F.lit(6.0 * float(a)), F.lit(0.0), F.lit(90.0 * float(b)))), m.cells, m.axes, m.dims, m.origin, m.spacing)
+            engine.publish(Data(blown.cells, blown.vertices, state={"cycle": cycle}, mesh=blown))
+            engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"f": step}}}])
+        shift = {f"d{c}": F.round(F.col(f"end.{c}") - F.col(f"start.{c}"), 6) for c in "xz"}
+        return kept.last(fw.flows(spark, path, 2).select("cycle", "seed_id", *(v.alias(n) for n, v in shift.items())))

@@ -307,25 +307,32 @@ def goes_to_tasks(mesh: meshes.Mesh) -> bool:
     return bool(mesh.spacing) and int(np.prod(mesh.dims)) * len(mesh.axes) <= FIELD_VALUES
 
 
-def flow_map(mesh: meshes.Mesh, field: str, steps: int, step_size: float, resolution=None) -> DataFrame:
-    """(seed_id, start, end) of particles that a vertex vector field carries for some
-    steps: places at both ends, as structs; end is null for particles that leave the
-    mesh. Seeds are the mesh's vertices, or those of a grid of a resolution
-    (vertices on each axis) over a uniform grid's room."""
-    from .particles import streamlines
-
+def flow_seeds(mesh: meshes.Mesh, resolution=None) -> DataFrame:
+    """(seed_id, x, y, z): the mesh's vertices, or those of a grid of a resolution (vertices
+    on each axis) over a uniform grid's room."""
     if resolution and not mesh.spacing:
         raise ValueError("a resolution needs a uniform grid")
+    vertices = mesh.vertices
     if resolution:
         spacing = [s * (n - 1) / max(1, m - 1) for s, n, m in zip(mesh.spacing, mesh.dims, resolution, strict=True)]
         vertices = meshes.uniform(mesh.vertices.sparkSession, tuple(resolution), mesh.origin, spacing).vertices
-    else:
-        vertices = mesh.vertices
-    seeds = vertices.select(F.col("vertex_id").alias("seed_id"), *mesh.axes)
+    return vertices.select(F.col("vertex_id").alias("seed_id"), *mesh.axes)
+
+
+def carried_for(seeds: DataFrame, mesh: meshes.Mesh, field: str, steps: int, step_size: float) -> DataFrame:
+    """(seed_id, end) of the particles that are still in the mesh after some steps."""
+    from .particles import streamlines
+
     if goes_to_tasks(mesh):
         path = advect(seeds, sampled_velocity(mesh, field), steps, step_size, mesh.axes)
     else:
         path = streamlines(seeds, mesh, field, steps, step_size)
-    place = F.struct(*mesh.axes)
-    ends = path.filter(F.col("step") == steps).select("seed_id", place.alias("end"))
-    return seeds.select("seed_id", place.alias("start")).join(ends, "seed_id", "left")
+    return path.filter(F.col("step") == steps).select("seed_id", F.struct(*mesh.axes).alias("end"))
+
+
+def flow_map(mesh: meshes.Mesh, field: str, steps: int, step_size: float, resolution=None) -> DataFrame:
+    """(seed_id, start, end) of particles that a vertex vector field carries for some
+    steps: places at both ends, as structs; end is null for particles that leave the
+    mesh. Seeds are those of flow_seeds."""
+    seeds = flow_seeds(mesh, resolution)
+    return seeds.select("seed_id", F.struct(*mesh.axes).alias("start")).join(carried_for(seeds, mesh, field, steps, step_size), "seed_id", "left")

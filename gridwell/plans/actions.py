@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..operators import binning as bn
 from ..operators import extrema as xt
 from ..operators import fields as fl
+from ..operators import flows as fw
 from ..operators import geometry as gm
 from ..operators import histogram as hg
 from ..operators import materials as mt
@@ -379,11 +380,19 @@ def _(data, p):
     return _of_mesh(data, ms.merge_points(data.mesh, p["delta"]))
 
 
-@operator("lagrangian", "field num_steps step_size x_res y_res z_res")
+@operator("lagrangian", "field num_steps step_size x_res y_res z_res write_frequency path")
 def _(data, p):
+    """The flow of one cycle; with write_frequency that of so many cycles, whose particles are kept at
+    path in between: no rows until an interval is whole."""
     asked = [p.get(f"{c}_res") for c in data.mesh.axes]
     if any(asked) and not all(asked):
         raise ActionError("lagrangian: a resolution for each axis, or none")
+    if "write_frequency" in p:
+        if "path" not in p or "cycle" not in data.state:
+            raise ActionError("lagrangian: write_frequency needs a path, and data with a cycle")
+        often = int(p["write_frequency"])
+        rows = fw.advanced(data.mesh, p["field"], p["path"], int(data.state["cycle"]), often, int(p.get("num_steps", 1)), float(p["step_size"]), asked if all(asked) else None)
+        return Data(rows.filter(F.col("cycles") == often).drop("cycles"), None, ("seed_id",), data.state)
     return Data(gm.flow_map(data.mesh, p["field"], int(p["num_steps"]), float(p["step_size"]), asked if all(asked) else None), None, ("seed_id",), data.state)
 
 

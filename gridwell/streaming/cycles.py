@@ -7,6 +7,8 @@ are Spark's own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,9 +17,10 @@ from ..plans.actions import Engine
 from ..plans.evaluate import Data
 
 
-def replay(stream: DataFrame, engine: Engine, actions: list[dict], checkpoint: str, time: str = "ts", keys: tuple[str, ...] = ()) -> StreamingQuery:
+def replay(stream: DataFrame, engine: Engine, actions: list[dict], checkpoint: str, time: str = "ts", keys: tuple[str, ...] = (), data: Callable[[DataFrame], Data] | None = None) -> StreamingQuery:
     """Runs actions on each batch; its cycle is the batch's number, its time the
-    greatest value of the time column, in seconds.
+    greatest value of the time column, in seconds. data: makes what is published of a
+    batch, such as a mesh with the batch's fields; else its rows are.
 
     After a restart Spark may give a batch again: its results take the place of
     those that its cycle had.
@@ -27,7 +30,9 @@ def replay(stream: DataFrame, engine: Engine, actions: list[dict], checkpoint: s
         if batch.isEmpty():
             return
         now = batch.agg(F.max(F.unix_micros(F.col(time).cast("timestamp")) / 1e6)).first()[0]
-        engine.publish(Data(batch, keys=keys, state={"cycle": cycle, "time": float(now or 0.0)}))
+        made = data(batch) if data is not None else Data(batch, keys=keys)
+        made.state = {**made.state, "cycle": cycle, "time": float(now or 0.0)}
+        engine.publish(made)
         engine.execute(actions)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

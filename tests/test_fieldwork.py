@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwell.functions import vectors
+from gridwell.operators import flows as fw
 from gridwell.operators import mesh as ms
 from gridwell.operators import rays as ry
 from gridwell.operators import trees as tr
@@ -196,3 +197,63 @@ def test_trees_of_odd_grids(spark, tmp_path):
         tr.nodes(ms.Mesh(m.vertices, m.cells), "f")
     with pytest.raises(ActionError, match="blank_value"):
         extracted(Data(m.cells, m.vertices, mesh=m), type="htg", params={"path": "x"})
+
+
+# -- flows over cycles
+
+
+def blown(spark, wind, dims=(5, 4, 3)):
+    m = ms.uniform(spark, dims)
+    return ms.Mesh(m.vertices.withColumn("v", vectors.vector(*(F.lit(float(w)) for w in wind))), m.cells, m.axes, m.dims, m.origin, m.spacing)
+
+
+def test_intervals_of_flows(spark, tmp_path):
+    """Cycles of different winds: particles go on from where they were, and begin anew after each interval."""
+    path, winds = str(tmp_path / "f"), [(0.5, 0, 0), (0, 1, 0), (1, 0, 0), (0, 0, 1), (2, 0, 0)]
+    for n, wind in enumerate(winds):
+        rows = {r["seed_id"]: r for r in fw.advanced(blown(spark, wind), "v", path, n, 2, 4, 0.25).collect()}
+        assert {r["cycles"] for r in rows.values()} == {n % 2 + 1} and len(rows) == 60
+    got = {(r["cycle"], r["seed_id"]): r["end"] and tuple(round(r["end"][c], 9) for c in "xyz") for r in fw.flows(spark, path, 2).collect()}
+    wanted = {}
+    for c, (dx, dy, dz) in {1: (0.5, 1, 0), 3: (1, 0, 1)}.items():
+        for v in range(60):
+            end = (v % 5 + dx, v // 5 % 4 + dy, v // 20 + dz)
+            wanted[c, v] = end if all(a <= b for a, b in zip(end, (4, 3, 2), strict=True)) else None
+    assert got == wanted
+
+
+def test_a_cycle_that_comes_again(spark, tmp_path):
+    path = str(tmp_path / "f")
+    step = lambda n, wind: {r["seed_id"]: r["end"] and r["end"]["x"] for r in fw.advanced(blown(spark, wind), "v", path, n, 3, 2, 0.25).collect()}
+    step(7, (1, 0, 0))
+    once = step(8, (2, 0, 0))
+    assert step(8, (2, 0, 0)) == once and once[0] == pytest.approx(1.5)
+    (tmp_path / "f" / "cycle=9").mkdir()  # a table that was never finished
+    assert step(9, (1, 0, 0))[0] == pytest.approx(2.0) and step(10, (1, 0, 0))[0] == pytest.approx(0.5)
+    assert {r["cycle"] for r in fw.flows(spark, path, 3).collect()} == {9}
+    with pytest.raises(ValueError, match="one cycle"):
+        fw.advanced(blown(spark, (1, 0, 0)), "v", path, 1, 0, 1, 0.1)
+
+
+def test_flows_of_wedges_and_of_a_stream(spark, tmp_path):
+    """A stream's batches as cycles: each is the wind on a mesh that isn't a grid."""
+    from gridwell.streaming.cycles import replay
+
+    source, path = tmp_path / "s", str(tmp_path / "f")
+    grid = ms.uniform(spark, (4, 3, 3))
+    for n, wind in enumerate((0.5, 1.0)):
+        spark.createDataFrame([(f"2024-01-0{n + 1} 00:00:00", wind)], "ts string, w double").coalesce(1).write.mode("append").json(str(source))
+    stream = spark.readStream.schema("ts string, w double").option("maxFilesPerTrigger", 1).json(str(source))
+
+    def mesh_of(batch):
+        wind = batch.agg(F.max("w")).first()[0]
+        m = ms.Mesh(grid.vertices.drop("i", "j", "k").withColumn("v", vectors.vector(F.lit(wind), F.lit(0.0), F.lit(0.0))), grid.cells.drop("i", "j", "k"))
+        return Data(m.cells, m.vertices, mesh=m)
+
+    engine = Engine()
+    step = {"type": "lagrangian", "params": {"field": "v", "num_steps": 2, "step_size": 0.5, "write_frequency": 2, "path": path}}
+    replay(stream, engine, [{"action": "add_pipelines", "pipelines": {"p": {"f": step}}}], str(tmp_path / "c"), data=mesh_of).awaitTermination()
+    got = {r["seed_id"]: r["end"] and round(r["end"]["x"] - r["start"]["x"], 9) for r in fw.flows(spark, path, 2).collect()}
+    assert got == {v: 1.5 if v % 4 <= 1 else None for v in range(36)}
+    with pytest.raises(ActionError, match="path"):
+        Engine().publish(mesh_of(spark.createDataFrame([("x", 1.0)], "ts string, w double"))).execute([{"action": "add_pipelines", "pipelines": {"p": {"f": {"type": "lagrangian", "params": {"field": "v", "step_size": 1.0, "write_frequency": 2}}}}}])
