@@ -12,10 +12,10 @@ from .operators import flows as fw
 from .operators import mesh as ms
 from .operators import rays as ry
 from .operators import trees as tr
-from .plans.actions import Engine
-from .plans.evaluate import Data
-from .programs import _mesh_data, _wedges
-from .queries import _MESH, _mesh, query, read
+from .plans.actions import ActionError, Engine
+from .plans.evaluate import Data, Evaluator
+from .programs import _all, _mesh_data, _values, _wedges
+from .queries import _BELOW, _MESH, ACROSS, LINE_KEYS, _box, _mesh, query, read
 from .sources import tables
 
 # -- rays: a camera that looks along (1, 2, 2) / 3, with (-2, 2, -1) / 3 to its right and (2, 1, -2) / 3 above
@@ -133,3 +133,66 @@ def lagrangian_cycles(spark, sf):
             engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"f": step}}}])
         shift = {f"d{c}": F.round(F.col(f"end.{c}") - F.col(f"start.{c}"), 6) for c in "xz"}
         return kept.last(fw.flows(spark, path, 2).select("cycle", "seed_id", *(v.alias(n) for n, v in shift.items())))
+
+
+# -- fields of vertices in actions, and what the engine does with odd requests
+
+
+@query(_MESH + _box(_BELOW, (0.5, 0.5, 0.5), 3) + " SELECT cell_id, round(1 - total / 0.75, 5) + 0.0 AS fraction FROM s WHERE round(1 - total / 0.75, 5) > 0.00002")
+def field_clip_shares(spark, sf):
+    """Shares of cells where a vertex field is above a value."""
+    data = _mesh_data(spark, sf)
+    (px, py, pz), (nx, ny, nz) = ACROSS
+    away = (F.col("x") - px) * nx + (F.col("y") - py) * ny + (F.col("z") - pz) * nz
+    data.vertices = data.mesh.vertices = data.mesh.vertices.withColumn("away", away)
+    out = _after(data, ("clip_with_field", {"field": "away", "clip_value": 0.0}))
+    return out.cells.select("cell_id", (F.round("clip_fraction", 5) + 0.0).alias("fraction")).filter("fraction > 0.00002")
+
+
+@query(_MESH + ", b AS (SELECT id, least(trunc(x / 1.0), 2) AS bx, least(trunc(y / 2.0), 2) AS bz, sqrt(w) AS u FROM v) SELECT id AS vertex_id, round(avg(u) OVER (PARTITION BY bx, bz), 6) AS mean FROM b")
+def vertex_binning(spark, sf):
+    """Means of a vertex field over places of vertices, painted on these by the action."""
+    data = _mesh_data(spark, sf)
+    data.vertices = data.mesh.vertices = data.mesh.vertices.withColumn("u", F.sqrt("w"))
+    axes = [{"field": "x", "num_bins": 3, "min_val": 0.0, "max_val": 3.0}, {"field": "y", "num_bins": 3, "min_val": 0.0, "max_val": 6.0}]
+    out = _after(data, ("binning", {"reduction_op": "avg", "reduction_field": "u", "output_field": "mean", "axes": axes}))
+    return out.vertices.select("vertex_id", F.round("mean", 6).alias("mean"))
+
+
+_KEPT = "WITH a AS (SELECT count(*) AS n, count(*) FILTER (l_linenumber % 3 = 0) AS unmarked, count(*) FILTER (l_tax <= 0.04) AS low FROM lineitem WHERE l_linenumber % 3 <= 1) "
+_ODD = {"published": "n", "real": "unmarked", "lost": "0", "after_lost": "0", "beside_lost": "low", "refused": "3", "ranked": "n", "outside": "0", "spread": "1", "domain": "0"}
+
+
+@query(_KEPT + _all("FROM a", **_ODD))
+def odd_requests(spark, sf):
+    """Ghosts that go when rows are published, pipelines of fields that aren't there, requests that are refused, random fields, ranks and domain ids."""
+    rows = read(spark, sf, "lineitem").withColumn("ghosts", F.col("l_linenumber") % 3)
+    engine = Engine().publish(Data(rows, keys=tuple(LINE_KEYS)))
+    low = {"type": "threshold", "params": {"field": "l_tax", "min_value": 0.0, "max_value": 0.04}}
+    pipelines = {
+        "real": {"a": {"type": "ghost_stripper", "params": {"field": "ghosts"}}},
+        "lost": {"a": {"type": "threshold", "params": {"field": "nothing", "min_value": 0, "max_value": 1}}, "b": low},
+        "after_lost": {"pipeline": "lost", "a": low},
+        "beside_lost": {"a": low},
+        "marked": {"a": {"type": "add_mpi_ranks", "params": {"output": "rank"}}, "b": {"type": "expression", "params": {"expression": "rand()", "name": "chance"}}, "c": {"type": "add_domain_ids", "params": {"output": "domain"}}},
+    }
+    engine.execute([{"action": "add_pipelines", "pipelines": pipelines}])
+    made = dict(engine.pipelines)
+    refused = 0
+    for wrong in ({"a": {"type": "threshold", "params": {"field": "l_tax", "min_value": 0, "max_value": 1, "colour": 1}}}, {"a": {"type": "no_such_transform"}}, {"pipeline": "p"}):
+        try:
+            engine.execute([{"action": "add_pipelines", "pipelines": {"p": wrong}}])
+        except ActionError:
+            refused += 1
+    marks = made["marked"].cells.agg(F.count_if(F.col("rank") >= 0), F.count_if(~F.col("chance").between(0, 1)), F.stddev("chance"), F.max("domain")).first()
+    said = {"published": engine.data.cells.count(), "refused": refused, "ranked": marks[0], "outside": marks[1], "spread": abs(marks[2] - 12**-0.5) < 0.05, "domain": marks[3]}
+    return _values(spark, said | {n: made[n].cells.count() for n in ("real", "lost", "after_lost", "beside_lost")})
+
+
+@query(_MESH + """, p AS (SELECT s AS sample, 0.1 + s * (1.73 / 12.0::DOUBLE) AS x, 0.3 + s * (4.41 / 12.0::DOUBLE) AS y, 1.1 + s * (77.3 / 12.0::DOUBLE) AS z FROM range(13) AS r(s)),
+l AS (SELECT sample, floor(x / 0.5)::INT + 4 * floor(y)::INT + 20 * floor(z / 2.0)::INT AS place FROM p) SELECT round(sum(c.f), 5) AS total, round(max(c.f), 6) AS greatest FROM l JOIN c ON c.id = l.place""")
+def expression_lineout(spark, sf):
+    """A line through wedges, asked for in an expression."""
+    m = _wedges(spark, sf)
+    found = Evaluator(Data(m.cells, m.vertices, mesh=m)).run("lineout(11, vector(0.1, 0.3, 1.1), vector(1.83, 4.71, 78.4), fields=['f'])")["vars"]["f"]
+    return spark.createDataFrame([(round(sum(found), 5), round(max(found), 6))], "total double, greatest double")

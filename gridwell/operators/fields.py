@@ -63,7 +63,7 @@ def vector_component(df: DataFrame, field: str, component: int, output: str) ->
 
 
 def add_domain_ids(df: DataFrame, domain: str = "domain_id", output: str = "domain_ids") -> DataFrame:
-    return df.withColumn(output, F.col(domain))
+    return df.withColumn(output, F.col(domain) if domain in df.columns else F.lit(0))  # a table without domains is one
 
 
 def add_ranks(df: DataFrame, output: str = "rank") -> DataFrame:

@@ -186,11 +186,18 @@ def _(data, p):
 
 @operator("binning", "reduction_op reduction_field var output_field output_type axes component empty_bin_val")
 def _(data, p):
+    """By fields of cells at their centres, or by those of vertices where they are."""
     axes = [bn.Axis(a.get("field") or a["var"], a.get("num_bins", 256), a.get("min_val"), a.get("max_val"), a.get("clamp", False), tuple(a.get("bins", ()))) for a in p["axes"]]
-    b = bn.binning(data.cells, p.get("reduction_field") or p.get("var") or "", p["reduction_op"], axes, p.get("empty_bin_val", 0.0), p.get("component"))
+    var = p.get("reduction_field") or p.get("var") or ""
+    named = [v for v in (var, *(a.var for a in axes)) if v]
+    homes = [t for t in (data.cells, data.vertices) if t is not None and all(v in t.columns for v in named)]
+    if not homes:
+        raise ActionError(f"binning: {', '.join(named)} aren't all fields of one association")
+    b = bn.binning(homes[0], var, p["reduction_op"], axes, p.get("empty_bin_val", 0.0), p.get("component"))
     if p.get("output_type", "mesh") == "bins":
         return Data(b.grid.withColumnRenamed("value", p["output_field"]), None, ("bin",), data.state)
-    return _with_cells(data, bn.painted(data.cells, b, p["output_field"], p.get("empty_bin_val", 0.0)))
+    put = _with_cells if homes[0] is data.cells else _with_vertices
+    return put(data, bn.painted(homes[0], b, p["output_field"], p.get("empty_bin_val", 0.0)))
 
 
 @operator("expression", "expression name")

@@ -796,8 +796,8 @@ def _(ev, binning, default_val=0.0, topo=None, assoc=None):
 @function("lineout(samples: int, start: vector, end: vector, fields: list =, empty_val: scalar =)")
 def _(ev, samples, start, end, fields=None, empty_val=0.0):
     mesh = ev.data.mesh
-    if mesh is None or not mesh.spacing:
-        raise ExpressionError("lineout needs a uniform grid")
+    if mesh is None:
+        raise ExpressionError("lineout needs a mesh")
     known = {"i", "j", "k", "x", "y", "z", "conn", *ev.data.keys}
     fields = fields or [c for c in mesh.cells.columns if c not in known]
     rows = ms.lineout(mesh, samples, [start[c] for c in mesh.axes], [end[c] for c in mesh.axes], fields, empty_val).orderBy("sample").collect()
