@@ -257,3 +257,22 @@ def test_flows_of_wedges_and_of_a_stream(spark, tmp_path):
     assert got == {v: 1.5 if v % 4 <= 1 else None for v in range(36)}
     with pytest.raises(ActionError, match="path"):
         Engine().publish(mesh_of(spark.createDataFrame([("x", 1.0)], "ts string, w double"))).execute([{"action": "add_pipelines", "pipelines": {"p": {"f": {"type": "lagrangian", "params": {"field": "v", "step_size": 1.0, "write_frequency": 2}}}}}])
+
+
+# -- fields of vertices in actions
+
+
+def test_binnings_have_one_home(spark):
+    m = ms.uniform(spark, (3, 3, 3))
+    data = Data(m.cells.withColumn("f", F.lit(1.0)), m.vertices.withColumn("g", F.col("x")), mesh=m)
+    data.mesh = ms.Mesh(data.vertices, data.cells, m.axes, m.dims, m.origin, m.spacing)
+    engine = Engine().publish(data)
+
+    def binned(var, axis):
+        step = {"type": "binning", "params": {"reduction_op": "sum", "reduction_field": var, "output_field": "b", "axes": [{"field": axis, "num_bins": 2, "min_val": 0.0, "max_val": 4.0}]}}
+        engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"a": step}}}])
+        return engine.pipelines["p"]
+
+    assert {r["b"] for r in binned("g", "x").vertices.collect()} == {9.0, 18.0} and {r["b"] for r in binned("f", "x").cells.collect()} == {8.0}
+    with pytest.raises(ActionError, match="one association"):
+        binned("f", "g")
