@@ -24,7 +24,9 @@ within the bounds of size are held against a bound of their intersection (a bit
 of one set's bitmap that the other's doesn't have is an element that they don't
 share), in blocks of bounded size. Pairs that pass are verified, in ``NEAREST``
 rounds only the likeliest of each set, between components as they then are, and
-in the last round all. Copies and near copies, however many, so cost a few pairs
+in the last round all: where no more pairs of a list pass than it has rows, one by
+one; else the list's texts come together, again in blocks, and only those links come
+out that join components, fewer than a block has rows. Copies and near copies, however many, so cost a few pairs
 each, documents that only share a passage cost no verification, and no link
 between components is lost.
 
@@ -60,6 +62,8 @@ POSTINGS_AT_ONCE, BUCKETS, HOT = 1 << 18, 8, 1 << 14
 SHORT = 24
 #: Sets held against one in a task, and members of a list that are held against each other in one.
 SPOKES, BLOCK = 1 << 12, 1 << 12
+#: Elements of the sets of a block whose texts come together.
+ELEMENTS = 1 << 22
 #: Bits of a filter for each key, and most bits. Beyond these keys a join takes the filter's place.
 BITS_A_KEY, FILTER_BITS = 8, 1 << 25
 #: Rows of a small table that make a file.
@@ -524,66 +528,85 @@ def runs(batches, columns: list[str]):
         yield held
 
 
+def in_cells(rows: DataFrame, n_blocks: Column, more: list[str], parts: int) -> DataFrame:
+    """rows of lists, (list, component, n, set_key, more), dealt by (list, cell) and sorted by n.
+    A list is cut to so many blocks, and each two of them meet in a cell of their own;
+    side tells them apart, 2 where a block meets itself."""
+    rows = rows.withColumn("n_blocks", n_blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    rows = rows.select("list", "component", "n", "set_key", *more, "block", "n_blocks", other)
+    cell = F.least("block", "other").cast("long") * F.col("n_blocks") + F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("list", cell.alias("cell"), side.cast("int").alias("side"), "n", "component", "set_key", *more).repartition(parts, "list", "cell")
+    return rows.sortWithinPartitions("list", "cell", "n", "set_key")
+
+
+def cells_of(token: np.ndarray, cell: np.ndarray):
+    """(begin, end) of the cells in rows sorted by them."""
+    begins = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+    return zip(begins.tolist(), np.append(begins[1:], len(token)).tolist(), strict=True)
+
+
+def survivors(size, own, side, bits):
+    """(x, y, score) of a list's rows, each pair once: y is wider than x, or further on among the like."""
+    width = np.array([len(x) for x in bits])
+    for w in sorted(set(width.tolist())):
+        at = np.flatnonzero(width >= w)
+        like = np.flatnonzero(width[at] == w)
+        table = np.zeros((len(at), w), np.uint8)
+        for v in sorted(set(width[at].tolist())):
+            of = np.flatnonzero(width[at] == v)
+            table[of] = folded(np.frombuffer(b"".join(bits[at[of]]), np.uint8).reshape(len(of), v), w)
+        table = table.view(np.uint64)
+        step = max(1, (1 << 18) // max(1, len(at)))
+        for k in range(0, len(like), step):
+            x = like[k : k + step]
+            a, b = size[at[x]][:, None], size[at][None]
+            may = (own[at[x]][:, None] != own[at][None]) & ((width[at] > w)[None] | (at[None] > at[x][:, None])) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+            may &= (side[at[x]] == 2)[:, None] | (side[at[x]][:, None] != side[at][None])
+            p, q = np.nonzero(may)
+            more = max(1, (1 << 20) // w)
+            for m in range(0, len(p), more):
+                i, j = at[x[p[m : m + more]]], at[q[m : m + more]]
+                both = most_shared(size[i], table[x[p[m : m + more]]], size[j], table[q[m : m + more]])
+                union = size[i] + size[j] - both
+                ok = 100 * both >= PERCENT * union
+                yield i[ok], j[ok], both[ok] * 10_000 // union[ok]
+
+
 def between(rows: DataFrame, every: bool, parts: int) -> DataFrame:
     """Pairs (a, b, score) that are left, of (list, component, n, set_key, bits, total):
     each two rows of a list in different components, within the bounds of
     size, whose bitmaps don't rule out a link.
 
-    A list of more than BLOCK rows is cut to blocks, and each two blocks meet in
-    a cell of their own. With every, all of the pairs; else for each row a of a
-    cell the one b that it may share the most with, by score.
+    A list of more than BLOCK rows is cut to blocks. With every, all of the pairs, but of a
+    cell where these are more than its rows only its list, as (list, null, -1); else for each
+    row a of a cell the one b that it may share the most with, by score.
     """
-    n = F.ceil(F.col("total") / BLOCK).cast("int")
-    rows = rows.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = rows.select("list", "component", "n", "set_key", "bits", "block", "n_blocks", other)
-    cell = F.least("block", "other").cast("long") * F.col("n_blocks") + F.greatest("block", "other")
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("list", cell.alias("cell"), side.cast("int").alias("side"), "n", "component", "set_key", "bits").repartition(parts, "list", "cell")
-
-    def survivors(size, own, side, bits):
-        """(x, y, score) of a list's rows, each pair once: y is wider than x, or further on among the like."""
-        width = np.array([len(x) for x in bits])
-        for w in sorted(set(width.tolist())):
-            at = np.flatnonzero(width >= w)
-            like = np.flatnonzero(width[at] == w)
-            table = np.zeros((len(at), w), np.uint8)
-            for v in sorted(set(width[at].tolist())):
-                of = np.flatnonzero(width[at] == v)
-                table[of] = folded(np.frombuffer(b"".join(bits[at[of]]), np.uint8).reshape(len(of), v), w)
-            table = table.view(np.uint64)
-            step = max(1, (1 << 18) // max(1, len(at)))
-            for k in range(0, len(like), step):
-                x = like[k : k + step]
-                a, b = size[at[x]][:, None], size[at][None]
-                may = (own[at[x]][:, None] != own[at][None]) & ((width[at] > w)[None] | (at[None] > at[x][:, None])) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-                may &= (side[at[x]] == 2)[:, None] | (side[at[x]][:, None] != side[at][None])
-                p, q = np.nonzero(may)
-                more = max(1, (1 << 20) // w)
-                for m in range(0, len(p), more):
-                    i, j = at[x[p[m : m + more]]], at[q[m : m + more]]
-                    both = most_shared(size[i], table[x[p[m : m + more]]], size[j], table[q[m : m + more]])
-                    union = size[i] + size[j] - both
-                    ok = 100 * both >= PERCENT * union
-                    yield i[ok], j[ok], both[ok] * 10_000 // union[ok]
 
     def run(batches):
         pairs, lists = Lately(), Lately()
         for token, cell, side, n, c, key, bits in runs(batches, ["list", "cell", "side", "n", "component", "set_key", "bits"]):
-            begins = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
             total = np.append(np.uint64(0), np.cumsum(scramble(key.view(np.uint64)), dtype=np.uint64))
-            for i, j in zip(begins.tolist(), np.append(begins[1:], len(token)).tolist(), strict=True):
+            for i, j in cells_of(token, cell):
                 if j - i < 2 or (c[i:j] == c[i]).all():
                     continue
                 whole = bool((side[i:j] == 2).all())
                 if whole and not lists.new(((int(total[j]) - int(total[i])) % (1 << 64), j - i)):
                     continue  # the same rows met in another list
-                best = np.zeros(j - i, np.int64)
+                best, found, count = np.zeros(j - i, np.int64), [], 0
                 for x, y, score in survivors(n[i:j], c[i:j], side[i:j], bits[i:j]):
-                    if not every:
-                        np.maximum.at(best, x, score << 32 | y + 1)
-                        np.maximum.at(best, y, score << 32 | x + 1)
+                    if every:
+                        found.append((x, y))
+                        if (count := count + len(x)) > j - i:
+                            break
                         continue
+                    np.maximum.at(best, x, score << 32 | y + 1)
+                    np.maximum.at(best, y, score << 32 | x + 1)
+                if count > j - i:
+                    yield batch_of(["a", "b", "score"], [pa.int64()] * 3, [token[i]], [None], [-1])
+                    continue
+                for x, y in found:
                     a, b = key[i + x], key[i + y]
                     new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if pairs.new(p)]
                     if new:
@@ -591,7 +614,48 @@ def between(rows: DataFrame, every: bool, parts: int) -> DataFrame:
                 if at := np.flatnonzero(best).tolist():
                     yield batch_of(["a", "b", "score"], [pa.int64()] * 3, key[i:j][at], key[i - 1 + (best[at] & 0xFFFFFFFF)], best[at] >> 32)
 
-    return rows.sortWithinPartitions("list", "cell", "n", "set_key").mapInArrow(lean(run), "a long, b long, score long")
+    return in_cells(rows, F.ceil(F.col("total") / BLOCK), ["bits"], parts).mapInArrow(lean(run), "a long, b long, score long")
+
+
+def joining(rows: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links between different components of (list, component, n, set_key, text), as
+    many in each cell as join all that its links reach, so fewer than it has rows.
+
+    A block has BLOCK rows and ELEMENTS elements at most."""
+    weight = rows.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("weight"))
+
+    def run(batches):
+        for token, cell, side, n, c, key, texts in runs(batches, ["list", "cell", "side", "n", "component", "set_key", "text"]):
+            for i, j in cells_of(token, cell):
+                if j - i < 2 or (c[i:j] == c[i]).all():
+                    continue
+                sets, own, out = [shingles(np.frombuffer(t, np.uint8)) for t in texts[i:j]], c[i:j].copy(), []
+                bits = np.empty(j - i, object)
+                bits[:] = [bitmap(s) for s in sets]
+                names = np.unique(np.concatenate(sets))
+                sets = [np.searchsorted(names, s) for s in sets]
+                there = np.zeros(len(names), bool)
+                for xs, ys, _ in survivors(n[i:j], c[i:j], side[i:j], bits):
+                    apart = own[xs] != own[ys]
+                    xs, ys = xs[apart], ys[apart]
+                    for begin, end in cells_of(xs, xs) if len(xs) else ():
+                        x, y = int(xs[begin]), ys[begin:end]
+                        y = y[own[y] != own[x]]
+                        if not len(y):
+                            continue
+                        there[sets[x]] = True
+                        sizes = n[i + y]
+                        both = np.add.reduceat(there[np.concatenate([sets[k] for k in y.tolist()])], np.cumsum(sizes) - sizes, dtype=np.int64)
+                        there[sets[x]] = False
+                        for k in y[100 * both >= PERCENT * (n[i + x] + sizes - both)].tolist():
+                            if own[k] != own[x]:
+                                own[own == own[k]] = own[x]
+                                out.append((int(key[i + x]), int(key[i + k])))
+                if out:
+                    yield batch_of(["a", "b"], [pa.int64()] * 2, *zip(*out, strict=True))
+
+    rows = rows.join(weight, "list").withColumn("text", F.col("text").cast("binary"))
+    return in_cells(rows, F.col("weight"), ["text"], parts).mapInArrow(lean(run), "a long, b long")
 
 
 #: Rounds in which what is left is held against the nearest in other components, before all the rest.
@@ -676,6 +740,9 @@ def similar(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     # what else met, member by member, where components differ
     pair_lists = pairs.filter("n > 0").withColumn("list", F.xxhash64("a", "b"))
     lists = lists.union(pair_lists.select("list", "a")).union(pair_lists.select("list", "b"))
+    # members of a group may be similar to each other, though not to its first
+    several = group_of.groupBy("grp").count().filter("count > 2")
+    lists = lists.union(several.select(F.xxhash64("grp").alias("list"), "grp"))
     for k in range(NEAREST + 1):
         whole = scratch.keep(components(links, scratch))
         own = group_of.join(whole.withColumnRenamed("node", "set_key"), "set_key", "left").select("grp", "set_key", F.coalesce("component", "set_key").alias("component"))
@@ -687,6 +754,14 @@ def similar(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         left = between(lists.join(own, "grp").join(bits, "set_key"), k == NEAREST, parts)
         if k < NEAREST:
             left = left.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+        else:
+            left = scratch.table(left, "left", rows=1000)
+            crowded = scratch.keep(left.filter("score < 0").select(F.col("a").alias("list")).distinct())
+            left = left.filter("score >= 0")
+            if not crowded.isEmpty():
+                texts = sets.groupBy("set_key").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+                placed = lists.select("list", "grp").join(crowded, "list").join(own, "grp").join(texts, "set_key")
+                links = links.union(scratch.table(joining(placed, parts), "joining", rows=500))
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         lists = lists.select("list", "grp")
         more = verified(left.join(tried, ["a", "b"], "left_anti").coalesce(8 * few), sets, scratch, f"verified{k}")

@@ -590,6 +590,62 @@ def test_join_against_brute_force(spark):
     assert joined(spark, said) == brute(said)
 
 
+def test_join_within_one_group(spark):
+    """Two similar texts that share their prefix and size with a third, dissimilar one, which stands for the three."""
+    rng = np.random.default_rng(5)
+    limit = np.uint64(2**64 // 5)
+
+    def grown(words: list, n: int, low: bool) -> list:
+        """n more words, so that the hash of each shingle that they end is low or isn't."""
+        words = list(words)
+        for _ in range(n):
+            while True:
+                w = f"w{rng.integers(10**9)}"
+                if len(words) < 4 or (jaccard.shingles(np.frombuffer(" ".join([*words[-4:], w]).encode(), np.uint8))[0] < limit) == low:
+                    break
+            words.append(w)
+        return words
+
+    key = lambda t: jaccard.set_key(jaccard.shingles(np.frombuffer(" ".join(t).encode(), np.uint8)))
+    begin = grown([], 10, True)  # six shingles, the whole prefix of texts of 20
+    one = grown(begin, 14, False)
+    two = grown(one[:-1], 1, False)
+    other = grown(begin, 14, False)
+    while key(other) > min(key(one), key(two)):
+        other = grown(begin, 14, False)
+    said = {k: " ".join(t) for k, t in enumerate((other, one, two))}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(said.items()), 3), "doc_id long, text string")  # no task sees a shingle twice
+    with Scratch(spark) as scratch:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs, scratch).collect()}
+    assert got == brute(said) == {0: (20, 0), 1: (20, 1), 2: (20, 1)}
+
+
+def test_join_of_crowded_lists_makes_few_rows(spark):
+    """Texts that their bitmaps can't tell apart: fewer links come out than there are rows, and none is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(24)]
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        t[int(rng.integers(0, 24))] = f"e{rng.integers(60)}"
+        texts.append(t[: int(rng.integers(20, 25))])
+    said = {k: " ".join(t) for k, t in enumerate(texts)}
+    sets = {t: jaccard.shingles(np.frombuffer(t.encode(), np.uint8)) for t in said.values()}
+    rows = [("L", jaccard.set_key(s), len(s), jaccard.set_key(s), t, jaccard.bitmap(s)) for t, s in sets.items()]
+    table = spark.createDataFrame([(1, c, n, k, t, bytearray(b)) for _, c, n, k, t, b in rows], "list long, component long, n long, set_key long, text string, bits binary")
+    left = jaccard.between(table.withColumn("total", F.lit(len(rows))), True, 4).collect()
+    assert [tuple(r) for r in left] == [(1, None, -1)]
+    links = [tuple(r) for r in jaccard.joining(table.drop("bits"), 4).collect()]
+    assert len(links) < len(rows)
+    root = {r[1]: r[1] for r in rows}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {k: x if v == y else v for k, v in root.items()}
+    found = brute({k: t for k, t in enumerate(sets)})
+    of = [root[jaccard.set_key(s)] for s in sets.values()]
+    assert all((of[i] == of[j]) == (found[i][1] == found[j][1]) for i in range(len(of)) for j in range(i))
+
+
 def test_join_edges(spark):
     docs = docs_of(spark, ODD)
     with Scratch(spark) as scratch:
