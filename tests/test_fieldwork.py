@@ -276,3 +276,13 @@ def test_binnings_have_one_home(spark):
     assert {r["b"] for r in binned("g", "x").vertices.collect()} == {9.0, 18.0} and {r["b"] for r in binned("f", "x").cells.collect()} == {8.0}
     with pytest.raises(ActionError, match="one association"):
         binned("f", "g")
+
+
+def test_trees_tell_heights_up_to_the_greatest(spark, monkeypatch):
+    """A tree that is higher than the queries' SQL knows: both tell what that has."""
+    from gridwell import fieldwork
+
+    monkeypatch.setattr(fieldwork, "TALLEST", 4)
+    sf = "/root/testdata/sf0.001"
+    assert {r["height"] for r in fieldwork.tree_nodes(spark, sf).select("height").distinct().collect()} == set(range(5))
+    assert {(r["height"], r["root"]) for r in fieldwork.tree_files(spark, sf).collect()} == {*((h, False) for h in range(4)), (3, True)}
