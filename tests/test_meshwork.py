@@ -411,3 +411,14 @@ def test_points_in_a_graded_mesh_are_found_in_halved_boxes(spark, monkeypatch):
     monkeypatch.setattr(ms, "CROWDED", 3)
     monkeypatch.setattr(pt, "BLOCK", 100)
     assert of() == usual
+
+
+def test_boxes_go_by_the_shape_of_a_long_grid(spark, monkeypatch):
+    """Few cells across and very many along: simplices reach into a few boxes each, however long the grid is."""
+    assert pt.boxes_along([2.0, 5.0, 60000.0], [0.5, 1.0, 2.0], 700) == [1, 1, 700]
+    assert pt.boxes_along([10.0, 10.0], [1.0, 1.0], 25) == [5, 5]
+    monkeypatch.setattr(pt, "BLOCK", 200)
+    m = ms.uniform(spark, (3, 3, 401), spacing=(0.5, 1.0, 2.0))
+    rows = gm.simplices(m, F.lit(0.0)).drop("values").cache()
+    boxes, dealt = pt.dealt(rows, m, lambda df: df.cache())
+    assert dealt.count() < 1.5 * rows.count() and dealt.groupBy("level", "place").count().agg(F.max("count")).first()[0] <= 200
