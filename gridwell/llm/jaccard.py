@@ -621,8 +621,10 @@ def joining(rows: DataFrame, parts: int) -> DataFrame:
     """(a, b): links between different components of (list, component, n, set_key, text), as
     many in each cell as join all that its links reach, so fewer than it has rows.
 
-    A block has BLOCK rows and ELEMENTS elements at most."""
-    weight = rows.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("weight"))
+    A block has BLOCK rows and ELEMENTS elements at most. How many rows a list has, and
+    how many elements their sets, may be known, as total and elements."""
+    if "elements" not in rows.columns:
+        rows = rows.join(rows.groupBy("list").agg(F.count("*").alias("total"), F.sum("n").alias("elements")), "list")
 
     def run(batches):
         for token, cell, side, n, c, key, texts in runs(batches, ["list", "cell", "side", "n", "component", "set_key", "text"]):
@@ -654,8 +656,8 @@ def joining(rows: DataFrame, parts: int) -> DataFrame:
                 if out:
                     yield batch_of(["a", "b"], [pa.int64()] * 2, *zip(*out, strict=True))
 
-    rows = rows.join(weight, "list").withColumn("text", F.col("text").cast("binary"))
-    return in_cells(rows, F.col("weight"), ["text"], parts).mapInArrow(lean(run), "a long, b long")
+    rows = rows.withColumn("text", F.col("text").cast("binary"))
+    return in_cells(rows, F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("elements") / ELEMENTS)), ["text"], parts).mapInArrow(lean(run), "a long, b long")
 
 
 #: Rounds in which what is left is held against the nearest in other components, before all the rest.
@@ -747,11 +749,13 @@ def similar(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         whole = scratch.keep(components(links, scratch))
         own = group_of.join(whole.withColumnRenamed("node", "set_key"), "set_key", "left").select("grp", "set_key", F.coalesce("component", "set_key").alias("component"))
         own = scratch.table(own.coalesce(few), f"own{k}")
-        spread = own.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        # how many elements there are counts only where texts come together
+        sized = own.join(bits.select("set_key", "n"), "set_key") if k == NEAREST else own.withColumn("n", F.lit(0).cast("long"))
+        spread = sized.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.sum("n").alias("elements"))
         placed = scratch.table(lists.join(spread, "grp").coalesce(8 * few), f"placed{k}")
-        mixed = placed.groupBy("list").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("size").alias("total")).filter("least <> most").select("list", "total")
+        mixed = placed.groupBy("list").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("size").alias("total"), F.sum("elements").alias("elements")).filter("least <> most").select("list", "total", "elements")
         lists = scratch.table(placed.select("list", "grp").join(mixed, "list").coalesce(8 * few), f"lists{k}")
-        left = between(lists.join(own, "grp").join(bits, "set_key"), k == NEAREST, parts)
+        left = between(lists.drop("elements").join(own, "grp").join(bits, "set_key"), k == NEAREST, parts)
         if k < NEAREST:
             left = left.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
         else:
@@ -760,7 +764,7 @@ def similar(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
             left = left.filter("score >= 0")
             if not crowded.isEmpty():
                 texts = sets.groupBy("set_key").agg(F.first("n").alias("n"), F.first("text").alias("text"))
-                placed = lists.select("list", "grp").join(crowded, "list").join(own, "grp").join(texts, "set_key")
+                placed = lists.join(crowded, "list").join(own, "grp").join(texts, "set_key")
                 links = links.union(scratch.table(joining(placed, parts), "joining", rows=500))
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         lists = lists.select("list", "grp")

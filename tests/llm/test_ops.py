@@ -646,6 +646,34 @@ def test_join_of_crowded_lists_makes_few_rows(spark):
     assert all((of[i] == of[j]) == (found[i][1] == found[j][1]) for i in range(len(of)) for j in range(i))
 
 
+def test_sizes_of_crowded_lists_come_with_them(spark, monkeypatch):
+    """Rows of lists aren't counted and joined once more where their texts come together."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(400):
+        t = [f"w{k}" for k in range(24)]
+        for _ in range(3):
+            t[int(rng.integers(0, 24))] = f"e{rng.integers(60)}"
+        texts.append(" ".join(t))
+    plans, real, small = [], jaccard.joining, jaccard.between
+
+    def seen(rows, parts):
+        of = rows.groupBy("list").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.min("total").alias("total"), F.max("elements").alias("elements"))
+        assert of.filter("m <> total OR e <> elements").count() == 0
+        there = spark.createDataFrame(rows.collect(), rows.schema)
+        plans.append(real(there, parts)._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, parts)
+
+    monkeypatch.setattr(jaccard, "joining", seen)
+    # every list that has pairs of components counts as crowded
+    monkeypatch.setattr(jaccard, "between", lambda rows, every, parts: rows.select(F.col("list").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(-1).cast("long").alias("score")) if every else small(rows, every, parts))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    with common.Scratch(spark) as scratch:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs, scratch).collect()}
+    assert plans and not any("Join" in p for p in plans)
+    assert got == brute(dict(enumerate(texts)))
+
+
 def test_join_edges(spark):
     docs = docs_of(spark, ODD)
     with Scratch(spark) as scratch:
