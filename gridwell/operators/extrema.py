@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import number
 from ..sources.tables import Kept
-from . import geometry as gm
 from . import mesh as meshes
 
 #: Saddles that are few enough to be put in order by the driver.
@@ -30,7 +29,7 @@ FEW = 100_000
 def _edges(mesh: meshes.Mesh, value: Column) -> DataFrame:
     """(domain_id, low, high): edges between vertices with values, as structs (v, id), the lower end first."""
     d = len(mesh.axes)
-    cells = gm.gathered(mesh, e=F.struct(value.alias("v"), F.col("vertex_id").alias("id")))
+    cells = meshes.gathered(mesh, e=F.struct(value.alias("v"), F.col("vertex_id").alias("id")))
     end = lambda f, k: F.get("c", F.get(f, F.lit(k)))["e"]
     pair = lambda f, a, b: F.struct(F.least(end(f, a), end(f, b)).alias("low"), F.greatest(end(f, a), end(f, b)).alias("high"))
     pairs = F.array_distinct(F.flatten(F.transform("parts", lambda f: F.array(*(pair(f, a, b) for a in range(d + 1) for b in range(a))))))

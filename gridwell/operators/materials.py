@@ -112,7 +112,7 @@ def interfaces(mesh: meshes.Mesh, materials: DataFrame, fields: tuple[str, ...]
     rows = around.select("domain_id", "vertex_id", F.explode(F.arrays_zip("names", "shares")).alias("s")).groupBy("domain_id", "vertex_id", "s.names").agg(F.sum("s.shares").alias("f"))
     fractions = rows.groupBy("domain_id", "vertex_id").agg(F.collect_list(F.struct("names", "f")).alias("__f"), F.sum("f").alias("__n"))  # shares around add up to the cells around
     known = mesh.vertices.join(fractions, ["domain_id", "vertex_id"])
-    cells = gm.gathered(meshes.Mesh(known, mesh.cells, mesh.axes), p=gm._numbers(mesh, fields), f=F.col("__f"), n=F.col("__n")).join(of_cell, keys)
+    cells = meshes.gathered(meshes.Mesh(known, mesh.cells, mesh.axes), p=gm._numbers(mesh, fields), f=F.col("__f"), n=F.col("__n")).join(of_cell, keys)
     at_corners = F.flatten(F.transform("c", lambda c: F.transform("names", lambda m: F.coalesce(F.try_element_at(F.map_from_entries(c["f"]), m), F.lit(0.0)) / c["n"])))
     cells = cells.select(*keys, "names", "shares", at_corners.alias("fractions"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"), F.flatten("parts").alias("parts"))
     width, k = axes + len(fields), axes + 1

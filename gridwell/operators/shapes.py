@@ -76,7 +76,7 @@ def quality(mesh: meshes.Mesh) -> DataFrame:
     directions across (skew), the shortest diagonal over the longest, and the least and
     greatest angle in a plane. A measure that a kind of cell doesn't have is null."""
     axes = len(mesh.axes)
-    rows = gm.gathered(mesh, p=gm._numbers(mesh, ())).select("domain_id", "cell_id", F.size("c").alias("n"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"))
+    rows = meshes.gathered(mesh, p=gm._numbers(mesh, ())).select("domain_id", "cell_id", F.size("c").alias("n"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"))
 
     def run(batches):
         for batch in batches:

@@ -422,3 +422,32 @@ def test_boxes_go_by_the_shape_of_a_long_grid(spark, monkeypatch):
     rows = gm.simplices(m, F.lit(0.0)).drop("values").cache()
     boxes, dealt = pt.dealt(rows, m, lambda df: df.cache())
     assert dealt.count() < 1.5 * rows.count() and dealt.groupBy("level", "place").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_centres_no_one_asks_for_are_not_made(spark):
+    m = ms.uniform(spark, (3, 3, 3))
+    other = ms.explicit(m.vertices.drop("domain_id", "i", "j", "k"), m.cells.select("cell_id", "conn"))
+    assert "Join" not in other.cells.select("domain_id", "cell_id", "conn")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(other.cells.select("cell_id", "x", "y", "z").collect()) == sorted(m.cells.select("cell_id", "x", "y", "z").collect())
+
+
+def test_vertices_come_once_to_cells_that_go_together(spark, monkeypatch):
+    """Whatever the groups of ids, cells get the same corners; a vertex that isn't there is left out."""
+    m = ms.uniform(spark, (4, 3, 3))
+    m.vertices = m.vertices.filter("vertex_id <> 5")
+    found = []
+    for n in (64, 1, 5):
+        monkeypatch.setattr(ms, "TOGETHER", n)
+        found.append(sorted(ms.gathered(m, v=F.col("vertex_id")).collect(), key=lambda r: r["cell_id"]))
+    assert found[0] == found[1] == found[2]
+    conn = {r["cell_id"]: [v for v in r["conn"] if v != 5] for r in m.cells.collect()}
+    assert {r["cell_id"]: [c["v"] for c in r["c"]] for r in found[0]} == conn
+
+
+def test_shuffles_of_large_tables_have_more_tasks(spark, monkeypatch):
+    m = ms.uniform(spark, (5, 5, 5))
+    monkeypatch.setattr(ms, "BYTES_A_TASK", 32)
+    many = ms.spread(m.cells, "cell_id")
+    assert many.rdd.getNumPartitions() == 64 * 8 // 32
+    monkeypatch.setattr(ms, "BYTES_A_TASK", 1 << 22)
+    assert ms.spread(m.cells, "cell_id") is m.cells
