@@ -451,3 +451,15 @@ def test_shuffles_of_large_tables_have_more_tasks(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == 64 * 8 // 32
     monkeypatch.setattr(ms, "BYTES_A_TASK", 1 << 22)
     assert ms.spread(m.cells, "cell_id") is m.cells
+
+
+def test_vtk_files_have_bounded_cells_and_each_vertex_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "CELLS_A_FILE", 60)
+    m = ms.uniform(spark, (6, 6, 13))  # 300 cells, 25 in a layer of 36 vertices
+    path = str(tmp_path / "vtk")
+    tables.write_vtk(m, path)
+    texts = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    points = [int(t.split("POINTS ")[1].split()[0]) for t in texts]
+    cells = [int(t.split("CELLS ")[1].split()[0]) for t in texts]
+    assert sum(cells) == 300 and all(n % 60 == 0 for n in cells)
+    assert all(p <= 4.5 * 36 / 60 * n for p, n in zip(points, cells, strict=True))
