@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import geometry as gm
 from . import mesh as meshes
 
-#: Halvings of the range in which a level is sought.
-HALVINGS = 64
+#: Steps of the search for a level, most of which takes some ten.
+STEPS = 200
 #: How much a place counts beside fractions, so that no function is level anywhere.
 TILT = 1e-6
 
@@ -26,17 +26,19 @@ TILT = 1e-6
 def share_below(values: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The share of each simplex where a linear function with these values at its
     corners isn't above a level; by the recurrence of splines over sorted values."""
-    return _share_below(np.sort(values, 1), level)
+    return _share_below(np.sort(values, 1).T.copy(), level)
 
 
 def _share_below(v: np.ndarray, level: np.ndarray) -> np.ndarray:
-    share = (level[:, None] >= v).astype(float)
-    for n in range(1, v.shape[1]):
-        low, high = v[:, :-n], v[:, n:]
-        wide = np.where(high > low, high - low, 1)
-        mixed = ((level[:, None] - low) * share[:, :-1] + (high - level[:, None]) * share[:, 1:]) / wide
-        share = np.clip(np.where(high > low, mixed, share[:, 1:]), 0, 1)
-    return share[:, 0]
+    """The same of values that rise, with a row for each corner."""
+    share = [(level >= x).astype(float) for x in v]
+    for n in range(1, len(v)):
+        for k in range(len(v) - n):
+            low, wide = v[k], v[k + n] - v[k]
+            # a level beyond a steep simplex would magnify what rounding leaves
+            t = np.clip((level - low) / np.where(wide > 0, wide, 1), 0, 1) * (wide > 0)
+            share[k] = share[k + 1] + t * (share[k] - share[k + 1])
+    return share[0]
 
 
 def _sizes(p: np.ndarray) -> np.ndarray:
@@ -59,6 +61,46 @@ def _unit(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return (values - low[owner, None]) / wide[owner, None]
 
 
+def _levels(owner: np.ndarray, ordered: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of each owner, the least level within rounding below which its simplices have the
+    wanted size; ordered: a row for each corner, of values that rise. By Chandrupatla's
+    method, on the owners whose level isn't known yet."""
+    n = len(wanted)
+    low, high = _spread(ordered.T, owner, n)
+    out, ids = high.copy(), np.arange(n)
+    near = np.finfo(float).eps * np.maximum(np.abs(low), np.abs(high))
+
+    def beyond(level):
+        return np.bincount(owner, size * _share_below(ordered, level[owner]), minlength=len(ids)) - wanted
+
+    a, b = low, high
+    fa, fb = beyond(a), beyond(b)
+    c, fc, t = a, fa, np.full(n, 0.5)
+    for step in range(STEPS):
+        if step:  # the new end, a, has the value that it was asked for
+            a = a + t * (b - a)
+            was_a, fa = fa, beyond(a)
+            same = (fa >= 0) == (was_a >= 0)
+            c, fc, b, fb = np.where(same, old, b), np.where(same, was_a, fb), np.where(same, b, old), np.where(same, fb, was_a)
+        wide = np.abs(b - a)
+        out[ids] = np.where(fa >= 0, np.where(fb >= 0, np.minimum(a, b), a), np.where(fb >= 0, b, np.maximum(a, b)))
+        on = (wide > near) & (fa != 0) & (fb != 0) & ((fa >= 0) != (fb >= 0))
+        if not on.any():
+            break
+        if not on.all():
+            place, there = np.cumsum(on) - 1, on[owner]
+            owner, ordered, size = place[owner[there]], ordered[:, there], size[there]
+            ids, wanted, near, wide, a, b, c, fa, fb, fc = (x[on] for x in (ids, wanted, near, wide, a, b, c, fa, fb, fc))
+        old = a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+            curve = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            t = np.where((phi**2 < xi) & ((1 - phi) ** 2 < 1 - xi), curve, 0.5)
+            least = np.minimum(near / wide / 2, 0.5)
+        t = np.clip(np.where(np.isfinite(t), t, 0.5), least, 1 - least)
+    return out
+
+
 def shared_out(owner: np.ndarray, points: np.ndarray, fractions: np.ndarray, shares: np.ndarray, count: np.ndarray, axes: int):
     """(owner, slot, corners) of the pieces. owner: the cell of each simplex; points: its
     corners; fractions: at its corners, of each of its cell's materials; shares: those
@@ -82,13 +124,7 @@ def shared_out(owner: np.ndarray, points: np.ndarray, fractions: np.ndarray, sha
         size = _sizes(rest[:, :, :axes])
         # greatest fractions first: a function that rises from these
         h = -_unit(rest[:, :, width + slot], owner, n) + TILT * _unit(rest[:, :, :axes] @ direction, owner, n)
-        low, high = _spread(h, owner, n)
-        wanted, ordered = shares[:, slot] * total, np.sort(h, 1)
-        for _ in range(HALVINGS):
-            middle = (low + high) / 2
-            enough = np.bincount(owner, size * _share_below(ordered, middle[owner]), minlength=n) >= wanted
-            low, high = np.where(enough, low, middle), np.where(enough, middle, high)
-        h = h - high[owner, None]
+        h = h - _levels(owner, np.sort(h, 1).T.copy(), size, shares[:, slot] * total)[owner, None]
         which, shape = gm.below(h, rest, 0.0)
         give(owner[which], slot, shape)
         which, rest = gm.below(-h, rest, 0.0)
@@ -108,12 +144,13 @@ def interfaces(mesh: meshes.Mesh, materials: DataFrame, fields: tuple[str, ...]
     each = materials.filter("vol_frac > 0").groupBy(*keys, "material").agg(F.sum("vol_frac").alias("f"))
     of_cell = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("material", "f"))).alias("m"), F.sum("f").alias("whole"))
     of_cell = of_cell.select(*keys, F.transform("m", lambda x: x["material"]).alias("names"), F.transform("m", lambda x: x["f"] / F.col("whole")).alias("shares"))
-    around = mesh.cells.select(*keys, F.explode("conn").alias("vertex_id")).join(of_cell, keys)
+    around = meshes.joined(mesh.cells.select(*keys, "conn"), of_cell, keys).withColumn("vertex_id", F.explode("conn"))
     rows = around.select("domain_id", "vertex_id", F.explode(F.arrays_zip("names", "shares")).alias("s")).groupBy("domain_id", "vertex_id", "s.names").agg(F.sum("s.shares").alias("f"))
     fractions = rows.groupBy("domain_id", "vertex_id").agg(F.collect_list(F.struct("names", "f")).alias("__f"), F.sum("f").alias("__n"))  # shares around add up to the cells around
-    known = mesh.vertices.join(fractions, ["domain_id", "vertex_id"])
-    cells = meshes.gathered(meshes.Mesh(known, mesh.cells, mesh.axes), p=gm._numbers(mesh, fields), f=F.col("__f"), n=F.col("__n")).join(of_cell, keys)
-    at_corners = F.flatten(F.transform("c", lambda c: F.transform("names", lambda m: F.coalesce(F.try_element_at(F.map_from_entries(c["f"]), m), F.lit(0.0)) / c["n"])))
+    known = meshes.joined(mesh.vertices, fractions, ["domain_id", "vertex_id"])
+    cells = meshes.gathered(meshes.Mesh(known, mesh.cells, mesh.axes), p=gm._numbers(mesh, fields), m=F.col("__f.names"), f=F.col("__f.f"), n=F.col("__n"))
+    cells = meshes.joined(cells, of_cell, keys)
+    at_corners = F.flatten(F.transform("c", lambda c: F.transform("names", lambda m: F.coalesce(F.get(c["f"], (F.array_position(c["m"], m) - 1).cast("int")), F.lit(0.0)) / c["n"])))
     cells = cells.select(*keys, "names", "shares", at_corners.alias("fractions"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"), F.flatten("parts").alias("parts"))
     width, k = axes + len(fields), axes + 1
     material = materials.schema["material"].dataType.simpleString()

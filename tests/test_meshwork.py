@@ -463,3 +463,50 @@ def test_vtk_files_have_bounded_cells_and_each_vertex_once(spark, tmp_path, monk
     cells = [int(t.split("CELLS ")[1].split()[0]) for t in texts]
     assert sum(cells) == 300 and all(n % 60 == 0 for n in cells)
     assert all(p <= 4.5 * 36 / 60 * n for p, n in zip(points, cells, strict=True))
+
+
+def test_shares_of_steep_simplices_far_from_a_level():
+    """Rounding within a steep simplex was magnified by how far the level lies from it."""
+    steep = np.array([[-0.9999996909435319, -0.9999991123851416, -0.999999094914303, -0.9999990160443527]])
+    assert mt.share_below(steep, np.array([-0.49999945741327894]))[0] == 1.0
+
+
+def test_levels_of_pieces_are_found_in_few_steps(monkeypatch):
+    noise = np.random.default_rng(1)
+    owner, values, size = np.repeat(np.arange(50), 3), np.sort(noise.random((150, 4)), 1), noise.random(150)
+    wanted = np.bincount(owner, size) * noise.random(50)
+    calls, share = [], mt._share_below
+    monkeypatch.setattr(mt, "_share_below", lambda *a: calls.append(1) or share(*a))
+    levels = mt._levels(owner, values.T.copy(), size, wanted)
+    assert np.allclose(np.bincount(owner, size * mt.share_below(values, levels[owner])), wanted, rtol=0, atol=1e-13) and len(calls) < 40
+
+
+def test_joins_of_large_tables_have_more_tasks(spark, monkeypatch):
+    m = ms.uniform(spark, (5, 5, 5))
+    monkeypatch.setattr(ms, "BYTES_A_TASK", 32)
+    rows = ms.joined(m.cells, m.cells.select("domain_id", "cell_id", F.col("x").alias("v")), ["domain_id", "cell_id"])
+    assert rows.count() == 64 and rows.rdd.getNumPartitions() == 2 * 64 * 8 // 32
+
+
+def test_shares_of_clipped_cells_come_from_one_pass(spark):
+    """A cell's simplices meet in its own row: no shuffle of them adds them up."""
+    rows = gm.clipped_volume(ms.uniform(spark, (4, 3, 3)), F.col("x") - 1.25)
+    assert rows._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
+    assert sorted({round(r["fraction"], 9) for r in rows.collect()}) == [0.0, 0.25, 1.0]
+
+
+def _piped(data, steps):
+    engine = Engine().publish(data)
+    engine.execute([{"action": "add_pipelines", "pipelines": {"p": steps}}])
+    return engine.pipelines["p"]
+
+
+def test_measures_one_after_another_come_from_one_pass(spark):
+    m = ms.uniform(spark, (4, 3, 3), spacing=(0.5, 1.0, 2.0))
+    steps = [("mesh_quality", {"metric": n}) for n in ("volume", "edge_ratio", "skew")]
+    after = lambda data, *steps: _piped(data, {f"s{k}": {"type": t, "params": p} for k, (t, p) in enumerate(steps)})
+    out = after(Data(m.cells, m.vertices, mesh=m), *steps, ("mesh_quality", {"metric": "volume", "output_name": "again"}))
+    assert out.cells._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["volume"], r["edge_ratio"], r["skew"], r["again"]) for r in out.cells.collect()} == {(1.0, 4.0, 0.0, 1.0)}
+    moved = after(out, ("scale", {"x_scale": 2, "y_scale": 1, "z_scale": 1}), ("mesh_quality", {"metric": "volume", "output_name": "larger"}))
+    assert {(r["volume"], r["larger"]) for r in moved.cells.collect()} == {(1.0, 2.0)}
