@@ -69,24 +69,28 @@ def measured(p: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def quality(mesh: meshes.Mesh) -> DataFrame:
+def quality(mesh: meshes.Mesh, size: str | None = None) -> DataFrame:
     """(domain_id, cell_id, measures): the least jacobian of a cell's corners, that
     scaled by the corner's edges (1 for a regular cell, more for a steep pyramid, 0 or
     less for a degenerate or folded cell), the longest edge over the shortest, the greatest cosine between
     directions across (skew), the shortest diagonal over the longest, and the least and
-    greatest angle in a plane. A measure that a kind of cell doesn't have is null."""
+    greatest angle in a plane. A measure that a kind of cell doesn't have is null. size:
+    with its length, area or volume, by this name."""
     axes = len(mesh.axes)
-    rows = meshes.gathered(mesh, p=gm._numbers(mesh, ())).select("domain_id", "cell_id", F.size("c").alias("n"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"))
+    more = [size] if size else []
+    rows = meshes.gathered(mesh, p=gm._numbers(mesh, ()))
+    rows = meshes.sized(rows, mesh.axes) if size else rows
+    rows = rows.select("domain_id", "cell_id", F.size("c").alias("n"), F.flatten(F.transform("c", lambda c: c["p"])).alias("points"), *more)
 
     def run(batches):
         for batch in batches:
-            size = np.asarray(batch.column(2))
-            points, begin = np.asarray(batch.column(3).flatten()).reshape(-1, axes), np.cumsum(size) - size
-            out = {m: np.full(len(size), np.nan) for m in MEASURES}
-            for n in np.unique(size):
-                these = np.flatnonzero(size == n)
+            count = np.asarray(batch.column(2))
+            points, begin = np.asarray(batch.column(3).flatten()).reshape(-1, axes), np.cumsum(count) - count
+            out = {m: np.full(len(count), np.nan) for m in MEASURES}
+            for n in np.unique(count):
+                these = np.flatnonzero(count == n)
                 for m, v in measured(points[begin[these][:, None] + np.arange(n)]).items():
                     out[m][these] = v
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[m], mask=~np.isfinite(out[m])) for m in MEASURES)], names=["domain_id", "cell_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[m], mask=~np.isfinite(out[m])) for m in MEASURES), *batch.columns[4:]], names=["domain_id", "cell_id", *MEASURES, *more])
 
-    return rows.mapInArrow(run, "domain_id int, cell_id long, " + ", ".join(f"{m} double" for m in MEASURES))
+    return rows.mapInArrow(run, "domain_id int, cell_id long, " + ", ".join(f"{m} double" for m in (*MEASURES, *more)))
