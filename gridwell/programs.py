@@ -185,7 +185,8 @@ def published_mesh(spark, sf):
     """A mesh published with its topology, and a pipeline that names it."""
     engine = Engine().publish(_mesh_data(spark, sf))
     engine.execute([{"action": "add_pipelines", "pipelines": {"p": {"f": {"type": "triangulate", "params": {"topology": "grid"}}}}}])
-    return engine.pipelines["p"].cells.groupBy("parent_cell").count().filter("count = 5").agg(F.count("*").alias("cells"))
+    pieces = ms.spread(engine.pipelines["p"].cells.select("parent_cell"), "parent_cell")
+    return pieces.groupBy("parent_cell").count().filter("count = 5").agg(F.count("*").alias("cells"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT id AS seed_id, 0 AS step, 0.5 + id * 0.25::DOUBLE AS x, 0.5 + id * 1.0::DOUBLE AS y, 1.0 + id * 2.0::DOUBLE AS z FROM range(4) AS r(id)

@@ -12,6 +12,7 @@ from gridwell.operators import particles as pt
 from gridwell.operators import selection as sl
 from gridwell.plans.actions import ActionError, Engine
 from gridwell.plans.evaluate import Data, Evaluator
+from gridwell.queries import QUERIES, _mesh
 from gridwell.sources import tables
 
 
@@ -488,6 +489,16 @@ def test_joins_of_large_tables_have_more_tasks(spark, monkeypatch):
     assert rows.count() == 64 and rows.rdd.getNumPartitions() == 2 * 64 * 8 // 32
 
 
+def test_meshes_of_large_tables_have_more_tasks(spark, monkeypatch):
+    """The tables under the mesh of the queries come together in tasks by size, and so do pieces counted by cell."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ms, "BYTES_A_TASK", 2048)
+    m = _mesh(spark, sf)
+    assert m.cells.rdd.getNumPartitions() > 12 and m.vertices.rdd.getNumPartitions() > 12
+    plan = QUERIES["published_mesh"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [parent_cell" in plan
+
+
 def test_shares_of_clipped_cells_come_from_one_pass(spark):
     """A cell's simplices meet in its own row: no shuffle of them adds them up."""
     rows = gm.clipped_volume(ms.uniform(spark, (4, 3, 3)), F.col("x") - 1.25)
