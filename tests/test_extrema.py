@@ -97,3 +97,14 @@ def test_levels_beside_saddles(spark):
     assert {round(r["level"], 4) for r in engine.pipelines["p"].cells.collect()} == {0.0, 1.0}
     with pytest.raises(ActionError):
         run(iso_values=[1.0], use_contour_tree="true")
+
+
+def test_edges_come_once_from_a_group_of_cells(spark):
+    """Neighbouring cells share edges; a cell that names a vertex twice has none from it to itself."""
+    m = ms.uniform(spark, (6, 5))
+    value = F.col("x") + F.col("y")
+    rows = xt._edges(m, value).collect()
+    assert len(rows) == len(set(rows)) == 5 * 5 + 6 * 4 + 5 * 4
+    cells = spark.createDataFrame([(0, [0, 1, 1]), (1, [0, 1, 6])], "cell_id long, conn array<long>")
+    rows = xt._edges(ms.explicit(m.vertices.drop("domain_id", "i", "j", "k"), cells, ("x", "y")), value).collect()
+    assert sorted((r["low"]["id"], r["high"]["id"]) for r in rows) == [(0, 1), (0, 6), (1, 6)]
