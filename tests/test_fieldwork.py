@@ -286,3 +286,20 @@ def test_trees_tell_heights_up_to_the_greatest(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     assert {r["height"] for r in fieldwork.tree_nodes(spark, sf).select("height").distinct().collect()} == set(range(5))
     assert {(r["height"], r["root"]) for r in fieldwork.tree_files(spark, sf).collect()} == {*((h, False) for h in range(4)), (3, True)}
+
+
+def test_tree_nodes_tell_all_heights(spark, monkeypatch):
+    """Whatever tree_files tells of, and however long an axis is."""
+    import duckdb
+
+    from gridwell import fieldwork
+    from gridwell.queries import SQL
+
+    monkeypatch.setattr(fieldwork, "TALLEST", 4)
+    sf = "/root/testdata/sf0.001"
+    assert {r["height"] for r in fieldwork.tree_nodes(spark, sf).select("height").distinct().collect()} == set(range(7))
+    assert {(r["height"], r["root"]) for r in fieldwork.tree_files(spark, sf).collect()} == {*((h, False) for h in range(4)), (3, True)}
+    assert tr.height(ms.uniform(spark, (2, 2, (1 << 22) + 2))) == 23
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT range AS o_orderkey, 1.0::DOUBLE AS o_totalprice FROM range({30 * ((1 << 17) + 2)})")
+    assert c.execute(f"SELECT max(height), count(*) FILTER (height = 18) FROM ({SQL['tree_nodes']})").fetchone() == (18, 1)
