@@ -234,6 +234,23 @@ def test_the_action_takes_any_mesh_and_any_size(spark, monkeypatch):
     assert len(ends) == 75 and 10 < sum(r["end"] is not None for r in ends) < 75
 
 
+def test_grids_of_any_size_are_linear_between_vertices(spark, monkeypatch):
+    """A uniform grid whose field doesn't go to every task: the same paths, by blocks of any size, and no simplices."""
+    m = ms.uniform(spark, (6, 4, 9), origin=(-1, 0, 2), spacing=(0.5, 1, 0.25))
+    m.vertices = m.vertices.withColumn("v", vectors.vector(F.col("y") * F.col("z") / 9, F.col("x") * F.col("z") / 9, F.sin(F.col("x") * 3 + F.col("y")) / 3))
+    seeds = m.vertices.filter("vertex_id % 3 = 0").select(F.col("vertex_id").alias("seed_id"), *((F.col(c) * 0.9 + 0.07).alias(c) for c in "xyz"))
+    small = paths(gm.paths(seeds, m, "v", 7, 0.3))
+    monkeypatch.setattr(gm, "FIELD_VALUES", 10)
+    monkeypatch.setattr(gm, "simplices", None)
+    for block, chunk, rows in ((4096, 4096, 1 << 18), (7, 1, 40)):
+        for name, value in (("BLOCK", block), ("CHUNK", chunk), ("ROWS_A_TASK", rows)):
+            monkeypatch.setattr(pt, name, value)
+        assert paths(gm.paths(seeds, m, "v", 7, 0.3)) == {k: pytest.approx(v, abs=1e-9) for k, v in small.items()}
+        ends = {r["seed_id"]: tuple(r["end"]) for r in gm.carried_for(seeds, m, "v", 7, 0.3).collect()}
+        assert ends == {k: pytest.approx(v, abs=1e-9) for (k, step), v in small.items() if step == 7}
+    assert len({k for k, _ in small}) == 72 > len(ends) > 10
+
+
 def test_charged_particles_turn_about_the_magnetic_field(spark):
     m = ms.uniform(spark, (3, 3, 3), origin=(-4, -4, -4), spacing=(4, 4, 4))
     zero = F.lit(0.0)
