@@ -307,6 +307,19 @@ def test_a_prism_of_five_sides_as_a_polyhedron(spark):
     assert pg.polyhedron_boundary(solid).count() == 7
 
 
+def test_sides_of_polyhedra_come_from_one_join(spark):
+    """Cells' fields come with their faces; their sides, four times as many, aren't joined again."""
+    from gridwell.operators import polytopes as pg
+
+    vertices = spark.createDataFrame([(k, float(x), float(y), float(z)) for k, (x, y, z) in enumerate([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)])], "vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([(k, f) for k, f in enumerate([[0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3]])], "face_id long, conn array<long>")
+    cells = spark.createDataFrame([(5, [0, 1, 2, 3], 1.5, "a")], "cell_id long, faces array<long>, f double, name string")
+    sides = pg.polyhedron_sides(pg.Polyhedra(vertices, cells, faces)).cells.select("parent_cell", "cell_id", "conn", "f", "name")
+    assert {(r["parent_cell"], r["f"], r["name"]) for r in sides.collect()} == {(5, 1.5, "a")} and sides.select("cell_id").distinct().count() == 12
+    assert sides._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+
 def test_topologies_are_told_apart(spark):
     a, b = ms.uniform(spark, (3, 3)), ms.uniform(spark, (4, 4))
     a.cells, b.cells = a.cells.withColumns({"f": F.col("x"), "both": F.lit(1.0)}), b.cells.withColumns({"g": F.col("x"), "both": F.lit(2.0)})
